@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
+    "op9_line_dedup": line_dedup.op9_lines,
 }
 
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
