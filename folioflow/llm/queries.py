@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
+    "op8_near_dedup": near_dedup.op8_near,
     "op9_line_dedup": line_dedup.op9_lines,
 }
 
