@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality_rules
+from . import line_dedup, mixing, near_dedup, quality_rules, token_store
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
     "op8_near_dedup": near_dedup.op8_near,
     "op9_line_dedup": line_dedup.op9_lines,
+    "op10_token_store": token_store.op10_tokens,
 }
 
 ORACLE_SQL = {
