@@ -24,7 +24,7 @@ from .common import SPACE, store
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample that costs and rejections are estimated on.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 200
 WINDOW = 8
 
 
@@ -117,9 +117,10 @@ RULES = BASE_RULES + MORE_RULES
 
 
 def measured_order(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejection per cost on at most ``rows`` rows. A limit reads as few
-    partitions as it can; the sample only orders the rules."""
-    sample = store(docs.select(F.col("text").alias("text")).limit(rows).coalesce(1).withColumn("words", words(F.col("text"))), "sample")
+    """``rules`` by rejection per cost on at most ``rows`` rows. take() runs as few partitions
+    as give that many rows, however many the table has; the sample only orders the rules."""
+    taken = docs.sparkSession.createDataFrame(docs.select(F.col("text").cast("string").alias("text")).take(rows), "text string")
+    sample = store(taken.coalesce(1).withColumn("words", words(F.col("text"))), "sample")
 
     def seconds(expr: Column) -> tuple[float, float]:
         began = time.perf_counter()
