@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_store
+from . import line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substrings,
+    "op7_quality_classifier": quality_classifier.op7_scores,
     "op8_near_dedup": near_dedup.op8_near,
     "op9_line_dedup": line_dedup.op9_lines,
     "op10_token_store": token_store.op10_tokens,
