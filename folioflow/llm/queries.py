@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substrings,
+    "op5_warc": warc.op5_warc,
+    "op6_decontamination": decontaminate.op6_leaks,
     "op7_quality_classifier": quality_classifier.op7_scores,
     "op8_near_dedup": near_dedup.op8_near,
     "op9_line_dedup": line_dedup.op9_lines,
@@ -18,5 +20,6 @@ ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
