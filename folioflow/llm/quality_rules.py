@@ -17,6 +17,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,9 @@ RULES = BASE_RULES + MORE_RULES
 def measured_order(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``rules`` by rejection per cost on at most ``rows`` rows. take() runs as few partitions
     as give that many rows, however many the table has; the sample only orders the rules."""
-    taken = docs.sparkSession.createDataFrame(docs.select(F.col("text").cast("string").alias("text")).take(rows), "text string")
-    sample = store(taken.coalesce(1).withColumn("words", words(F.col("text"))), "sample")
+    taken = docs.select(F.col("text").cast("string").alias("text")).take(rows)
+    local = docs.sparkSession.createDataFrame(pa.table({"text": pa.array([r[0] for r in taken], pa.string())}))
+    sample = store(local.coalesce(1).withColumn("words", words(F.col("text"))), "sample")
 
     def seconds(expr: Column) -> tuple[float, float]:
         began = time.perf_counter()
