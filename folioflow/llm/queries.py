@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store, warc
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chats,
     "op2_quality_rules": quality_rules.op2_rules,
     "op3_mixing": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substrings,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat_formatting": chat.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
