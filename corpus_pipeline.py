@@ -1,10 +1,58 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token ids."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents:
+what the rules reject goes, one document of each group of near-duplicates stays (five-word
+shingles, similarity 0.8 or more), documents that hold a benchmark item go, and the mix
+repeats or leaves documents to meet its sources' targets. The last writes the ids of all
+that is left and reads the files back.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from folioflow.llm import decontaminate, mixing, near_dedup, quality_rules, token_store
+from folioflow.llm.common import store
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_documents(docs)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.first_of_each_group(docs, (80, 100))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.read_tokens(spark, token_store.write_tokens(docs))
+
+
+STAGES = [
+    ("quality rules", keep_by_rules),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing to target weights", mix_sources),
+    ("token ids", write_token_ids),
+]
+
+#: Groups of near-duplicates and token ids aren't for SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, over the whole table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = store(docs, "stage")
+    return docs
