@@ -1,4 +1,718 @@
-"""The queries over the triage operators and their SQL, by name."""
+"""Queries over the triage operators, each with the same in DuckDB SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The metadata that a model would give is synthetic here: ``synthetic_reply`` makes a raw JSON
+reply of a document's columns, with faults dealt over the ids, so that strict decoding,
+normalising, vocabularies, rules and error precedence all run. It says nothing about texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions import decode, mime, naming, normalise, text
+from .operators import analyse, claim, extract, handoff, rules
+from .plans import report
+from .plans.config import Archive, Config, RuleSpec, Vocabulary
+from .plans.plan import build_plan, exit_code
+from .plans.replay import not_yet_filed, replay_state
+from .sources.documents import scan_texts
+from .sources.inventory import read_traces, trace_json
+
+c = F.col
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- synthetic replies
+
+
+def sample_config() -> Config:
+    """Four types, free tags, five rules and no default, so that every outcome occurs."""
+    return Config(
+        archive_root="/archive",
+        types=Vocabulary("courrier", ["facture", "contrat", "releve-bancaire", "courrier"]),
+        rules=[
+            RuleSpec("voiture", "facture", ["voiture"], "", "factures/voiture/{{.Year}}"),
+            RuleSpec("factures", "facture", [], "", "factures/{{.Correspondent}}/{{.Year}}"),
+            RuleSpec("contrats-src3", "contrat", [], "src3", "contrats/special"),
+            RuleSpec("contrats", "contrat", [], "", "contrats/{{.Correspondent}}"),
+            RuleSpec("releves", "releve-bancaire", [], "", "banque/{{.Type}}"),
+        ],
+        archive=Archive("upload", ["put", "--title", "{{.Title}}", "--created={{.DocumentDate}}", "{{.Path}}"], ["--tag", "{{.}}"]),
+    ).validate()
+
+
+def _type_of(lang):
+    return F.when(lang == "en", "facture").when(lang == "fr", "contrat").when(lang == "de", "releve-bancaire").otherwise("courrier")
+
+
+def _day_of(id_):
+    month, day = F.lpad((id_ % 12 + 1).cast("string"), 2, "0"), F.lpad((id_ % 31 + 1).cast("string"), 2, "0")
+    return F.when(id_ % 4 == 1, F.lit("14/03/2025")).when(id_ % 4 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("2025-"), month, F.lit("-"), day))
+
+
+def synthetic_reply(docs: DataFrame) -> DataFrame:
+    """Add ``reply`` to rows with doc_id, lang, source, n_chars, text."""
+    i = c("doc_id")
+    tags = F.array(c("source"), F.upper("source"), F.lit(""), F.when(i % 5 == 0, F.lit("voiture")).otherwise(F.lit(" ")))
+    whole = F.struct(
+        F.when(i % 13 == 5, F.lit("  ")).otherwise(F.concat(F.lit(" Document "), i.cast("string"))).alias("title"),
+        F.when(i % 17 == 3, F.lit("inconnu")).otherwise(_type_of(c("lang"))).alias("type"),
+        F.when(i % 7 != 0, c("source")).alias("correspondent"),
+        tags.alias("tags"),
+        _day_of(i).alias("document_date"),
+        F.lit(None).cast("string").alias("due_date"),
+        F.lit(None).cast("string").alias("reference"),
+        F.lit("").alias("description"),
+        F.when(i % 3 != 2, F.concat(c("n_chars").cast("string"), F.lit(".50"))).alias("amount"),
+        F.when(i % 3 == 0, F.lit("EUR")).alias("currency"),
+        F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("filename"),
+    )
+    body = F.to_json(whole, {"ignoreNullFields": "false"})
+    reply = F.when(i % 19 == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 19 == 7, F.concat(body, body)).otherwise(body)
+    return docs.withColumn("reply", reply)
+
+
+_REPLY_SQL = """
+replies AS (
+  SELECT doc_id, lang, source, n_chars, text, doc_id % 19 IN (4, 7) AS fenced, doc_id % 13 = 5 AS untitled,
+         CASE WHEN doc_id % 17 = 3 THEN 'inconnu' WHEN lang = 'en' THEN 'facture' WHEN lang = 'fr' THEN 'contrat' WHEN lang = 'de' THEN 'releve-bancaire' ELSE 'courrier' END AS type,
+         CASE WHEN doc_id % 7 <> 0 THEN source ELSE '' END AS correspondent,
+         CASE WHEN doc_id % 5 = 0 THEN [source, 'voiture'] ELSE [source] END AS tags,
+         CASE WHEN doc_id % 4 IN (0, 3) THEN try_cast('2025-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') AS DATE) END AS day,
+         CASE WHEN doc_id % 3 = 0 THEN n_chars || '.50' END AS amount, CASE WHEN doc_id % 3 = 0 THEN 'EUR' END AS currency,
+         string_split(coalesce(text, ''), chr(10))[1] AS first_line
+  FROM documents)"""
+
+
+def _san(x: str) -> str:
+    """The sanitised form of an SQL expression."""
+    plain = f"regexp_replace(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+    return f"regexp_replace(left({plain}, 120), '-$', '')"
+
+
+_PLANNED_SQL = f"""
+{_REPLY_SQL},
+named AS (
+  SELECT *, {_san("first_line")} AS own, coalesce(strftime(day, '%Y-%m-%d'), '') AS prefix, coalesce(strftime(day, '%Y'), '') AS year, {_san("correspondent")} AS corr
+  FROM replies),
+based AS (
+  SELECT *, CASE WHEN own <> '' THEN own ELSE doc_id::VARCHAR END AS stem FROM named),
+ruled AS (
+  SELECT *, CASE WHEN prefix = '' THEN stem WHEN starts_with(stem, prefix) THEN stem ELSE prefix || '-' || stem END || '.txt' AS base,
+         CASE WHEN type = 'facture' AND list_contains(tags, 'voiture') THEN 'voiture' WHEN type = 'facture' THEN 'factures'
+              WHEN type = 'contrat' AND correspondent = 'src3' THEN 'contrats-src3' WHEN type = 'contrat' THEN 'contrats' WHEN type = 'releve-bancaire' THEN 'releves' END AS rule
+  FROM based),
+folded AS (
+  SELECT *, CASE rule WHEN 'voiture' THEN 'factures/voiture/' || year WHEN 'factures' THEN 'factures/' || corr || '/' || year WHEN 'contrats-src3' THEN 'contrats/special'
+              WHEN 'contrats' THEN 'contrats/' || corr WHEN 'releves' THEN 'banque/releve-bancaire' END AS folder
+  FROM ruled),
+planned AS (
+  SELECT *, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{text.SPACE_CLASS}]') THEN CASE WHEN coalesce(text, '') = '' THEN 'source' ELSE 'empty' END
+                 WHEN fenced OR untitled THEN 'schema-unsupported' WHEN type = 'inconnu' THEN 'rejected' WHEN first_line = '' THEN 'schema-unsupported'
+                 WHEN rule IS NULL THEN 'no-rule' WHEN list_contains(string_split(folder, '/'), '') THEN 'path' END AS error_kind
+  FROM folded)"""
+
+
+def _scanned(spark, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan_texts(docs, F.concat(F.lit("/in/"), c("doc_id").cast("string"), F.lit(".txt")), c("text"))
+
+
+def _planned(spark, sf_dir: str) -> DataFrame:
+    """The plan of all documents with synthetic replies."""
+    rows = synthetic_reply(_scanned(spark, sf_dir)).drop("text", "lang", "source", "n_chars")
+    return build_plan(extract.with_text(rows), sample_config())
+
+
+# ---------------------------------------------------------------- sources and types
+
+
+def source_identify(spark, sf_dir):
+    """Size, digest and extension of every document."""
+    return _scanned(spark, sf_dir).select("doc_id", "path", "size", "digest", "ext")
+
+
+SOURCE_IDENTIFY = """
+SELECT doc_id, '/in/' || doc_id || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS digest, '.txt' AS ext FROM documents"""
+
+
+def sniff_kind(spark, sf_dir):
+    """Types of pages and documents by their first bytes, and whether text can be taken from them."""
+    pages = _table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), c("page_id").alias("id"), c("html").alias("body"))
+    docs = _table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), c("doc_id").alias("id"), c("text").alias("body"))
+    rows = pages.unionByName(docs).withColumn("mime", mime.sniffed(F.coalesce("body", F.lit("")).cast("binary")))
+    return rows.select("origin", "id", "mime", mime.is_supported(c("mime")).alias("supported"), mime.is_image(c("mime")).alias("image"), mime.is_office(c("mime")).alias("office"))
+
+
+SNIFF_KIND = """
+WITH b AS (SELECT 'page' AS origin, page_id AS id, coalesce(html, '') AS body FROM pages UNION ALL SELECT 'document', doc_id, coalesce(text, '') FROM documents),
+m AS (
+  SELECT origin, id, CASE
+    WHEN regexp_matches(body, '^[\\t\\n\\f\\r ]*<(?i:!DOCTYPE HTML|HTML|HEAD|SCRIPT|IFRAME|H1|DIV|FONT|TABLE|A|STYLE|TITLE|B|BODY|BR|P|!--)[ >]') THEN 'text/html'
+    WHEN regexp_matches(body, '^[\\t\\n\\f\\r ]*<\\?xml') THEN 'text/xml'
+    WHEN starts_with(body, '%PDF-') THEN 'application/pdf'
+    WHEN regexp_matches(left(body, 512), '[\\x00-\\x08\\x0B\\x0E-\\x1A\\x1C-\\x1F]') THEN 'application/octet-stream'
+    ELSE 'text/plain' END AS mime FROM b)
+SELECT origin, id, mime, mime IN ('text/plain', 'application/pdf') AS supported, false AS image, false AS office FROM m"""
+
+
+# ---------------------------------------------------------------- extraction
+
+
+def extract_plain(spark, sf_dir):
+    """The router's outcome for every document: origin, length, or the error."""
+    rows = extract.with_text(_scanned(spark, sf_dir).drop("text"))
+    t = c("text")
+    return rows.select("doc_id", t["origin"].alias("origin"), F.length(t["content"]).cast("long").alias("chars"), t["error_kind"].alias("error_kind"))
+
+
+EXTRACT_PLAIN = f"""
+SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN 'plain' END AS origin, CASE WHEN coalesce(text, '') <> '' THEN length(text) END AS chars,
+       CASE WHEN coalesce(text, '') = '' THEN 'source' WHEN NOT regexp_matches(text, '[^{text.SPACE_CLASS}]') THEN 'empty' END AS error_kind
+FROM documents"""
+
+
+def text_layer(spark, sf_dir):
+    """Whether each document, taken as a text layer, is usable."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.non_space_chars(text.or_empty(c("text"))).cast("long").alias("chars"), text.usable_text_layer(text.split_pages(c("text"))).alias("usable"))
+
+
+TEXT_LAYER = f"""
+SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[{text.SPACE_CLASS}]+', '', 'g')) AS chars,
+       length(regexp_replace(coalesce(text, ''), '[{text.SPACE_CLASS}]+', '', 'g')) >= 64 AS usable FROM documents"""
+
+
+def page_cap(spark, sf_dir):
+    """Documents as pages, a line each, at most five read; what is read is joined again."""
+    pages = text.split_pages(c("text"), "\n")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", pages.alias("pages")).withColumn("total", F.size("pages"))
+    read = text.capped_pages(c("total"), 5)
+    cut = text.truncation(c("total"), 5)
+    return docs.select("doc_id", c("total").cast("long").alias("total"), read.cast("long").alias("processed"), cut.isNotNull().alias("truncated"), F.sha2(F.array_join(F.slice("pages", F.lit(1), read), "\n\n"), 256).alias("joined"))
+
+
+PAGE_CAP = f"""
+WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+q AS (SELECT doc_id, CASE WHEN regexp_matches(a[-1], '[^{text.SPACE_CLASS}]') THEN a ELSE a[1:-2] END AS a FROM p),
+r AS (SELECT doc_id, CASE WHEN len(a) = 0 THEN [''] ELSE a END AS a FROM q)
+SELECT doc_id, len(a)::BIGINT AS total, least(len(a), 5)::BIGINT AS processed, len(a) > 5 AS truncated, sha256(array_to_string(a[1:5], chr(10) || chr(10))) AS joined FROM r"""
+
+
+# ---------------------------------------------------------------- decoding and normalising
+
+
+def decode_reply(spark, sf_dir):
+    """Strict decoding of raw replies made of events, with every kind of fault."""
+    i = c("event_id")
+    good = F.concat(F.lit('{"title":"t","type":"'), c("event_type"), F.lit('","tags":["a"],"filename":"f"}'))
+    k = i % 16
+    raw = (
+        F.when(k == 0, F.concat(F.lit("Here it is: "), good))
+        .when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(k == 2, F.regexp_replace(good, r"\}$", ',"folder":"x"}'))
+        .when(k == 3, F.concat(F.lit("["), good, F.lit("]")))
+        .when(k == 4, F.lit('"text"'))
+        .when(k == 5, F.concat(good, good))
+        .when(k == 6, F.lit(""))
+        .when(k == 7, F.lit(" \n "))
+        .when(k == 8, F.regexp_replace(good, '"title":"t"', '"title":12'))
+        .when(k == 9, F.regexp_replace(good, '"title":"t",', ""))
+        .when(k == 10, F.regexp_replace(good, '"title":"t"', '"title":"  "'))
+        .when(k == 11, F.regexp_replace(good, r'"tags":\["a"\],', ""))
+        .when(k == 12, F.regexp_replace(good, r'\["a"\]', "[]"))
+        .when(k == 13, F.regexp_replace(good, r'\["a"\]', '["a",1]'))
+        .when(k == 14, c("props"))
+        .otherwise(good)
+    )
+    rows = decode.with_fields(_table(spark, sf_dir, "events").select("event_id", raw.alias("reply")))
+    rows = rows.withColumn("missing", decode.missing_field(c("fields")))
+    ok = c("malformed").isNull() & c("missing").isNull()
+    return rows.select("event_id", ok.alias("decoded"), c("malformed").isNotNull().alias("malformed"), F.when(c("malformed").isNull(), c("missing")).alias("missing"), F.when(ok, c("fields")["type"]).alias("type"))
+
+
+DECODE_REPLY = """
+SELECT event_id, event_id % 16 IN (12, 15) AS decoded, event_id % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 13, 14) AS malformed,
+       CASE event_id % 16 WHEN 9 THEN 'the required field title is absent' WHEN 10 THEN 'the required field title is empty' WHEN 11 THEN 'the required field tags is absent' END AS missing,
+       CASE WHEN event_id % 16 IN (12, 15) THEN event_type END AS type
+FROM events"""
+
+
+def norm_dates(spark, sf_dir):
+    """Days in many spellings; only real days written YYYY-MM-DD stay."""
+    i = c("o_orderkey")
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = (
+        F.when(i % 6 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(i % 6 == 1, F.concat(F.lit(" "), iso, F.lit("\n")))
+        .when(i % 6 == 2, F.concat(iso, F.lit("T09:41:12Z")))
+        .when(i % 6 == 3, F.regexp_replace(iso, "-[0-9]{2}$", "-31"))
+        .when(i % 6 == 4, F.regexp_replace(iso, "-0", "-"))
+        .otherwise(iso)
+    )
+    day = normalise.parsed_date(text.trim_space(raw))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    return rows.select("o_orderkey", "day", *[normalise.date_part(c("day"), p).alias(p) for p in ("year", "month")], normalise.date_part(c("day"), "day").alias("day_of_month"), normalise.date_prefix(c("day")).alias("prefix"))
+
+
+NORM_DATES = """
+WITH r AS (
+  SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderkey % 6 AS k FROM orders),
+d AS (
+  SELECT o_orderkey, CASE k WHEN 1 THEN iso::DATE WHEN 3 THEN try_cast(left(iso, 8) || '31' AS DATE)
+    WHEN 4 THEN CASE WHEN iso NOT LIKE '%-0%' THEN iso::DATE END WHEN 5 THEN iso::DATE END AS day FROM r)
+SELECT o_orderkey, day, coalesce(strftime(day, '%Y'), '') AS year, coalesce(strftime(day, '%m'), '') AS month, coalesce(strftime(day, '%d'), '') AS day_of_month,
+       coalesce(strftime(day, '%Y-%m-%d'), '') AS prefix FROM d"""
+
+
+def norm_amount(spark, sf_dir):
+    """Amounts and currencies are kept as written, and only together."""
+    i = c("o_orderkey")
+    raw = c("o_totalprice").cast("decimal(18,2)").cast("string")
+    amount = (
+        F.when(i % 8 == 0, F.regexp_replace(raw, r"\.", ","))
+        .when(i % 8 == 1, F.concat(F.lit("+"), raw))
+        .when(i % 8 == 2, F.concat(raw, F.lit(" EUR")))
+        .when(i % 8 == 3, F.regexp_replace(raw, r"\..*", "."))
+        .when(i % 8 == 4, F.concat(F.lit(" -"), raw, F.lit("0\n")))
+        .otherwise(raw)
+    )
+    currency = F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 5 == 1, F.lit("eur")).when(i % 5 == 2, F.lit(" USD ")).otherwise(F.lit("EUR"))
+    a, cur = normalise.amount_and_currency(amount, currency)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", a.alias("amount"), cur.alias("currency"))
+
+
+NORM_AMOUNT = """
+WITH r AS (SELECT o_orderkey AS k, o_totalprice::DECIMAL(18,2)::VARCHAR AS raw FROM orders),
+v AS (
+  SELECT k, CASE WHEN k % 8 IN (0, 1, 2, 3) THEN NULL WHEN k % 8 = 4 THEN '-' || raw || '0' ELSE raw END AS a,
+         CASE WHEN k % 5 IN (0, 1) THEN NULL WHEN k % 5 = 2 THEN 'USD' ELSE 'EUR' END AS cur FROM r)
+SELECT k AS o_orderkey, CASE WHEN a IS NOT NULL AND cur IS NOT NULL THEN a END AS amount, CASE WHEN a IS NOT NULL AND cur IS NOT NULL THEN cur END AS currency FROM v"""
+
+
+def norm_tags(spark, sf_dir):
+    """Tags trimmed, lower-cased, each once in order; the first outside a vocabulary."""
+    words = F.split(F.regexp_replace("p_type", " ", "|"), r"\|")
+    raw = F.concat(words, F.array(F.upper("p_brand"), F.lit(""), F.lit(" \t"), F.concat(F.lit("\n"), F.lower("p_brand"), F.lit(" "))), words)
+    rows = _table(spark, sf_dir, "part").select("p_partkey", normalise.normalised_tags(raw).alias("tags"))
+    foreign = normalise.first_foreign_tag(c("tags"), ["standard", "small", "medium", "large", "economy", "promo"])
+    return rows.select("p_partkey", F.array_join("tags", ",").alias("tags"), F.array_join(normalise.sorted_tags(c("tags")), ",").alias("sorted"), foreign.alias("foreign_tag"))
+
+
+NORM_TAGS = """
+WITH r AS (SELECT p_partkey, list_concat(list_transform(string_split(p_type, ' '), lambda x: lower(x)), [lower(p_brand)]) AS raw FROM part),
+e AS (SELECT p_partkey, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM r),
+f AS (SELECT p_partkey, t, min(i) AS i FROM e WHERE t <> '' GROUP BY ALL)
+SELECT p_partkey, string_agg(t, ',' ORDER BY i) AS tags, string_agg(t, ',' ORDER BY t) AS sorted,
+       arg_min(t, i) FILTER (WHERE t NOT IN ('standard', 'small', 'medium', 'large', 'economy', 'promo')) AS foreign_tag
+FROM f GROUP BY p_partkey"""
+
+
+def vocab_check(spark, sf_dir):
+    """Types against a closed vocabulary, tags against a bounded one."""
+    docs = _table(spark, sf_dir, "documents")
+    known = [f"src{k}" for k in range(12)]
+    rows = docs.select("doc_id", normalise.type_allowed(c("lang"), ["en", "fr", "de"]).alias("type_allowed"), normalise.normalised_tags(F.array("lang", "source")).alias("tags"))
+    return rows.select("doc_id", "type_allowed", normalise.first_foreign_tag(c("tags"), ["en", "fr", "de", "es", *known]).alias("foreign_tag"))
+
+
+VOCAB_CHECK = """
+SELECT doc_id, lang IN ('en', 'fr', 'de') AS type_allowed,
+       CASE WHEN NOT list_contains(list_transform(range(12), lambda k: 'src' || k), source) THEN source END AS foreign_tag FROM documents"""
+
+
+# ---------------------------------------------------------------- names
+
+
+def sanitise(spark, sf_dir):
+    """Whole texts and addresses folded to names."""
+    docs = _table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), c("doc_id").alias("id"), naming.sanitised(c("text")).alias("name"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), c("page_id").alias("id"), naming.sanitised(c("url")).alias("name"))
+    return docs.unionByName(pages)
+
+
+SANITISE = f"SELECT 'document' AS origin, doc_id AS id, {_san('text')} AS name FROM documents UNION ALL SELECT 'page', page_id, {_san('url')} FROM pages"
+
+
+def derive_name(spark, sf_dir):
+    """File names of parts: proposal, or the original's stem, or a date, or the last resort."""
+    i = c("p_partkey")
+    proposal = F.when(i % 5 == 0, F.lit("///")).when(i % 5 == 1, F.lit(None).cast("string")).when(i % 5 == 2, F.concat(F.lit("2025-03-14-"), c("p_name"))).otherwise(c("p_name"))
+    original = F.when(i % 2 == 0, F.lit("日本語")).otherwise(F.concat(F.lit("Scan É"), i.cast("string")))
+    prefix = F.when(i % 3 == 0, F.lit("2025-03-14")).otherwise(F.lit(""))
+    name = naming.derived_name(proposal, original, F.lit(".PDF"), prefix)
+    return _table(spark, sf_dir, "part").select("p_partkey", name["base"].alias("base"), name["from_proposal"].alias("from_proposal"))
+
+
+DERIVE_NAME = f"""
+WITH r AS (
+  SELECT p_partkey AS i, CASE p_partkey % 5 WHEN 0 THEN '///' WHEN 1 THEN NULL WHEN 2 THEN '2025-03-14-' || p_name ELSE p_name END AS proposal,
+         CASE WHEN p_partkey % 2 = 0 THEN '日本語' ELSE 'Scan É' || p_partkey END AS original, CASE WHEN p_partkey % 3 = 0 THEN '2025-03-14' ELSE '' END AS prefix FROM part),
+s AS (SELECT i, prefix, {_san("proposal")} AS own, {_san("original")} AS other FROM r),
+t AS (SELECT i, prefix, own, CASE WHEN own <> '' THEN own ELSE other END AS stem FROM s)
+SELECT i AS p_partkey, CASE WHEN prefix = '' AND stem = '' THEN 'document' WHEN prefix = '' THEN stem WHEN stem = '' THEN prefix
+         WHEN starts_with(stem, prefix) THEN stem ELSE prefix || '-' || stem END || '.PDF' AS base, own <> '' AS from_proposal FROM t"""
+
+
+# ---------------------------------------------------------------- rules and plans
+
+
+def rule_match(spark, sf_dir):
+    """The first of five rules for every document, compiled to CASE."""
+    rs = sample_config().rule_set
+    docs = _table(spark, sf_dir, "documents")
+    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("VOITURE"))))
+    rows = docs.select("doc_id", _type_of(c("lang")).alias("type"), c("source").alias("correspondent"), tags.alias("tags"))
+    place = rules.first_match(rs, c("type"), c("correspondent"), c("tags"))
+    return rows.select("doc_id", rules.by_place(place, [F.lit(r.name) for r in rs]).alias("rule"))
+
+
+_RULE_SQL = """
+CASE WHEN lang = 'en' AND doc_id % 5 = 0 THEN 'voiture' WHEN lang = 'en' THEN 'factures' WHEN lang = 'fr' AND source = 'src3' THEN 'contrats-src3'
+     WHEN lang = 'fr' THEN 'contrats' WHEN lang = 'de' THEN 'releves' END"""
+RULE_MATCH = f"SELECT doc_id, {_RULE_SQL} AS rule FROM documents"
+
+
+def rule_join(spark, sf_dir):
+    """The same from a table of rules."""
+    listed = [(k, r.name, r.type, list(r.tags), r.correspondent, r.path) for k, r in enumerate(sample_config().rule_set)]
+    table = spark.createDataFrame(listed, "ord int, name string, type string, tags array<string>, correspondent string, path string")
+    docs = _table(spark, sf_dir, "documents")
+    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("VOITURE"))))
+    rows = docs.select("doc_id", _type_of(c("lang")).alias("type"), c("source").alias("correspondent"), tags.alias("tags"))
+    return rules.joined_rules(rows, table, "doc_id").select("doc_id", c("ord").cast("long").alias("ord"), c("name").alias("rule"))
+
+
+RULE_JOIN = f"""
+WITH r AS (SELECT doc_id, {_RULE_SQL} AS rule FROM documents)
+SELECT doc_id, (list_position(['voiture', 'factures', 'contrats-src3', 'contrats', 'releves'], rule) - 1)::BIGINT AS ord, rule FROM r"""
+
+
+def render_path(spark, sf_dir):
+    """A template over suppliers, and what is wrong with some rendered paths."""
+    rule = rules.Rule("r", "{{.Correspondent}}/{{.Reference}}/x")
+    i = c("s_suppkey")
+    values = {
+        "Correspondent": F.when(i % 4 == 0, F.lit("..")).when(i % 4 == 1, F.lit("")).when(i % 4 == 2, F.lit("a\\b")).otherwise(naming.sanitised(c("s_name"))),
+        "Reference": F.when(i % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("n"), c("s_nationkey").cast("string"))),
+    }
+    path = rule.template.rendered(values)
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", path.alias("path"))
+    return rows.select("s_suppkey", "path", rules.path_fault(c("path")).alias("fault"))
+
+
+RENDER_PATH = f"""
+WITH p AS (
+  SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '..' WHEN 1 THEN '' WHEN 2 THEN 'a\\b' ELSE {_san("s_name")} END || '/' ||
+         CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'n' || s_nationkey END || '/x' AS path FROM supplier)
+SELECT s_suppkey, path, CASE WHEN contains(path, '\\') THEN 'backslash' WHEN starts_with(path, '/') THEN 'empty path segment' WHEN starts_with(path, '../') THEN 'traversal segment ..'
+       WHEN contains(path, '//') THEN 'empty path segment' END AS fault FROM p"""
+
+
+def plan_documents(spark, sf_dir):
+    """The whole plan: rule, name, destination, or the first failure and its exit code."""
+    rows = _planned(spark, sf_dir)
+    return rows.select("doc_id", "size", "rule", c("name")["base"].alias("base"), c("name")["from_proposal"].alias("from_proposal"), "dest", "disposition", "error_kind", "exit_code")
+
+
+PLAN_DOCUMENTS = f"""
+WITH {_PLANNED_SQL}
+SELECT doc_id, strlen(text)::BIGINT AS size, CASE WHEN error_kind IS NULL OR error_kind = 'path' THEN rule END AS rule, CASE WHEN error_kind IS NULL OR error_kind IN ('path', 'no-rule') THEN base END AS base,
+       CASE WHEN error_kind IS NULL OR error_kind IN ('path', 'no-rule') THEN own <> '' END AS from_proposal,
+       CASE WHEN error_kind IS NULL THEN folder || '/' || base END AS dest, 'move' AS disposition, error_kind,
+       CASE WHEN error_kind IS NULL THEN 0 WHEN error_kind IN ('schema-unsupported', 'source') THEN 2 ELSE 1 END AS exit_code
+FROM planned"""
+
+
+def plan_metadata(spark, sf_dir):
+    """The normalised metadata of the documents whose replies hold."""
+    m = c("metadata")
+    rows = _planned(spark, sf_dir).where("metadata IS NOT NULL")
+    return rows.select(
+        "doc_id", m["title"].alias("title"), m["type"].alias("type"), m["correspondent"].alias("correspondent"), F.array_join(m["tags"], ",").alias("tags"),
+        m["document_date"].alias("document_date"), m["amount"].alias("amount"), m["currency"].alias("currency"),
+    )
+
+
+PLAN_METADATA = f"""
+WITH {_PLANNED_SQL}
+SELECT doc_id, 'Document ' || doc_id AS title, type, correspondent, array_to_string(tags, ',') AS tags, day AS document_date, amount, currency
+FROM planned WHERE error_kind IS NULL OR error_kind IN ('path', 'no-rule')"""
+
+
+def plan_detail(spark, sf_dir):
+    """The labelled rows that a dry run shows, counted over all documents."""
+    rows = report.plan_detail(_planned(spark, sf_dir).where("error_kind IS NULL"))
+    return rows.groupBy("ord", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"))
+
+
+PLAN_DETAIL = f"""
+WITH {_PLANNED_SQL},
+g AS (SELECT *, CASE rule WHEN 'voiture' THEN 'factures/voiture/{{{{.Year}}}}' WHEN 'factures' THEN 'factures/{{{{.Correspondent}}}}/{{{{.Year}}}}' WHEN 'contrats-src3' THEN 'contrats/special'
+  WHEN 'contrats' THEN 'contrats/{{{{.Correspondent}}}}' ELSE 'banque/{{{{.Type}}}}' END AS rule_path FROM planned WHERE error_kind IS NULL),
+d AS (
+  SELECT 0 AS ord, 'rule' AS label, rule AS v FROM g UNION ALL SELECT 1, 'rule path', rule_path FROM g UNION ALL SELECT 2, 'disposition', 'move' FROM g
+  UNION ALL SELECT 3, 'text origin', 'plain' FROM g UNION ALL SELECT 4, 'title', 'Document ' || doc_id FROM g UNION ALL SELECT 5, 'correspondent', correspondent FROM g
+  UNION ALL SELECT 6, 'document date', prefix FROM g UNION ALL SELECT 10, 'amount', amount || ' ' || currency FROM g
+  UNION ALL SELECT 11, 'filename', CASE WHEN own = '' THEN 'x' END FROM g)
+SELECT ord, label, count(*) AS n, count(DISTINCT v) AS values FROM d WHERE coalesce(v, '') <> '' GROUP BY ALL"""
+
+
+def text_table(spark, sf_dir):
+    """Source, destination, type and tags as a run prints them, dashes for what is absent."""
+    rows = _planned(spark, sf_dir).withColumn("action", report.action(c("disposition"), F.lit(False), dry_run=True))
+    return report.text_table(rows)
+
+
+TEXT_TABLE = f"""
+WITH {_PLANNED_SQL}
+SELECT doc_id || '.txt' AS source, CASE WHEN error_kind IS NULL THEN folder || '/' || base ELSE '-' END AS dest,
+       CASE WHEN error_kind IS NULL OR error_kind IN ('path', 'no-rule') THEN type ELSE '-' END AS type,
+       CASE WHEN error_kind IS NULL OR error_kind IN ('path', 'no-rule') THEN array_to_string(tags, ', ') ELSE '-' END AS tags
+FROM planned"""
+
+
+def output_json(spark, sf_dir):
+    """The JSON object of every planned document, read back key by key."""
+    rows = _planned(spark, sf_dir).withColumn("archive", handoff.not_attempted()).withColumn("action", report.action(c("disposition"), F.lit(False), dry_run=True))
+    told = rows.select("doc_id", report.output_json(rows).alias("j"))
+    get = lambda p: F.get_json_object("j", p)
+    return told.select(
+        "doc_id", get("$.version").alias("version"), get("$.action").alias("action"), get("$.source.digest").alias("digest"), get("$.destination").alias("destination"), get("$.rule").alias("rule"),
+        get("$.metadata.title").alias("title"), get("$.metadata.amount").alias("amount"), get("$.metadata.document_date").alias("document_date"), get("$.text.origin").alias("origin"),
+        F.array_contains(F.json_object_keys("j"), "truncation").alias("has_truncation_key"), get("$.archive").alias("archive"),
+    )
+
+
+OUTPUT_JSON = f"""
+WITH {_PLANNED_SQL},
+k AS (SELECT *, error_kind IS NULL OR error_kind IN ('path', 'no-rule') AS known FROM planned)
+SELECT doc_id, '1' AS version, 'planned' AS action, sha256(text) AS digest, CASE WHEN error_kind IS NULL THEN folder || '/' || base END AS destination,
+       CASE WHEN error_kind IS NULL OR error_kind = 'path' THEN rule END AS rule, CASE WHEN known THEN 'Document ' || doc_id END AS title, CASE WHEN known THEN amount END AS amount,
+       CASE WHEN known THEN strftime(day, '%Y-%m-%d') END AS document_date, 'plain' AS origin, true AS has_truncation_key, NULL::VARCHAR AS archive
+FROM k"""
+
+
+def plan_summary(spark, sf_dir):
+    """Documents and bytes by folder, rule and failure (an extension of ours)."""
+    return report.summary(_planned(spark, sf_dir))
+
+
+PLAN_SUMMARY = f"""
+WITH {_PLANNED_SQL}
+SELECT CASE WHEN error_kind IS NULL THEN folder ELSE '' END AS folder, CASE WHEN error_kind IS NULL OR error_kind = 'path' THEN rule END AS rule, error_kind,
+       count(*) AS documents, sum(strlen(text))::BIGINT AS bytes
+FROM planned GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- names claimed, traces, replay
+
+
+def claim_names(spark, sf_dir):
+    """Names of all documents under few destinations, in order of id."""
+    docs = _table(spark, sf_dir, "documents")
+    content = F.coalesce("text", F.lit(""))
+    dest = F.concat(F.lit("divers/"), c("source"), F.lit("/"), c("lang"), F.pmod(F.length(content), F.lit(200)).cast("string"), F.lit(".txt"))
+    rows = docs.select(c("doc_id").alias("arrival"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"), dest.alias("dest"))
+    return claim.claimed(rows).select(c("arrival").alias("doc_id"), "dest", "final_dest", "duplicate", "claim_error")
+
+
+CLAIM_NAMES = """
+WITH r AS (
+  SELECT doc_id, 'divers/' || source || '/' || lang || (length(coalesce(text, '')) % 200) AS stem, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
+f AS (SELECT stem, digest, size, min(doc_id) AS first FROM r GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first) AS n FROM f)
+SELECT doc_id, stem || '.txt' AS dest, CASE WHEN n > 1000 THEN NULL ELSE stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.txt' END AS final_dest,
+       n <= 1000 AND doc_id > first AND size > 0 AS duplicate, CASE WHEN n > 1000 THEN 'too many documents claim this name' END AS claim_error
+FROM r JOIN n USING (stem, digest, size)"""
+
+
+def _traced(spark, sf_dir) -> DataFrame:
+    """Every second document with a trace, sound or damaged in some way."""
+    rows = _planned(spark, sf_dir).where("error_kind IS NULL")
+    i = c("doc_id")
+    archive = F.struct(
+        (i % 3 > 0).alias("attempted"), (i % 3 == 1).alias("success"), F.when(i % 3 == 1, 0).when(i % 3 == 2, 7).alias("exit_code"), F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("timestamp").alias("attempted_at"),
+    )
+    good = trace_json(c("path"), c("digest"), c("metadata"), c("rule"), F.timestamp_seconds(F.lit(1_700_000_000)), c("text")["truncation"], archive)
+    k = i % 14
+    body = (
+        F.when(k.isin(1, 3), F.lit(None).cast("string"))
+        .when(k == 5, F.substring(good, 1, 40))
+        .when(k == 7, F.regexp_replace(good, '"version":1', '"version":99'))
+        .when(k == 9, F.regexp_replace(good, '"rule":', '"extra":1,"rule":'))
+        .when(k == 11, F.regexp_replace(good, '"source_digest":"....', '"source_digest":"----'))
+        .when(k == 13, F.regexp_replace(good, '"filed_at":"2023', '"filed_at":"last '))
+        .otherwise(good)
+    )
+    return rows.select("doc_id", "digest", body.alias("trace"))
+
+
+def sidecar_state(spark, sf_dir):
+    """Traces read back: usable or not and why, and whether a hand-off is outstanding."""
+    rows = read_traces(_traced(spark, sf_dir))
+    r = c("record")
+    return rows.select("doc_id", r.isNotNull().alias("usable"), "unusable", r["metadata"]["title"].alias("title"), r["metadata"]["document_date"].alias("document_date"), r["archive"]["exit_code"].alias("exit_code"), (~r["archive"]["success"]).alias("outstanding"))
+
+
+SIDECAR_STATE = f"""
+WITH {_PLANNED_SQL},
+g AS (SELECT *, CASE doc_id % 14 WHEN 5 THEN 'does not parse' WHEN 7 THEN 'another schema version' WHEN 9 THEN 'does not parse: unknown key' WHEN 11 THEN 'records another digest'
+  WHEN 13 THEN 'unreadable filed_at' END AS unusable, doc_id % 14 NOT IN (1, 3, 5, 7, 9, 11, 13) AS usable FROM planned WHERE error_kind IS NULL)
+SELECT doc_id, usable, unusable, CASE WHEN usable THEN 'Document ' || doc_id END AS title, CASE WHEN usable THEN day END AS document_date,
+       CASE WHEN usable THEN CASE doc_id % 3 WHEN 1 THEN 0 WHEN 2 THEN 7 END END AS exit_code, CASE WHEN usable THEN doc_id % 3 <> 1 END AS outstanding
+FROM g"""
+
+
+def replay_states(spark, sf_dir):
+    """What is left to do for documents inside and outside the archive."""
+    rows = read_traces(_traced(spark, sf_dir))
+    return rows.select("doc_id", replay_state(c("doc_id") % 5 != 0, c("record"), True).alias("state"), replay_state(c("doc_id") % 5 != 0, c("record"), False).alias("state_without_command"))
+
+
+REPLAY_STATES = f"""
+WITH {_PLANNED_SQL},
+g AS (SELECT doc_id, doc_id % 14 NOT IN (1, 3, 5, 7, 9, 11, 13) AND doc_id % 5 <> 0 AS known FROM planned WHERE error_kind IS NULL)
+SELECT doc_id, CASE WHEN NOT known THEN 'process' WHEN doc_id % 3 = 1 THEN 'done' ELSE 'hand-off' END AS state,
+       CASE WHEN NOT known THEN 'process' WHEN doc_id % 3 = 1 THEN 'done' ELSE 'outstanding' END AS state_without_command FROM g"""
+
+
+def new_documents(spark, sf_dir):
+    """Documents whose content an inventory of every third one doesn't hold."""
+    docs = _scanned(spark, sf_dir).select("doc_id", "digest")
+    return not_yet_filed(docs, docs.where("doc_id % 3 = 0").select(c("digest").alias("source_digest"))).select("doc_id", "digest")
+
+
+NEW_DOCUMENTS = "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0)"
+
+
+def action_exit(spark, sf_dir):
+    """Actions by disposition and duplicate, and the exit code of every failure."""
+    i = c("o_orderkey")
+    disposition = F.when(i % 3 == 0, F.lit("move")).when(i % 3 == 1, F.lit("copy")).otherwise(F.lit("keep"))
+    from .plans.schema import EXIT_CODES
+
+    kinds = sorted(EXIT_CODES)
+    kind = F.get(F.array(*[F.lit(k) for k in kinds], F.lit(None).cast("string")), (i % (len(kinds) + 1)).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", disposition.alias("disposition"), (i % 2 == 0).alias("duplicate"), kind.alias("error_kind"))
+    act = report.action(c("disposition"), c("duplicate"))
+    return rows.select("o_orderkey", act.alias("action"), report.destination(act, F.lit("a/b.pdf")).alias("destination"), "error_kind", exit_code(c("error_kind")).alias("exit_code"))
+
+
+ACTION_EXIT = """
+WITH k AS (SELECT ['archive', 'bomb', 'claim', 'empty', 'extract', 'missing-tool', 'no-rule', 'not-configured', 'path', 'rejected', 'schema-unsupported', 'source', 'transport', 'unsupported', 'usage'] AS kinds),
+r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'not-filed' WHEN o_orderkey % 2 = 0 THEN 'duplicate' ELSE 'filed' END AS action, kinds[o_orderkey % 16 + 1] AS error_kind FROM orders, k)
+SELECT o_orderkey, action, CASE WHEN action <> 'not-filed' THEN 'a/b.pdf' END AS destination, error_kind,
+       CASE WHEN error_kind IS NULL THEN 0 WHEN error_kind IN ('bomb', 'missing-tool', 'not-configured', 'schema-unsupported', 'source', 'unsupported', 'usage') THEN 2 ELSE 1 END AS exit_code
+FROM r"""
+
+
+def archiver_argv(spark, sf_dir):
+    """Argument lists of the planned documents, one element a template and tag."""
+    own, each = sample_config().archive.templates()
+    rows = _planned(spark, sf_dir).where("error_kind IS NULL")
+    argv = handoff.arguments(own, each, F.concat(F.lit("/archive/"), c("dest")), c("metadata"))
+    return rows.select("doc_id", F.size(argv).cast("long").alias("n"), F.array_join(argv, "|").alias("argv"))
+
+
+ARCHIVER_ARGV = f"""
+WITH {_PLANNED_SQL}
+SELECT doc_id, 5 + 2 * len(tags)::BIGINT AS n,
+       'put|--title|Document ' || doc_id || '|--created=' || prefix || '|/archive/' || folder || '/' || base || array_to_string(list_transform(tags, lambda t: '|--tag|' || t), '') AS argv
+FROM planned WHERE error_kind IS NULL"""
+
+
+# ---------------------------------------------------------------- prompts, excerpts, failures
+
+
+def prompt_elide(spark, sf_dir):
+    """Traced prompts: a head, a mark and a tail where they are long."""
+    docs = _table(spark, sf_dir, "documents")
+    short = text.elided(text.or_empty(c("text")))
+    return docs.select("doc_id", F.length(short).cast("long").alias("chars"), F.sha2(short, 256).alias("excerpt"), F.size(text.prompt_lines("user", short)).cast("long").alias("lines"))
+
+
+PROMPT_ELIDE = """
+WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT doc_id, CASE WHEN length(t) <= 3072 THEN t ELSE left(t, 2048) || chr(10) || '… (elided ' || (length(t) - 3072) || ' of ' || length(t) || ' runes) …' || chr(10) || right(t, 1024) END AS x FROM r)
+SELECT doc_id, length(x) AS chars, sha256(x) AS excerpt, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, chr(10))) END AS lines FROM e"""
+
+
+def output_truncate(spark, sf_dir):
+    """Captured output cut at 8 KiB and snippets at 120 bytes; ASCII here, so that SQL can follow."""
+    docs = _table(spark, sf_dir, "documents")
+    plain = F.regexp_replace(text.or_empty(c("text")), r"[^\x00-\x7F]", "?")
+    return docs.select("doc_id", F.sha2(text.cut_output(plain), 256).alias("output"), text.snippet(plain).alias("snippet"))
+
+
+OUTPUT_TRUNCATE = """
+WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_replace(t, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS u FROM r)
+SELECT doc_id, sha256(CASE WHEN length(t) <= 8192 THEN t ELSE left(t, 8192) || chr(10) || '… (truncated at 8 KiB)' END) AS output,
+       CASE WHEN length(u) <= 120 THEN u ELSE left(u, 120) || '…' END AS snippet FROM s"""
+
+
+def user_prompt(spark, sf_dir):
+    """Prompts with both vocabularies; the wording is ours, so lengths are compared."""
+    docs = _table(spark, sf_dir, "documents")
+    told = analyse.user_prompt(c("text"), ["a", "b"], "b", [])
+    return docs.select("doc_id", F.startswith(told, F.concat(F.lit("Document:\n\n"), text.or_empty(c("text")))).alias("has_text"), F.contains(told, F.lit("Values of type: a, b.")).alias("has_types"))
+
+
+USER_PROMPT = "SELECT doc_id, true AS has_text, true AS has_types FROM documents"
+
+
+def retry_class(spark, sf_dir):
+    """Which answers are asked for again, which refuse schemas, and how long the wait may be."""
+    statuses = [0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504]
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status"))
+    body = F.when(c("n_nationkey") % 2 == 0, F.lit("unknown field Response_Format")).otherwise(F.lit("bad request"))
+    return rows.select("n_nationkey", "status", analyse.retryable_column(c("status")).alias("retry"), analyse.refuses_schema_column(c("status"), body).alias("refuses"), analyse.backoff_column(c("n_nationkey") % 3).alias("ceiling"))
+
+
+RETRY_CLASS = """
+SELECT n_nationkey, status::INT AS status, status IN (0, 429, 500, 502, 503, 504) AS retry, status IN (404, 501) OR (status = 400 AND n_nationkey % 2 = 0) AS refuses, (2 ** (n_nationkey % 3))::DOUBLE AS ceiling
+FROM nation, (SELECT unnest([0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504]) AS status)"""
+
+
+_ALL = {
+    "source_identify": (source_identify, SOURCE_IDENTIFY),
+    "sniff_kind": (sniff_kind, SNIFF_KIND),
+    "extract_plain": (extract_plain, EXTRACT_PLAIN),
+    "text_layer": (text_layer, TEXT_LAYER),
+    "page_cap": (page_cap, PAGE_CAP),
+    "decode_reply": (decode_reply, DECODE_REPLY),
+    "norm_dates": (norm_dates, NORM_DATES),
+    "norm_amount": (norm_amount, NORM_AMOUNT),
+    "norm_tags": (norm_tags, NORM_TAGS),
+    "vocab_check": (vocab_check, VOCAB_CHECK),
+    "sanitise": (sanitise, SANITISE),
+    "derive_name": (derive_name, DERIVE_NAME),
+    "rule_match": (rule_match, RULE_MATCH),
+    "rule_join": (rule_join, RULE_JOIN),
+    "render_path": (render_path, RENDER_PATH),
+    "plan_documents": (plan_documents, PLAN_DOCUMENTS),
+    "plan_metadata": (plan_metadata, PLAN_METADATA),
+    "plan_detail": (plan_detail, PLAN_DETAIL),
+    "plan_summary": (plan_summary, PLAN_SUMMARY),
+    "text_table": (text_table, TEXT_TABLE),
+    "output_json": (output_json, OUTPUT_JSON),
+    "claim_names": (claim_names, CLAIM_NAMES),
+    "sidecar_state": (sidecar_state, SIDECAR_STATE),
+    "replay_states": (replay_states, REPLAY_STATES),
+    "new_documents": (new_documents, NEW_DOCUMENTS),
+    "action_exit": (action_exit, ACTION_EXIT),
+    "archiver_argv": (archiver_argv, ARCHIVER_ARGV),
+    "prompt_elide": (prompt_elide, PROMPT_ELIDE),
+    "output_truncate": (output_truncate, OUTPUT_TRUNCATE),
+    "user_prompt": (user_prompt, USER_PROMPT),
+    "retry_class": (retry_class, RETRY_CLASS),
+}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items()}
