@@ -61,41 +61,47 @@ def _tree_key(column):
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))
 
 
-def jumps(nodes: DataFrame) -> list[DataFrame]:
-    """For each level k a table (tree, node, up, total, reach): ``up`` is the ancestor 2**k
-    above, null beyond the root; ``total`` the score of the ``reach`` nodes below it."""
+def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Level by level the table (tree, node, up, total) of the nodes that have an ancestor
+    ``up`` 2**k above, ``total`` being the score of the 2**k nodes below it; and (tree, node,
+    total) of all nodes that reach a root, with the score of their whole path. A round joins
+    only the nodes that have not reached theirs, so deep trees cost shallow ones nothing."""
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    first = nodes.join(known, ["tree", "parent"], "left").select(
+    now = nodes.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total")
     )
-    levels = [store(first, "jumps")]
-    most = levels[0].count()
-    while (1 << len(levels)) <= 2 * most and levels[-1].where("up IS NOT NULL").limit(1).count():
-        now = levels[-1]
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"))
-        new = now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-        levels.append(store(new, "jumps"))
-    return levels
+    levels, done = [], None
+    most = None
+    while True:
+        now = store(now, "jumps")
+        most = now.count() if most is None else most
+        rooted = now.where("up IS NULL").select("tree", "node", "total")
+        done = rooted if done is None else done.unionByName(rooted)
+        active = now.where("up IS NOT NULL")
+        levels.append(active)
+        if (1 << len(levels)) > 2 * most or not active.limit(1).count():
+            return levels, done
+        above = active.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"))
+        above = above.unionByName(done.select("tree", F.col("node").alias("up"), F.lit(None).cast("long").alias("_up"), F.col("total").alias("_total")))
+        now = active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"))
 
 
 def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """(tree, leaf, path_rank, path_score, node, above): the nodes of each chosen path, the
     ``top`` best of each tree, or all; ``above`` is the distance from the leaf."""
-    levels = jumps(nodes)
-    last = levels[-1].where("up IS NULL")
-    parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = last.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("path_score"), (-F.col("total")).alias("_order"), F.lit(1).alias("_one"))
+    levels, rooted = jumps(nodes)
+    parents = levels[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = rooted.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("path_score"), (-F.col("total")).alias("_order"), F.lit(1).alias("_one"))
     ranked = running_total(leaves, ["tree"], ["_order", "leaf"], "_one", "_before")
     ranked = ranked.select("tree", "leaf", (F.col("_before") + 1).alias("path_rank"), "path_score")
     chosen = ranked if top is None else ranked.where(F.col("path_rank") <= top)
     found = store(chosen.withColumn("node", F.col("leaf")).withColumn("above", F.lit(0).cast("long")), "paths")
-    for k in range(len(levels) - 2, -1, -1):
-        hop = levels[k].where("up IS NOT NULL").select("tree", "node", "up")
+    for k in range(len(levels) - 1, -1, -1):
+        hop = levels[k].select("tree", "node", "up")
         more = found.join(hop, ["tree", "node"]).select("tree", "leaf", "path_rank", "path_score", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         new = store(found.unionByName(more), "paths")
         discard(found)
         found = new
-    discard(*levels)
     return found
 
 
