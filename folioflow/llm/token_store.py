@@ -20,16 +20,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, scratch_path, shuffle_parts, store, write_json
+from .common import bound_batches, discard, map_rows, scratch_path, shuffle_parts, store, write_json
 from .files import opened, qualified, read_manifest, replaced
 from .huffman import LANE, Code, code_lengths
 
@@ -37,12 +40,27 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 1 << 16
 MAGIC = b"FFTOKEN1"
-_PIECES_KEPT = 1 << 19
+#: Pieces, and stems of pieces, in one generation of a worker's memory; two are held.
+_GENERATION, _STEMS = 1 << 18, 1 << 19
+#: Rows in a batch to tokenise: large ones share more pieces; bytes are bounded all the same.
+_ROWS = 4096
+#: ASCII marks but the apostrophe, with which some endings begin; and the letters of ASCII and
+#: Latin-1 in UTF-8, which no normalisation changes and whose lower case is one letter.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_JOINED = 4096
 _tokenizers: dict[str, PieceIds] = {}
 
 
 class PieceIds(dict):
-    """White-space-free piece of UTF-8 to its ids as little-endian bytes, for a bounded number of pieces."""
+    """White-space-free pieces of UTF-8 to their ids as little-endian bytes.
+
+    A piece of Latin letters with ASCII marks behind is cut before them, as the tokenizer itself
+    does, so its stem in lower case is shared by all its spellings. Unknown stems of a batch
+    are encoded as one text, cut again behind the ids that end words. Everything else is
+    encoded piece by piece. Both memories hold two generations of bounded size: what is used
+    again moves to the young one, the old one is dropped as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,17 +68,116 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= _PIECES_KEPT:
-            self.clear()
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        value = self[piece] = np.array(ids, self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        self.old: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.old_stems: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.fresh: set[bytes] = set()
+        self.word_ends = self._word_ends(vocabulary)
+
+    def _word_ends(self, vocabulary: dict[str, int]) -> np.ndarray | None:
+        """Which ids end a word, if the model marks ends and lower-cases; else None and stems
+        aren't used."""
+        spec = json.loads(self.tokenizer.to_str())
+        mark = spec["model"].get("end_of_word_suffix")
+        if not mark or self.ids_of("AbC") != self.ids_of("abc") or self.ids_of("abc def.") != self.ids_of("abc") + self.ids_of("def") + self.ids_of("."):
+            return None
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[v for k, v in vocabulary.items() if k.endswith(mark)]] = True
+        return ends
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes | None:
+        value = self.old.get(piece)
+        if value is None:
+            self.fresh.add(piece)
+        else:
+            self[piece] = value
         return value
 
-    def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+    def _learn(self) -> None:
+        """Encode the pieces that the batch met for the first time."""
+        cut, wanted = [], {}
+        for piece in self.fresh:
+            bare = piece.rstrip(_TAIL)
+            if bare.isalpha():
+                stem = bare.lower()
+            elif _LATIN.fullmatch(bare):
+                stem = bare.decode().lower().encode()
+            else:
+                stem = b""
+            if self.word_ends is None or not stem:
+                self[piece] = self._packed(self.ids_of(piece.decode()))
+                continue
+            cut.append((piece, stem, piece[len(bare) :]))
+            if stem not in self.stems:
+                if stem in self.old_stems:
+                    self.stems[stem] = self.old_stems[stem]
+                else:
+                    wanted[stem] = None
+        self.fresh.clear()
+        todo = list(wanted)
+        for at in range(0, len(todo), _JOINED):
+            self._learn_stems(todo[at : at + _JOINED])
+        for piece, stem, tail in cut:
+            if tail and tail not in self.tails:
+                if len(self.tails) >= 4096:
+                    self.tails.clear()
+                self.tails[tail] = self._packed(self.ids_of(tail.decode()))
+            self[piece] = self.stems[stem] + self.tails[tail] if tail else self.stems[stem]
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        ids = np.array(self.ids_of(b" ".join(stems).decode()), self.kind)
+        ends = np.flatnonzero(self.word_ends[ids]) + 1
+        if len(ends) != len(stems):
+            for stem in stems:
+                self.stems[stem] = self._packed(self.ids_of(stem.decode()))
+            return
+        raw, at = ids.tobytes(), 0
+        for stem, end in zip(stems, (ends * self.kind.itemsize).tolist(), strict=True):
+            self.stems[stem] = raw[at:end]
+            at = end
+
+    def of_batch(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and the end id, as binaries.
+
+        The pieces of the whole batch are dictionary-encoded first, so that each different
+        piece is looked up once, and ids are gathered by arrays.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()
+        values = list(map(self.__getitem__, pieces))
+        if self.fresh:
+            self._learn()
+            values = [self[w] if v is None else v for w, v in zip(pieces, values, strict=True)]
+        ids = np.frombuffer(b"".join(values), self.kind)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        starts = np.cumsum(lengths) - lengths
+        which = coded.indices.to_numpy()
+        each = lengths[which]
+        ends = np.cumsum(each)
+        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - each), each)
+        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        offsets = upto + np.arange(len(upto))
+        out = np.full(offsets[-1], end_id, self.kind)
+        own = np.ones(len(out), bool)
+        own[offsets[1:] - 1] = False
+        out[own] = ids[source]
+        if len(self) > _GENERATION:
+            self.old = dict(self)
+            self.clear()
+        if len(self.stems) > _STEMS:
+            self.old_stems, self.stems = self.stems, {}
+        where = pa.py_buffer((offsets * self.kind.itemsize).astype(np.int64))
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, where, pa.py_buffer(out)])
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -82,14 +199,19 @@ def piece_ids(name_or_path: str) -> PieceIds:
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """(doc_id, width, ids): the ids of each text and the end id, ``width`` bytes each."""
     kind = dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    place = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def encoded(batches):
         pieces = piece_ids(tokenizer)
-        end = np.array([end_id], pieces.kind).tobytes()
-        for b in batches:
-            yield {"doc_id": b["doc_id"], "width": [pieces.kind.itemsize] * len(b["doc_id"]), "ids": [pieces.of(t) + end for t in b["text"]]}
+        for batch in batches:
+            ids = pieces.of_batch(batch.column(place[0]), end_id).cast(pa.binary())
+            width = pa.array(np.full(len(ids), pieces.kind.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(place[1]), width, ids], names=["doc_id", "width", "ids"])
 
-    return map_rows(docs.select("doc_id", "text"), encoded, f"doc_id {kind}, width int, ids binary")
+    bound_batches(docs.sparkSession, _ROWS)
+    return docs.mapInArrow(encoded, f"doc_id {kind}, width int, ids binary")
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
@@ -98,9 +220,9 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def counted(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for width, raw in zip(b["width"], b["ids"], strict=True):
-                values = np.frombuffer(raw, f"<u{width}")
-                got = np.bincount(values)
+            for width in set(b["width"]):
+                raw = b"".join(x for x, w in zip(b["ids"], b["width"], strict=True) if w == width)
+                got = np.bincount(np.frombuffer(raw, f"<u{width}"))
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
