@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The longest stem in bytes, and the name of a document that has none.
@@ -48,11 +48,13 @@ def sanitised_model(x: str | None) -> str:
     return out[:MOST_STEM].rstrip("-")
 
 
-def derived_name(proposal: Column, original: Column, ext: Column, date_prefix: Column) -> Column:
-    """struct(base, from_proposal): the proposal's stem, or the original's, after the date,
-    which is not put twice; the extension as it is."""
-    own, other = sanitised(proposal), sanitised(original)
-    stem = F.when(own != "", own).otherwise(other)
+def stem_of(own: Column, original: Column) -> Column:
+    """A proposal's sanitised form, or the original's if that is empty."""
+    return F.when(own != "", own).otherwise(sanitised(original))
+
+
+def named(stem: Column, ext: Column, date_prefix: Column) -> Column:
+    """A stem after the date, which is not put twice; the extension as it is."""
     prefix = F.coalesce(date_prefix, F.lit(""))
     base = (
         F.when((prefix == "") & (stem == ""), F.lit(LAST_RESORT))
@@ -61,7 +63,16 @@ def derived_name(proposal: Column, original: Column, ext: Column, date_prefix: C
         .when(stem.startswith(prefix), stem)
         .otherwise(F.concat(prefix, F.lit("-"), stem))
     )
-    return F.struct(F.concat(base, F.coalesce(ext, F.lit(""))).alias("base"), (own != "").alias("from_proposal"))
+    return F.concat(base, F.coalesce(ext, F.lit("")))
+
+
+def with_name(rows: DataFrame, proposal: Column, original: Column, ext: Column, date_prefix: Column, name: str = "name") -> DataFrame:
+    """Add the struct ``name`` (base, from_proposal). Own and stem are columns on the way, so
+    that sanitising is done once a row however often they are used."""
+    rows = rows.withColumn("_own", sanitised(proposal))
+    rows = rows.withColumn("_stem", stem_of(F.col("_own"), original))
+    whole = F.struct(named(F.col("_stem"), ext, date_prefix).alias("base"), (F.col("_own") != "").alias("from_proposal"))
+    return rows.withColumn(name, whole).drop("_own", "_stem")
 
 
 def file_name(path: Column) -> Column:

@@ -22,16 +22,20 @@ def _str(value: Column | str) -> Column:
 
 
 def trim_space(x: Column) -> Column:
-    """``x`` without Unicode white space at both ends; ``trim`` strips blanks only."""
-    return F.regexp_replace(x, rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+    """``x`` without Unicode white space at both ends; by default ``trim`` strips blanks only."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def is_blank(x: Column) -> Column:
     return ~x.rlike(rf"[^{SPACE_CLASS}]")
 
 
+#: The same characters as text.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def non_space_chars(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, rf"[{SPACE_CLASS}]+", ""))
+    return F.length(F.translate(x, SPACES, ""))
 
 
 def or_empty(x: Column) -> Column:
@@ -63,8 +67,9 @@ def truncation(total: Column, most: int) -> Column:
 
 
 def usable_text_layer(pages: Column) -> Column:
-    """Whether the pages have 64 characters or more that aren't white space, all together."""
-    return non_space_chars(F.array_join(pages, "")) >= USABLE_LAYER_CHARS
+    """Whether the pages have 64 characters or more that aren't white space, all together; the
+    match ends at the 64th, however long the pages are."""
+    return F.array_join(pages, "").rlike(rf"\A(?:[{SPACE_CLASS}]*+[^{SPACE_CLASS}]){{{USABLE_LAYER_CHARS}}}")
 
 
 def elided(x: Column) -> Column:

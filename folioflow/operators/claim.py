@@ -82,7 +82,9 @@ def claimed_in_order(rows: DataFrame, archive: DataFrame | None = None, arrival:
         taken = {p: (s, d) for p, s, d in zip(right["path"], right["size"], right["digest"], strict=True)}
         return _probe(left.drop(columns="_folder"), taken, arrival)
 
+    # only the folders that this batch files into, so that every group has rows to claim for
     held = archive.select("path", "size", "digest").withColumn("_folder", folder(F.col("path")))
+    held = held.join(keyed.select("_folder").distinct(), "_folder", "left_semi")
     return keyed.groupBy("_folder").cogroup(held.groupBy("_folder")).applyInPandas(both, schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mime as M
-from ..functions.text import SPACE_CLASS, USABLE_LAYER_CHARS, is_blank
+from ..functions.text import SPACES, USABLE_LAYER_CHARS, is_blank
 
 #: Limits on archives, and on plain texts and images.
 MOST_ENTRIES = 1024
@@ -32,7 +32,7 @@ MOST_PLAIN = MOST_IMAGE = 32 << 20
 BLOCK_TAGS = frozenset({"p", "br", "tab", "tr", "row", "table-row", "line-break"})
 MAX_PAGES, DPI = 20, 200
 TEXT_SCHEMA = "struct<content:string,origin:string,truncation:struct<pages_processed:int,pages_total:int>,error_kind:string,error_msg:string>"
-_SPACES = "\t\n\x0b\f\r \x85\xa0                　"
+_SPACES = SPACES
 
 
 class Failure(Exception):
@@ -75,17 +75,19 @@ def zip_kind(content: bytes) -> str:
 
 def zip_kinds(content: Column) -> Column:
     """``zip_kind`` as a pandas UDF."""
-    run = lambda batch: batch.map(zip_kind)
+    run = lambda batch: batch.map(zip_kind, na_action="ignore")
     run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(content)
 
 
-def with_kind(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``mime``. Only rows that look like a ZIP go through Python."""
+def with_kind(docs: DataFrame, content: str = "content", containers: bool = True) -> DataFrame:
+    """Add ``mime`` in one pass. Only content that looks like a ZIP is handed to Python, other
+    rows hand over a null; without ``containers`` nothing is, and a ZIP stays a ZIP."""
     sniffed = docs.withColumn("mime", M.sniffed(F.col(content)))
-    plain = sniffed.where(F.col("mime") != M.ZIP)
-    zips = sniffed.where(F.col("mime") == M.ZIP).withColumn("mime", zip_kinds(F.col(content)))
-    return plain.unionByName(zips)
+    if not containers:
+        return sniffed
+    inside = zip_kinds(F.when(F.col("mime") == M.ZIP, F.col(content)))
+    return sniffed.withColumn("mime", F.coalesce(inside, F.col("mime")))
 
 
 def _wanted(kind: str, name: str) -> bool:
@@ -262,6 +264,8 @@ def extract_udf(tools: Tools):
 
     def one(mime: str, content: bytes) -> dict:
         out = dict.fromkeys(("content", "origin", "truncation", "error_kind", "error_msg"))
+        if mime is None:
+            return out
         try:
             text, out["origin"], cut = extracted(mime, content, tools)
             out["content"] = text
@@ -299,30 +303,37 @@ def _refused(kind: str, message: Column) -> Column:
 
 
 def with_text(docs: DataFrame, tools: Tools | None = None) -> DataFrame:
-    """Add the struct ``text`` to rows with mime, size and content (binary).
+    """Add the struct ``text`` to rows with mime, size and content (binary), in one pass.
 
-    Branches are separate filters of the scan, so costly ones see only their rows. A text of
-    nothing but white space is an error of kind ``empty``.
+    Plain texts and refusals are expressions. Other kinds go to Python, and only their content
+    does: every other row hands over a null. Without ``tools`` there is no Python at all and
+    those kinds are errors of kind ``not-configured``. A text of nothing but white space is an
+    error of kind ``empty``.
     """
-    tools = tools or Tools()
     size, mime = F.col("size"), F.col("mime")
-    plain = docs.where((size > 0) & (mime == M.TEXT)).withColumn("text", plain_text(F.col("content")))
-    costly = docs.where((size > 0) & M.is_supported(mime) & (mime != M.TEXT)).withColumn("text", extract_udf(tools)(mime, F.col("content")))
-    refused = docs.where((size > 0) & ~M.is_supported(mime)).withColumn("text", _refused("unsupported", F.concat(F.lit("unsupported type "), mime)))
-    nothing = docs.where((size <= 0) | size.isNull()).withColumn("text", _refused("source", F.lit("empty or unreadable")))
-    out = plain.unionByName(costly).unionByName(refused).unionByName(nothing)
-    t = F.col("text")
+    costly = (size > 0) & M.is_supported(mime) & (mime != M.TEXT)
+    if tools is None:
+        made = _refused("not-configured", F.concat(F.lit("no tools for "), mime))
+    else:
+        made = F.col("_made")
+        docs = docs.withColumn("_made", extract_udf(tools)(F.when(costly, mime), F.when(costly, F.col("content"))))
+    t = (
+        F.when((size <= 0) | size.isNull(), _refused("source", F.lit("empty or unreadable")))
+        .when(~M.is_supported(mime), _refused("unsupported", F.concat(F.lit("unsupported type "), mime)))
+        .when(costly, made)
+        .otherwise(plain_text(F.col("content")))
+    )
+    rows = docs.withColumn("_text", t).drop("_made")
+    t = F.col("_text")
     blank = t["error_kind"].isNull() & (t["content"].isNull() | is_blank(t["content"]))
-    return out.withColumn(
-        "text",
-        F.struct(
-            t["content"].alias("content"),
-            t["origin"].alias("origin"),
-            t["truncation"].alias("truncation"),
-            F.when(blank, F.lit("empty")).otherwise(t["error_kind"]).alias("error_kind"),
-            F.when(blank, F.lit("no text in the document")).otherwise(t["error_msg"]).alias("error_msg"),
-        ),
+    whole = F.struct(
+        t["content"].alias("content"),
+        t["origin"].alias("origin"),
+        t["truncation"].alias("truncation"),
+        F.when(blank, F.lit("empty")).otherwise(t["error_kind"]).alias("error_kind"),
+        F.when(blank, F.lit("no text in the document")).otherwise(t["error_msg"]).alias("error_msg"),
     )
+    return rows.withColumn("text", whole).drop("_text")
 
 
-__all__ = ["SPACE_CLASS", "Failure", "Tools", "extracted", "office_text", "with_kind", "with_text", "zip_kind"]
+__all__ = ["Failure", "Tools", "extracted", "office_text", "with_kind", "with_text", "zip_kind"]

@@ -1,7 +1,7 @@
 """Hand-off to an external command: arguments, run, captured outcome.
 
 Arguments are array expressions, one element a template, so no shell is involved. Commands run
-in ``mapInPandas``; a task that is run again runs its commands again, so the outcome belongs
+in Arrow batches; a task that is run again runs its commands again, so the outcome belongs
 in the inventory before the next run asks what is outstanding.
 """
 
@@ -13,9 +13,9 @@ import shutil
 import signal
 import subprocess
 import threading
+import time
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,7 @@ from .rules import Template
 
 #: Seconds until a command is stopped, and until its streams are given up after.
 TIMEOUT, WAIT_DELAY = 60.0, 5.0
+RESULT = ("attempted", "success", "exit_code", "output", "error", "attempted_at")
 log = logging.getLogger(__name__)
 
 
@@ -73,8 +74,8 @@ class Command:
         return out
 
     def run(self, argv: Sequence[str]) -> dict:
-        """Run once. Every failure is part of the outcome."""
-        out = {"attempted": True, "success": False, "exit_code": None, "output": None, "error": None, "attempted_at": datetime.now(timezone.utc).replace(tzinfo=None)}
+        """Run once. Every failure is part of the outcome; the time is in seconds since 1970."""
+        out = {"attempted": True, "success": False, "exit_code": None, "output": None, "error": None, "attempted_at": time.time()}
         path = shutil.which(self.name)
         if path is None:
             return out | {"error": f"{self.name} is not installed or not on PATH"}
@@ -129,19 +130,19 @@ class _Capture:
 
 
 def run_commands(rows: DataFrame, command: Command, argv: str = "argv", result: str = "archive") -> DataFrame:
-    """Add the struct ``result`` to rows with an array ``argv``."""
-    from pyspark.sql.types import StructType
-
+    """Add the struct ``result`` to rows with an array ``argv``. Only the arguments reach
+    Python; the function is marked as not deterministic, so that plans run it once a row."""
     from ..plans.schema import ARCHIVE
 
-    names = rows.columns
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"{result} {ARCHIVE}").fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[names].assign(**{result: [command.run(list(a)) for a in pdf[argv]]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for given in batches:
+            yield pd.DataFrame([command.run(list(a)) for a in given], columns=list(RESULT), dtype=object)
 
-    return rows.mapInPandas(run, schema)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    told = F.pandas_udf(run, ARCHIVE.replace("timestamp", "double")).asNondeterministic()
+    rows = rows.withColumn("_told", told(F.col(argv)))
+    whole = F.struct(*[(F.timestamp_seconds(F.col("_told")[k]) if k == "attempted_at" else F.col("_told")[k]).alias(k) for k in RESULT])
+    return rows.withColumn(result, whole.cast(ARCHIVE)).drop("_told")
 
 
 def not_attempted() -> Column:

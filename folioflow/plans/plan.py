@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
-from ..functions.naming import derived_name, file_name, sanitised
+from ..functions.naming import file_name, sanitised, with_name
 from ..functions.normalise import date_part, date_prefix, first_foreign_tag, type_allowed
 from ..operators.rules import Rule, by_place, first_match, joined_path, path_fault
 from .config import Config, Vocabulary
@@ -61,7 +61,8 @@ def with_destination(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     m = F.col("metadata")
     original = F.regexp_replace(file_name(F.col("path")), r"\.[^./]*\z", "")
     here = m.isNotNull()
-    rows = docs.withColumn("name", F.when(here, derived_name(m["filename"], original, F.col("ext"), date_prefix(m["document_date"]))))
+    rows = with_name(docs, m["filename"], original, F.col("ext"), date_prefix(m["document_date"]))
+    rows = rows.withColumn("name", F.when(here, F.col("name")))
     rows = rows.withColumn("_place", F.when(here, first_match(rules, m["type"], m["correspondent"], m["tags"])))
     rows = rows.withColumn("rule", by_place(F.col("_place"), [F.lit(r.name) for r in rules]))
     rows = rows.withColumn("rule_path", by_place(F.col("_place"), [F.lit(r.path) for r in rules]))

@@ -344,8 +344,7 @@ def derive_name(spark, sf_dir):
     proposal = F.when(i % 5 == 0, F.lit("///")).when(i % 5 == 1, F.lit(None).cast("string")).when(i % 5 == 2, F.concat(F.lit("2025-03-14-"), c("p_name"))).otherwise(c("p_name"))
     original = F.when(i % 2 == 0, F.lit("日本語")).otherwise(F.concat(F.lit("Scan É"), i.cast("string")))
     prefix = F.when(i % 3 == 0, F.lit("2025-03-14")).otherwise(F.lit(""))
-    name = naming.derived_name(proposal, original, F.lit(".PDF"), prefix)
-    return _table(spark, sf_dir, "part").select("p_partkey", name["base"].alias("base"), name["from_proposal"].alias("from_proposal"))
+    return naming.with_name(_table(spark, sf_dir, "part"), proposal, original, F.lit(".PDF"), prefix).select("p_partkey", "name.base", "name.from_proposal")
 
 
 DERIVE_NAME = f"""

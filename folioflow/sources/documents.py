@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +17,29 @@ def scan_files(spark: SparkSession, *paths: str, pattern: str | None = None, rec
     """(path, size, ext, content, digest, mime) of files, read as they are.
 
     A digest is computed once here and carried along; it identifies content everywhere else.
+    The reader leaves out empty files; they come back here as rows of size 0, so that each
+    file that was given has its outcome.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return identified(reader.load(list(paths)).select("path", F.col("length").alias("size"), "content"))
+    files = reader.load(list(paths))
+    rows = files.select("path", F.col("length").alias("size"), "content")
+    # the driver has the listing already; the scan of paths alone opens no file
+    listed = pa.table({"path": pa.array([re.sub(r"\A(\w+):/+(?=/)", r"\1:", unquote(f)) for f in files.inputFiles()], pa.string())})
+    bare = lambda x: F.regexp_replace(x, r"\A(\w+):/+(?=/)", "$1:")
+    empty = spark.createDataFrame(listed).join(rows.select(bare(F.col("path")).alias("path")), "path", "left_anti")
+    nothing = empty.select("path", F.lit(0).cast("long").alias("size"), F.lit("").cast("binary").alias("content"))
+    return identified(rows.unionByName(nothing))
 
 
 def scan_texts(table: DataFrame, path: Column, text: Column) -> DataFrame:
-    """The same rows from a table of texts; further columns of the table pass through."""
+    """The same rows from a table of texts; further columns of the table pass through. Texts
+    hold no containers, so nothing here needs Python."""
     content = F.coalesce(text, F.lit("")).cast("binary")
-    return identified(table.withColumns({"path": path, "content": content, "size": F.octet_length(content).cast("long")}))
+    return identified(table.withColumns({"path": path, "content": content, "size": F.octet_length(content).cast("long")}), containers=False)
 
 
-def identified(rows: DataFrame) -> DataFrame:
+def identified(rows: DataFrame, containers: bool = True) -> DataFrame:
     """Add ext, digest and mime to rows with path, size and content."""
-    return with_kind(rows.withColumn("ext", extension(F.col("path"))).withColumn("digest", F.sha2("content", 256)))
+    return with_kind(rows.withColumn("ext", extension(F.col("path"))).withColumn("digest", F.sha2("content", 256)), containers=containers)

@@ -31,13 +31,15 @@ def watched_files(spark: SparkSession, path: str, pattern: str | None = None, pe
 def plan_stream(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Plan each batch and write it to ``out``/batch=n; names don't clash across batches.
 
-    plan: from scanned rows to plan rows. ``out`` is partitioned by batch, so a batch that
-    runs again replaces its own partition only.
+    plan: from scanned rows to plan rows. ``out``, and ``out``.planned beside it, are
+    partitioned by batch, so a batch that runs again replaces its own partition only.
     """
 
     def batch(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
-        planned = plan(identified(rows)).drop("content")
+        # written first: what follows reads it several times, and no model is asked twice
+        plan(identified(rows)).drop("content").write.mode("overwrite").parquet(f"{out}.planned/batch={n}")
+        planned = spark.read.parquet(f"{out}.planned/batch={n}")
         good = planned.where("error_kind IS NULL")
         try:
             before = spark.read.parquet(out).where(F.col("batch") < n).where("final_dest IS NOT NULL AND NOT duplicate")

@@ -70,8 +70,8 @@ DERIVED = [
 
 def test_derived_names(spark):
     rows = spark.createDataFrame([r[:4] for r in DERIVED], "p string, o string, e string, d string").coalesce(1)
-    n = naming.derived_name(c("p"), c("o"), c("e"), c("d"))
-    assert [(r[0], r[1]) for r in rows.select(n["base"], n["from_proposal"]).collect()] == [r[4:] for r in DERIVED]
+    named = naming.with_name(rows, c("p"), c("o"), c("e"), c("d"))
+    assert [(r[0], r[1]) for r in named.select("name.base", "name.from_proposal").collect()] == [r[4:] for r in DERIVED]
 
 
 def test_dates(spark):
