@@ -23,6 +23,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,9 @@ END_ID = 1
 BLOCK = 1 << 16
 MAGIC = b"FFTOKEN1"
 #: Pieces, and stems of pieces, in one generation of a worker's memory; two are held.
-_GENERATION, _STEMS = 1 << 18, 1 << 19
+_GENERATION = _STEMS = 1 << 18
 #: Rows in a batch to tokenise: large ones share more pieces; bytes are bounded all the same.
-_ROWS = 4096
+_ROWS = 2048
 #: ASCII marks but the apostrophe, with which some endings begin; and the letters of ASCII and
 #: Latin-1 in UTF-8, which no normalisation changes and whose lower case is one letter.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,8 +57,9 @@ class PieceIds(dict):
     """White-space-free pieces of UTF-8 to their ids as little-endian bytes.
 
     A piece of Latin letters with ASCII marks behind is cut before them, as the tokenizer itself
-    does, so its stem in lower case is shared by all its spellings. Unknown stems of a batch
-    are encoded as one text, cut again behind the ids that end words. Everything else is
+    does, so its stem in lower case is shared by all its spellings. Unknown ASCII stems go
+    to the model, other stems of a batch are encoded as one text and cut again behind the ids
+    that end words. Everything else is
     encoded piece by piece. Both memories hold two generations of bounded size: what is used
     again moves to the young one, the old one is dropped as a whole.
     """
@@ -68,6 +70,7 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
         self.old: dict[bytes, bytes] = {}
@@ -82,7 +85,7 @@ class PieceIds(dict):
         aren't used."""
         spec = json.loads(self.tokenizer.to_str())
         mark = spec["model"].get("end_of_word_suffix")
-        if not mark or self.ids_of("AbC") != self.ids_of("abc") or self.ids_of("abc def.") != self.ids_of("abc") + self.ids_of("def") + self.ids_of("."):
+        if not mark or self.model_ids("abc") != self.ids_of("abc") or self.ids_of("AbC") != self.ids_of("abc") or self.ids_of("abc def.") != self.ids_of("abc") + self.ids_of("def") + self.ids_of("."):
             return None
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[v for k, v in vocabulary.items() if k.endswith(mark)]] = True
@@ -91,8 +94,13 @@ class PieceIds(dict):
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def model_ids(self, stem: str) -> list[int]:
+        """Ids of a word of ASCII letters in lower case: nothing is left to normalise or to
+        split, so the library's model itself is asked."""
+        return [token.id for token in self.model.tokenize(stem)]
+
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes | None:
         value = self.old.get(piece)
@@ -120,6 +128,8 @@ class PieceIds(dict):
             if stem not in self.stems:
                 if stem in self.old_stems:
                     self.stems[stem] = self.old_stems[stem]
+                elif stem.isascii():
+                    self.stems[stem] = self._packed(self.model_ids(stem.decode()))
                 else:
                     wanted[stem] = None
         self.fresh.clear()
