@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import random
 import time
 import urllib.error
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import KEYS, OPTIONAL_TEXTS
+from ..functions.text import PROMPT_HEAD, PROMPT_TAIL
 
 #: Fixed values of the protocol.
 BODY_BYTES = 1 << 20
@@ -32,6 +34,8 @@ SYSTEM = "Read the document and fill in the JSON object of the given schema, and
 TRANSCRIBE_SYSTEM = "Transcribe images of documents: the text only, in reading order, without comments."
 TRANSCRIBE_USER = "Write out all text in this image exactly."
 
+log = logging.getLogger(__name__)
+
 
 class ModelError(Exception):
     def __init__(self, kind: str, message: str):
@@ -113,6 +117,14 @@ def request_body(model: str, system: str, user: str, images: Sequence[tuple[str,
     return body
 
 
+def traced(role: str, prompt: str) -> list[str]:
+    """A prompt's lines for a debug log, each under its role; the middle of a long one left out."""
+    n, shown = len(prompt), PROMPT_HEAD + PROMPT_TAIL
+    if n > shown:
+        prompt = f"{prompt[:PROMPT_HEAD]}\n… (elided {n - shown} of {n} runes) …\n{prompt[-PROMPT_TAIL:]}"
+    return [f"  {role:<6}| {line}" for line in prompt.split("\n")] if prompt else []
+
+
 def http_transport(url: str, headers: dict[str, str], body: bytes, timeout: float) -> tuple[int, bytes]:
     request = urllib.request.Request(url, data=body, headers=headers, method="POST")
     try:
@@ -140,6 +152,10 @@ class Client:
         """The content of the first choice, after as many tries as failures allow."""
         url = self.base_url.rstrip("/") + "/chat/completions"
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        if log.isEnabledFor(logging.DEBUG):
+            log.debug("prompt for %s at %s, %d characters, %d images", self.model, self.base_url, len(user), len(images))
+            for line in [*traced("system", system), *traced("user", user)]:
+                log.debug("%s", line)
         body = json.dumps(request_body(self.model, system, user, images, schema), ensure_ascii=False).encode()
         problem = ""
         for attempt in range(max(self.retries, 1)):

@@ -1,6 +1,6 @@
 """Streaming intake: new files become micro-batches of the same plan.
 
-The reference behaviour has no event time, so there are no windows or watermarks here. Each
+Documents have no event time, so there are no windows or watermarks here. Each
 batch is planned like any other; names are claimed against what earlier batches filed, and a
 batch that is run again after a failure overwrites its own output, so each document is
 planned once.

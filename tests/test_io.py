@@ -156,6 +156,14 @@ def test_failures(given, kind, calls):
     assert e.value.kind == kind and len(asked) == calls
 
 
+def test_prompts_are_traced_without_secrets(caplog):
+    transport, _ = answers((200, "ok"))
+    with caplog.at_level("DEBUG"):
+        client(transport, api_key="s3cret").complete("be brief", "a" * 4000 + "\nlast line", [("image/png", b"x")])
+    assert "  system| be brief" in caplog.text and "  user  | last line" in caplog.text and "elided 938 of 4010 runes" in caplog.text
+    assert "1 images" in caplog.text and "s3cret" not in caplog.text and "s3cret" not in repr(client(transport, api_key="s3cret"))
+
+
 def test_bad_responses():
     for body in (b"not json", b"{}", b'{"choices":[]}'):
         with pytest.raises(analyse.ModelError):
