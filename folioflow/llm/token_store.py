@@ -42,26 +42,31 @@ END_ID = 1
 BLOCK = 1 << 16
 MAGIC = b"FFTOKEN1"
 #: Pieces, and stems of pieces, in one generation of a worker's memory; two are held.
-_GENERATION = _STEMS = 1 << 18
+_GENERATION, _STEMS = 3 << 17, 1 << 18
 #: Rows in a batch to tokenise: large ones share more pieces; bytes are bounded all the same.
 _ROWS = 2048
 #: ASCII marks but the apostrophe, with which some endings begin; and the letters of ASCII and
 #: Latin-1 in UTF-8, which no normalisation changes and whose lower case is one letter.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_JOINED = 4096
 _tokenizers: dict[str, PieceIds] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters that byte-level models write bytes as: printable bytes of Latin-1 as
+    themselves, the others as those from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class PieceIds(dict):
     """White-space-free pieces of UTF-8 to their ids as little-endian bytes.
 
     A piece of Latin letters with ASCII marks behind is cut before them, as the tokenizer itself
-    does, so its stem in lower case is shared by all its spellings. Unknown ASCII stems go
-    to the model, other stems of a batch are encoded as one text and cut again behind the ids
-    that end words. Everything else is
-    encoded piece by piece. Both memories hold two generations of bounded size: what is used
-    again moves to the young one, the old one is dropped as a whole.
+    does, so its stem in lower case is shared by all its spellings; nothing of a stem is left
+    to normalise or to split, so the library's model is asked for it directly. Everything else
+    goes through the whole tokenizer. Both memories hold two generations of bounded size: what
+    is used again moves to the young one, the old one is dropped as a whole.
     """
 
     def __init__(self, path: str):
@@ -71,6 +76,7 @@ class PieceIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
         self.old: dict[bytes, bytes] = {}
@@ -78,26 +84,22 @@ class PieceIds(dict):
         self.old_stems: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         self.fresh: set[bytes] = set()
-        self.word_ends = self._word_ends(vocabulary)
-
-    def _word_ends(self, vocabulary: dict[str, int]) -> np.ndarray | None:
-        """Which ids end a word, if the model marks ends and lower-cases; else None and stems
-        aren't used."""
-        spec = json.loads(self.tokenizer.to_str())
-        mark = spec["model"].get("end_of_word_suffix")
-        if not mark or self.model_ids("abc") != self.ids_of("abc") or self.ids_of("AbC") != self.ids_of("abc") or self.ids_of("abc def.") != self.ids_of("abc") + self.ids_of("def") + self.ids_of("."):
-            return None
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[v for k, v in vocabulary.items() if k.endswith(mark)]] = True
-        return ends
+        self.has_stems = self._has_stems()
+
+    def _has_stems(self) -> bool:
+        """Whether this tokenizer lower-cases, cuts marks off words and asks its model for
+        byte-level words, as told by a few texts; if not, stems aren't used."""
+        known = self.ids_of("abc") + self.ids_of("é") + self.ids_of(".")
+        same = self.model_ids(b"abc") + self.model_ids("é".encode()) + self.ids_of(".")
+        cased = self.model_ids("façàÿade".encode()) == self.ids_of("FaÇÀÿADE")
+        return known == same and cased and self.ids_of("abc é.") == known and self.ids_of("abc.") == self.ids_of("abc") + self.ids_of(".")
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def model_ids(self, stem: str) -> list[int]:
-        """Ids of a word of ASCII letters in lower case: nothing is left to normalise or to
-        split, so the library's model itself is asked."""
-        return [token.id for token in self.model.tokenize(stem)]
+    def model_ids(self, stem: bytes) -> list[int]:
+        text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(text)]
 
     def _packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
@@ -112,48 +114,33 @@ class PieceIds(dict):
 
     def _learn(self) -> None:
         """Encode the pieces that the batch met for the first time."""
-        cut, wanted = [], {}
         for piece in self.fresh:
             bare = piece.rstrip(_TAIL)
-            if bare.isalpha():
+            if not self.has_stems:
+                stem = b""
+            elif bare.isalpha():
                 stem = bare.lower()
-            elif _LATIN.fullmatch(bare):
-                stem = bare.decode().lower().encode()
             else:
-                stem = b""
-            if self.word_ends is None or not stem:
+                stem = bare.decode().lower().encode() if _LATIN.fullmatch(bare) else b""
+            if not stem:
                 self[piece] = self._packed(self.ids_of(piece.decode()))
                 continue
-            cut.append((piece, stem, piece[len(bare) :]))
-            if stem not in self.stems:
-                if stem in self.old_stems:
-                    self.stems[stem] = self.old_stems[stem]
-                elif stem.isascii():
-                    self.stems[stem] = self._packed(self.model_ids(stem.decode()))
-                else:
-                    wanted[stem] = None
+            value = self.stems.get(stem)
+            if value is None:
+                value = self.old_stems.get(stem)
+                if value is None:
+                    value = self._packed(self.model_ids(stem))
+                self.stems[stem] = value
+            if len(bare) < len(piece):
+                tail = piece[len(bare) :]
+                marks = self.tails.get(tail)
+                if marks is None:
+                    if len(self.tails) >= 4096:
+                        self.tails.clear()
+                    marks = self.tails[tail] = self._packed(self.ids_of(tail.decode()))
+                value += marks
+            self[piece] = value
         self.fresh.clear()
-        todo = list(wanted)
-        for at in range(0, len(todo), _JOINED):
-            self._learn_stems(todo[at : at + _JOINED])
-        for piece, stem, tail in cut:
-            if tail and tail not in self.tails:
-                if len(self.tails) >= 4096:
-                    self.tails.clear()
-                self.tails[tail] = self._packed(self.ids_of(tail.decode()))
-            self[piece] = self.stems[stem] + self.tails[tail] if tail else self.stems[stem]
-
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        ids = np.array(self.ids_of(b" ".join(stems).decode()), self.kind)
-        ends = np.flatnonzero(self.word_ends[ids]) + 1
-        if len(ends) != len(stems):
-            for stem in stems:
-                self.stems[stem] = self._packed(self.ids_of(stem.decode()))
-            return
-        raw, at = ids.tobytes(), 0
-        for stem, end in zip(stems, (ends * self.kind.itemsize).tolist(), strict=True):
-            self.stems[stem] = raw[at:end]
-            at = end
 
     def of_batch(self, texts: pa.Array, end_id: int) -> pa.Array:
         """The ids of each text and the end id, as binaries.
