@@ -111,8 +111,9 @@ def joined_rules(docs: DataFrame, rules: DataFrame, key: str) -> DataFrame:
         & ((F.col("_c") == "") | (F.col("_c") == F.col("correspondent")))
         & F.forall("_g", lambda t: F.array_contains("tags", t))
     )
-    found = docs.join(r, fits, "left")
-    return found.groupBy(key).agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"), F.min_by("path", "ord").alias("path"))
+    # only the place is aggregated, a fixed-width value that hashes; names come back by it
+    first = docs.join(r, fits, "left").groupBy(key).agg(F.min("ord").alias("ord"))
+    return first.join(rules.select("ord", "name", "path"), "ord", "left").select(key, "ord", "name", "path")
 
 
 def path_fault(path: Column) -> Column:
