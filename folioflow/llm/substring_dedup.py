@@ -16,6 +16,12 @@ words. Names are the fingerprints that the index holds.
 5. The words that confirmed windows cover are removed. Rows without confirmed windows never
    move their text again: their digest is taken in the first pass.
 
+With an ``index`` to go on from, history counts: the index holds (name, one, two) of every
+different window of earlier calls, the two hashes being those of step 4. A call's names are
+merge-joined to it; what it holds under them makes these names suspects and confirms the
+windows that it has. Then the windows that are new become a run. Rows of earlier calls are
+not judged again, and a batch given twice counts twice.
+
 Defined cases: a null or blank text has no words, and its kept text is empty; texts shorter
 than a window lose nothing; rows of the same doc_id, or with a null one, are judged as rows;
 an empty table gives an empty result; other columns don't take part.
@@ -103,6 +109,21 @@ def row_name():
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
+def all_windows(docs: DataFrame, classes: DataFrame, width: int, gram: int) -> DataFrame:
+    """(name, one, two) of each different window, for an index; classes: (hi, lo, nid)."""
+    texts = docs.select(row_name().alias("nid"), "text").join(classes.select("nid", "hi", "lo"), "nid")
+
+    def hashed(batches):
+        w = Windows(width, gram)
+        for b in batches:
+            for text, hi, lo in zip(b["text"], b["hi"], b["lo"], strict=True):
+                hashes = w.hashes(text.split() if text else [])
+                if w.key(hashes) == (hi, lo):
+                    yield {"name": signed(w.names(w.grams(hashes))), "one": signed(w.one.windows(hashes, width)), "two": signed(w.two.windows(hashes, width))}
+
+    return map_rows(texts, hashed, "name long, one long, two long").distinct()
+
+
 def suspects(names: DataFrame, index: Runs, batches: int) -> DataFrame:
     """Names met at two places or more. names: (hi, lo, once, often) of each row."""
     out = None
@@ -124,15 +145,22 @@ def suspects(names: DataFrame, index: Runs, batches: int) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, index: Runs | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of each row of ``docs``; kept_text
     (kept words joined by a space) is null where it is known by its digest alone: no word
-    or every word of the row is removed."""
+    or every word of the row is removed.
+
+    ``index`` is Runs(spark, ["name"]), empty or left by earlier calls of the same width and
+    gram; it takes this call's windows. Without it only the rows of this call count."""
     spark = docs.sparkSession
     scan = store(scanned(docs, width, gram), "windows")
     classes = scan.where(F.col("n_words") >= width).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("copies"), F.min("nid").alias("nid"))
     classes = store(classes, "sequences")
-    own = index or Runs(spark, ["name"], prefix="windows")
-    named = store(suspects(scan.select("hi", "lo", "once", "often"), own, batches), "suspects")
-    if index is None:
-        own.drop()
+    own = Runs(spark, ["name"], prefix="windows")
+    named, held = suspects(scan.select("hi", "lo", "once", "often"), own, batches), None
+    if index is not None and index.tables:
+        met = index.dealt(scan.select(F.explode(F.concat("once", "often")).alias("name")).distinct())
+        held = store(index.present(met).select("name", "one", "two"), "history")
+        named = named.unionByName(held.select("name")).distinct()
+    named = store(named, "suspects")
+    own.drop()
 
     firsts = scan.join(classes.select("nid", "hi", "lo"), ["nid", "hi", "lo"], "left_semi")
     each = firsts.select("nid", "hi", "lo", F.explode(F.concat("once", "often")).alias("name")).distinct()
@@ -162,6 +190,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     doubtful = store(doubtful.dropDuplicates(["hi", "lo"]) if _repeats(classes, scan) else doubtful, "doubtful")
     starts = doubtful.select("hi", "lo", "copies", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("hi", "lo", "copies", "w.at", "w.one", "w.two")
     twice = starts.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
+    if held is not None:
+        twice = twice.unionByName(held.select("one", "two")).distinct()
     confirmed = starts.where("copies = 1").select("hi", "lo", "at", "one", "two").join(twice, ["one", "two"])
     spans = confirmed.groupBy("hi", "lo").agg(F.collect_list("at").alias("starts"))
     cut_texts = doubtful.where("copies = 1").select("hi", "lo", "text").join(spans, ["hi", "lo"])
@@ -184,6 +214,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
                 out["cut_text"].append(left.decode())
             yield out
 
+    if index is not None:
+        new = all_windows(docs, classes, width, gram)
+        index.add(new if held is None else new.join(held, ["name", "one", "two"], "left_anti"))
     changed = map_rows(cut_texts, cut, "hi long, lo long, n_removed long, cut_sha binary, cut_text string")
     rows = scan.select("doc_id", "n_words", "hi", "lo", "sha").join(classes.select("hi", "lo", "copies"), ["hi", "lo"], "left").join(changed, ["hi", "lo"], "left")
     gone = (F.col("copies") > 1) & (F.col("n_words") >= width)

@@ -117,6 +117,25 @@ def test_substrings_equal_brute_force(spark, width, gram, batches):
     assert cases.ordered(map(tuple, got)) == cases.ordered(brute_substrings(rows, width))
 
 
+@pytest.mark.parametrize("width,gram,batches", [(35, 12, 2), (8, 3, 1)])
+def test_substrings_of_later_calls_meet_the_index(spark, width, gram, batches):
+    rows = cases.hard_documents()
+    rows = rows[::3] + rows[1::3] + rows[2::3]
+    index, seen = Runs(spark, ["name"], fanout=2, prefix="history"), []
+    n, alone = len(rows) // 4, 0
+    for part in (rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n], [], rows[3 * n :]):
+        got = substring_dedup.deduplicated(cases.frame(spark, part), width, gram, batches, index).drop("kept_text")
+        index = Runs.resume(spark, index.state())
+        seen += part
+        want = brute_substrings(seen, width)[len(seen) - len(part) :]
+        assert cases.ordered(map(tuple, got.collect())) == cases.ordered(want)
+        alone += sum(a[2] > b[2] for a, b in zip(want, brute_substrings(part, width), strict=True))
+    assert alone > 0  # rows that lose words to history only
+    windows = {tuple(w[i : i + width]) for w in (cases.split(r[1]) for r in rows) for i in range(len(w) - width + 1)}
+    assert sum(spark.table(t).count() for t in index.tables) == len(windows)
+    index.drop()
+
+
 def test_kept_text_has_its_digest(spark):
     rows = substring_dedup.deduplicated(cases.frame(spark, cases.hard_documents())).where("kept_text IS NOT NULL").collect()
     assert rows and all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in rows)
