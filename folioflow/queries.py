@@ -517,7 +517,7 @@ def claim_names(spark, sf_dir):
     content = F.coalesce("text", F.lit(""))
     dest = F.concat(F.lit("divers/"), c("source"), F.lit("/"), c("lang"), F.pmod(F.length(content), F.lit(200)).cast("string"), F.lit(".txt"))
     rows = docs.select(c("doc_id").alias("arrival"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"), dest.alias("dest"))
-    return claim.claimed(rows).select(c("arrival").alias("doc_id"), "dest", "final_dest", "duplicate", "claim_error")
+    return claim.claim(rows).select(c("arrival").alias("doc_id"), "dest", "final_dest", "duplicate", "claim_error")
 
 
 CLAIM_NAMES = """
