@@ -1,7 +1,8 @@
 """Token ids in Huffman-coded files.
 
 1. Each text is cut at ASCII white space, which no token of the tokenizer spans, and each
-   piece is encoded once by the tokenizers library and remembered; an end id follows.
+   piece is encoded once by the tokenizers library and remembered; an end id follows. With
+   a tokenizer in which white space counts, whole texts are encoded.
 2. Global counts of ids, at most one row an id of the vocabulary, give a canonical Huffman
    code of limited length.
 3. Rows are range-partitioned by doc_id and each range becomes one file: independent blocks
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, map_rows, scratch_path, shuffle_parts, store, write_json
+from .common import SPACE, bound_batches, discard, map_rows, scratch_path, shuffle_parts, store, write_json
 from .files import opened, qualified, read_manifest, replaced
 from .huffman import LANE, Code, code_lengths
 
@@ -85,6 +86,21 @@ class PieceIds(dict):
         self.tails: dict[bytes, bytes] = {}
         self.fresh: set[bytes] = set()
         self.has_stems = self._has_stems()
+        self.cuts = self._cuts(vocabulary)
+
+    def _cuts(self, vocabulary: dict[str, int]) -> bool:
+        """Whether a text has the ids of its pieces between ASCII white space: no token of the
+        vocabulary has white space inside, in any way to write it, and none is made of it in a
+        few texts."""
+        marks = {*SPACE, "\u2581", *(chr(self.letters[ord(x)]) for x in SPACE)}
+        suffix = getattr(self.model, "end_of_word_suffix", None) or ""
+        tokens = (token.removesuffix(suffix).strip("\u2581") for token in vocabulary)
+        if any(len(token) > 1 and not marks.isdisjoint(token) for token in tokens):
+            return False
+        pieces = ["Hello", "big", "it's", "é9", "!?", "x.", "...", "123"]
+        apart = [i for piece in pieces for i in self.ids_of(piece)]
+        gaps = [*SPACE, *(x + y for x in SPACE for y in SPACE), "   ", "\n\n\n", " " * 8]
+        return all(self.ids_of(gap.join(["", *pieces, ""])) == apart == self.ids_of(gap.join(pieces)) and not self.ids_of(gap) for gap in gaps)
 
     def _has_stems(self) -> bool:
         """Whether this tokenizer lower-cases, cuts marks off words and asks its model for
@@ -148,6 +164,9 @@ class PieceIds(dict):
         The pieces of the whole batch are dictionary-encoded first, so that each different
         piece is looked up once, and ids are gathered by arrays.
         """
+        if not self.cuts:
+            whole = (self._packed([*self.ids_of(text or ""), end_id]) for text in texts.to_pylist())
+            return pa.array(whole, pa.large_binary())
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()

@@ -151,6 +151,20 @@ def brute_tokens(rows):
     return out
 
 
+@pytest.mark.parametrize("name,cuts", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_of_whole_texts_with_any_tokenizer(spark, tmp_path, name, cuts):
+    pieces = token_store.piece_ids(name)
+    assert pieces.cuts == cuts
+    rows = [*cases.hard_documents()[:30], (700, "Hello big", "", "", 1), (701, " a\n\n b\t", "", "", 1), (702, "", "", "", 1), (703, None, "", "", 1)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], f"<u{r['width']}").tolist() for r in token_store.tokenized(cases.frame(spark, rows), name).collect()}
+    want = {r[0]: [*pieces.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
+    assert got == want
+    manifest = token_store.write_tokens(cases.frame(spark, rows), str(tmp_path / "t"), tokenizer=name)
+    back = token_store.read_tokens(spark, manifest).orderBy("start").collect()
+    assert [(r["n_tokens"], r["doc_id"]) for r in back] == [(len(want[r[0]]), r[0]) for r in rows]
+
+
 @pytest.mark.parametrize("files", [1, 5])
 def test_token_files_read_back(spark, tmp_path, files, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK", 1000)
