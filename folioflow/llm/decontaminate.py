@@ -11,7 +11,8 @@ all get a fingerprint (the bound is exact, nothing similar is passed over). A fi
 It is cut in 16 blocks of 8 bits; within a distance of 40 at least one block differs in two
 bits or fewer, so the tables of all such block values give every item within that radius.
 Those are checked by the exact weighted Jaccard similarity of shingle counts. Expected
-distances at similarity 0.8 are about 19, five standard errors below the radius.
+distances at similarity 0.8 are about 19, five standard errors below the radius. For lower
+thresholds the radius, and the distance of the block tables, grow to keep five of them.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case;
 shingles have five words, or all words of a shorter item.
@@ -35,13 +36,22 @@ from .common import Powers, WordHashes, bound_batches, map_rows, mixed
 
 THRESHOLD = 0.8
 SHINGLE = 5
+#: The least radius; ``radius_of`` gives the one of a threshold.
 RADIUS, BLOCKS = 40, 16
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _FILTER_BITS = 22
 _CHUNK = 4096
-_NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
+_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
+
+
+def radius_of(threshold: float) -> int:
+    """Five standard errors over the distance expected at a similarity of ``threshold``, where
+    windows of different shingles have the cosine 2t / (1 + t)."""
+    share = np.arccos(2 * threshold / (1 + threshold)) / np.pi
+    bits = 8 * BLOCKS
+    return min(bits, max(RADIUS, int(np.ceil(bits * share + 5 * np.sqrt(bits * share * (1 - share))))))
 
 
 class Texts:
@@ -71,7 +81,8 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
 class Length:
     """The items of one length, with their block tables."""
 
-    def __init__(self, n_words: int, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, n_words: int, items: list[tuple[int, np.ndarray]], radius: int = RADIUS):
+        self.radius = radius
         self.n_words, self.width = n_words, min(SHINGLE, n_words)
         self.n = n_words - self.width + 1
         self.items = items
@@ -79,7 +90,7 @@ class Length:
         self.known = np.unique(np.concatenate([s for _, s in items]))
         self.prints = fingerprints(np.stack([bit_rows(s).sum(axis=0, dtype=np.int64) for _, s in items]))
         # tables[b][v]: the items whose block b is near v, as bits
-        near = _NEAR[:, self.prints]  # value, item, block
+        near = (_APART <= radius // BLOCKS)[:, self.prints]  # value, item, block
         self.tables = np.packbits(near.transpose(2, 0, 1), axis=2)
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -88,7 +99,7 @@ class Length:
         for b in range(BLOCKS):
             hits |= self.tables[b][prints[:, b]]
         rows, items = np.nonzero(np.unpackbits(hits, axis=1)[:, : len(self.items)])
-        close = np.bitwise_count(prints[rows] ^ self.prints[items]).sum(axis=1) <= RADIUS
+        close = np.bitwise_count(prints[rows] ^ self.prints[items]).sum(axis=1) <= self.radius
         yield from zip(rows[close].tolist(), items[close].tolist(), strict=True)
 
     def similarity(self, shingles: np.ndarray, item: int) -> float:
@@ -110,7 +121,7 @@ class Matcher:
             words = self.texts.words(text)
             if len(words):
                 by_length.setdefault(len(words), []).append((item_id, self.texts.shingles(words, min(SHINGLE, len(words)))))
-        self.lengths = [Length(n, own) for n, own in sorted(by_length.items())]
+        self.lengths = [Length(n, own, radius_of(threshold)) for n, own in sorted(by_length.items())]
         self.widths = sorted({x.width for x in self.lengths})
         self.known = {w: np.unique(np.concatenate([x.known for x in self.lengths if x.width == w])) for w in self.widths}
         self.filters = {}

@@ -191,6 +191,15 @@ def test_no_benchmark_or_documents(spark):
     assert decontaminate.matches(_empty(spark), items).count() == 0 and decontaminate.clean_documents(_empty(spark), items).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 0.5])
+def test_borderline_windows_are_found_at_any_threshold(threshold):
+    items = [(k, cases.prose(3000 + k, 60)) for k in range(300)]
+    matcher = decontaminate.Matcher([(k, t.encode()) for k, t in items], threshold)
+    cut = int(2 * 56 * threshold / (1 + threshold) + 1 - 1e-9) + 4  # words from the front that just reach the threshold
+    leaks = [f"{' '.join(t.split()[:cut])} {cases.prose(5000 + k, 60 - cut)}" for k, t in items]
+    assert all(k in matcher.matches(t.encode()) for k, t in enumerate(leaks))
+
+
 def test_blocks_give_all_within_radius():
     rng = np.random.default_rng(1)
     items = [(k, rng.integers(0, 1 << 63, 30, dtype=np.uint64)) for k in range(200)]
