@@ -14,7 +14,9 @@
 5. Connected components of the links, carried back from classes to rows.
 
 With 24 bands of 4 rows a pair of similarity 0.85 shares no bucket with probability 2e-8, of
-0.8 with 3e-6. The sketch rules out only what is over six standard errors too low.
+0.8 with 3e-6. For lower similarities the 96 samples make more bands of fewer rows, so that a
+linked pair shares no bucket with probability 1e-5 at most; a similarity for which even
+bands of one sample miss more (under 0.12) is refused. The sketch rules out only what is over six standard errors too low.
 
 Defined cases: null or blank texts have the empty set and are linked with nothing; fewer
 words than a shingle make one shingle; a null doc_id is never the name of a component unless
@@ -33,6 +35,8 @@ from .common import Powers, WordHashes, discard, lowered, map_rows, mixed, shing
 from .components import components
 
 BANDS, ROWS = 24, 4
+#: The greatest probability that a linked pair shares no bucket.
+MISS = 1e-5
 SKETCH_BITS = 512
 #: Standard errors of the estimated similarity by which a pair must miss the threshold.
 MARGIN = 6.0
@@ -42,7 +46,7 @@ BLOCK_CLASSES, BLOCK_BYTES = 1024, 24 << 20
 _SEED = np.random.Generator(np.random.PCG64(20_240_229))
 _XOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _MULT = (_SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
-_BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_BAND = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(32)
 
 
@@ -59,11 +63,20 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    pairs = samples.astype(np.uint64).reshape(BANDS, ROWS // 2, 2)
+def rows_of(similarity: float) -> int:
+    """The most samples in a band with which a pair of ``similarity`` is missed by MISS at most."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - similarity**rows) ** (BANDS * ROWS // rows) <= MISS:
+            return rows
+    raise ValueError(f"similarity {similarity} is too low: {BANDS * ROWS} samples miss more than {MISS} of the links")
+
+
+def band_keys(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    bands = samples.astype(np.uint64).reshape(-1, rows)
+    pairs = (np.pad(bands, ((0, 0), (0, 1))) if rows % 2 else bands).reshape(len(bands), -1, 2)
     joined = (pairs[:, :, 0] << np.uint64(32)) | pairs[:, :, 1]
-    out = _BAND
-    for i in range(ROWS // 2):
+    out = _BAND[: len(bands)]
+    for i in range(joined.shape[1]):
         out = mixed(out ^ mixed(joined[:, i] + np.uint64(i)))
     return out
 
@@ -87,7 +100,7 @@ def shingle_sets(width: int):
     return lambda text: shingles_of(cache.of(lowered(text).split()), powers, width)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, band_rows: int = ROWS) -> DataFrame:
     """(nid, text_hash, doc_id, n, hi, lo, bands); hi, lo and bands are null of empty sets.
     nid is the row's doc_id, or a hash of its text where that is null."""
 
@@ -102,7 +115,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     his.append((whole >> 64) - (1 << 63))
                     los.append((whole & (2**64 - 1)) - (1 << 63))
-                    bands.append(signed(band_keys(minhashes(s))))
+                    bands.append(signed(band_keys(minhashes(s), band_rows)))
                 else:
                     for x in (his, los, bands):
                         x.append(None)
@@ -251,7 +264,7 @@ def grouped(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int
     """(nid, text_hash, doc_id, n_shingles, hi, lo, component_id): every row of ``docs`` with the least
     doc_id it is linked to, directly or through others; its own where it has no links."""
     num, den = similarity
-    signs = store(signatures(docs, width), "signatures")
+    signs = store(signatures(docs, width, rows_of(num / den)), "signatures")
     # the least doc_id is a row's name in its class, so one row of the class can be found again
     by_set = signs.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("least_id"), F.min("nid").alias("least_nid"))
     by_set = by_set.select("hi", "lo", "least_id", F.coalesce("least_id", "least_nid").alias("nid"))

@@ -45,6 +45,26 @@ def test_families_in_several_blocks(spark, monkeypatch):
     assert got == {r[0]: k for r, k in zip(rows, cases.components(rows, 85, 100), strict=True)}
 
 
+@pytest.mark.parametrize("similarity", [(85, 100), (60, 100), (50, 100)])
+def test_borderline_links_are_found_at_any_similarity(spark, similarity):
+    num, den = similarity
+    rows = []
+    for k in range(150):
+        words = cases.prose(7000 + k, 200).split()
+        cut = -(-196 * 2 * num // (num + den)) + 4  # words from the front that just reach the similarity
+        rows += [(2 * k, " ".join(words), "en", "s", 1), (2 * k + 1, f"{' '.join(words[:cut])} {cases.prose(9000 + k, 200 - cut)}", "en", "s", 1)]
+    got = near_dedup.grouped(cases.frame(spark, rows), similarity).select("doc_id", "component_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
+
+
+def test_similarities_that_samples_would_miss_are_refused(spark):
+    for similarity in (0.12, 0.3, 0.5, 0.7, 0.8, 0.85, 1.0):
+        rows = near_dedup.rows_of(similarity)
+        assert (1 - similarity**rows) ** (96 // rows) <= near_dedup.MISS and (rows == 4) == (similarity >= 0.8)
+    with pytest.raises(ValueError):
+        near_dedup.grouped(_empty(spark), (10, 100))
+
+
 def test_one_of_each_group_stays_with_its_columns(spark):
     rows = [r for r in cases.hard_documents() if r[0] is not None and r[0] != 2]
     docs = cases.frame(spark, rows).withColumn("nid", F.lit("x")).withColumn("hi", F.lit(1)).withColumn("bands", F.lit(2))
