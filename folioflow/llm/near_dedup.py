@@ -20,8 +20,8 @@ bands of one sample miss more (under 0.12) is refused. The sketch rules out only
 
 Defined cases: null or blank texts have the empty set and are linked with nothing; fewer
 words than a shingle make one shingle; a null doc_id is never the name of a component unless
-no member has another; rows of the same doc_id are separate rows, all kept if the id is
-their component's; an empty table gives an empty result; other columns pass through.
+no member has another; rows of the same doc_id are separate rows, of which one of the least
+text hash stands for a group that the id is the name of; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -261,8 +261,9 @@ class _Shared:
 
 
 def grouped(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
-    """(nid, text_hash, doc_id, n_shingles, hi, lo, component_id): every row of ``docs`` with the least
-    doc_id it is linked to, directly or through others; its own where it has no links."""
+    """(nid, text_hash, doc_id, n_shingles, hi, lo, component_id, group): every row of ``docs`` with the
+    least doc_id it is linked to, directly or through others; its own where it has no links. group
+    tells components apart whatever their ids are; it is null of empty sets."""
     num, den = similarity
     signs = store(signatures(docs, width, rows_of(num / den)), "signatures")
     # the least doc_id is a row's name in its class, so one row of the class can be found again
@@ -294,8 +295,8 @@ def grouped(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int
     linked = components(found)
     named = linked.join(classes.select("node", "least_id"), "node")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    final = classes.join(named, "node", "left").select("hi", "lo", F.coalesce("component_id", "least_id").alias("component_id"))
+    named = named.join(least, "component").select("node", "component", "component_id")
+    final = classes.join(named, "node", "left").select("hi", "lo", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
     rows = signs.select("nid", "text_hash", "doc_id", F.col("n").alias("n_shingles"), "hi", "lo")
     out = rows.join(final, ["hi", "lo"], "left").withColumn("component_id", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     discard(sets, family)
@@ -303,13 +304,23 @@ def grouped(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int
 
 
 def first_of_each_group(docs: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those of the component's least doc_id.
-    Rows without words are groups of their own."""
+    """One row of ``docs`` for each group: of its least doc_id, null only if no member has one,
+    and the least text hash; of rows equal in both, one. Rows without words are groups of
+    their own."""
     known = grouped(docs, similarity, width)
-    kept = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("nid").alias("_nid"), F.col("text_hash").alias("_hash")).distinct()
+    equal = known.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.when(F.col("group").isNull(), F.struct("doc_id", "text_hash"))
+    first = equal.groupBy("group", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("k"))
+    several = F.col("group").isNotNull() & (F.col("k.n") > 1)
+    kept = store(first.select(F.coalesce("k.doc_id", "k.text_hash").alias("_nid"), F.col("k.text_hash").alias("_hash"), several.alias("_several")), "kept")
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(row_name().alias("_nid"), F.xxhash64("text").alias("_hash"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return own.join(kept, ["_nid", "_hash"], "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
+    out = own.join(kept.where("NOT _several"), ["_nid", "_hash"], "left_semi").select(*names.values())
+    if kept.where("_several").limit(1).count():
+        row = F.struct(*names.values())
+        one = own.join(kept.where("_several"), ["_nid", "_hash"], "left_semi").groupBy("_nid", "_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 # ---------------------------------------------------------------- query

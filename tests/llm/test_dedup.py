@@ -74,6 +74,18 @@ def test_one_of_each_group_stays_with_its_columns(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b, c, d = (cases.prose(s, 90) for s in (400, 401, 402, 403))
+    rows = [(None, a), (None, a), (None, cases.edited(a, 1, 1)), (7, b), (7, b), (7, cases.edited(b, 2, 1)), (9, b), (None, b), (7, c), (8, c), (None, d), (3, d), (5, None), (5, None), (None, " ")]
+    rows = [(i, t, "en", f"s{k % 2}", 1) for k, (i, t) in enumerate(rows)]
+    docs = cases.frame(spark, rows)
+    got = list(map(tuple, near_dedup.first_of_each_group(docs, (80, 100)).collect()))
+    assert not set(got) - set(rows)
+    kind = lambda t: next((k for k, x in enumerate((a, b, c, d)) if t and len(cases.shingle_set(t) & cases.shingle_set(x)) > 60), None)
+    assert sorted((r[0] or 0, kind(r[1]) if kind(r[1]) is not None else 9) for r in got) == [(0, 0), (0, 9), (3, 3), (5, 9), (5, 9), (7, 1), (7, 2)]
+    assert cases.ordered(got) == cases.ordered(map(tuple, near_dedup.first_of_each_group(cases.frame(spark, rows[::-1], parts=2), (80, 100)).collect()))
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.grouped(_empty(spark)).count() == 0
     assert near_dedup.first_of_each_group(_empty(spark)).count() == 0
