@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,6 @@ from pyspark.sql import functions as F
 
 from ..workers import importable
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_SCRATCH = "/tmp/folioflow-scratch"
 #: ASCII white space, the only separators of words.
 SPACE = " \t\n\x0b\x0c\r"
 UINT64 = np.uint64
@@ -25,12 +26,20 @@ _WORDS_KEPT = 1 << 19
 # ---------------------------------------------------------------- scratch tables
 
 
+_stored: list[set[str]] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``). Where it
+    is unset, a local session, whose executor is the driver, gets a folder of its own; a
+    cluster gets an error, since no folder of one machine would do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = DEFAULT_SCRATCH
-        spark.sparkContext.setCheckpointDir(root)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; with master {master} it must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -42,12 +51,26 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a
     lost executor costs only the tasks that read its part again."""
     path = scratch_path(df.sparkSession, tag)
+    for kept in _stored:
+        kept.add(path)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folioflow_path = path
     return out
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Every table that ``store`` or ``bucketed`` makes inside goes at the end, also after a failure; what is
+    wanted for longer must have been written elsewhere by then."""
+    _stored.append(set())
+    try:
+        yield
+    finally:
+        for path in _stored.pop():
+            remove_path(spark, path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
@@ -163,6 +186,51 @@ def lowered(text: bytes | None) -> bytes:
     return text.lower() if text else b""
 
 
+#: Longer words are hashed one by one; longer texts in pieces that end between words.
+_WORD_BYTES, _PIECE = 64, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(SPACE.encode())] = False
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order. Every (place in the word, byte) has a
+    random value; a word's are summed and mixed with its length, all words at once."""
+    if not text:
+        return np.zeros(0, UINT64)
+    if len(text) <= _PIECE:
+        return _piece_hashes(text)
+    parts, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, min(at + _PIECE, len(text)))
+        end = gap.start() if gap else len(text)
+        parts.append(_piece_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
+    raw = np.frombuffer(text, np.uint8)
+    inside = _IN_WORD[raw]
+    kept = raw[inside]
+    if not len(kept):
+        return np.zeros(0, UINT64)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = np.flatnonzero(first[inside])
+    size = np.diff(begin, append=len(kept))
+    place = np.arange(len(kept)) - np.repeat(begin, size)
+    long = np.flatnonzero(size > _WORD_BYTES)
+    if len(long):
+        place = np.minimum(place, _WORD_BYTES - 1)
+    place <<= 8
+    place |= kept
+    out = mixed(np.add.reduceat(_VALUES[place], begin) + size.astype(UINT64) * _BASE)
+    for k in long:
+        out[k] = xxhash.xxh3_64_intdigest(kept[begin[k] : begin[k] + size[k]].tobytes())
+    return out
+
+
 class WordHashes(dict):
     """Word to its 64-bit hash, remembered for a bounded number of words."""
 
@@ -187,6 +255,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BASE = UINT64(0x9E3779B97F4A7C15)
 _BASE2 = UINT64(0xD6E8FEB86659FD93)
+_VALUES = mixed(mixed(np.arange(_WORD_BYTES << 8, dtype=UINT64) * _BASE + _BASE2))
+
+
+def tree_hashes(hashes: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A hash of each ``width`` neighbours, made of hashes of 1, 2, 4, … of them. Each step
+    mixes, so no sum or power is left in which different sequences could cancel out."""
+    salt = UINT64(salt)
+    span, done, reach, now = 1, None, 0, mixed(hashes ^ salt)
+    while True:
+        if width & span:
+            done = now if done is None else _joined(done, now[reach:], salt)
+            reach += span
+        span *= 2
+        if span > width:
+            return done
+        now = _joined(now, now[span // 2 :], salt)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, salt: np.uint64) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mixed(a[:n] * _BASE + (b[:n] ^ salt))
 
 
 class Powers:
@@ -233,7 +322,15 @@ def shingles_of(hashes: np.ndarray, powers: Powers, width: int = 5) -> np.ndarra
         return np.zeros(0, UINT64)
     if len(hashes) < width:
         return powers.windows(hashes, len(hashes)) ^ UINT64(len(hashes))
-    return np.unique(powers.windows(hashes, width))
+    values = np.sort(powers.windows(hashes, width))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of ``known``, which is sorted and not empty."""
+    place = np.searchsorted(known, values)
+    place[place == len(known)] = 0
+    return known[place] == values
 
 
 def n_words(column) -> F.Column:

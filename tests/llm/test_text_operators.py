@@ -162,19 +162,39 @@ def leaky():
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.6])
-def test_leaks_equal_brute_force(spark, threshold, monkeypatch):
-    if threshold < 0.8:
-        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+@pytest.mark.parametrize("items", [4096, 3], ids=["one block", "blocks"])
+def test_leaks_equal_brute_force(spark, threshold, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", items)
     rows = leaky()
     got = decontaminate.matches(cases.frame(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string"), threshold).collect()
-    want = brute_leaks(rows, ITEMS, threshold)
-    if threshold >= 0.8:
-        assert Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in got) == want
-    else:  # the radius is made for 0.8; below, nothing false may come
-        assert not Counter((r["doc_id"], r["item_id"]) for r in got) - Counter((d, i) for d, i, _ in want.elements())
-
-
-def test_clean_documents_pass_through(spark):
+    assert Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in got) == brute_leaks(rows, ITEMS, threshold)
+
+
+def test_repeated_shingles_stay_within_the_radius():
+    rng, threshold = random.Random(4), 0.8
+    items, leaks = [], []
+    for k in range(60):
+        shared = cases.prose(20_000 + k, 100).split()
+        a, b = cases.words(rng, 2)
+        items.append((k, " ".join([*shared, *[a] * 12]).encode()))
+        leaks.append(" ".join([*shared, *[b] * 12]).encode())
+    matcher = decontaminate.Matcher(items, threshold)
+    assert all(k in matcher.matches(t) for k, t in enumerate(leaks))
+
+
+def test_filters_miss_nothing_however_full():
+    rng = np.random.default_rng(3)
+    known, other = (rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (5000, 20_000))
+    for most in (1 << 19, 1 << 10):
+        bits = decontaminate.BitFilter(1, most)
+        bits.add(known)
+        assert len(bits.hits(known)) == len(known)
+        assert len(bits.bits) <= most and (most < 1 << 19 or len(bits.hits(other)) < 200)
+
+
+@pytest.mark.parametrize("items", [4096, 3], ids=["one block", "blocks"])
+def test_clean_documents_pass_through(spark, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", items)
     rows, items = leaky(), spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = cases.frame(spark, rows).withColumn("item_id", F.lit("x"))
     got = decontaminate.clean_documents(docs, items)
