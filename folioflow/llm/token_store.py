@@ -1,8 +1,9 @@
 """Token ids in Huffman-coded files.
 
-1. Each text is cut at ASCII white space, which no token of the tokenizer spans, and each
-   piece is encoded once by the tokenizers library and remembered; an end id follows. With
-   a tokenizer in which white space counts, whole texts are encoded.
+1. Each text is cut at ASCII white space, and each different piece is encoded once by the
+   tokenizers library and remembered for a while; an end id follows. That is done only with a
+   tokenizer whose declared normaliser, pre-tokenizer and added tokens are known to give
+   the same ids so; with any other, whole texts are encoded.
 2. Global counts of ids, at most one row an id of the vocabulary, give a canonical Huffman
    code of limited length.
 3. Rows are range-partitioned by doc_id and each range becomes one file: independent blocks
@@ -14,7 +15,7 @@
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows of
 the same doc_id follow one another, ordered by their ids, so that reruns write the same
 bytes; an empty table gives a manifest without files and an empty result; very long texts
-span blocks; other columns don't take part.
+are taken whole and span blocks; other columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound_batches, discard, map_rows, scratch_path, shuffle_parts, store, write_json
+from .common import SPACE, discard, map_rows, scratch_path, shuffle_parts, store, write_json
 from .files import opened, qualified, read_manifest, replaced
 from .huffman import LANE, Code, code_lengths
 
@@ -43,13 +43,15 @@ END_ID = 1
 BLOCK = 1 << 16
 MAGIC = b"FFTOKEN1"
 #: Pieces, and stems of pieces, in one generation of a worker's memory; two are held.
-_GENERATION, _STEMS = 3 << 17, 1 << 18
-#: Rows in a batch to tokenise: large ones share more pieces; bytes are bounded all the same.
-_ROWS = 2048
+_GENERATION, _STEMS, _TAILS = 3 << 18, 1 << 19, 1 << 12
 #: ASCII marks but the apostrophe, with which some endings begin; and the letters of ASCII and
 #: Latin-1 in UTF-8, which no normalisation changes and whose lower case is one letter.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LATIN_AND_TAIL = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*[" + re.escape(_TAIL) + rb"]*")
+#: Fixed value: the pattern of words of a public tokenizer. No match has white space inside, and
+#: none looks at what stands beside it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _tokenizers: dict[str, PieceIds] = {}
 
 
@@ -60,140 +62,116 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-class PieceIds(dict):
-    """White-space-free pieces of UTF-8 to their ids as little-endian bytes.
+def _steps(spec: dict | None, key: str) -> list[dict]:
+    return [] if spec is None else spec[key] if spec["type"] == "Sequence" else [spec]
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a text has the ids of its pieces between ASCII white space, as the declaration of
+    its tokenizer says: every step is one of those known to treat each piece alone. White
+    space is a boundary of canonical composition, lower case goes by character, the word
+    pattern drops white space, no added token has any, and the model sees one word at a time."""
+    known = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    bytewise = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    words = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in _steps(spec["pre_tokenizer"], "pretokenizers")]
+    return (
+        all(x in known for x in _steps(spec["normalizer"], "normalizers"))
+        and words == [split, bytewise]
+        and spec["model"].get("type") == "BPE"
+        and not spec["model"].get("dropout")
+        and not spec.get("truncation")
+        and not spec.get("padding")
+        and not any(c in SPACE for token in spec["added_tokens"] for c in token["content"])
+    )
+
+
+def has_stems(spec: dict) -> bool:
+    """Whether also a piece of Latin letters with ASCII marks behind has the ids of the letters
+    in lower case, as its model gives them, and then those of the marks: texts are lower-cased,
+    and no added token can begin in such a piece."""
+    lowers = {"type": "Lowercase"} in _steps(spec["normalizer"], "normalizers")
+    return cuts_at_space(spec) and lowers and not any(_LATIN_AND_TAIL.fullmatch(t["content"].encode()) for t in spec["added_tokens"])
+
+
+class _Remembered(dict):
+    """What ``learn`` gives, remembered. What an older generation knows moves to this one."""
+
+    def __init__(self, learn, old: dict | None = None):
+        super().__init__()
+        self.learn, self.old = learn, old or {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
+        return value
+
+    def aged(self, most: int) -> _Remembered:
+        """This memory, or an empty one after it if it has more than ``most`` entries."""
+        if len(self) <= most:
+            return self
+        self.old = {}
+        return _Remembered(self.learn, self)
+
+
+class PieceIds:
+    """Texts, and white-space-free pieces of them, to their ids as little-endian bytes.
 
     A piece of Latin letters with ASCII marks behind is cut before them, as the tokenizer itself
     does, so its stem in lower case is shared by all its spellings; nothing of a stem is left
     to normalise or to split, so the library's model is asked for it directly. Everything else
-    goes through the whole tokenizer. Both memories hold two generations of bounded size: what
-    is used again moves to the young one, the old one is dropped as a whole.
+    goes through the whole tokenizer. What is remembered is bounded, but for one text's pieces.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
-        self.old: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        self.old_stems: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
-        self.fresh: set[bytes] = set()
-        self.has_stems = self._has_stems()
-        self.cuts = self._cuts(vocabulary)
-
-    def _cuts(self, vocabulary: dict[str, int]) -> bool:
-        """Whether a text has the ids of its pieces between ASCII white space: no token of the
-        vocabulary has white space inside, in any way to write it, and none is made of it in a
-        few texts."""
-        marks = {*SPACE, "\u2581", *(chr(self.letters[ord(x)]) for x in SPACE)}
-        suffix = getattr(self.model, "end_of_word_suffix", None) or ""
-        tokens = (token.removesuffix(suffix).strip("\u2581") for token in vocabulary)
-        if any(len(token) > 1 and not marks.isdisjoint(token) for token in tokens):
-            return False
-        pieces = ["Hello", "big", "it's", "é9", "!?", "x.", "...", "123"]
-        apart = [i for piece in pieces for i in self.ids_of(piece)]
-        gaps = [*SPACE, *(x + y for x in SPACE for y in SPACE), "   ", "\n\n\n", " " * 8]
-        return all(self.ids_of(gap.join(["", *pieces, ""])) == apart == self.ids_of(gap.join(pieces)) and not self.ids_of(gap) for gap in gaps)
-
-    def _has_stems(self) -> bool:
-        """Whether this tokenizer lower-cases, cuts marks off words and asks its model for
-        byte-level words, as told by a few texts; if not, stems aren't used."""
-        known = self.ids_of("abc") + self.ids_of("é") + self.ids_of(".")
-        same = self.model_ids(b"abc") + self.model_ids("é".encode()) + self.ids_of(".")
-        cased = self.model_ids("façàÿade".encode()) == self.ids_of("FaÇÀÿADE")
-        return known == same and cased and self.ids_of("abc é.") == known and self.ids_of("abc.") == self.ids_of("abc") + self.ids_of(".")
-
-    def ids_of(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def model_ids(self, stem: bytes) -> list[int]:
-        text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.letters)
-        return [token.id for token in self.model.tokenize(text)]
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        self.cuts, self.has_stems = cuts_at_space(spec), has_stems(spec)
+        self.stems, self.tails = _Remembered(self._stem), _Remembered(self._whole)
+        self.pieces = _Remembered(self._piece if self.has_stems else self._whole)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
-    def __missing__(self, piece: bytes) -> bytes | None:
-        value = self.old.get(piece)
-        if value is None:
-            self.fresh.add(piece)
-        else:
-            self[piece] = value
-        return value
+    def _whole(self, text: bytes) -> bytes:
+        return self._packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
-    def _learn(self) -> None:
-        """Encode the pieces that the batch met for the first time."""
-        for piece in self.fresh:
-            bare = piece.rstrip(_TAIL)
-            if not self.has_stems:
-                stem = b""
-            elif bare.isalpha():
-                stem = bare.lower()
+    def _stem(self, stem: bytes) -> bytes:
+        text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.letters)
+        return self._packed([token.id for token in self.model.tokenize(text)])
+
+    def _piece(self, piece: bytes) -> bytes:
+        bare = piece.rstrip(_TAIL)
+        if bare.isalpha():
+            value = self.stems[bare.lower()]
+        elif _LATIN.fullmatch(bare):
+            value = self.stems[bare.decode().lower().encode()]
+        else:
+            return self._whole(piece)
+        return value + self.tails[piece[len(bare) :]] if len(bare) < len(piece) else value
+
+    def of(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
+        """The ids of each text and the end id."""
+        end, out = self._packed([end_id]), []
+        for text in texts:
+            if not text:
+                out.append(end)
+            elif self.cuts:
+                out.append(b"".join(map(self.pieces.__getitem__, text.split())) + end)
+                self.pieces = self.pieces.aged(_GENERATION)
             else:
-                stem = bare.decode().lower().encode() if _LATIN.fullmatch(bare) else b""
-            if not stem:
-                self[piece] = self._packed(self.ids_of(piece.decode()))
-                continue
-            value = self.stems.get(stem)
-            if value is None:
-                value = self.old_stems.get(stem)
-                if value is None:
-                    value = self._packed(self.model_ids(stem))
-                self.stems[stem] = value
-            if len(bare) < len(piece):
-                tail = piece[len(bare) :]
-                marks = self.tails.get(tail)
-                if marks is None:
-                    if len(self.tails) >= 4096:
-                        self.tails.clear()
-                    marks = self.tails[tail] = self._packed(self.ids_of(tail.decode()))
-                value += marks
-            self[piece] = value
-        self.fresh.clear()
-
-    def of_batch(self, texts: pa.Array, end_id: int) -> pa.Array:
-        """The ids of each text and the end id, as binaries.
-
-        The pieces of the whole batch are dictionary-encoded first, so that each different
-        piece is looked up once, and ids are gathered by arrays.
-        """
-        if not self.cuts:
-            whole = (self._packed([*self.ids_of(text or ""), end_id]) for text in texts.to_pylist())
-            return pa.array(whole, pa.large_binary())
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        pieces = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()
-        values = list(map(self.__getitem__, pieces))
-        if self.fresh:
-            self._learn()
-            values = [self[w] if v is None else v for w, v in zip(pieces, values, strict=True)]
-        ids = np.frombuffer(b"".join(values), self.kind)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
-        starts = np.cumsum(lengths) - lengths
-        which = coded.indices.to_numpy()
-        each = lengths[which]
-        ends = np.cumsum(each)
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - each), each)
-        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        offsets = upto + np.arange(len(upto))
-        out = np.full(offsets[-1], end_id, self.kind)
-        own = np.ones(len(out), bool)
-        own[offsets[1:] - 1] = False
-        out[own] = ids[source]
-        if len(self) > _GENERATION:
-            self.old = dict(self)
-            self.clear()
-        if len(self.stems) > _STEMS:
-            self.old_stems, self.stems = self.stems, {}
-        where = pa.py_buffer((offsets * self.kind.itemsize).astype(np.int64))
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, where, pa.py_buffer(out)])
+                out.append(self._whole(text) + end)
+        self.stems, self.tails = self.stems.aged(_STEMS), self.tails.aged(_TAILS)
+        return out
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -215,19 +193,14 @@ def piece_ids(name_or_path: str) -> PieceIds:
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """(doc_id, width, ids): the ids of each text and the end id, ``width`` bytes each."""
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-
-    place = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def encoded(batches):
         pieces = piece_ids(tokenizer)
-        for batch in batches:
-            ids = pieces.of_batch(batch.column(place[0]), end_id).cast(pa.binary())
-            width = pa.array(np.full(len(ids), pieces.kind.itemsize, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(place[1]), width, ids], names=["doc_id", "width", "ids"])
+        for b in batches:
+            ids = pieces.of(b["text"], end_id)
+            yield {"doc_id": b["doc_id"], "width": [pieces.kind.itemsize] * len(ids), "ids": ids}
 
-    bound_batches(docs.sparkSession, _ROWS)
-    return docs.mapInArrow(encoded, f"doc_id {kind}, width int, ids binary")
+    return map_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), encoded, f"doc_id {kind}, width int, ids binary")
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:

@@ -151,11 +151,14 @@ def brute_tokens(rows):
     return out
 
 
+HARD_TEXTS = ["Hello big", " a\n\n b\t", "", None, "the quick brown fox", "It'S 'S a''s don'T", "wow!!!? ok;: x!a", "abc<|endoftext|> <|ENDOFTEXT|>", "e\u0301 J\u030c j\u030c \u0301x A\u030angström", "ÀÉ× a÷b ﬁ K \x1cq \x85y\xa0z", "cd_ e-f g/h 12,5 a1.", "mask masked MASK, [mask]"]
+
+
 @pytest.mark.parametrize("name,cuts", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_ids_of_whole_texts_with_any_tokenizer(spark, tmp_path, name, cuts):
     pieces = token_store.piece_ids(name)
-    assert pieces.cuts == cuts
-    rows = [*cases.hard_documents()[:30], (700, "Hello big", "", "", 1), (701, " a\n\n b\t", "", "", 1), (702, "", "", "", 1), (703, None, "", "", 1)]
+    assert pieces.cuts == pieces.has_stems == cuts
+    rows = [*cases.hard_documents()[:30], *[(0, t, "", "", 1) for t in HARD_TEXTS]]
     rows = [(k, *r[1:]) for k, r in enumerate(rows)]
     got = {r["doc_id"]: np.frombuffer(r["ids"], f"<u{r['width']}").tolist() for r in token_store.tokenized(cases.frame(spark, rows), name).collect()}
     want = {r[0]: [*pieces.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
@@ -165,6 +168,56 @@ def test_ids_of_whole_texts_with_any_tokenizer(spark, tmp_path, name, cuts):
     assert [(r["n_tokens"], r["doc_id"]) for r in back] == [(len(want[r[0]]), r[0]) for r in rows]
 
 
+def _changed(change):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    change(spec)
+    return json.dumps(spec)
+
+
+def _added(content):
+    return lambda spec: spec["added_tokens"].append({"id": 60_000, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+
+
+@pytest.mark.parametrize(
+    "change,cuts,stems",
+    [
+        (lambda spec: None, True, True),
+        (lambda spec: spec["normalizer"]["normalizers"].pop(), True, False),
+        (_added("mask"), True, False),
+        (_added("x!"), True, False),
+        (_added("<a b>"), False, False),
+        (lambda spec: spec["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), False, False),
+        (lambda spec: spec["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True), False, False),
+        (lambda spec: spec.update(normalizer={"type": "NFKC"}), False, False),
+        (lambda spec: spec.update(truncation={"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}), False, False),
+    ],
+    ids=["as it is", "cased", "letters added", "letter and mark added", "space added", "isolated", "prefixed", "nfkc", "truncated"],
+)
+def test_shortcuts_follow_the_declaration(tmp_path, change, cuts, stems):
+    path = tmp_path / "t.json"
+    path.write_text(_changed(change))
+    pieces = token_store.PieceIds(str(path))
+    assert (pieces.cuts, pieces.has_stems) == (cuts, stems)
+    rng, parts = random.Random(7), [*(x for t in HARD_TEXTS if t for x in t.split(" ")), "x!", "<a b>", "Masks.", "naïve,", "1st"]
+    texts = [*HARD_TEXTS, *(rng.choice(["", " ", "\n"]).join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(150))]
+    want = [[*pieces.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(x, pieces.kind).tolist() for x in pieces.of([t and t.encode() for t in texts], 1)] == want
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_store, "_GENERATION", 50)
+    pieces = token_store.PieceIds(token_store.tokenizer_path("word_bpe_49k.json"))
+    texts = [cases.prose(k, 30).encode() for k in range(40)]
+    want = [[*pieces.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(x, pieces.kind).tolist() for x in pieces.of(texts, 1)] == want
+    assert len(pieces.pieces) <= 80 and len(pieces.pieces.old) <= 80 and not getattr(pieces.pieces.old, "old", None)
+
+
 @pytest.mark.parametrize("files", [1, 5])
 def test_token_files_read_back(spark, tmp_path, files, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK", 1000)
