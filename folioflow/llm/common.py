@@ -59,10 +59,25 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """``df`` as a table whose rows are dealt by ``keys`` into as many buckets as a shuffle has
+    partitions, so that a join on just these keys moves the other side only. Rows that come
+    from a join on the same keys are written where they are."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    for kept in _stored:
+        kept.add(path)
+    df.write.bucketBy(shuffle_parts(spark), *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._folioflow_path, out._folioflow_table = path, name
+    return out
+
+
 @contextmanager
 def temporary(spark: SparkSession):
-    """Every table that ``store`` or ``bucketed`` makes inside goes at the end, also after a failure; what is
-    wanted for longer must have been written elsewhere by then."""
+    """Every table that ``store`` or ``bucketed`` makes inside goes at the end, also after a
+    failure; what is wanted for longer must have been written elsewhere by then."""
     _stored.append(set())
     try:
         yield
@@ -74,6 +89,8 @@ def temporary(spark: SparkSession):
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
+        if getattr(df, "_folioflow_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._folioflow_table}")
         path = getattr(df, "_folioflow_path", None)
         if path:
             remove_path(df.sparkSession, path)

@@ -1,15 +1,17 @@
 """Line dedup: the first document that holds a line keeps it, all others lose it.
 
-Batches of ascending doc_id meet levelled sorted runs of line hashes. A batch first finds
-its own first holder of each key; what the runs don't have yet becomes a new run (a merge
-anti-join); then every line of the batch whose key belongs to a smaller doc_id, in a run or
-in the batch, is marked. Keys are 128-bit hashes. Only hashes and ids are shuffled by key;
-texts meet their document's list of dropped keys once, by doc_id.
+Batches of ascending doc_id meet levelled sorted runs of line hashes. A batch's lines are
+grouped by key first, so each key meets the runs once, however many rows have it; keys that
+the runs don't have yet become a new run (a merge anti-join). What is left are the keys that
+some document loses, with their first holder: stored, so that Spark splits the join of a very
+common one to the batch's lines. Keys are 128-bit hashes. Only hashes and ids are shuffled by
+key; texts meet the list of keys that their row loses once.
 
 Defined cases: a null or empty text is one empty line; keys under ``min_chars`` code points
 never drop; a null doc_id counts as a document behind all others; rows of the same doc_id
-are one document and keep each other's lines; an empty table gives an empty result; other
-columns don't take part.
+are one document and keep each other's lines; a doc_id may be of any type that has an order;
+texts of any length are taken whole; an empty table gives an empty result; other columns
+don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import SPACE, discard, map_rows, signed, store
 from .runs import Runs
@@ -28,7 +31,6 @@ MIN_CHARS = 10
 #: Batches that a whole table is dealt into, by ranges of doc_id.
 BATCHES = 4
 _STRIP = SPACE.encode()
-_LAST = 9223372036854775807
 
 
 def line_keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
@@ -48,8 +50,8 @@ def halves(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(owner, hi, lo): for each row the arrays of its distinct line hashes; owner is the
-    doc_id, behind all others where it is null."""
+    """(owner, row, hi, lo): for each row its doc_id, the hash of its text, and the arrays of its
+    distinct line hashes."""
 
     def hashed(batches):
         for b in batches:
@@ -58,62 +60,70 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 hi, lo = halves(list({h for h in hashed_keys(line_keys(text, min_chars)) if h}))
                 his.append(hi)
                 los.append(lo)
-            yield {"owner": [_LAST if d is None else d for d in b["doc_id"]], "hi": his, "lo": los}
+            yield {"owner": b["doc_id"], "row": b["row"], "hi": his, "lo": los}
 
-    return map_rows(docs.select("doc_id", "text"), hashed, "owner long, hi array<long>, lo array<long>")
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), hashed, f"owner {dict(docs.dtypes)['doc_id']}, row long, hi array<long>, lo array<long>")
 
 
-def batch_bounds(ids: DataFrame, batches: int) -> list[int]:
-    """Ends of ``batches`` ranges of owner with about as many rows each."""
-    if batches < 2:
-        return []
-    marks = ids.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    return sorted(set(marks))
+def batch_ranges(ids: DataFrame, batches: int) -> list:
+    """Conditions that deal owners to ``batches`` ascending ranges of about as many rows each,
+    null owners to the last; one range where owners aren't numbers."""
+    owner, marks = F.col("owner"), []
+    if batches > 1 and isinstance(ids.schema["owner"].dataType, NumericType):
+        marks = sorted(set(ids.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 1000)).first()[0] or []))
+    if not marks:
+        return [F.lit(True)]
+    inner = [(owner > low) & (owner <= high) for low, high in zip(marks, marks[1:], strict=False)]
+    return [owner <= marks[0], *inner, owner.isNull() | (owner > marks[-1])]
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
-    """(owner, hi, lo) of the keys that each document loses.
+    """(owner, row, keys) of the rows that lose some; keys are (hi, lo).
 
     ``runs`` is an index with columns hi, lo, first_owner to go on from; its documents come
     before all of ``docs``.
     """
-    spark = docs.sparkSession
     keyed = store(document_keys(docs, min_chars), "line-keys")
-    index = runs or Runs(spark, ["hi", "lo"], prefix="lines")
+    index = runs or Runs(docs.sparkSession, ["hi", "lo"], prefix="lines")
     lost = None
-    bounds = [None, *batch_bounds(keyed, batches), None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        part = keyed
-        if low is not None:
-            part = part.where(F.col("owner") > low)
-        if high is not None:
-            part = part.where(F.col("owner") <= high)
-        rows = part.select("owner", F.explode(F.arrays_zip("hi", "lo")).alias("k")).select("owner", "k.hi", "k.lo")
-        first = rows.groupBy("hi", "lo").agg(F.min("owner").alias("first_owner"))
-        index.add(index.absent(first))
-        later = index.present(rows).where(F.col("first_owner") < F.col("owner")).select("owner", "hi", "lo")
-        later = store(later.distinct(), "line-drops")
-        lost = later if lost is None else lost.unionByName(later)
-    if runs is None:
-        index.drop()
-    discard(keyed)
+    owner, holder = F.col("owner"), F.col("holder")
+    try:
+        for of_batch in batch_ranges(keyed, batches):
+            rows = keyed.where(of_batch).select("owner", "row", F.explode(F.arrays_zip("hi", "lo")).alias("k")).select("owner", "row", "k.hi", "k.lo")
+            ends = [F.min("owner").alias("holder"), F.max("owner").alias("last"), F.max(owner.isNull()).alias("unnamed")]
+            batch = store(rows.groupBy("hi", "lo").agg(*ends), "line-batch")
+            new = store(index.absent(index.dealt(batch)), "line-batch")
+            shared = new.where((holder < F.col("last")) | (F.col("unnamed") & holder.isNotNull())).select("hi", "lo", "holder", F.lit(False).alias("earlier"))
+            known = index.present(index.dealt(batch.select("hi", "lo")))
+            if known is not None:
+                shared = shared.unionByName(known.select("hi", "lo", F.col("first_owner").alias("holder"), F.lit(True).alias("earlier")))
+            shared = store(shared, "line-holders")
+            index.add(new.select("hi", "lo", F.col("holder").alias("first_owner")))
+            loses = F.when(F.col("earlier"), ~holder.eqNullSafe(owner)).otherwise(owner.isNull() | (holder < owner))
+            later = rows.join(shared, ["hi", "lo"]).where(loses)
+            part = store(later.groupBy("owner", "row").agg(F.collect_set(F.struct("hi", "lo")).alias("keys")), "line-drops")
+            lost = part if lost is None else lost.unionByName(part)
+            discard(batch, new, shared)
+    finally:
+        if runs is None:
+            index.drop()
+        discard(keyed)
     return lost
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of each row of ``docs``."""
     lost = dropped_keys(docs, min_chars, batches, runs)
-    lists = lost.groupBy("owner").agg(F.collect_list("hi").alias("hi"), F.collect_list("lo").alias("lo"))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("owner"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def rebuilt(batches_):
         for b in batches_:
             n_lines, n_dropped, kept = [], [], []
-            for text, hi, lo in zip(b["text"], b["hi"], b["lo"], strict=True):
+            for text, keys in zip(b["text"], b["keys"], strict=True):
                 text = text or b""
-                if hi:
-                    drop = {((h & (2**64 - 1)) << 64) | (x & (2**64 - 1)) for h, x in zip(hi, lo, strict=True)}
+                if keys:
+                    drop = {((k["hi"] & (2**64 - 1)) << 64) | (k["lo"] & (2**64 - 1)) for k in keys}
                     lines = text.split(b"\n")
                     left = [x for x, k in zip(lines, hashed_keys(line_keys(text, min_chars)), strict=True) if k not in drop]
                     n_lines.append(len(lines))
@@ -125,7 +135,8 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BAT
                     kept.append(text.decode())
             yield {"doc_id": b["doc_id"], "n_lines": n_lines, "n_dropped": n_dropped, "kept_text": kept}
 
-    joined = rows.join(lists, "owner", "left").select("doc_id", "text", "hi", "lo")
+    same = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("own") == F.col("row"))
+    joined = rows.join(lost, same, "left").select("doc_id", "text", "keys")
     return map_rows(joined, rebuilt, f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
 
 

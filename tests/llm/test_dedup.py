@@ -226,6 +226,28 @@ def test_lines_of_later_batches_meet_the_index(spark):
     index.drop()
 
 
+def test_lines_with_other_ids_and_columns(spark):
+    rows = cases.hard_documents()
+    names = {r[0]: f"id {r[0] or 0:06d}" if r[0] is not None else None for r in rows}
+    docs = cases.frame(spark, [(names[r[0]], *r[1:]) for r in rows], cases.DOCS.replace("doc_id long", "doc_id string"))
+    docs = docs.withColumns({c: F.lit(1) for c in ("owner", "row", "hi", "lo", "keys", "holder", "own")})
+    want = [(names[r[0]], *r[1:]) for r in brute_lines(rows)]
+    assert cases.ordered(map(tuple, line_dedup.deduplicated(docs).collect())) == cases.ordered(want)
+
+
+def test_lines_of_rows_without_id(spark):
+    common, rare = "a line that all of them hold", "a line that only rows without id hold"
+    rows = [(None, f"{common}\n{rare} \nown {k % 3}", "en", "s", 1) for k in range(9)]
+    assert {tuple(r) for r in line_dedup.deduplicated(cases.frame(spark, rows)).collect()} == {(None, 3, 0, r[1]) for r in rows}
+    got = line_dedup.deduplicated(cases.frame(spark, [*rows, (4, common.upper(), "en", "s", 1)])).collect()
+    assert {tuple(r) for r in got} == {(4, 1, 0, common.upper()), *((None, 3, 1, f"{rare} \nown {k}") for k in range(3))}
+    index = Runs(spark, ["hi", "lo"], prefix="unnamed")
+    for k, dropped in enumerate((0, 2, 0)):
+        part = [(None if k != 1 else 1, rows[0][1].replace("own 0", "own"), "en", "s", 1)]
+        assert [r["n_dropped"] for r in line_dedup.deduplicated(cases.frame(spark, part), runs=index).collect()] == [dropped]
+    index.drop()
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(_empty(spark)).count() == 0
 
