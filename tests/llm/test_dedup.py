@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import components, line_dedup, near_dedup, substring_dedup
-from folioflow.llm.common import Powers, WordHashes, shingles_of
+from folioflow.llm.common import Powers, shingles_of, tree_hashes, word_hashes
 from folioflow.llm.runs import Runs
 
 
@@ -115,9 +115,9 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_shingles_are_the_sets():
-    cache, powers = WordHashes(), Powers()
+    powers = Powers()
     for text in (b"", b"a", b"a b c", b"a b c d e", b"a a a a a a a", b"x y " * 50, cases.prose(3, 500).encode().lower()):
-        assert len(shingles_of(cache.of(text.split()), powers)) == len(cases.shingle_set(text.decode()))
+        assert len(shingles_of(word_hashes(text), powers)) == len(cases.shingle_set(text.decode()))
 
 
 # ---------------------------------------------------------------- repeated passages
@@ -168,6 +168,55 @@ def test_substrings_of_later_calls_meet_the_index(spark, width, gram, batches):
     index.drop()
 
 
+def thue_morse(n, swapped=False):
+    return " ".join("ab"[(k.bit_count() + swapped) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("width,gram", [(35, 12), (8, 3)])
+def test_patterned_texts_are_told_apart(spark, width, gram):
+    plain = cases.prose(12, 10)
+    rows = [(1, f"{plain} {thue_morse(1024)}"), (2, f"{plain} {thue_morse(1024, True)}"), (3, f"{thue_morse(2048)} {plain}"), (4, f"{thue_morse(2048, True)} {plain}"), (5, "a b " * 30), (6, "b a " * 30 + "c")]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    got = substring_dedup.deduplicated(cases.frame(spark, rows), width, gram).drop("kept_text").collect()
+    assert cases.ordered(map(tuple, got)) == cases.ordered(brute_substrings(rows, width))
+
+
+def test_patterns_do_not_cancel_out():
+    a, b = (word_hashes(thue_morse(4096, swapped).encode()) for swapped in (False, True))
+    assert Powers().windows(a, 4096)[0] == Powers().windows(b, 4096)[0]  # sums of powers do
+    assert tree_hashes(a, 4096, 1)[0] != tree_hashes(b, 4096, 1)[0]
+    short = np.array([1, 2, 3, 1, 2, 3, 1, 2], np.uint64)
+    for width in (1, 2, 3, 5, 8, 9):
+        got = tree_hashes(short, width, 7).tolist()
+        want = [tuple(short[k : k + width]) for k in range(len(short) - width + 1)]
+        assert len(got) == len(want) and all((x == y) == (v == w) for x, v in zip(got, want, strict=True) for y, w in zip(got, want, strict=True))
+
+
+def test_words_are_told_apart():
+    rng = random.Random(3)
+    for _ in range(100):
+        words = [bytes(rng.choices(b"abXY\xc3\xa9", k=rng.choice([1, 2, 5, 63, 64, 65, 300]))) for _ in range(12)]
+        text = b"".join(rng.choice([b" ", b"\n\n", b" \t\x0b\x0c\r"]) + w for w in words)
+        got = word_hashes(text)
+        assert all((x == y) == (v == w) for x, v in zip(got, words, strict=True) for y, w in zip(got, words, strict=True))
+    assert len(word_hashes(b" \n")) == len(word_hashes(None)) == 0
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = cases.prose(5, 4000).encode() + b" " + b"x" * 5000 + b" end"
+    whole = word_hashes(text)
+    monkeypatch.setattr("folioflow.llm.common._PIECE", 100)
+    assert (word_hashes(text) == whole).all() and len(whole) == len(text.split())
+
+
+def test_substrings_with_other_ids_and_columns(spark):
+    rows = [*cases.hard_documents(), (300, cases.prose(301, 30_000), "en", "s", 1), (302, f"{cases.prose(303, 3)} {cases.prose(301, 30_000)}", "en", "s", 1)]
+    docs = cases.frame(spark, [(f"id-{r[0]}" if r[0] is not None else None, *r[1:]) for r in rows], cases.DOCS.replace("doc_id long", "doc_id string"))
+    docs = docs.withColumns({c: F.lit("own") for c in ("nid", "th", "hi", "lo", "sha", "once", "names", "copies", "at", "one", "two", "starts")})
+    want = [(f"id-{i}" if i is not None else None, *rest) for i, *rest in brute_substrings(rows, 35)]
+    assert cases.ordered(map(tuple, substring_dedup.deduplicated(docs).drop("kept_text").collect())) == cases.ordered(want)
+
+
 def test_kept_text_has_its_digest(spark):
     rows = substring_dedup.deduplicated(cases.frame(spark, cases.hard_documents())).where("kept_text IS NOT NULL").collect()
     assert rows and all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in rows)
@@ -180,7 +229,7 @@ def test_substrings_of_nothing(spark):
 def test_names_are_shared_by_equal_windows():
     w = substring_dedup.Windows(35, 12)
     words = cases.prose(1, 300).encode().split()
-    a, b = w.grams(w.hashes(words)), w.grams(w.hashes(words[100:]))
+    a, b = w.grams(word_hashes(b" ".join(words))), w.grams(word_hashes(b" ".join(words[100:])))
     names = w.names(a)
     assert len(names) == len(words) - 34 and (names[100:] == w.names(b)).all()
     assert names[0] == a[:24].min() and names[-1] == a[-24:].min()
