@@ -92,9 +92,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BAT
             rows = keyed.where(of_batch).select("owner", "row", F.explode(F.arrays_zip("hi", "lo")).alias("k")).select("owner", "row", "k.hi", "k.lo")
             ends = [F.min("owner").alias("holder"), F.max("owner").alias("last"), F.max(owner.isNull()).alias("unnamed")]
             batch = store(rows.groupBy("hi", "lo").agg(*ends), "line-batch")
-            new = store(index.absent(index.dealt(batch)), "line-batch")
+            new = store(index.absent(batch), "line-batch")
             shared = new.where((holder < F.col("last")) | (F.col("unnamed") & holder.isNotNull())).select("hi", "lo", "holder", F.lit(False).alias("earlier"))
-            known = index.present(index.dealt(batch.select("hi", "lo")))
+            known = index.present(batch.select("hi", "lo"))
             if known is not None:
                 shared = shared.unionByName(known.select("hi", "lo", F.col("first_owner").alias("holder"), F.lit(True).alias("earlier")))
             shared = store(shared, "line-holders")

@@ -133,7 +133,7 @@ def suspects(classes: DataFrame, index: Runs, batches: int) -> DataFrame:
         part = classes.where(F.pmod(F.xxhash64(*_CLASS), F.lit(batches)) == k) if batches > 1 else classes
         single = part.select(F.explode("once").alias("name"), F.least("copies", F.lit(2)).alias("n"))
         rows = single.unionByName(part.select(F.explode("often").alias("name"), F.lit(2).alias("n")))
-        batch = store(index.dealt(rows.groupBy("name").agg(F.sum("n").alias("n"))), "names")
+        batch = store(rows.groupBy("name").agg(F.sum("n").alias("n")), "names")
         found = batch.where("n > 1").select("name")
         known = index.present(batch.select("name"))
         if known is not None:
@@ -205,7 +205,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     try:
         named = suspects(classes, own, batches)
         if index is not None and index.tables:
-            met = index.dealt(classes.select(F.explode(F.concat("once", "often")).alias("name")).distinct())
+            met = classes.select(F.explode(F.concat("once", "often")).alias("name")).distinct()
             held = store(index.present(met).select("name", "one", "two"), "history")
             named = named.unionByName(held.select("name")).distinct()
         named = store(named, "suspects")
@@ -214,7 +214,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
 
     each = classes.select(*_ROW, *_CLASS, "copies", F.explode(F.concat("once", "often")).alias("name"))
     wanted = each.join(named, "name").groupBy(*_ROW, *_CLASS, "copies").agg(F.collect_list("name").alias("names"))
-    texts = named_rows(docs).drop("doc_id").join(store(wanted, "wanted"), list(_ROW))
+    texts = named_rows(docs).drop("doc_id").join(store(wanted, "wanted").hint("merge"), list(_ROW))
     doubtful = hashed_windows(texts, width, gram)
     # rows that repeat an id and a text come several times; only classes of many copies have any
     repeated = scan.join(classes.where("copies > 1").select(*_ROW), list(_ROW)).groupBy(*_ROW).count().where("count > 1")

@@ -92,19 +92,66 @@ def test_near_dedup_of_nothing(spark):
     assert near_dedup.grouped(cases.frame(spark, [(1, None, None, None, None), (None, "", "", "", 0)])).select("component_id").orderBy("component_id").collect() == [(None,), (1,)]
 
 
-def test_odd_sketches_estimate_similarity():
-    rng = np.random.default_rng(0)
-    for share in (0.5, 0.8, 0.9, 1.0):
-        own = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
-        other = own.copy()
-        cut = round(3000 * (1 - share) / (1 + share))
-        other[:cut] = rng.integers(0, 1 << 63, cut, dtype=np.uint64)
-        a, b = (np.frombuffer(near_dedup.odd_sketch(near_dedup.minhashes(x)), np.uint64) for x in (own, other))
-        differing = np.bitwise_count(a ^ b).sum()
-        k, n = near_dedup.BANDS * near_dedup.ROWS, near_dedup.SKETCH_BITS
-        estimate = 1 + n / (4 * k) * np.log(max(1 - 2 * differing / n, 1e-9))
-        assert abs(estimate - share) < 0.2
-        assert share < 0.85 or differing <= near_dedup.most_differing(0.85)
+@pytest.mark.parametrize("share,off", [(0.5, 0.12), (0.8, 0.08), (0.85, 0.07), (0.9, 0.06), (0.95, 0.05), (1.0, 0.0)])
+def test_odd_sketches_estimate_similarity(share, off):
+    rng = np.random.default_rng(int(100 * share))
+    for size in (300, 3000):
+        seen = []
+        for _ in range(25):
+            own = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+            other = own.copy()
+            cut = round(size * (1 - share) / (1 + share))
+            other[:cut] = rng.integers(0, 1 << 63, cut, dtype=np.uint64)
+            a, b = (np.frombuffer(near_dedup.odd_sketch(x), np.uint64) for x in (own, other))
+            seen.append(int(np.bitwise_count(a ^ b).sum()))
+        estimates = near_dedup.estimated(np.array(seen))
+        assert abs(estimates - share).max() <= off and abs(estimates.mean() - share) <= off / 3
+        if share >= 0.85:
+            assert max(seen) <= near_dedup.most_differing(0.85)
+
+
+def test_odd_sketches_rule_out_what_is_far():
+    assert 0.73 < near_dedup.estimated(near_dedup.most_differing(0.85)) < 0.85
+    assert 0.65 < near_dedup.estimated(near_dedup.most_differing(0.80)) < 0.80
+
+
+def test_a_large_family_is_compared_with_its_leader(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 64)
+    base, rng = cases.prose(4, 300).split(), random.Random(8)
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        words[rng.randrange(300)] = f"w{k}"  # all members are near the base, and so one component
+        rows.append((k, " ".join(words), "en", "s", 1))
+    seen = []
+    real = near_dedup.links_of_outsiders
+    monkeypatch.setattr(near_dedup, "links_of_outsiders", lambda told, *rest: seen.append(told.count()) or real(told, *rest))
+    got = near_dedup.grouped(cases.frame(spark, rows, parts=6), (85, 100)).select("component_id").distinct().collect()
+    assert got == [(0,)] and seen[0] < 20 * len(rows)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_families_of_several_components(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block)
+    base = cases.prose(14, 300).split()
+    rows, rng = [], random.Random(9)
+    for k in range(120):  # members drift away from the base, some beyond the similarity
+        words = list(base)
+        for at in rng.sample(range(300), k // 12):
+            words[at] = f"x{k % 7}"
+        rows.append((k, " ".join(words), "en", "s", 1))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.grouped(cases.frame(spark, rows), (85, 100)).collect()}
+    want = {r[0]: k for r, k in zip(rows, cases.components(rows, 85, 100), strict=True)}
+    assert got == want and 2 < len(set(want.values())) < 100
+
+
+def test_near_dedup_with_other_ids(spark):
+    rows = cases.hard_documents()
+    names = {r[0]: f"id {r[0]:06d}" if r[0] is not None else None for r in rows}
+    docs = cases.frame(spark, [(names[r[0]], *r[1:]) for r in rows], cases.DOCS.replace("doc_id long", "doc_id string"))
+    got = near_dedup.grouped(docs, (85, 100)).select("doc_id", "n_shingles", "component_id").collect()
+    want = [(names[r[0]], len(cases.shingle_set(r[1])), names[k]) for r, k in zip(rows, cases.components(rows, 85, 100), strict=True)]
+    assert cases.ordered(map(tuple, got)) == cases.ordered(want)
 
 
 def test_components_of_chains_and_stars(spark):
