@@ -51,7 +51,7 @@ SAMPLES, SKETCH_BITS = 512, 2048
 #: Standard errors by which a pair's sketches must be farther apart than at the threshold.
 MARGIN = 6.0
 #: Classes and bytes of sets in one block of a family.
-BLOCK_CLASSES, BLOCK_BYTES = 384, 12 << 20
+BLOCK_CLASSES, BLOCK_BYTES = 192, 6 << 20
 
 _BAND = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
