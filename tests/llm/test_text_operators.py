@@ -51,6 +51,28 @@ def test_measured_order_puts_rejecting_rules_first(spark):
     assert quality_rules.judged(docs, [never, always]).where("rejected_by = 'always'").count() == docs.count()
 
 
+def test_dear_rules_come_last_every_time(spark):
+    dear = quality_rules.Rule("a dear one", lambda text, w: quality_rules.n_repeat_words(w) >= 0)
+    cheap = quality_rules.Rule("cheap", lambda text, w: F.size(w) >= 0)
+    docs = cases.frame(spark, [(k, cases.prose(k, 400), "en", "s", 1) for k in range(100)])
+    assert [[r.name for r in quality_rules.measured_order(docs, [dear, cheap], 100)] for _ in range(10)] == [["cheap", "a dear one"]] * 10
+
+
+def test_cascade_counts_what_is_left():
+    a, b, c, d = (quality_rules.Rule(n, None) for n in "abcd")
+    rows = [(1, 1, 0, 0)] * 5 + [(1, 0, 0, 0)] * 3 + [(0, 0, 1, 0)] * 1 + [(0, 0, 0, 0)] * 10
+    order = lambda *costs: "".join(r.name for r in quality_rules.cascade([a, b, c, d], costs, rows))
+    assert order(1, 1, 1, 1) == "acbd"  # all that b rejects is gone when a has been
+    assert order(4, 1, 1, 0.5) == order(100, 1, 30, 30) == "bcad"
+    assert [r.name for r in quality_rules.cascade([d, c], [2, 1], [])] == ["c", "d"]
+
+
+def test_sample_is_from_all_over(spark):
+    rows = [(k, f"part {k // 500} row {k}", "en", "s", 1) for k in range(4000)]
+    sample = quality_rules.sampled(spark.createDataFrame(rows, cases.DOCS).repartitionByRange(8, "doc_id"), 200).collect()
+    assert 120 < len(sample) < 300 and len({r["words"][1] for r in sample}) == 8
+
+
 def test_rules_of_nothing(spark):
     assert quality_rules.kept_documents(_empty(spark)).count() == 0
 
@@ -258,6 +280,30 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.training_rows(docs, marks, 50).where(out).count() == 0
 
 
+def test_learning_equals_plain_ftrl(spark):
+    rows, labels = _labelled(90)
+    docs, marks = cases.frame(spark, rows).withColumns({c: F.lit(1) for c in ("place", "label", "index", "value", "epoch")}), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights = quality_classifier.trained(docs, marks, epochs=2)
+    features = quality_classifier.Features()
+    ids = training = quality_classifier.training_rows(docs, marks).orderBy("place").collect()
+    z, n, w_of = {}, {}, lambda i: 0.0 if abs(z.get(i, 0.0)) <= 0.02 else -(z[i] - np.sign(z[i]) * 0.02) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.1)
+    for row in ids + training:
+        at, x = (v.tolist() for v in features.of(row["text"].encode()))
+        w = {i: w_of(i) for i in at}
+        p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in zip(at, x, strict=True))))
+        for i, v in zip(at, x, strict=True):
+            g = (p - row["label"]) * v
+            s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.5
+            z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+    want = np.zeros(len(weights))
+    for i in z:
+        want[i] = w_of(i)
+    assert np.allclose(weights, want, atol=1e-5) and np.count_nonzero(want) > 100
+    for r in quality_classifier.scored(docs, weights).collect():
+        at, x = features.of(dict((d, t) for d, t, *_ in rows)[r["doc_id"]].encode())
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-sum(float(weights[i]) * v for i, v in zip(at, x, strict=True)))))
+
+
 def test_scores_of_hard_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = cases.frame(spark, cases.hard_documents())
@@ -323,6 +369,23 @@ def test_conversations_in_order(spark):
     assert got == {1: [("system", "first"), ("user", "b"), ("assistant", ""), ("assistant", "x")], None: [("user", "q")], 2: [("", "")]}
 
 
+@pytest.mark.parametrize("most", [3, 50])
+def test_large_trees_are_dealt_by_path(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "MOST_TURNS", most)
+    rows = _trees()
+    docs = cases.frame(spark, rows, TREE).withColumns({c: F.lit(1) for c in ("tree", "node", "leaf", "above", "said", "paths")})
+    got = chat.formatted(docs).collect()
+    assert cases.ordered((r["tree_id"], r["leaf_id"], round(r["path_score"], 6), chat.parsed(r["formatted"])) for r in got) == cases.ordered((t, n, round(s, 6), p) for t, n, s, p in brute_paths(rows))
+
+
+def test_texts_of_chats_move_once(spark):
+    rows = [(k, t, "user", "x", "other") for k in range(20) for t in range(5)]
+    chats = chat.formatted(chat.linear(cases.frame(spark, rows, "conv_id long, turn long, role string, text string, tree string")))
+    plan = chats._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(tree" in line]
+    assert len(moved) <= 3 and chats.count() == 20, plan
+
+
 def test_no_chats(spark):
     assert chat.formatted(spark.createDataFrame([], TREE)).count() == 0
     assert chat.formatted(chat.linear(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
