@@ -4,14 +4,16 @@ Words are runs of letters and digits, and runs of marks. Features are hashes of
 pairs of words, and of the event that a word repeats the one before, as counts of unit
 length. The learner reads at most ``TRAIN_ROWS`` labelled rows, the same ones on every run,
 chosen by a hash of their ids; their texts are found by a broadcast of those ids, so no text
-is shuffled. Their sparse features go through one task in a fixed order for some epochs. The
-weights, 2**BITS floats however large the corpus is, are broadcast, and every text is scored
+is shuffled. Their sparse features, stored, stream through one task in a fixed order, once for
+each epoch, sorted by Spark; the task holds the model and one batch, whatever the texts'
+lengths. The weights, 2**BITS floats however large the corpus is, are broadcast, and every text is scored
 as one sparse dot product.
 
 Defined cases: a null or empty text has no features and gets the bias' score; rows whose
 label is null don't train; of several labels of one id the least holds; without any label
 all scores are 0.5; a null doc_id is never a training row nor held out; repeated rows score
-alike; an empty table gives an empty result; other columns are never read.
+alike; texts of any length are taken whole; an empty table gives an empty result; other
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,23 +100,20 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs:
             index = [i.astype("<u4").tobytes() for i, _ in both]
             yield {k: b[k] for k in ("place", "doc_id", "label")} | {"index": index, "value": [v.tobytes() for _, v in both]}
 
-    ready = map_rows(training_rows(docs, labels, rows), featured, "place long, doc_id long, label int, index binary, value binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    ready = map_rows(training_rows(docs, labels, rows), featured, f"place long, doc_id {kind}, label int, index binary, value binary")
 
     def learned(batches):
-        held = [
-            (place, doc_id, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, np.float32), label)
-            for b in batches
-            for place, doc_id, i, v, label in zip(b["place"], b["doc_id"], b["index"], b["value"], b["label"], strict=True)
-        ]
-        held.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
         model = Ftrl((1 << BITS) + 1)
-        for _ in range(epochs):
-            for _, _, index, value, label in held:
-                model.learn(index, value, 1 if label else 0)
+        for b in batches:
+            for index, value, label in zip(b["index"], b["value"], b["label"], strict=True):
+                model.learn(np.frombuffer(index, "<u4").astype(np.int64), np.frombuffer(value, np.float32), 1 if label else 0)
         yield {"weights": [model.weights().astype("<f4").tobytes()]}
 
     sample = store(ready, "features", "lz4")
-    got = map_rows(sample.coalesce(1), learned, "weights binary").collect()
+    each = sample.coalesce(1).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    ordered = each.sortWithinPartitions("epoch", "place", "doc_id", F.octet_length("index"), "value", "index")
+    got = map_rows(ordered.select("label", "index", "value"), learned, "weights binary").collect()
     discard(sample)
     return np.frombuffer(bytes(got[0]["weights"]), "<f4") if got else np.zeros((1 << BITS) + 1, np.float32)
 
