@@ -7,7 +7,9 @@ that refer to it. Digests are grouped first, so only digests and ids meet by pay
 groups join the pages as an ordinary equi-join, whose hot partitions Spark splits.
 
 The reader finds the members through the central (or ZIP64) directory, reads the index, and
-fetches records by ranges, neighbours together up to some MB.
+fetches records by ranges, neighbours together up to some MB. Checksums of members and digests
+of responses are held against what was read, and what a revisit says of its payload against
+the response that it names.
 
 Defined cases: a null html is an empty payload; rows of the least page_id of a payload are
 all responses, also where it is repeated; a null page_id only revisits, unless all of its
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch_path, write_json
+from .common import map_rows, scratch_path, store, write_json
 from .files import opened, qualified, read_manifest, replaced
 from .zip_reader import ZipRanges
 
@@ -106,18 +108,20 @@ def write_package(out, rows: Iterator[tuple]) -> int:
 def read_package(f, size: int) -> Iterator[tuple[dict, dict, dict, bytes]]:
     """(index entry, WARC headers, HTTP headers, payload) of each record, fetched by ranges."""
     ranges = ZipRanges(f.read_at, size)
-    base = ranges.data_at(DATA)
+    base, crc, seen = ranges.data_at(DATA), 0, 0
     batch: list[dict] = []
     for line in [*ranges.read(INDEX).splitlines(), None]:
         entry = json.loads(line) if line else None
         if batch and (entry is None or entry["offset"] + entry["length"] - batch[0]["offset"] > _RANGE):
             first = batch[0]["offset"]
             raw = f.read_at(batch[-1]["offset"] + batch[-1]["length"] - first, base + first)
+            crc, seen = zlib.crc32(raw, crc), seen + len(raw)
             for e in batch:
                 yield e, *parsed(zlib.decompress(raw[e["offset"] - first : e["offset"] - first + e["length"]], wbits=31))
             batch = []
         if entry:
             batch.append(entry)
+    ranges.check(DATA, seen, crc)
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -125,6 +129,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.when(F.octet_length(payload) >= min_bytes, F.unhex(F.sha2(payload, 256))).alias("digest"))
     groups = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    groups = store(groups, "payloads")
     long = keyed.where("digest IS NOT NULL").join(groups, "digest", "left")
     refers = F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first"))
     short = keyed.where("digest IS NULL").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
@@ -188,13 +193,24 @@ def read_packages(spark: SparkSession, manifest: str) -> DataFrame:
     return map_rows(which, told, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def held_together(records: DataFrame) -> DataFrame:
+    """``records``, stored, if every revisit names a response of its length and digest; else an error."""
+    kept = store(records, "records")
+    same = ["payload_bytes", "payload_digest", "refers_to"]
+    answers = kept.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    alone = kept.where("record_type = 'revisit'").join(answers, same, "left_anti").select("page_id", "refers_to").first()
+    if alone:
+        raise ValueError(f"page {alone['page_id']} revisits page {alone['refers_to']}, which has no such response")
+    return kept
+
+
 # ---------------------------------------------------------------- query
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Every page as its record says, read back from the packages."""
     manifest = write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_packages(spark, manifest).drop("url")
+    return held_together(read_packages(spark, manifest)).drop("url")
 
 
 OP5_SQL = """

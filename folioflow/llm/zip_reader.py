@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from dataclasses import dataclass
 
 _END, _END64, _LOCATOR, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -82,7 +83,15 @@ class ZipRanges:
         return member.header_at + 30 + n_name + n_extra
 
     def read(self, name: str) -> bytes:
-        return self.read_at(self.members[name].size, self.data_at(name))
+        raw = self.read_at(self.members[name].size, self.data_at(name))
+        self.check(name, len(raw), zlib.crc32(raw))
+        return raw
+
+    def check(self, name: str, size: int, crc: int) -> None:
+        """Hold what was read of a whole member against the directory."""
+        member = self.members[name]
+        if (size, crc) != (member.size, member.crc):
+            raise BadZip(f"{name} is damaged: {size} bytes of {member.size}, checksum {crc:08x} for {member.crc:08x}")
 
 
 def _widened(extra: bytes, *values: int) -> list[int]:

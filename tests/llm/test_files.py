@@ -9,6 +9,7 @@ import zlib
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import huffman, token_store, warc
 from folioflow.llm.files import opened, read_manifest
@@ -54,6 +55,27 @@ def test_records_read_back(spark, tmp_path):
             assert z.read(warc.INDEX).count(b"\n") == p["n"]
 
 
+def test_damage_is_noticed(spark, tmp_path):
+    rows = _pages()
+    docs = cases.frame(spark, rows, PAGES).withColumns({c: F.lit(1) for c in ("digest", "first", "n", "refers_to")})
+    manifest = warc.write_packages(docs, str(tmp_path / "w"))
+    records = warc.read_packages(spark, manifest)
+    assert warc.held_together(records).count() == len(rows)
+    wrong = records.withColumn("payload_bytes", F.col("payload_bytes") + F.when(F.col("record_type") == "revisit", 1).otherwise(0))
+    with pytest.raises(ValueError, match="no such response"):
+        warc.held_together(wrong)
+    folder = manifest.rpartition("/")[0].removeprefix("file:")
+    name = read_manifest(manifest)["packages"][0]["name"]
+    raw = bytearray(open(f"{folder}/{name}", "rb").read())
+    for at in (raw.index(b"archive/data.warc.gz") + 40, raw.index(b'"page_id"')):
+        bad = bytearray(raw)
+        bad[at + 12] ^= 1
+        with pytest.raises(Exception):  # noqa: B017 gzip, JSON or the directory's checksum
+            list(warc.read_package(_Bytes(bytes(bad)), len(bad)))
+    with pytest.raises(BadZip, match="damaged"):
+        ZipRanges(_Bytes(bytes(raw)).read_at, len(raw)).check(warc.DATA, 1, 2)
+
+
 def test_no_pages(spark, tmp_path):
     manifest = warc.write_packages(spark.createDataFrame([], PAGES), str(tmp_path / "w"))
     assert warc.read_packages(spark, manifest).count() == 0
@@ -222,7 +244,8 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
 def test_token_files_read_back(spark, tmp_path, files, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK", 1000)
     rows = cases.hard_documents() + [(700 + k, t, "", "", 1) for k, t in enumerate(["It'S 'S a''s", "wow!!!? ok;: x!a", " lead", "trail \n", "abc<|endoftext|> <|ENDOFTEXT|>", "ÀÉ× a÷b Ångström ﬁ K \x1cq", "cd_ e-f g/h 12,5 a1."])]
-    manifest = token_store.write_tokens(cases.frame(spark, rows), str(tmp_path / "t"), files=files)
+    docs = cases.frame(spark, rows).withColumns({c: F.lit("own") for c in ("ids", "width", "id", "n", "n_tokens", "start")})
+    manifest = token_store.write_tokens(docs, str(tmp_path / "t"), files=files)
     got = token_store.read_tokens(spark, manifest).orderBy("start").collect()
     assert [tuple(r) for r in got] == brute_tokens(rows)
     assert read_manifest(manifest)["n_tokens"] == sum(r["n_tokens"] for r in got)
