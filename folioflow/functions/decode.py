@@ -4,8 +4,8 @@ A reply counts only if it is exactly one object with known keys of the right typ
 is stripped or coerced: prose, fences, several values and other shapes are malformed. The
 reply is parsed inside brackets, so that whatever stands around the object shows.
 
-Known limits of the built-in parser: a key given twice makes a reply malformed, keys are
-compared with case, and a stray ``]`` behind the object isn't noticed.
+Keys are compared without regard to case, and of a key given several times the last holds.
+Known limit of the built-in parser: a stray ``]`` behind the object isn't noticed.
 """
 
 from __future__ import annotations
@@ -22,29 +22,41 @@ OPTIONAL_TEXTS = ("correspondent", "document_date", "due_date", "reference", "de
 KEYS = (*REQUIRED_TEXTS, "tags", *OPTIONAL_TEXTS)
 
 
+def _parsed(df, value: Column) -> Column:
+    """The array that ``value`` says, as a variant; of equal keys the last holds."""
+    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name, None)
+    conf.set(name, "true")  # taken into the expression when it is resolved
+    try:
+        return df.withColumn("_all", F.try_parse_json(value))
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def with_fields(df, reply: str = "reply"):
     """Add ``fields``, a struct of the reply's values, and ``malformed``, why there are none."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(reply), F.lit("]")))
-    df = df.withColumn("_all", wrapped)
+    df = _parsed(df, F.concat(F.lit("["), F.col(reply), F.lit("]")))
     df = df.withColumn("_one", F.try_variant_get("_all", "$[0]", "variant")).withColumn("_two", F.try_variant_get("_all", "$[1]", "variant"))
     df = df.withColumn("_keys", F.json_object_keys(reply)).withColumn("_shape", F.schema_of_variant("_one"))
-    kinds = {k: F.schema_of_variant(F.try_variant_get("_one", f"$.{k}", "variant")) for k in KEYS}
+    df = df.withColumn("_values", F.try_variant_get("_one", "$", "map<string,variant>"))
+    written = lambda key: F.try_element_at(F.filter("_keys", lambda k: F.lower(k) == key), F.lit(-1))
+    df = df.withColumns({f"_{k}": F.try_element_at("_values", written(k)) for k in KEYS})
     wrong = F.lit(None).cast("string")
     for key in reversed(KEYS):
-        kind = F.coalesce(kinds[key], F.lit("VOID"))
+        kind = F.coalesce(F.schema_of_variant(f"_{key}"), F.lit("VOID"))
         good = kind.isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>") if key == "tags" else kind.isin("VOID", "STRING")
         wrong = F.when(~good, F.lit(f"{key} has another type")).otherwise(wrong)
     reason = (
         F.when(F.col("_one").isNull(), F.lit("not JSON"))
         .when(F.col("_two").isNotNull(), F.lit("more than one JSON value"))
         .when(~F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False)) | F.col("_keys").isNull(), F.lit("not an object"))
-        .when(F.exists("_keys", lambda k: ~k.isin(*KEYS)), F.lit("unknown key"))
+        .when(F.exists("_keys", lambda k: ~F.lower(k).isin(*KEYS)), F.lit("unknown key"))
         .otherwise(wrong)
     )
-    texts = [F.try_variant_get("_one", f"$.{k}", "string").alias(k) for k in (*REQUIRED_TEXTS, *OPTIONAL_TEXTS)]
-    tags = F.try_variant_get("_one", "$.tags", "array<string>").alias("tags")
+    texts = [F.try_variant_get(f"_{k}", "$", "string").alias(k) for k in (*REQUIRED_TEXTS, *OPTIONAL_TEXTS)]
+    tags = F.try_variant_get("_tags", "$", "array<string>").alias("tags")
     df = df.withColumn("malformed", reason).withColumn("fields", F.when(F.col("malformed").isNull(), F.struct(*texts, tags)))
-    return df.drop("_all", "_one", "_two", "_keys", "_shape")
+    return df.drop("_all", "_one", "_two", "_keys", "_shape", "_values", *[f"_{k}" for k in KEYS])
 
 
 def missing_field(fields: Column) -> Column:

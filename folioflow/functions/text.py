@@ -80,9 +80,14 @@ def elided(x: Column) -> Column:
 
 
 def cut_bytes(x: Column, most: int) -> Column:
-    """The first ``most`` bytes of ``x`` as text, without a character that the cut would split."""
-    raw = F.substring(F.encode(x, "UTF-8"), 1, most)
-    return F.regexp_replace(F.decode(raw, "UTF-8"), "�+\\z", "")
+    """The first ``most`` bytes of ``x`` as text, without a character that the cut would split:
+    the longest head that isn't followed by a byte which goes on with a character."""
+    raw = F.encode(x, "UTF-8")
+    goes_on = lambda at: F.hex(F.substring(raw, at + 1, 1)).between("80", "BF")
+    out = F.substring(raw, 1, most - 3)
+    for at in (most - 2, most - 1, most):
+        out = F.when(~goes_on(at), F.substring(raw, 1, at)).otherwise(out)
+    return out.cast("string")
 
 
 def snippet(x: Column) -> Column:

@@ -7,7 +7,7 @@ normalising, vocabularies, rules and error precedence all run. It says nothing a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import decode, mime, naming, normalise, text
@@ -33,34 +33,34 @@ def sample_config() -> Config:
     """Four types, free tags, five rules and no default, so that every outcome occurs."""
     return Config(
         archive_root="/archive",
-        types=Vocabulary("courrier", ["facture", "contrat", "releve-bancaire", "courrier"]),
+        types=Vocabulary("minutes", ["protocol", "calibration", "part-order", "minutes"]),
         rules=[
-            RuleSpec("voiture", "facture", ["voiture"], "", "factures/voiture/{{.Year}}"),
-            RuleSpec("factures", "facture", [], "", "factures/{{.Correspondent}}/{{.Year}}"),
-            RuleSpec("contrats-src3", "contrat", [], "src3", "contrats/special"),
-            RuleSpec("contrats", "contrat", [], "", "contrats/{{.Correspondent}}"),
-            RuleSpec("releves", "releve-bancaire", [], "", "banque/{{.Type}}"),
+            RuleSpec("urgent", "protocol", ["urgent"], "", "protocols/urgent/{{.Year}}"),
+            RuleSpec("protocols", "protocol", [], "", "protocols/{{.Correspondent}}/{{.Year}}"),
+            RuleSpec("calibrations-src3", "calibration", [], "src3", "calibrations/bench-3"),
+            RuleSpec("calibrations", "calibration", [], "", "calibrations/{{.Correspondent}}"),
+            RuleSpec("orders", "part-order", [], "", "stores/{{.Type}}"),
         ],
-        archive=Archive("upload", ["put", "--title", "{{.Title}}", "--created={{.DocumentDate}}", "{{.Path}}"], ["--tag", "{{.}}"]),
+        archive=Archive("send", ["add", "--name", "{{.Title}}", "--on={{.DocumentDate}}", "{{.Path}}"], ["--label", "{{.}}"]),
     ).validate()
 
 
 def _type_of(lang):
-    return F.when(lang == "en", "facture").when(lang == "fr", "contrat").when(lang == "de", "releve-bancaire").otherwise("courrier")
+    return F.when(lang == "en", "protocol").when(lang == "fr", "calibration").when(lang == "de", "part-order").otherwise("minutes")
 
 
 def _day_of(id_):
     month, day = F.lpad((id_ % 12 + 1).cast("string"), 2, "0"), F.lpad((id_ % 31 + 1).cast("string"), 2, "0")
-    return F.when(id_ % 4 == 1, F.lit("14/03/2025")).when(id_ % 4 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("2025-"), month, F.lit("-"), day))
+    return F.when(id_ % 4 == 1, F.lit("05/11/2031")).when(id_ % 4 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("2025-"), month, F.lit("-"), day))
 
 
 def synthetic_reply(docs: DataFrame) -> DataFrame:
     """Add ``reply`` to rows with doc_id, lang, source, n_chars, text."""
     i = c("doc_id")
-    tags = F.array(c("source"), F.upper("source"), F.lit(""), F.when(i % 5 == 0, F.lit("voiture")).otherwise(F.lit(" ")))
+    tags = F.array(c("source"), F.upper("source"), F.lit(""), F.when(i % 5 == 0, F.lit("urgent")).otherwise(F.lit(" ")))
     whole = F.struct(
         F.when(i % 13 == 5, F.lit("  ")).otherwise(F.concat(F.lit(" Document "), i.cast("string"))).alias("title"),
-        F.when(i % 17 == 3, F.lit("inconnu")).otherwise(_type_of(c("lang"))).alias("type"),
+        F.when(i % 17 == 3, F.lit("unheard")).otherwise(_type_of(c("lang"))).alias("type"),
         F.when(i % 7 != 0, c("source")).alias("correspondent"),
         tags.alias("tags"),
         _day_of(i).alias("document_date"),
@@ -79,9 +79,9 @@ def synthetic_reply(docs: DataFrame) -> DataFrame:
 _REPLY_SQL = """
 replies AS (
   SELECT doc_id, lang, source, n_chars, text, doc_id % 19 IN (4, 7) AS fenced, doc_id % 13 = 5 AS untitled,
-         CASE WHEN doc_id % 17 = 3 THEN 'inconnu' WHEN lang = 'en' THEN 'facture' WHEN lang = 'fr' THEN 'contrat' WHEN lang = 'de' THEN 'releve-bancaire' ELSE 'courrier' END AS type,
+         CASE WHEN doc_id % 17 = 3 THEN 'unheard' WHEN lang = 'en' THEN 'protocol' WHEN lang = 'fr' THEN 'calibration' WHEN lang = 'de' THEN 'part-order' ELSE 'minutes' END AS type,
          CASE WHEN doc_id % 7 <> 0 THEN source ELSE '' END AS correspondent,
-         CASE WHEN doc_id % 5 = 0 THEN [source, 'voiture'] ELSE [source] END AS tags,
+         CASE WHEN doc_id % 5 = 0 THEN [source, 'urgent'] ELSE [source] END AS tags,
          CASE WHEN doc_id % 4 IN (0, 3) THEN try_cast('2025-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') AS DATE) END AS day,
          CASE WHEN doc_id % 3 = 0 THEN n_chars || '.50' END AS amount, CASE WHEN doc_id % 3 = 0 THEN 'EUR' END AS currency,
          string_split(coalesce(text, ''), chr(10))[1] AS first_line
@@ -103,16 +103,16 @@ based AS (
   SELECT *, CASE WHEN own <> '' THEN own ELSE doc_id::VARCHAR END AS stem FROM named),
 ruled AS (
   SELECT *, CASE WHEN prefix = '' THEN stem WHEN starts_with(stem, prefix) THEN stem ELSE prefix || '-' || stem END || '.txt' AS base,
-         CASE WHEN type = 'facture' AND list_contains(tags, 'voiture') THEN 'voiture' WHEN type = 'facture' THEN 'factures'
-              WHEN type = 'contrat' AND correspondent = 'src3' THEN 'contrats-src3' WHEN type = 'contrat' THEN 'contrats' WHEN type = 'releve-bancaire' THEN 'releves' END AS rule
+         CASE WHEN type = 'protocol' AND list_contains(tags, 'urgent') THEN 'urgent' WHEN type = 'protocol' THEN 'protocols'
+              WHEN type = 'calibration' AND correspondent = 'src3' THEN 'calibrations-src3' WHEN type = 'calibration' THEN 'calibrations' WHEN type = 'part-order' THEN 'orders' END AS rule
   FROM based),
 folded AS (
-  SELECT *, CASE rule WHEN 'voiture' THEN 'factures/voiture/' || year WHEN 'factures' THEN 'factures/' || corr || '/' || year WHEN 'contrats-src3' THEN 'contrats/special'
-              WHEN 'contrats' THEN 'contrats/' || corr WHEN 'releves' THEN 'banque/releve-bancaire' END AS folder
+  SELECT *, CASE rule WHEN 'urgent' THEN 'protocols/urgent/' || year WHEN 'protocols' THEN 'protocols/' || corr || '/' || year WHEN 'calibrations-src3' THEN 'calibrations/bench-3'
+              WHEN 'calibrations' THEN 'calibrations/' || corr WHEN 'orders' THEN 'stores/part-order' END AS folder
   FROM ruled),
 planned AS (
   SELECT *, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^{text.SPACE_CLASS}]') THEN CASE WHEN coalesce(text, '') = '' THEN 'source' ELSE 'empty' END
-                 WHEN fenced OR untitled THEN 'schema-unsupported' WHEN type = 'inconnu' THEN 'rejected' WHEN first_line = '' THEN 'schema-unsupported'
+                 WHEN fenced OR untitled THEN 'schema-unsupported' WHEN type = 'unheard' THEN 'rejected' WHEN first_line = '' THEN 'schema-unsupported'
                  WHEN rule IS NULL THEN 'no-rule' WHEN list_contains(string_split(folder, '/'), '') THEN 'path' END AS error_kind
   FROM folded)"""
 
@@ -341,16 +341,16 @@ SANITISE = f"SELECT 'document' AS origin, doc_id AS id, {_san('text')} AS name F
 def derive_name(spark, sf_dir):
     """File names of parts: proposal, or the original's stem, or a date, or the last resort."""
     i = c("p_partkey")
-    proposal = F.when(i % 5 == 0, F.lit("///")).when(i % 5 == 1, F.lit(None).cast("string")).when(i % 5 == 2, F.concat(F.lit("2025-03-14-"), c("p_name"))).otherwise(c("p_name"))
-    original = F.when(i % 2 == 0, F.lit("日本語")).otherwise(F.concat(F.lit("Scan É"), i.cast("string")))
-    prefix = F.when(i % 3 == 0, F.lit("2025-03-14")).otherwise(F.lit(""))
+    proposal = F.when(i % 5 == 0, F.lit("///")).when(i % 5 == 1, F.lit(None).cast("string")).when(i % 5 == 2, F.concat(F.lit("2031-11-05-"), c("p_name"))).otherwise(c("p_name"))
+    original = F.when(i % 2 == 0, F.lit("日本語")).otherwise(F.concat(F.lit("Page Ö"), i.cast("string")))
+    prefix = F.when(i % 3 == 0, F.lit("2031-11-05")).otherwise(F.lit(""))
     return naming.with_name(_table(spark, sf_dir, "part"), proposal, original, F.lit(".PDF"), prefix).select("p_partkey", "name.base", "name.from_proposal")
 
 
 DERIVE_NAME = f"""
 WITH r AS (
-  SELECT p_partkey AS i, CASE p_partkey % 5 WHEN 0 THEN '///' WHEN 1 THEN NULL WHEN 2 THEN '2025-03-14-' || p_name ELSE p_name END AS proposal,
-         CASE WHEN p_partkey % 2 = 0 THEN '日本語' ELSE 'Scan É' || p_partkey END AS original, CASE WHEN p_partkey % 3 = 0 THEN '2025-03-14' ELSE '' END AS prefix FROM part),
+  SELECT p_partkey AS i, CASE p_partkey % 5 WHEN 0 THEN '///' WHEN 1 THEN NULL WHEN 2 THEN '2031-11-05-' || p_name ELSE p_name END AS proposal,
+         CASE WHEN p_partkey % 2 = 0 THEN '日本語' ELSE 'Page Ö' || p_partkey END AS original, CASE WHEN p_partkey % 3 = 0 THEN '2031-11-05' ELSE '' END AS prefix FROM part),
 s AS (SELECT i, prefix, {_san("proposal")} AS own, {_san("original")} AS other FROM r),
 t AS (SELECT i, prefix, own, CASE WHEN own <> '' THEN own ELSE other END AS stem FROM s)
 SELECT i AS p_partkey, CASE WHEN prefix = '' AND stem = '' THEN 'document' WHEN prefix = '' THEN stem WHEN stem = '' THEN prefix
@@ -364,15 +364,15 @@ def rule_match(spark, sf_dir):
     """The first of five rules for every document, compiled to CASE."""
     rs = sample_config().rule_set
     docs = _table(spark, sf_dir, "documents")
-    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("VOITURE"))))
+    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("URGENT"))))
     rows = docs.select("doc_id", _type_of(c("lang")).alias("type"), c("source").alias("correspondent"), tags.alias("tags"))
     place = rules.first_match(rs, c("type"), c("correspondent"), c("tags"))
     return rows.select("doc_id", rules.by_place(place, [F.lit(r.name) for r in rs]).alias("rule"))
 
 
 _RULE_SQL = """
-CASE WHEN lang = 'en' AND doc_id % 5 = 0 THEN 'voiture' WHEN lang = 'en' THEN 'factures' WHEN lang = 'fr' AND source = 'src3' THEN 'contrats-src3'
-     WHEN lang = 'fr' THEN 'contrats' WHEN lang = 'de' THEN 'releves' END"""
+CASE WHEN lang = 'en' AND doc_id % 5 = 0 THEN 'urgent' WHEN lang = 'en' THEN 'protocols' WHEN lang = 'fr' AND source = 'src3' THEN 'calibrations-src3'
+     WHEN lang = 'fr' THEN 'calibrations' WHEN lang = 'de' THEN 'orders' END"""
 RULE_MATCH = f"SELECT doc_id, {_RULE_SQL} AS rule FROM documents"
 
 
@@ -381,14 +381,14 @@ def rule_join(spark, sf_dir):
     listed = [(k, r.name, r.type, list(r.tags), r.correspondent, r.path) for k, r in enumerate(sample_config().rule_set)]
     table = spark.createDataFrame(listed, "ord int, name string, type string, tags array<string>, correspondent string, path string")
     docs = _table(spark, sf_dir, "documents")
-    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("VOITURE"))))
+    tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("URGENT"))))
     rows = docs.select("doc_id", _type_of(c("lang")).alias("type"), c("source").alias("correspondent"), tags.alias("tags"))
     return rules.joined_rules(rows, table, "doc_id").select("doc_id", c("ord").cast("long").alias("ord"), c("name").alias("rule"))
 
 
 RULE_JOIN = f"""
 WITH r AS (SELECT doc_id, {_RULE_SQL} AS rule FROM documents)
-SELECT doc_id, (list_position(['voiture', 'factures', 'contrats-src3', 'contrats', 'releves'], rule) - 1)::BIGINT AS ord, rule FROM r"""
+SELECT doc_id, (list_position(['urgent', 'protocols', 'calibrations-src3', 'calibrations', 'orders'], rule) - 1)::BIGINT AS ord, rule FROM r"""
 
 
 def render_path(spark, sf_dir):
@@ -451,8 +451,8 @@ def plan_detail(spark, sf_dir):
 
 PLAN_DETAIL = f"""
 WITH {_PLANNED_SQL},
-g AS (SELECT *, CASE rule WHEN 'voiture' THEN 'factures/voiture/{{{{.Year}}}}' WHEN 'factures' THEN 'factures/{{{{.Correspondent}}}}/{{{{.Year}}}}' WHEN 'contrats-src3' THEN 'contrats/special'
-  WHEN 'contrats' THEN 'contrats/{{{{.Correspondent}}}}' ELSE 'banque/{{{{.Type}}}}' END AS rule_path FROM planned WHERE error_kind IS NULL),
+g AS (SELECT *, CASE rule WHEN 'urgent' THEN 'protocols/urgent/{{{{.Year}}}}' WHEN 'protocols' THEN 'protocols/{{{{.Correspondent}}}}/{{{{.Year}}}}' WHEN 'calibrations-src3' THEN 'calibrations/bench-3'
+  WHEN 'calibrations' THEN 'calibrations/{{{{.Correspondent}}}}' ELSE 'stores/{{{{.Type}}}}' END AS rule_path FROM planned WHERE error_kind IS NULL),
 d AS (
   SELECT 0 AS ord, 'rule' AS label, rule AS v FROM g UNION ALL SELECT 1, 'rule path', rule_path FROM g UNION ALL SELECT 2, 'disposition', 'move' FROM g
   UNION ALL SELECT 3, 'text origin', 'plain' FROM g UNION ALL SELECT 4, 'title', 'Document ' || doc_id FROM g UNION ALL SELECT 5, 'correspondent', correspondent FROM g
@@ -515,19 +515,53 @@ def claim_names(spark, sf_dir):
     """Names of all documents under few destinations, in order of id."""
     docs = _table(spark, sf_dir, "documents")
     content = F.coalesce("text", F.lit(""))
-    dest = F.concat(F.lit("divers/"), c("source"), F.lit("/"), c("lang"), F.pmod(F.length(content), F.lit(200)).cast("string"), F.lit(".txt"))
+    dest = F.concat(F.lit("shelf/"), c("source"), F.lit("/"), c("lang"), F.pmod(F.length(content), F.lit(200)).cast("string"), F.lit(".txt"))
     rows = docs.select(c("doc_id").alias("arrival"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"), dest.alias("dest"))
     return claim.claim(rows).select(c("arrival").alias("doc_id"), "dest", "final_dest", "duplicate", "claim_error")
 
 
 CLAIM_NAMES = """
 WITH r AS (
-  SELECT doc_id, 'divers/' || source || '/' || lang || (length(coalesce(text, '')) % 200) AS stem, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
-f AS (SELECT stem, digest, size, min(doc_id) AS first FROM r GROUP BY ALL),
+  SELECT doc_id, 'shelf/' || source || '/' || lang || (length(coalesce(text, '')) % 200) AS stem, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
+f AS (SELECT stem, digest, size, CASE WHEN size = 0 THEN doc_id END AS own, min(doc_id) AS first FROM r GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first) AS n FROM f)
 SELECT doc_id, stem || '.txt' AS dest, CASE WHEN n > 1000 THEN NULL ELSE stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.txt' END AS final_dest,
        n <= 1000 AND doc_id > first AND size > 0 AS duplicate, CASE WHEN n > 1000 THEN 'too many documents claim this name' END AS claim_error
-FROM r JOIN n USING (stem, digest, size)"""
+FROM r JOIN n USING (stem, digest, size) WHERE own IS NULL OR own = doc_id"""
+
+
+def _held_and_new(spark, sf_dir):
+    """Every fourth document filed already, the first two of a name under it and its first suffix,
+    and another file under the fifth; the rest claim these names."""
+    content = F.coalesce("text", F.lit(""))
+    dest = F.concat(F.lit("shelf/"), c("source"), F.lit("/"), F.pmod(F.length(content), F.lit(15)).cast("string"), F.lit(".txt"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"), dest.alias("dest"))
+    filed = docs.where("doc_id % 4 = 0 AND size > 0").groupBy("dest", "size", "digest").agg(F.min("doc_id").alias("doc_id"))
+    filed = filed.withColumn("n", F.row_number().over(Window.partitionBy("dest").orderBy("doc_id"))).where("n <= 2")
+    held = filed.select(claim.suffixed(c("dest"), c("n")).alias("path"), "size", "digest")
+    other = docs.select("dest").distinct().select(claim.suffixed(c("dest"), F.lit(5)).alias("path"), F.lit(7).cast("long").alias("size"), F.lit("other").alias("digest"))
+    return held.unionByName(other), docs.where("doc_id % 4 <> 0").withColumnRenamed("doc_id", "arrival")
+
+
+def claim_archive(spark, sf_dir):
+    """Names claimed against an archive: its contents are duplicates, its names are passed over."""
+    held, rows = _held_and_new(spark, sf_dir)
+    return claim.claim(rows, held).select(c("arrival").alias("doc_id"), "dest", "final_dest", "duplicate", "claim_error")
+
+
+CLAIM_ARCHIVE = """
+WITH r AS (
+  SELECT doc_id, 'shelf/' || source || '/' || (length(coalesce(text, '')) % 15) AS stem, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
+a AS (SELECT stem, digest, row_number() OVER (PARTITION BY stem ORDER BY min(doc_id)) AS n FROM r WHERE doc_id % 4 = 0 AND size > 0 GROUP BY stem, digest QUALIFY n <= 2),
+m AS (SELECT stem, count(*) AS held FROM a GROUP BY stem),
+b AS (SELECT * FROM r WHERE doc_id % 4 <> 0),
+f AS (SELECT stem, digest, size, CASE WHEN size = 0 THEN doc_id END AS own, min(doc_id) AS first FROM b GROUP BY ALL),
+h AS (SELECT f.*, a.n AS slot FROM f LEFT JOIN a ON f.stem = a.stem AND f.digest = a.digest AND f.size > 0),
+k AS (SELECT h.*, coalesce(m.held, 0) AS held, CASE WHEN slot IS NULL THEN row_number() OVER (PARTITION BY h.stem, slot IS NULL ORDER BY first, digest) END AS k FROM h LEFT JOIN m USING (stem)),
+n AS (SELECT *, coalesce(slot, CASE WHEN held + k >= 5 THEN held + k + 1 ELSE held + k END) AS n FROM k)
+SELECT doc_id, b.stem || '.txt' AS dest, CASE WHEN n.n > 1000 THEN NULL ELSE b.stem || CASE WHEN n.n = 1 THEN '' ELSE '-' || n.n END || '.txt' END AS final_dest,
+       n.n <= 1000 AND (slot IS NOT NULL OR (doc_id > first AND b.size > 0)) AS duplicate, CASE WHEN n.n > 1000 THEN 'too many documents claim this name' END AS claim_error
+FROM b JOIN n ON b.stem = n.stem AND b.digest = n.digest AND (own IS NULL OR own = doc_id)"""
 
 
 def _traced(spark, sf_dir) -> DataFrame:
@@ -622,7 +656,7 @@ def archiver_argv(spark, sf_dir):
 ARCHIVER_ARGV = f"""
 WITH {_PLANNED_SQL}
 SELECT doc_id, 5 + 2 * len(tags)::BIGINT AS n,
-       'put|--title|Document ' || doc_id || '|--created=' || prefix || '|/archive/' || folder || '/' || base || array_to_string(list_transform(tags, lambda t: '|--tag|' || t), '') AS argv
+       'add|--name|Document ' || doc_id || '|--on=' || prefix || '|/archive/' || folder || '/' || base || array_to_string(list_transform(tags, lambda t: '|--label|' || t), '') AS argv
 FROM planned WHERE error_kind IS NULL"""
 
 
@@ -643,27 +677,39 @@ SELECT doc_id, length(x) AS chars, sha256(x) AS excerpt, CASE WHEN x = '' THEN 0
 
 
 def output_truncate(spark, sf_dir):
-    """Captured output cut at 8 KiB and snippets at 120 bytes; ASCII here, so that SQL can follow."""
-    docs = _table(spark, sf_dir, "documents")
-    plain = F.regexp_replace(text.or_empty(c("text")), r"[^\x00-\x7F]", "?")
-    return docs.select("doc_id", F.sha2(text.cut_output(plain), 256).alias("output"), text.snippet(plain).alias("snippet"))
+    """Captured output cut at 8 KiB and snippets at 120 bytes, before the character that the cut would split."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.or_empty(c("text")).alias("t"))
+    return docs.select("doc_id", F.sha2(text.cut_output(c("t")), 256).alias("output"), text.snippet(c("t")).alias("snippet"))
 
 
-OUTPUT_TRUNCATE = """
-WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents),
-s AS (SELECT doc_id, t, regexp_replace(t, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS u FROM r)
-SELECT doc_id, sha256(CASE WHEN length(t) <= 8192 THEN t ELSE left(t, 8192) || chr(10) || '… (truncated at 8 KiB)' END) AS output,
-       CASE WHEN length(u) <= 120 THEN u ELSE left(u, 120) || '…' END AS snippet FROM s"""
+def _cut(x: str, most: int) -> str:
+    """The first bytes of an SQL expression, by its hex digits: where the next byte goes on with a
+    character, the bytes that begin it go too."""
+    h = f"hex(encode({x}))"
+    begun = "(F[0-7]([89AB][0-9A-F]){0,2}|E[0-9A-F]([89AB][0-9A-F])?|[CD][0-9A-F])$"
+    whole = f"CASE WHEN substr({h}, {2 * most + 1}, 1) IN ('8', '9', 'A', 'B') THEN regexp_replace(left({h}, {2 * most}), '{begun}', '') ELSE left({h}, {2 * most}) END"
+    return f"decode(unhex({whole}))"
+
+
+OUTPUT_TRUNCATE = f"""
+WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_replace(t, '^[{text.SPACE_CLASS}]+|[{text.SPACE_CLASS}]+$', '', 'g') AS u FROM r)
+SELECT doc_id, sha256(CASE WHEN strlen(t) <= 8192 THEN t ELSE {_cut('t', 8192)} || chr(10) || '… (truncated at 8 KiB)' END) AS output,
+       CASE WHEN strlen(u) <= 120 THEN u ELSE {_cut('u', 120)} || '…' END AS snippet FROM s"""
 
 
 def user_prompt(spark, sf_dir):
-    """Prompts with both vocabularies; the wording is ours, so lengths are compared."""
+    """Whole prompts with a closed and an open vocabulary of tags, and without a fallback."""
     docs = _table(spark, sf_dir, "documents")
-    told = analyse.user_prompt(c("text"), ["a", "b"], "b", [])
-    return docs.select("doc_id", F.startswith(told, F.concat(F.lit("Document:\n\n"), text.or_empty(c("text")))).alias("has_text"), F.contains(told, F.lit("Values of type: a, b.")).alias("has_types"))
+    bounded, free = analyse.user_prompt(c("text"), ["a", "b"], "b", ["x", "y z"]), analyse.user_prompt(c("text"), ["a"], "", [])
+    return docs.select("doc_id", F.sha2(bounded, 256).alias("bounded"), F.sha2(free, 256).alias("free"))
 
 
-USER_PROMPT = "SELECT doc_id, true AS has_text, true AS has_types FROM documents"
+USER_PROMPT = """
+WITH p AS (SELECT doc_id, 'Document:' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '----' || chr(10) AS head,
+  chr(10) || 'The filename is a few words joined by hyphens, without date or extension.' || chr(10) AS tail FROM documents)
+SELECT doc_id, sha256(head || 'Values of type: a, b. When none fits, take b.' || chr(10) || 'Values of tags: x, y z. There may be none.' || tail) AS bounded,
+       sha256(head || 'Values of type: a.' || chr(10) || 'Tags are any words in lower case. There may be none.' || tail) AS free FROM p"""
 
 
 def retry_class(spark, sf_dir):
@@ -702,6 +748,7 @@ _ALL = {
     "text_table": (text_table, TEXT_TABLE),
     "output_json": (output_json, OUTPUT_JSON),
     "claim_names": (claim_names, CLAIM_NAMES),
+    "claim_archive": (claim_archive, CLAIM_ARCHIVE),
     "sidecar_state": (sidecar_state, SIDECAR_STATE),
     "replay_states": (replay_states, REPLAY_STATES),
     "new_documents": (new_documents, NEW_DOCUMENTS),
