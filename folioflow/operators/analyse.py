@@ -1,8 +1,8 @@
 """Metadata from an external model: request, retries, bounded analysis loop.
 
 The transport is injected: any callable (url, headers, body bytes, timeout) to (status, body
-bytes). Calls run in ``mapInPandas``, one client a partition, and each row gets a reply or an
-error; a task that is run again asks again.
+bytes). Calls run in ``mapInArrow``, one client a partition, and each row gets a reply or an
+error beside its own columns; a task that is run again asks again.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.decode import KEYS, OPTIONAL_TEXTS
 from ..functions.text import PROMPT_HEAD, PROMPT_TAIL
@@ -196,7 +197,7 @@ def _strict(raw: str, types: Sequence[str], tags: Sequence[str]) -> str | None:
     """None if a reply is good, 'malformed', or 'rejected: …': the check between attempts. The
     verdict that counts is made from the reply in ``functions.decode``."""
     try:
-        got = json.loads(raw)
+        got = json.loads(raw, object_pairs_hook=lambda pairs: {k.lower(): v for k, v in pairs})
     except ValueError:
         return "malformed"
     if not isinstance(got, dict) or set(got) - set(KEYS):
@@ -231,24 +232,26 @@ def analysed(client: Client, prompt: str, types: Sequence[str], tags: Sequence[s
     raise ModelError("rejected", f"no usable metadata after {len(faults)} attempts: {faults[-1]}")
 
 
-def with_replies(docs: DataFrame, client: Client, types: Sequence[str], fallback: str, tags: Sequence[str], attempts: int = ATTEMPTS) -> DataFrame:
-    """Add reply, error_kind and error_msg to rows with ``content``."""
-    asked = docs.withColumn("_prompt", user_prompt(F.col("content"), types, fallback, tags))
-    names = [c for c in docs.columns if c not in ("reply", "error_kind", "error_msg")]
+def with_replies(docs: DataFrame, text: Column, client: Client, types: Sequence[str], fallback: str, tags: Sequence[str], attempts: int = ATTEMPTS) -> DataFrame:
+    """Add reply, reply_error_kind and reply_error_msg. Rows whose ``text`` is null aren't asked
+    about and get nulls; all rows pass through the task that asks, so nothing is joined."""
+    asked = docs.withColumn("_prompt", F.when(text.isNotNull(), user_prompt(text, types, fallback, tags)))
+    added = ("reply", "reply_error_kind", "reply_error_msg")
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for prompt in pdf["_prompt"]:
-                try:
-                    rows.append((analysed(client, prompt, types, tags, attempts), None, None))
-                except ModelError as e:
-                    rows.append((None, e.kind, str(e)))
-            yield pdf[names].assign(**{k: [r[i] for r in rows] for i, k in enumerate(("reply", "error_kind", "error_msg"))})
-
-    from pyspark.sql.types import StringType, StructType
-
-    schema = StructType([f for f in docs.schema.fields if f.name in names])
-    for k in ("reply", "error_kind", "error_msg"):
-        schema = schema.add(k, StringType())
-    return asked.mapInPandas(ask, schema)
+    def answer(prompt: str | None) -> tuple:
+        if prompt is None:
+            return None, None, None
+        try:
+            return analysed(client, prompt, types, tags, attempts), None, None
+        except ModelError as e:
+            return None, e.kind, str(e)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [answer(prompt) for prompt in batch.column("_prompt").to_pylist()]
+            own = [batch.column(k) for k in range(batch.num_columns - 1)]
+            new = [pa.array([t[k] for t in told], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(own + new, names=[*batch.schema.names[:-1], *added])
+
+    schema = StructType([*docs.schema.fields, *[StructField(k, StringType()) for k in added]])
+    return asked.mapInArrow(ask, schema)

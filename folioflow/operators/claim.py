@@ -1,9 +1,15 @@
 """Claiming names: equal content at a name is a duplicate, other content takes a suffix.
 
-``claimed`` is set-based and holds while no natural name equals another one's suffixed name
-and the archive has no gaps; ``claimed_in_order`` repeats the sequential probe inside each
-folder and holds always. ``claim`` takes the first for folders where it holds and the second
-for the rest, told apart per folder, so one crowded folder doesn't slow the others.
+A name is tried as it is, then with -2, -3, … before its extension; the first that is free, or
+that holds the same bytes already, is taken, in order of arrival. Names are settled without
+trying them one by one: the contents of a name are grouped first, so a name that many equal
+files share is one row; what the archive holds under a name is one list of taken suffixes; and
+the k-th new content gets the k-th suffix that is free.
+
+Two kinds of names have to be probed in order: names that are another one's suffixed form,
+both in the batch, and names of which the archive has a content behind a gap, which is a
+duplicate only if the gap is filled before it comes. Such names are probed in groups of those
+that lead to each other, each a small task; a group has a thousand contents a name at most.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from ..functions.naming import extension, without_extension
 
 #: Fixed value: a name is tried with suffixes up to this one.
 MOST_SUFFIX = 1000
+TOO_MANY = "too many documents claim this name"
+_CONTENT = ["dest", "size", "digest", "_own"]
 
 
 def suffixed(dest: Column, n: Column) -> Column:
@@ -23,83 +31,112 @@ def suffixed(dest: Column, n: Column) -> Column:
     return F.when(n == 1, dest).otherwise(F.concat(without_extension(dest), F.lit("-"), n.cast("string"), extension(dest)))
 
 
-def claimed(rows: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Add final_dest, duplicate and claim_error to rows with dest, size, digest.
+def folder_of(name: Column) -> Column:
+    return F.regexp_replace(name, r"/?[^/]*\z", "")
 
-    Contents are grouped first, so a name that many equal files share is one row in the
-    ranking; only distinct contents of one name meet in a window.
-    """
-    content = ["dest", "size", "digest"]
-    first = rows.groupBy(*content).agg(F.min(arrival).alias("_first"))
-    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("dest").orderBy("_first")))
-    out = rows.join(ranked, content)
-    over = F.col("_n") > MOST_SUFFIX
-    return (
-        out.withColumn("final_dest", F.when(~over, suffixed(F.col("dest"), F.col("_n"))))
-        .withColumn("duplicate", ~over & (F.col(arrival) > F.col("_first")) & (F.col("size") > 0))
-        .withColumn("claim_error", F.when(over, F.lit("too many documents claim this name")))
-        .drop("_first", "_n")
-    )
 
+def names_tried(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with (dest, n) for each destination whose n-th name ``path`` is: itself, and what
+    it is a suffixed form of."""
+    form = r"\A(.*)-([1-9][0-9]{0,3})(\.[^./]*)?\z"
+    name = F.col(path)
+    number = F.regexp_extract(name, form, 2)
+    bare = rows.where(number != "").withColumn("dest", F.concat(F.regexp_extract(name, form, 1), F.regexp_extract(name, form, 3))).withColumn("n", number.cast("int"))
+    bare = bare.where(F.col("n").between(2, MOST_SUFFIX) & (suffixed(F.col("dest"), F.col("n")) == name))
+    return rows.withColumn("dest", name).withColumn("n", F.lit(1)).unionByName(bare)
 
-def _probe(pdf: pd.DataFrame, taken: dict, arrival: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(arrival, kind="stable").copy()
-    final, duplicate, error = [], [], []
-    for dest, size, digest in zip(pdf["dest"], pdf["size"], pdf["digest"], strict=True):
+
+def _probed(contents: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """final_dest and found of a group's contents, by trying names in order of arrival."""
+    taken = {p: (s, d) for p, s, d in zip(held["path"], held["size"], held["digest"], strict=True)}
+    contents = contents.sort_values(["_first", "dest"], kind="stable")
+    final, found = [], []
+    for dest, size, digest in zip(contents["dest"], contents["size"], contents["digest"], strict=True):
         folder, slash, name = dest.rpartition("/")
         stem, dot, ext = name.rpartition(".")
         base, ext = (f"{folder}{slash}{stem}", dot + ext) if dot else (dest, "")
         for n in range(1, MOST_SUFFIX + 1):
             tried = dest if n == 1 else f"{base}-{n}{ext}"
-            if tried not in taken:
+            if tried not in taken or (size > 0 and taken[tried] == (size, digest)):
+                final.append(tried)
+                found.append(tried in taken)
                 taken[tried] = (size, digest)
-                final.append(tried), duplicate.append(False), error.append(None)
-                break
-            if size > 0 and taken[tried] == (size, digest):
-                final.append(tried), duplicate.append(True), error.append(None)
                 break
         else:
-            final.append(None), duplicate.append(False), error.append("too many documents claim this name")
-    return pdf.assign(final_dest=final, duplicate=duplicate, claim_error=error)
-
-
-def claimed_in_order(rows: DataFrame, archive: DataFrame | None = None, arrival: str = "arrival") -> DataFrame:
-    """The same by probing name after name in order of arrival, folder by folder.
-
-    ``archive`` (path, size, digest) holds what is filed already. A folder's names are in one
-    task, as the probe needs them; folders are what the work is spread by.
-    """
-    folder = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"/?[^/]*\z", "")
-    from pyspark.sql.types import BooleanType, StringType, StructType
-
-    schema = StructType([*rows.schema.fields]).add("final_dest", StringType()).add("duplicate", BooleanType()).add("claim_error", StringType())
-    keyed = rows.withColumn("_folder", folder(F.col("dest")))
-    if archive is None:
-        run = lambda pdf: _probe(pdf.drop(columns="_folder"), {}, arrival)
-        return keyed.groupBy("_folder").applyInPandas(run, schema)
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        taken = {p: (s, d) for p, s, d in zip(right["path"], right["size"], right["digest"], strict=True)}
-        return _probe(left.drop(columns="_folder"), taken, arrival)
-
-    # only the folders that this batch files into, so that every group has rows to claim for
-    held = archive.select("path", "size", "digest").withColumn("_folder", folder(F.col("path")))
-    held = held.join(keyed.select("_folder").distinct(), "_folder", "left_semi")
-    return keyed.groupBy("_folder").cogroup(held.groupBy("_folder")).applyInPandas(both, schema)
+            final.append(None)
+            found.append(False)
+    return contents[[*_CONTENT, "_first"]].assign(final_dest=final, found=found)
+
+
+def _linked_names(dests: DataFrame) -> DataFrame | None:
+    """(dest, root) of the names that are another one's suffixed form or have one; None without any."""
+    pairs = names_tried(dests.select(F.col("dest").alias("name")), "name").where("n > 1").select(F.col("name").alias("child"), F.col("dest").alias("root"))
+    pairs = pairs.join(dests.select(F.col("dest").alias("root")), "root", "left_semi")
+    if not pairs.limit(1).count():
+        return None
+    up, roots = pairs.select(F.col("child").alias("root"), F.col("root").alias("_up")), pairs
+    while True:  # a-2-2 leads to a-2 and that to a: as many rounds as a name has such suffixes
+        higher = roots.join(up, "root", "left").select("child", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
+        if not higher.where("_moved").limit(1).count():
+            break
+        roots = higher.select("child", "root")
+    return roots.select(F.col("child").alias("dest"), "root").unionByName(roots.select(F.col("root").alias("dest"), "root")).distinct()
 
 
 def claim(rows: DataFrame, archive: DataFrame | None = None, arrival: str = "arrival") -> DataFrame:
-    """Names for a batch: set-based where folders are simple, probed in order where not."""
-    if archive is not None:
-        return claimed_in_order(rows, archive, arrival)
-    folder = F.regexp_replace("dest", r"/?[^/]*\z", "")
-    content = rows.select("dest", "size", "digest").distinct()
-    # a natural name that looks like another's suffixed name, in the same folder
-    looks = content.select(F.regexp_replace("dest", r"-[0-9]+(\.[^./]*)?\z", "$1").alias("_base"), F.col("dest").alias("_suffixed")).where(F.col("_base") != F.col("_suffixed")).distinct()
-    clash = content.select("dest").distinct().join(looks, F.col("dest") == F.col("_base")).select(folder.alias("_folder")).distinct()
-    empty = content.where("size = 0").select(folder.alias("_folder")).distinct()
-    hard = clash.unionByName(empty).distinct()
-    keyed = rows.withColumn("_folder", folder)
-    simple = claimed(keyed.join(hard, "_folder", "left_anti").select(*rows.columns), arrival)
-    rest = claimed_in_order(keyed.join(hard, "_folder", "left_semi").select(*rows.columns), None, arrival)
-    return simple.select(*rest.columns).unionByName(rest)
+    """Add final_dest, duplicate and claim_error to rows with dest, size, digest and ``arrival``,
+    which tells rows apart and orders them. ``archive`` (path, size, digest) holds what is
+    filed already; only names that rows may try count. An empty file never equals another."""
+    own = F.when(F.col("size") > 0, F.lit("")).otherwise(F.col(arrival).cast("string"))
+    rows = rows.withColumn("_own", own)
+    contents = rows.groupBy(*_CONTENT).agg(F.min(arrival).alias("_first"))
+    dests = contents.select("dest").distinct()
+    linked = _linked_names(dests)
+    if archive is None:
+        fresh, settled, hard = contents, None, linked
+        taken = None
+    else:
+        slots = names_tried(archive.select("path", "size", "digest"), "path").join(dests, "dest", "left_semi")
+        taken = slots.groupBy("dest").agg(F.collect_set("n").alias("taken"))
+        taken = taken.select("dest", F.array_except(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), F.col("taken")).alias("free"))
+        there = slots.where("size > 0").groupBy("dest", "size", "digest").agg(F.min("n").alias("n")).join(taken, "dest")
+        there = there.select("dest", "size", "digest", "n", (F.col("n") > F.coalesce(F.get("free", F.lit(0)), F.lit(MOST_SUFFIX + 1))).alias("behind"))
+        met = contents.join(there, ["dest", "size", "digest"], "left")
+        settled, fresh = met.where("n IS NOT NULL"), met.where("n IS NULL").drop("n", "behind")
+        gaps = settled.where("behind").select("dest").distinct().select("dest", F.col("dest").alias("root"))
+        if gaps.limit(1).count():
+            hard = gaps if linked is None else linked.unionByName(gaps.join(linked, "dest", "left_anti"))
+        else:
+            hard = linked
+
+    # more new contents than suffixes can't be named, so only the first of a name are ranked
+    order = Window.partitionBy("dest").orderBy("_first", "digest")
+    ranked = fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_SUFFIX)
+    easy = ranked if hard is None else ranked.join(hard, "dest", "left_anti")
+    if taken is not None:
+        easy = easy.join(taken, "dest", "left").withColumn("n", F.when(F.col("free").isNull(), F.col("n")).otherwise(F.get("free", F.col("n") - 1)))
+    named = easy.select(*_CONTENT, "_first", suffixed(F.col("dest"), F.col("n")).alias("final_dest"), F.lit(False).alias("found"))
+    if settled is not None:
+        sure = settled if hard is None else settled.join(hard, "dest", "left_anti")
+        named = named.unionByName(sure.select(*_CONTENT, "_first", suffixed(F.col("dest"), F.col("n")).alias("final_dest"), F.lit(True).alias("found")))
+    if hard is not None:
+        several = ranked.drop("n") if settled is None else ranked.drop("n").unionByName(settled.drop("n", "behind"))
+        several = several.join(hard, "dest")
+        schema = named.schema
+        if archive is None:
+            nothing = pd.DataFrame({"path": [], "size": [], "digest": []})
+            probed = several.groupBy("root").applyInPandas(lambda pdf: _probed(pdf, nothing), schema)
+        else:
+            # only what some content of the batch is tried against, so that every group has rows
+            group = F.col("root").alias("group")
+            held = slots.join(hard, "dest").select(group, "path", "size", "digest").distinct()
+            held = held.join(several.select(group).distinct(), "group", "left_semi")
+            probed = several.groupBy("root").cogroup(held.groupBy("group")).applyInPandas(_probed, schema)
+        named = named.unionByName(probed)
+    out = rows.join(named, _CONTENT, "left")
+    again = F.col("found") | ((F.col("size") > 0) & (F.col(arrival) > F.col("_first")))
+    return (
+        out.withColumn("duplicate", F.coalesce(F.col("final_dest").isNotNull() & again, F.lit(False)))
+        .withColumn("claim_error", F.when(F.col("final_dest").isNull(), F.lit(TOO_MANY)))
+        .drop("_own", "_first", "found")
+    )

@@ -83,7 +83,7 @@ def zip_kinds(content: Column) -> Column:
 def with_kind(docs: DataFrame, content: str = "content", containers: bool = True) -> DataFrame:
     """Add ``mime`` in one pass. Only content that looks like a ZIP is handed to Python, other
     rows hand over a null; without ``containers`` nothing is, and a ZIP stays a ZIP."""
-    sniffed = docs.withColumn("mime", M.sniffed(F.col(content)))
+    sniffed = docs.withColumn("mime", F.when(F.col(content).isNotNull(), M.sniffed(F.col(content))))
     if not containers:
         return sniffed
     inside = zip_kinds(F.when(F.col("mime") == M.ZIP, F.col(content)))
@@ -260,7 +260,9 @@ def extracted(mime: str, content: bytes, tools: Tools) -> tuple[str, str, tuple[
 
 
 def extract_udf(tools: Tools):
-    """A pandas UDF (mime, content) to the text struct, for the branches that need Python."""
+    """A pandas UDF (mime, content) to the text struct, for the branches that need Python. It is
+    marked as not deterministic: a plan evaluates it once for each row, however often the
+    text is used or filtered by."""
 
     def one(mime: str, content: bytes) -> dict:
         out = dict.fromkeys(("content", "origin", "truncation", "error_kind", "error_msg"))
@@ -281,7 +283,7 @@ def extract_udf(tools: Tools):
             columns = ["content", "origin", "truncation", "error_kind", "error_msg"]
             yield pd.DataFrame([one(m, c) for m, c in zip(mimes, contents, strict=True)], columns=columns, dtype=object)
 
-    return run
+    return run.asNondeterministic()
 
 
 def plain_text(content: Column) -> Column:
@@ -318,7 +320,8 @@ def with_text(docs: DataFrame, tools: Tools | None = None) -> DataFrame:
         made = F.col("_made")
         docs = docs.withColumn("_made", extract_udf(tools)(F.when(costly, mime), F.when(costly, F.col("content"))))
     t = (
-        F.when((size <= 0) | size.isNull(), _refused("source", F.lit("empty or unreadable")))
+        F.when(size.isNull(), _refused("source", F.lit("no such document, or it can't be read")))
+        .when(size <= 0, _refused("source", F.lit("empty")))
         .when(~M.is_supported(mime), _refused("unsupported", F.concat(F.lit("unsupported type "), mime)))
         .when(costly, made)
         .otherwise(plain_text(F.col("content")))

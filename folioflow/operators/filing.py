@@ -8,15 +8,23 @@ task runs again, it finds its own bytes there and goes on.
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import os
 import secrets
+import stat
 from collections.abc import Iterator
-from pathlib import Path, PurePosixPath
+from contextlib import contextmanager, suppress
+from pathlib import Path
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .claim import folder_of, names_tried
+
+_FOLDER = os.O_RDONLY | os.O_DIRECTORY | os.O_CLOEXEC
 #: Fixed value: bytes copied at a time.
 CHUNK = 512 << 10
 
@@ -26,86 +34,141 @@ class FilingError(Exception):
 
 
 class Archive:
-    """A folder that exists already; nothing outside is written, through links or otherwise."""
+    """A folder that exists already. Every step of a name is opened from the folder before it, and
+    none through a link, so that nothing outside is read or written whatever happens meanwhile."""
 
     def __init__(self, root: str | Path):
         self.root = Path(root).resolve(strict=True)
         if not self.root.is_dir():
             raise FilingError(f"{root} is not a folder")
 
-    def place_of(self, name: str) -> Path:
-        parts = PurePosixPath(name).parts
-        if not parts or name.startswith("/") or any(p in ("", ".", "..") for p in name.split("/")) or "\\" in name or "\0" in name:
+    @staticmethod
+    def parts_of(name: str) -> list[str]:
+        parts = name.split("/")
+        if any(p in ("", ".", "..") for p in parts) or "\\" in name or "\0" in name:
             raise FilingError(f"{name!r} does not stay in the archive")
-        place = self.root
-        for part in parts[:-1]:
-            place = place / part
-            if place.is_symlink():
-                raise FilingError(f"{name!r} leads through a link")
-        return self.root.joinpath(*parts)
+        return parts
 
-    def _temporary(self, place: Path) -> Path:
-        return place.with_name(f".part-{secrets.token_hex(8)}")
+    @contextmanager
+    def _inside(self, folders: list[str], make: bool = False) -> Iterator[int]:
+        """A handle of the folder that ``folders`` lead to."""
+        handle = os.open(self.root, _FOLDER)
+        try:
+            for part in folders:
+                if make:
+                    with suppress(FileExistsError):
+                        os.mkdir(part, 0o755, dir_fd=handle)
+                try:
+                    inner = os.open(part, _FOLDER | os.O_NOFOLLOW, dir_fd=handle)
+                except OSError as e:
+                    if e.errno in (errno.ELOOP, errno.ENOTDIR):
+                        raise FilingError(f"{'/'.join(folders)!r} leads through a link or a file") from e
+                    raise
+                os.close(handle)
+                handle = inner
+            yield handle
+        finally:
+            os.close(handle)
+
+    @contextmanager
+    def _new_file(self, folder: int) -> Iterator[tuple[str, BinaryIO]]:
+        """A file of a name that nobody else has; gone at the end unless it was renamed."""
+        part = f".part-{secrets.token_hex(8)}"
+        try:
+            with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o666, dir_fd=folder), "wb") as out:
+                yield part, out
+        finally:
+            with suppress(FileNotFoundError):
+                os.unlink(part, dir_fd=folder)
 
     def place(self, source: str | Path, size: int, digest: str, name: str, remove: bool = False) -> str:
         """File one source under ``name``; 'filed', or 'duplicate' if its bytes are there already."""
-        place, source = self.place_of(name), Path(source)
-        if place.exists() and source.exists() and os.path.samefile(place, source):
-            return "duplicate"  # the source is the archived file itself; never remove it
-        place.parent.mkdir(parents=True, exist_ok=True, mode=0o755)
-        if place.exists() or place.is_symlink():
-            done = self._settle(place, size, digest, name)
-        else:
-            part = self._temporary(place)
-            try:
-                self._copy(source, part, size, digest)
-                try:
-                    os.link(part, place)
-                    done = "filed"
-                except FileExistsError:
-                    done = self._settle(place, size, digest, name)
-            finally:
-                part.unlink(missing_ok=True)
+        *folders, leaf = self.parts_of(name)
+        with self._inside(folders, make=True) as folder:
+            there = self._status(folder, leaf)
+            if there and os.path.exists(source) and os.path.samestat(there, os.stat(source)):
+                return "duplicate"  # the source is the archived file itself; never remove it
+            if there:
+                done = self._settle(folder, leaf, size, digest, name)
+            else:
+                with self._new_file(folder) as (part, out):
+                    self._copy(Path(source), out, size, digest)
+                    try:
+                        os.link(part, leaf, src_dir_fd=folder, dst_dir_fd=folder, follow_symlinks=False)
+                        done = "filed"
+                    except FileExistsError:
+                        done = self._settle(folder, leaf, size, digest, name)
         if remove:
-            source.unlink(missing_ok=True)
+            Path(source).unlink(missing_ok=True)
         return done
 
-    def _settle(self, place: Path, size: int, digest: str, name: str) -> str:
-        if self.same_content(place, size, digest):
+    @staticmethod
+    def _status(folder: int, leaf: str) -> os.stat_result | None:
+        try:
+            return os.stat(leaf, dir_fd=folder, follow_symlinks=False)
+        except FileNotFoundError:
+            return None
+
+    def _settle(self, folder: int, leaf: str, size: int, digest: str, name: str) -> str:
+        if size > 0 and self._content(folder, leaf) == (size, digest):
             return "duplicate"
         raise FilingError(f"{name}: other content took the name")
 
-    def same_content(self, place: Path, size: int, digest: str) -> bool:
-        if place.is_symlink() or not place.is_file() or place.stat().st_size in (0,) or place.stat().st_size != size:
-            return False
-        with place.open("rb") as f:
-            return hashlib.file_digest(f, "sha256").hexdigest() == digest
+    def _content(self, folder: int, leaf: str) -> tuple[int, str] | None:
+        """Size and digest of a plain file, None of anything else."""
+        there = self._status(folder, leaf)
+        if not there or not stat.S_ISREG(there.st_mode):
+            return None
+        with os.fdopen(os.open(leaf, os.O_RDONLY | os.O_NOFOLLOW, dir_fd=folder), "rb") as f:
+            return os.fstat(f.fileno()).st_size, hashlib.file_digest(f, "sha256").hexdigest()
 
-    def _copy(self, source: Path, part: Path, size: int, digest: str) -> None:
+    @staticmethod
+    def _copy(source: Path, out: BinaryIO, size: int, digest: str) -> None:
         seen, hashed = 0, hashlib.sha256()
-        with source.open("rb") as f, open(part, "xb") as out:
+        with source.open("rb") as f:
             while piece := f.read(CHUNK):
                 out.write(piece)
                 hashed.update(piece)
                 seen += len(piece)
-            out.flush()
-            os.fsync(out.fileno())
+        out.flush()
+        os.fsync(out.fileno())
         if seen != size or hashed.hexdigest() != digest:
             raise FilingError(f"{source} changed while it was copied")
 
     def write_atomic(self, name: str, body: bytes) -> None:
         """Write a small file whole or not at all, in place of an earlier one."""
-        place = self.place_of(name)
-        place.parent.mkdir(parents=True, exist_ok=True)
-        part = self._temporary(place)
-        with open(part, "xb") as out:
+        *folders, leaf = self.parts_of(name)
+        with self._inside(folders, make=True) as folder, self._new_file(folder) as (part, out):
             out.write(body)
             out.flush()
             os.fsync(out.fileno())
-        os.replace(part, place)
+            os.replace(part, leaf, src_dir_fd=folder, dst_dir_fd=folder)
 
-    def read(self, name: str) -> bytes:
-        return self.place_of(name).read_bytes()
+    def read(self, name: str) -> bytes | None:
+        """A file's bytes, None if there is none."""
+        *folders, leaf = self.parts_of(name)
+        try:
+            with self._inside(folders) as folder, os.fdopen(os.open(leaf, os.O_RDONLY | os.O_NOFOLLOW, dir_fd=folder), "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def content(self, name: str) -> tuple[int, str] | None:
+        """(size, digest) of a plain file, None of anything else or nothing."""
+        *folders, leaf = self.parts_of(name)
+        try:
+            with self._inside(folders) as folder:
+                return self._content(folder, leaf)
+        except FileNotFoundError:
+            return None
+
+    def names_in(self, folder: str) -> list[str]:
+        """What a folder of the archive holds, names from the root; none if there is no such folder."""
+        try:
+            with self._inside(self.parts_of(folder) if folder else []) as handle:
+                return [f"{folder}/{leaf}" if folder else leaf for leaf in os.listdir(handle)]
+        except FileNotFoundError:
+            return []
 
     def relative(self, path: str | Path) -> str | None:
         """A path's name inside the archive, None if it is outside."""
@@ -116,14 +179,29 @@ class Archive:
         return None if inside == "." else inside
 
 
-def inventory_of(root: str | Path, names: Iterator[str] | None = None) -> pd.DataFrame:
-    """(path, size, digest) of the files in an archive, traces left out."""
-    archive, rows = Archive(root), []
-    for place in sorted(archive.root.rglob("*")):
-        if place.is_file() and not place.is_symlink() and not place.name.endswith(".folioflow.json"):
-            with place.open("rb") as f:
-                rows.append((place.relative_to(archive.root).as_posix(), place.stat().st_size, hashlib.file_digest(f, "sha256").hexdigest()))
-    return pd.DataFrame(rows, columns=["path", "size", "digest"])
+def names_held(claims: DataFrame, root: str) -> DataFrame:
+    """(path, size, digest) of what the archive holds under the names that ``claims`` (dest) may
+    try: the names themselves and their suffixed forms. Executors list the folders that are
+    filed into, and read only the files that bear such a name."""
+    dests = claims.where("dest IS NOT NULL").select("dest").distinct()
+    folders = dests.select(folder_of(F.col("dest")).alias("folder")).distinct()
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive = Archive(root)
+        for pdf in batches:
+            for folder in pdf["folder"]:
+                yield pd.DataFrame({"path": archive.names_in(folder)}, dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive = Archive(root)
+        for pdf in batches:
+            # something that is no plain file holds its name all the same
+            told = [(path, *(archive.content(path) or (-1, ""))) for path in pdf["path"]]
+            yield pd.DataFrame(told, columns=["path", "size", "digest"])
+
+    names = folders.mapInPandas(listed, "path string")
+    tried = names_tried(names, "path").join(dests, "dest", "left_semi").select("path").distinct()
+    return tried.mapInPandas(read, "path string, size long, digest string")
 
 
 def place_documents(claims: DataFrame, root: str, move: bool) -> DataFrame:

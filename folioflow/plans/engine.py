@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
+import re
 import sys
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +18,16 @@ from ..functions.naming import file_name
 from ..operators.analyse import Client, ModelError, with_replies
 from ..operators.claim import claim
 from ..operators.extract import Tools, with_text
-from ..operators.filing import Archive, inventory_of, place_documents
+from ..operators.filing import Archive, names_held, place_documents
 from ..operators.handoff import Command, arguments, not_attempted, run_commands
 from ..sources.documents import scan_files
-from ..sources.inventory import read_traces, scan_traces, trace_json, write_traces
+from ..sources.inventory import read_traces, trace_beside, trace_json, write_traces
 from ..workers import importable
 from . import report
 from .config import DISPOSITIONS, Config, ConfigError, load
 from .plan import build_plan, exit_code
 from .replay import destination_inside, replay_state
-from .schema import EXIT_CODES
+from .schema import EXIT_CODES, METADATA
 
 VERSION_TEXT = "folioflow 0.1.0\n"
 log = logging.getLogger("folioflow")
@@ -32,7 +36,11 @@ log = logging.getLogger("folioflow")
 @dataclass
 class Engine:
     """Configured stages over DataFrames. ``analyse`` takes rows with path and text and adds
-    reply, reply_error_kind and reply_error_msg; by default it asks the configured model."""
+    reply, reply_error_kind and reply_error_msg; by default it asks the configured model.
+
+    ``scratch`` is a folder that the driver and all executors share, ``spark.checkpoint.dir`` if
+    it isn't named. What calls and commands gave is written there before anything reads it, so
+    that nothing is asked, run or moved twice, also when an executor is lost."""
 
     spark: SparkSession
     config: Config
@@ -42,6 +50,7 @@ class Engine:
 
     def __post_init__(self):
         importable(self.spark)
+        self._run = uuid.uuid4().hex
 
     @classmethod
     def configured(cls, spark: SparkSession, config: Config) -> Engine:
@@ -53,33 +62,43 @@ class Engine:
     def _asked(self, rows: DataFrame) -> DataFrame:
         if self.analyse is not None:
             return self.analyse(rows)
-        a = self.config.analysis
-        nothing = F.lit(None).cast("string")
-        bad = rows.where(F.col("text")["error_kind"].isNotNull()).withColumns({"reply": nothing, "reply_error_kind": nothing, "reply_error_msg": nothing})
-        good = rows.where(F.col("text")["error_kind"].isNull())
+        a, t, g = self.config.analysis, self.config.types, self.config.tags
+        good = F.col("text")["error_kind"].isNull()
         try:
             client = Client(a.base_url, a.model, a.api_key.secret(), a.timeout, a.retries)
         except ModelError as e:
-            return bad.unionByName(good.withColumns({"reply": nothing, "reply_error_kind": F.lit(e.kind), "reply_error_msg": F.lit(str(e))}))
-        t, g = self.config.types, self.config.tags
-        asked = with_replies(good.select("path", F.col("text")["content"].alias("content")), client, t.values, t.fallback, g.values, a.retries)
-        asked = asked.select("path", "reply", F.col("error_kind").alias("reply_error_kind"), F.col("error_msg").alias("reply_error_msg"))
-        return bad.unionByName(good.join(asked, "path"))
+            return rows.withColumns({"reply": F.lit(None).cast("string"), "reply_error_kind": F.when(good, F.lit(e.kind)), "reply_error_msg": F.when(good, F.lit(str(e)))})
+        return with_replies(rows, F.when(good, F.col("text")["content"]), client, t.values, t.fallback, g.values, a.retries)
 
     def extracted(self, docs: DataFrame) -> DataFrame:
         return with_text(docs, self.tools)
 
     def plan(self, docs: DataFrame) -> DataFrame:
-        """The side-effect-free plan of scanned documents."""
-        return build_plan(self._asked(self.extracted(docs)), self.config)
+        """The side-effect-free plan of scanned documents. One line of steps, without branches or
+        joins: each document is extracted once and asked about once each time the plan is
+        evaluated, so ``execute`` and the command line store it first."""
+        return build_plan(self._asked(self.extracted(docs).drop("content")), self.config)
+
+    @property
+    def folder(self) -> str:
+        """This run's folder in the shared one."""
+        root = self.scratch or self.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", self.spark.sparkContext.master):
+                raise ConfigError("neither scratch nor spark.checkpoint.dir names a folder that the driver and all executors share")
+            root = self.scratch = tempfile.mkdtemp(prefix="folioflow-")
+        return f"{root.rstrip('/')}/folioflow-run-{self._run}"
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """Model replies and outcomes of commands must not be made twice, so they are written."""
-        if not self.scratch:
-            return df.persist()
-        path = f"{self.scratch.rstrip('/')}/{name}"
+        """``df`` written to the run's folder and read back."""
+        path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def cleared(self) -> None:
+        """Remove what this run has stored."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def execute(self, plan: DataFrame, *, archive: bool = True) -> DataFrame:
         """File what the plan says, hand it off, leave traces; one row a document."""
@@ -90,7 +109,7 @@ class Engine:
         if disposition == "keep":
             return plan.withColumns(nothing).withColumn("action", report.action(F.col("disposition"), F.col("duplicate")))
         Archive(root)
-        there = self.spark.createDataFrame(inventory_of(root).astype({"size": "int64"}), "path string, size long, digest string")
+        there = self.stored(names_held(good.select("dest"), root), "held")
         claims = claim(good.select("path", "size", "digest", "dest", F.col("path").alias("arrival")), there)
         claims = self.stored(claims, "claims")
         placed = self.stored(place_documents(claims, root, disposition == "move"), "placed").select("path", "filing_error")
@@ -123,13 +142,13 @@ class Engine:
         return rows.select("final_dest", body.alias("trace"))
 
     def replayed(self, docs: DataFrame) -> DataFrame:
-        """docs with record and state: what is left to do for each (see ``plans.replay``)."""
+        """docs with record and state: what is left to do for each (see ``plans.replay``). Only
+        documents inside the archive have a trace, and only theirs are read."""
         where = F.regexp_replace("path", r"\Afile:/*", "/")
-        rows = docs.withColumn("_dest", destination_inside(where, self.config.archive_root))
-        rows = rows.join(scan_traces(self.spark, self.config.archive_root).withColumnRenamed("dest", "_dest"), "_dest", "left")
-        rows = read_traces(rows)
-        state = replay_state(F.col("_dest").isNotNull(), F.col("record"), self.config.archive.configured)
-        return rows.withColumn("state", state).withColumnRenamed("_dest", "inside")
+        rows = docs.withColumn("inside", destination_inside(where, self.config.archive_root))
+        rows = read_traces(rows.withColumn("trace", trace_beside(F.col("inside"), self.config.archive_root)))
+        state = replay_state(F.col("inside").isNotNull(), F.col("record"), self.config.archive.configured)
+        return rows.withColumn("state", state)
 
 
 # ---------------------------------------------------------------- command line
@@ -177,46 +196,85 @@ def main(args: list[str] | None = None, engine_of=Engine.configured, out=None, e
     except (_Usage, ConfigError) as e:
         err.write(f"folioflow: {e}\n")
         return 2
+    o.command = os.path.basename(config.archive.command)
     spark = SparkSession.builder.appName("folioflow").getOrCreate()
     engine = engine_of(spark, config)
     return run(engine, scan_files(spark, *o.documents), o, out, err)
 
 
 def run(engine: Engine, docs: DataFrame, o, out, err) -> int:
+    try:
+        return _run(engine, docs, o, out, err)
+    finally:
+        engine.cleared()
+
+
+def _run(engine: Engine, docs: DataFrame, o, out, err) -> int:
     worst = 0
     nothing = not_attempted()
     if o.no_analysis:
-        rows = engine.extracted(docs)
         empty = {c: F.lit(None).cast("string") for c in ("dest", "rule", "disposition")}
-        from .schema import METADATA
-
+        rows = engine.extracted(docs).drop("content")
         rows = rows.withColumns(empty | {"metadata": F.lit(None).cast(METADATA), "action": F.lit(report.EXTRACTED), "archive": nothing, "error_kind": F.col("text")["error_kind"], "error_msg": F.col("text")["error_msg"]})
         show = report.output_json(rows, include_text=True) if o.output == "json" else F.col("text")["content"]
+        return max(worst, _told(rows.withColumn("line", show), o, out, err))
+    if not o.dry_run:
+        known = engine.stored(engine.replayed(docs), "known")
+        again = known.where("state <> 'process'")
+        worst = max(worst, _replay(engine, again, o, out, err))
+        docs = known.where("state = 'process'").drop("state", "inside", "trace", "record", "unusable")
+    rows = engine.plan(docs)
+    if o.dry_run or o.no_file:
+        rows = rows.withColumn("archive", nothing).withColumn("action", report.action(F.col("disposition"), F.lit(False), dry_run=o.dry_run, no_file=o.no_file))
     else:
-        if not o.dry_run:
-            known = engine.replayed(docs)
-            again = known.where("state <> 'process'")
-            worst = max(worst, _replay(engine, again, o, out, err))
-            docs = known.where("state = 'process'").drop("state", "inside", "trace", "record", "unusable")
-        rows = engine.plan(docs)
-        if o.dry_run or o.no_file:
-            rows = rows.withColumn("archive", nothing).withColumn("action", report.action(F.col("disposition"), F.lit(False), dry_run=o.dry_run, no_file=o.no_file))
-        else:
-            rows = engine.execute(rows, archive=not o.no_archive).withColumn("dest", F.coalesce("final_dest", "dest"))
-        show = report.output_json(rows) if o.output == "json" else None
-    if show is None:
-        show = F.concat_ws("\t", file_name(F.col("path")), report.or_dash(report.destination(F.col("action"), F.col("dest"))), report.or_dash(F.col("metadata")["type"]), report.or_dash(F.array_join(F.col("metadata")["tags"], ", ")))
-        out.write("SOURCE\tDEST\tTYPE\tTAGS\n")
-    told = rows.select("path", show.alias("line"), "error_kind", "error_msg")
-    for r in told.toLocalIterator():
+        rows = engine.execute(rows, archive=not o.no_archive).withColumn("dest", F.coalesce("final_dest", "dest"))
+    if o.output == "json":
+        return max(worst, _told(rows.withColumn("line", report.output_json(rows)), o, out, err))
+    c = F.col
+    cells = [file_name(c("path")), report.or_dash(report.destination(c("action"), c("dest"))), report.or_dash(c("metadata")["type"]), report.or_dash(F.array_join(c("metadata")["tags"], ", "))]
+    rows = rows.withColumns({f"cell{k}": x for k, x in enumerate(cells)})
+    if o.dry_run:
+        rows = rows.withColumn("detail", report.detail_of(rows))
+    rows = engine.stored(rows.withColumn("note", report.archive_note(c("archive"))), "told")
+    widths = rows.where(_GOOD).agg(*[F.max(F.length(f"cell{k}")) for k in range(3)]).first()
+    widths = [max(len(name), n or 0) for name, n in zip(_HEADINGS, widths, strict=False)]
+    aligned = lambda cells: F.concat(*[F.rpad(x, n + 2, " ") for x, n in zip(cells, widths, strict=False)], cells[-1])
+    out.write("".join(name.ljust(n + 2) for name, n in zip(_HEADINGS, widths, strict=False)) + _HEADINGS[-1] + "\n")
+    return max(worst, _told(rows.withColumn("line", aligned([c(f"cell{k}") for k in range(4)])), o, out, err))
+
+
+_HEADINGS = ("SOURCE", "DEST", "TYPE", "TAGS")
+_GOOD = "error_kind IS NULL OR error_kind = 'archive'"
+
+
+def _told(rows: DataFrame, o, out, err) -> int:
+    """Print each row's line, note and detail; what its command said, unless that was well and
+    nobody wants to hear it; and its error. Returns the exit code."""
+    more = [F.col(k) if k in rows.columns else F.lit(None).alias(k) for k in ("note", "detail")]
+    worst = 0
+    for r in rows.select("path", "line", "error_kind", "error_msg", "archive", *more).toLocalIterator():
         if r["error_kind"] in (None, "archive") and r["line"] is not None:
             out.write(r["line"] + "\n")
-        if r["error_kind"] is not None:
-            err.write(f"folioflow: {r['path']}: {r['error_kind']}: {r['error_msg']}\n")
-            worst = max(worst, EXIT_CODES.get(r["error_kind"], 1))
+            if r["note"]:
+                out.write(f"\n{r['note']}\n")
+            if r["detail"]:
+                wide = max(len(d["label"]) for d in r["detail"])
+                out.write("\n" + "".join(f"{d['label']:<{wide}}  {d['value']}\n" for d in r["detail"]))
+        worst = max(worst, _complained(r, o, err))
     return worst
 
 
+def _complained(r, o, err) -> int:
+    """A row's captured output and error on ``err``; its exit code."""
+    if r["archive"]["output"] and not (o.quiet and r["archive"]["success"]):
+        for line in r["archive"]["output"].rstrip("\n").split("\n"):
+            err.write(f"{o.command}| {line.removesuffix(chr(13))}\n")
+    if r["error_kind"] is None:
+        return 0
+    err.write(f"folioflow: {r['path']}: {r['error_kind']}: {r['error_msg']}\n")
+    return EXIT_CODES.get(r["error_kind"], 1)
+
+
 def _replay(engine: Engine, again: DataFrame, o, out, err) -> int:
     """Hand off what was filed but not handed off; nothing is extracted, asked or moved."""
     rows = again.select("path", "digest", F.col("inside").alias("final_dest"), F.col("record.metadata").alias("metadata"), F.col("record.rule").alias("rule"), "state", F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error_msg"), F.col("record.source").alias("source"), F.col("record.filed_at").alias("filed_at"), F.col("record.truncation").alias("truncation"))
@@ -224,13 +282,9 @@ def _replay(engine: Engine, again: DataFrame, o, out, err) -> int:
     done = engine.stored(engine.handed_off(todo), "replayed")
     body = trace_json(F.col("source"), F.col("digest"), F.col("metadata"), F.col("rule"), F.col("filed_at"), F.col("truncation"), F.col("archive"))
     write_traces(done.select("final_dest", body.alias("trace")), engine.config.archive_root).foreach(lambda _: None)
-    worst = 0
     for r in rows.select("path", "final_dest", "state").toLocalIterator():
         log.info("%s is filed at %s: %s", r["path"], r["final_dest"], r["state"])
-    for r in done.where("error_kind IS NOT NULL").select("path", "error_msg").toLocalIterator():
-        err.write(f"folioflow: {r['path']}: archive: {r['error_msg']}\n")
-        worst = 1
-    return worst
+    return max((_complained(r, o, err) for r in done.select("path", "archive", "error_kind", "error_msg").toLocalIterator()), default=0)
 
 
 if __name__ == "__main__":

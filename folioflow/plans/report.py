@@ -82,8 +82,8 @@ def text_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def plan_detail(rows: DataFrame) -> DataFrame:
-    """(path, ord, label, value): the rows a dry run shows of each plan, blank ones left out."""
+def detail_of(rows: DataFrame) -> Column:
+    """The labelled values that a dry run shows of a plan, blank ones left out."""
     m, text, name = F.col("metadata"), F.col("text"), F.col("name")
     cut = text["truncation"]
     told = [
@@ -103,7 +103,12 @@ def plan_detail(rows: DataFrame) -> DataFrame:
         ("archive", archive_note(F.col("archive")) if "archive" in rows.columns else F.lit(None).cast("string")),
     ]
     listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(label).alias("label"), value.cast("string").alias("value")) for k, (label, value) in enumerate(told)])
-    return rows.select("path", F.explode(listed).alias("d")).select("path", "d.ord", "d.label", "d.value").where("coalesce(value, '') <> ''")
+    return F.filter(listed, lambda d: F.coalesce(d["value"], F.lit("")) != "")
+
+
+def plan_detail(rows: DataFrame) -> DataFrame:
+    """(path, ord, label, value): the same as rows."""
+    return rows.select("path", F.explode(detail_of(rows)).alias("d")).select("path", "d.ord", "d.label", "d.value")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -130,8 +130,25 @@ def write_traces(traces: DataFrame, root: str) -> DataFrame:
     return traces.select("final_dest", "trace").mapInPandas(run, "final_dest string, written boolean, trace_error string")
 
 
+def trace_beside(dest: Column, root: str) -> Column:
+    """The trace beside a document of an archive, null without one. Executors read just these
+    files, so what a run costs doesn't grow with the archive."""
+
+    def run(names: pd.Series) -> pd.Series:
+        archive = Archive(root)
+
+        def one(name: str | None) -> str | None:
+            raw = archive.read(name + SUFFIX) if name else None
+            return None if raw is None else raw.decode("utf-8", "replace")
+
+        return names.map(one)
+
+    run.__annotations__ = {"names": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string").asNondeterministic()(dest)
+
+
 def scan_traces(spark, root: str) -> DataFrame:
-    """(dest, trace) of the traces in an archive."""
+    """(dest, trace) of all traces in an archive: the whole inventory as a table."""
     base = F.lit(root.rstrip("/") + "/")
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SUFFIX}").text(root)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\Afile:/*", "/")

@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import stat
 import zipfile
 from pathlib import Path
@@ -31,7 +32,7 @@ def archive(*members, method=zipfile.ZIP_DEFLATED) -> bytes:
 
 
 DOCX = archive(("[Content_Types].xml", "<T/>"), ("word/document.xml", '<w:d xmlns:w="u"><w:p><w:t>One</w:t></w:p><w:p><w:t>two &amp; three</w:t><w:br/><w:t>four</w:t></w:p></w:d>'))
-ODT = archive(("mimetype", M.ODF[0]), ("content.xml", '<o:d xmlns:o="u"><o:p>Bonjour</o:p><o:p>été</o:p></o:d>'))
+ODT = archive(("mimetype", M.ODF[0]), ("content.xml", '<o:d xmlns:o="u"><o:p>Guten Tag</o:p><o:p>grün</o:p></o:d>'))
 XLSX = archive(("[Content_Types].xml", "<T/>"), ("xl/sharedStrings.xml", "<s><si><t>a</t></si></s>"), ("xl/worksheets/sheet1.xml", "<w><row><v>1</v></row><row><v>2</v></row></w>"), ("xl/styles.xml", "<x>no</x>"))
 
 
@@ -55,7 +56,7 @@ def test_zip_kinds(content, kind):
 
 def test_office_texts():
     assert extract.office_text(WORD, DOCX) == "One\ntwo & three\nfour"
-    assert extract.office_text(M.ODF[0], ODT) == "Bonjour\nété"
+    assert extract.office_text(M.ODF[0], ODT) == "Guten Tag\ngrün"
     assert extract.office_text(SHEET, XLSX) == "a\n1\n2"
 
 
@@ -107,7 +108,7 @@ def test_extraction_over_rows(spark, tmp_path):
     rows = extract.with_text(documents.scan_files(spark, str(tmp_path)), tools)
     got = {Path(r["path"]).name: (r["content"], r["origin"], r["error_kind"]) for r in rows.select("path", "text.content", "text.origin", "text.error_kind").collect()}
     assert got == {
-        "a.docx": ("One\ntwo & three\nfour", "office", None), "b.odt": ("Bonjour\nété", "office", None), "c.txt": ("plain é", "plain", None), "d.bin": (None, None, "unsupported"),
+        "a.docx": ("One\ntwo & three\nfour", "office", None), "b.odt": ("Guten Tag\ngrün", "office", None), "c.txt": ("plain é", "plain", None), "d.bin": (None, None, "unsupported"),
         "e.txt": (" \n ", "plain", "empty"), "f.png": ("seen image/png", "vision", None), "g.zip": (None, None, "unsupported"), "h.txt": (None, None, "source"),
     }
     assert {r["digest"] for r in rows.collect()} == {hashlib.sha256(b).hexdigest() for b in files.values()}
@@ -115,7 +116,7 @@ def test_extraction_over_rows(spark, tmp_path):
 
 # ---------------------------------------------------------------- model calls
 
-REPLY = json.dumps({"title": "T", "type": "facture", "tags": [], "filename": "f"})
+REPLY = json.dumps({"title": "T", "type": "manual", "tags": [], "filename": "f"})
 
 
 def answers(*given):
@@ -171,14 +172,14 @@ def test_bad_responses():
 
 
 def test_analysis_loop():
-    types = ["facture"]
+    types = ["manual"]
     transport, asked = answers((200, "prose"), (200, REPLY))
     assert analyse.analysed(client(transport), "p", types, []) == REPLY and len(asked) == 2
     transport, asked = answers(*[(200, "prose")] * 3)
     with pytest.raises(analyse.ModelError) as e:
         analyse.analysed(client(transport), "p", types, [])
     assert e.value.kind == "schema-unsupported"
-    transport, asked = answers((200, "prose"), (200, REPLY.replace("facture", "z")), (200, "prose"))
+    transport, asked = answers((200, "prose"), (200, REPLY.replace("manual", "z")), (200, "prose"))
     with pytest.raises(analyse.ModelError) as e:
         analyse.analysed(client(transport), "p", types, [])
     assert e.value.kind == "rejected" and len(asked) == 3
@@ -246,6 +247,44 @@ def test_placing(tmp_path):
     inside = root / "x/y.txt"
     assert a.place(inside, 4, digest, "x/y.txt", remove=True) == "duplicate" and inside.exists()
     assert [p.name for p in root.rglob("*") if p.is_file()] == ["y.txt"]
+    (root / "x/empty").touch()
+    (root / "x/folder").mkdir()
+    (root / "x/link").symlink_to(other)
+    for taken in ("x/empty", "x/folder", "x/link", "x/y.txt/z"):
+        with pytest.raises((filing.FilingError, OSError)):
+            a.place(other, n, d, taken)
+    assert a.content("x/y.txt") == (4, digest) and a.content("x/link") is a.content("x/folder") is a.content("q/r") is None
+    assert sorted(a.names_in("x")) == ["x/empty", "x/folder", "x/link", "x/y.txt"] and a.names_in("q") == []
+    a.write_atomic("x/y.txt", b"new")
+    assert a.read("x/y.txt") == b"new" and a.read("x/none") is None
+
+
+def test_a_folder_that_becomes_a_link_is_not_followed(tmp_path):
+    root, outside = tmp_path / "root", tmp_path / "outside"
+    (root / "x").mkdir(parents=True)
+    outside.mkdir()
+    path, size, digest = _source(tmp_path, "in.txt", b"body")
+    a = filing.Archive(root)
+    with a._inside(["x"]) as folder:  # the folder that was opened is the one written to
+        (root / "x").rename(tmp_path / "moved")
+        (root / "x").symlink_to(outside)
+        with a._new_file(folder) as (part, out):
+            out.write(b"body")
+            os.link(part, "y.txt", src_dir_fd=folder, dst_dir_fd=folder)
+    with pytest.raises(filing.FilingError):
+        a.place(path, size, digest, "x/y.txt")
+    assert list(outside.iterdir()) == [] and (tmp_path / "moved/y.txt").read_bytes() == b"body"
+
+
+def test_names_held_are_those_that_may_be_tried(spark, tmp_path):
+    for name, body in {"a/x.txt": "1", "a/x-2.txt": "22", "a/x-1001.txt": "3", "a/x-02.txt": "4", "a/z.txt": "5", "b/x.txt": "6", "x.txt": "7"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    (tmp_path / "a/x-3.txt").mkdir()
+    dests = spark.createDataFrame([("a/x.txt",), ("a/x.txt",), ("x.txt",), ("c/new.txt",), (None,)], "dest string")
+    got = {r["path"]: (r["size"], r["digest"]) for r in filing.names_held(dests, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {"a/x.txt": (1, sha(b"1")), "a/x-2.txt": (2, sha(b"22")), "a/x-3.txt": (-1, ""), "x.txt": (1, sha(b"7"))}
 
 
 @pytest.mark.parametrize("name", ["../x", "/etc/x", "a/../../x", "a//b", "", "a\\b", ".", "link/x"])
@@ -281,7 +320,7 @@ def test_traces(spark, change, reason):
 def fixed_replies(rows):
     """Documents say their type in their first word."""
     word = F.lower(F.regexp_extract(c("text")["content"], r"\A(\w+)", 1))
-    body = F.to_json(F.struct(F.lit("T").alias("title"), word.alias("type"), F.array(F.lit("voiture")).alias("tags"), F.lit("2025-03-14").alias("document_date"), word.alias("filename")))
+    body = F.to_json(F.struct(F.lit("T").alias("title"), word.alias("type"), F.array(F.lit("Lathe"), F.lit("mill")).alias("tags"), F.lit("2031-11-05").alias("document_date"), word.alias("filename")))
     nothing = F.lit(None).cast("string")
     return rows.withColumns({"reply": F.when(c("text")["error_kind"].isNull(), body), "reply_error_kind": nothing, "reply_error_msg": nothing})
 
@@ -289,9 +328,9 @@ def fixed_replies(rows):
 def _setup(tmp_path, command=""):
     (tmp_path / "in").mkdir()
     (tmp_path / "root").mkdir()
-    for name, body in {"a.txt": "facture one", "b.txt": "facture one", "c.txt": "facture two", "d.txt": "zzz", "e.bin": "\0"}.items():
+    for name, body in {"a.txt": "manual one", "b.txt": "manual one", "c.txt": "manual two", "d.txt": "zzz", "e.bin": "\0"}.items():
         (tmp_path / "in" / name).write_text(body)
-    text = f"archive_root: {tmp_path}/root\ndisposition: copy\ntypes: {{fallback: autre, values: [facture, autre]}}\nrules:\n  - {{name: v, type: facture, path: 'factures/{{{{.Year}}}}'}}\n"
+    text = f"archive_root: {tmp_path}/root\ntypes: {{values: [manual, note], fallback: note}}\nrules: [{{name: manuals, type: manual, path: 'shelf/{{{{.Month}}}}'}}]\ndisposition: copy\n"
     if command:
         text += f"archive: {{command: {command}, args: ['{{{{.Path}}}}']}}\n"
     (tmp_path / "c.yaml").write_text(text)
@@ -313,14 +352,94 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     code, out, err = _main(tmp_path, "--dry-run", "--output", "json")
     told = {Path(json.loads(x)["source"]["path"]).name: json.loads(x) for x in out.splitlines()}
     assert code == 2 and set(told) == {"a.txt", "b.txt", "c.txt"} and "rejected" in err and "unsupported" in err
-    assert told["a.txt"]["action"] == "planned" and told["a.txt"]["destination"] == "factures/2025/2025-03-14-facture.txt" and told["a.txt"]["archive"] is None
+    assert told["a.txt"]["action"] == "planned" and told["a.txt"]["destination"] == "shelf/11/2031-11-05-manual.txt" and told["a.txt"]["archive"] is None
     assert list((tmp_path / "root").rglob("*")) == []
 
 
+def test_dry_run_in_text(spark, tmp_path):
+    _setup(tmp_path)
+    code, out, err = _main(tmp_path, "--dry-run")
+    lines = out.split("\n")
+    row = next(x for x in lines if x.startswith("c.txt"))
+    assert code == 2 and row.index("shelf/11") == lines[0].index("DEST") and row.index("manual  ") == lines[0].index("TYPE") and row.endswith("lathe, mill")
+    detail = dict(x.split("  ", 1) for x in out[out.index("c.txt") :].split("\n\n")[1].split("\n") if x)
+    assert {k.strip(): v.strip() for k, v in detail.items()} == {"rule": "manuals", "rule path": "shelf/{{.Month}}", "disposition": "copy", "text origin": "plain", "title": "T", "document date": "2031-11-05"}
+    assert list((tmp_path / "root").rglob("*")) == [] and "archive" not in out
+
+
+def test_what_commands_say(spark, tmp_path):
+    tool(tmp_path, "speak", 'case "$1" in *-2.txt) echo "no room"; echo "at all" >&2; exit 7;; *) echo "taken as 4711";; esac\n')
+    _setup(tmp_path, f"{tmp_path}/speak")
+    code, out, err = _main(tmp_path, "--quiet")
+    assert code == 2 and err.count("speak| no room\nspeak| at all\n") == 1 and "4711" not in err + out
+    assert out.count("\narchived\n") == 2 and out.count("\narchiver failed (exit 7)\n") == 1
+    for path in (tmp_path / "root").rglob("*.*"):
+        path.unlink()
+    code, out, err = _main(tmp_path)
+    assert err.count("speak| taken as 4711\n") == 2 and err.count("speak| no room\n") == 1 and "4711" not in out
+
+
+def test_missing_and_empty_documents_have_their_outcome(spark, tmp_path):
+    _setup(tmp_path)
+    (tmp_path / "in" / "z é.txt").touch()
+    out, err = io.StringIO(), io.StringIO()
+    engine = lambda s, config: E.Engine(s, config, fixed_replies, scratch=str(tmp_path / "scratch"))
+    code = E.main([f"{tmp_path}/in/a.txt", f"{tmp_path}/nowhere.txt", f"{tmp_path}/in/z*.txt", f"{tmp_path}/no/*", "--config", f"{tmp_path}/c.yaml", "--dry-run"], engine, out, err)
+    assert code == 2 and re.search(r"\na\.txt +shelf/11", out.getvalue())
+    said = err.getvalue()
+    assert "nowhere.txt: source: no such document" in said and "no/*: source: no such document" in said and "z é.txt: source: empty" in said
+    assert documents.scan_files(spark, f"{tmp_path}/nowhere").select("size", "mime").collect() == [(None, None)]
+
+
+def counting(folder: Path):
+    """A vision call that leaves a file each time."""
+
+    def see(media, data):
+        (folder / os.urandom(8).hex()).touch()
+        return f"manual of {len(data)} bytes"
+
+    return see
+
+
+@pytest.mark.parametrize("body", [b"\x89PNG\r\n\x1a\nxx", b"%PDF-1.7 \f"], ids=["image", "scan"])
+@pytest.mark.parametrize("args", [["--dry-run"], ["--dry-run", "--output", "json"], [], ["--no-analysis"]], ids=["text", "json", "filed", "text only"])
+def test_one_call_for_a_document(spark, tmp_path, monkeypatch, body, args):
+    tool(tmp_path, "pdftotext", 'cat "$2" | tail -c +9\n')
+    tool(tmp_path, "pdftoppm", 'for last; do :; done; printf img > "$last-1.png"\n')
+    monkeypatch.setitem(spark.sparkContext.environment, "PATH", f"{tmp_path}:{os.environ['PATH']}")
+    _setup(tmp_path)
+    calls, asked = tmp_path / "calls", tmp_path / "asked"
+    calls.mkdir()
+    asked.mkdir()
+    (tmp_path / "in" / "p").write_bytes(body)
+
+    def transport(url, headers, body, timeout):
+        (asked / os.urandom(8).hex()).touch()
+        return 200, json.dumps({"choices": [{"message": {"content": json.dumps({"title": "T", "type": "manual", "tags": [], "document_date": "2031-11-05", "filename": "f"})}}]}).encode()
+
+    monkeypatch.setattr(E, "Client", lambda *a: analyse.Client("http://x", "m", transport=transport))
+    engine = lambda s, config: E.Engine(s, config, tools=extract.Tools(vision=counting(calls)), scratch=str(tmp_path / "scratch"))
+    code = E.main([f"{tmp_path}/in/p", "--config", f"{tmp_path}/c.yaml", *args], engine, io.StringIO(), err := io.StringIO())
+    assert code == 0, err.getvalue()
+    assert len(list(calls.iterdir())) == 1 and len(list(asked.iterdir())) == (0 if args == ["--no-analysis"] else 1)
+    assert not list((tmp_path / "scratch").rglob("*.parquet"))
+
+
+def test_one_conversion_for_an_old_document(spark, tmp_path, monkeypatch):
+    tool(tmp_path, "libreoffice", f'echo x >> {tmp_path}/runs; for last; do :; done; echo "manual text" > "$(dirname "$last")/in.txt"\n')
+    monkeypatch.setitem(spark.sparkContext.environment, "PATH", f"{tmp_path}:{os.environ['PATH']}")
+    config = C.load(_setup(tmp_path), {}).validate()
+    (tmp_path / "in" / "old").write_bytes(bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 20)
+    engine = E.Engine(spark, config, fixed_replies)
+    plan = engine.plan(documents.scan_files(spark, f"{tmp_path}/in/old"))
+    assert plan.where("error_kind IS NULL AND text.origin = 'office'").select("dest").collect() == [("shelf/11/2031-11-05-manual",)]
+    assert (tmp_path / "runs").read_text() == "x\n"
+
+
 def test_texts_only(spark, tmp_path):
     _setup(tmp_path)
     code, out, _ = _main(tmp_path, "--no-analysis")
-    assert code == 2 and sorted(out.split("\n")) == ["", "facture one", "facture one", "facture two", "zzz"]
+    assert code == 2 and sorted(out.split("\n")) == ["", "manual one", "manual one", "manual two", "zzz"]
 
 
 def test_file_then_replay(spark, tmp_path):
@@ -329,8 +448,9 @@ def test_file_then_replay(spark, tmp_path):
     code, out, err = _main(tmp_path)
     root = tmp_path / "root"
     names = sorted(p.relative_to(root).as_posix() for p in root.rglob("*.txt"))
-    assert code == 2 and names == ["factures/2025/2025-03-14-facture-2.txt", "factures/2025/2025-03-14-facture.txt"]
-    assert err.count("upload exited 1") == 3 and out.startswith("SOURCE\tDEST")
+    assert code == 2 and names == ["shelf/11/2031-11-05-manual-2.txt", "shelf/11/2031-11-05-manual.txt"]
+    assert err.count("upload exited 1") == 3 and out.split("\n")[0].split() == ["SOURCE", "DEST", "TYPE", "TAGS"]
+    assert out.count("archiver failed (exit 1)") == 3
     traces = list(root.rglob("*" + inventory.SUFFIX))
     assert len(traces) == 2 and not json.loads(traces[0].read_text())["archive"]["success"]
     (tmp_path / "up").touch()
@@ -339,9 +459,14 @@ def test_file_then_replay(spark, tmp_path):
     def never(rows):
         raise AssertionError("asked again")
 
+    many = [f"old/{k}.txt{inventory.SUFFIX}" for k in range(3)]
+    for name in many:  # traces that the run has no business with
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text("not read")
+        os.chmod(root / name, 0)
     for _ in range(2):  # the second time there is nothing left
         engine = lambda s, config: E.Engine(s, config, lambda rows: fixed_replies(rows) if rows.limit(1).count() == 0 else never(rows), scratch=str(tmp_path / "scratch2"))
-        assert E.main([f"{root}/factures/2025/*.txt", "--config", f"{tmp_path}/c.yaml"], engine, out, err) == 0
+        assert E.main([f"{root}/shelf/11/*.txt", "--config", f"{tmp_path}/c.yaml"], engine, out, err) == 0
     assert sorted((tmp_path / "sent").read_text().split()) == [f"{root}/{n}" for n in names]
     assert json.loads(traces[0].read_text())["archive"]["success"]
 
@@ -363,10 +488,10 @@ def test_streaming_intake(spark, tmp_path):
     out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
     for wave in range(2):
         if wave:
-            (tmp_path / "in" / "f.txt").write_text("facture three")
-            (tmp_path / "in" / "g.txt").write_text("facture two")
+            (tmp_path / "in" / "f.txt").write_text("manual three")
+            (tmp_path / "in" / "g.txt").write_text("manual two")
         intake.plan_stream(intake.watched_files(spark, str(tmp_path / "in"), "*.txt"), engine.plan, out, marks).awaitTermination(120)
     got = {Path(r["path"]).name: (r["final_dest"], r["duplicate"], r["error_kind"], r["batch"]) for r in spark.read.parquet(out).collect()}
-    base = "factures/2025/2025-03-14-facture"
+    base = "shelf/11/2031-11-05-manual"
     assert got["a.txt"] == (f"{base}.txt", False, None, 0) and got["b.txt"][1] is True and got["d.txt"][2] == "rejected"
     assert {got["c.txt"][0], got["f.txt"][0]} == {f"{base}-2.txt", f"{base}-3.txt"} and got["g.txt"] == (f"{base}-2.txt", True, None, 1)

@@ -1,5 +1,7 @@
 """Rules, paths, claims, plans, configuration."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,21 +13,22 @@ from folioflow.queries import sample_config
 c = F.col
 
 R1 = [
-    rules.Rule("factures-voiture", "factures/voiture/{{.Year}}", "facture", "", ("voiture",)),
-    rules.Rule("factures-sante", "factures/sante/{{.Year}}", "facture", "", ("sante",)),
-    rules.Rule("factures", "factures/{{.Correspondent}}/{{.Year}}", "facture"),
-    rules.Rule("contrats-axa", "contrats/axa", "contrat", "axa"),
-    rules.Rule("divers", "divers/{{.Year}}"),
+    rules.Rule("hot work", "safety/{{.Year}}", "", "", ("safety", "welding")),
+    rules.Rule("kern reports", "reports/kern/{{.Reference}}", "test-report", "Kern"),
+    rules.Rule("reports", "reports/{{.Correspondent}}/{{.Year}}", "test-report"),
+    rules.Rule("lathe", "machines/lathe", "", "", ("lathe",)),
+    rules.Rule("rest", "rest/{{.Type}}"),
 ]
 MATCHES = [
-    ("facture", "", ["voiture", "entretien"], "factures-voiture"),
-    ("facture", "", ["sante"], "factures-sante"),
-    ("facture", "edf", [], "factures"),
-    ("contrat", "axa", [], "contrats-axa"),
-    ("contrat", "maif", [], "divers"),
-    ("contrat", "AXA", [], "divers"),
-    ("autre", "", ["voiture"], "divers"),
-    ("facture", "garage", ["automobile"], "factures"),
+    ("manual", "", ["welding", "safety"], "hot work"),
+    ("test-report", "Kern", ["safety", "x", "welding"], "hot work"),
+    ("test-report", "Kern", ["safety"], "kern reports"),
+    ("test-report", "kern", [], "reports"),
+    ("test-report", "", ["lathe"], "reports"),
+    ("manual", "Kern", ["lathe"], "lathe"),
+    ("manual", "Kern", ["lathes"], "rest"),
+    ("Test-Report", "Kern", [], "rest"),
+    ("", "", [], "rest"),
 ]
 
 
@@ -42,14 +45,14 @@ def test_joined_rules_agree(spark):
     assert [got[i] for i in range(len(MATCHES))] == [m[3] for m in MATCHES]
 
 
-@pytest.mark.parametrize("tags,hit", [(["voiture", "entretien"], True), (["entretien", "x", "voiture"], True), (["voiture"], False), ([], False), (None, False)])
+@pytest.mark.parametrize("tags,hit", [(["mill", "lathe"], True), (["lathe", "x", "mill"], True), (["mill"], False), ([], False), (None, False)])
 def test_all_tags_needed(spark, tags, hit):
-    rule = rules.Rule("r", "x", "", "", ("voiture", "entretien"))
+    rule = rules.Rule("r", "x", "", "", ("mill", "lathe"))
     rows = spark.createDataFrame([(tags,)], "g array<string>")
     assert rows.select(rule.matches(F.lit(""), F.lit(""), c("g"))).first()[0] is hit
 
 
-@pytest.mark.parametrize("path,fault", [("factures/2025", None), ("", "empty path"), ("a//b", "empty path segment"), ("a/", "empty path segment"), ("a/../b", "traversal segment .."), ("./b", "traversal segment ."), ("a\\b", "backslash"), ("..\\/", "backslash")])
+@pytest.mark.parametrize("path,fault", [("machines/mill", None), ("x", None), ("", "empty path"), ("/x", "empty path segment"), ("x//", "empty path segment"), ("x/..", "traversal segment .."), ("x/./y", "traversal segment ."), (".../x", None), ("x\\..", "backslash"), ("//\\", "backslash")])
 def test_path_faults(spark, path, fault):
     assert spark.createDataFrame([(path,)], "p string").select(rules.path_fault(c("p"))).first()[0] == fault
 
@@ -64,44 +67,80 @@ def test_templates_accept_spaces():
     assert rules.Template.parse("a/{{ .Year }}/b", rules.PATH_FIELDS, "x").pieces == ("a/", ("Year",), "/b")
 
 
-def _claims(spark, rows, fn=claim.claimed, **kw):
+def brute_claims(rows, held=()):
+    """Names tried one after another, in order of arrival."""
+    taken, out = {p: (s, d) for p, s, d in held}, {}
+    for arrival, dest, size, digest in sorted(rows):
+        stem, dot, ext = dest.rpartition(".") if "." in dest.rpartition("/")[2] else (dest, "", "")
+        for n in range(1, 1001):
+            name = dest if n == 1 else f"{stem}-{n}{dot}{ext}"
+            if name not in taken:
+                taken[name] = (size, digest)
+                out[arrival] = (name, False)
+                break
+            if size > 0 and taken[name] == (size, digest):
+                out[arrival] = (name, True)
+                break
+        else:
+            out[arrival] = (None, False)
+    return out
+
+
+def _claims(spark, rows, held=None):
     df = spark.createDataFrame(rows, "arrival int, dest string, size long, digest string")
-    return [tuple(r) for r in fn(df, **kw).orderBy("arrival").select("final_dest", "duplicate").collect()]
+    there = None if held is None else spark.createDataFrame(held, "path string, size long, digest string")
+    got = claim.claim(df, there).collect()
+    assert all((r["claim_error"] is None) == (r["final_dest"] is not None) for r in got)
+    return {r["arrival"]: (r["final_dest"], r["duplicate"]) for r in got}
 
 
-CLAIMS = [(1, "a/x.pdf", 3, "d1"), (2, "a/x.pdf", 3, "d2"), (3, "a/x.pdf", 3, "d1"), (4, "a/x.pdf", 3, "d3"), (5, "b/y", 1, "d1"), (6, "b/y", 1, "d2"), (7, "a/x.pdf", 3, "d2")]
-CLAIMED = [("a/x.pdf", False), ("a/x-2.pdf", False), ("a/x.pdf", True), ("a/x-3.pdf", False), ("b/y", False), ("b/y-2", False), ("a/x-2.pdf", True)]
+def test_claims(spark):
+    rows = [(1, "a/x.pdf", 3, "d1"), (2, "a/x.pdf", 3, "d2"), (3, "a/x.pdf", 3, "d1"), (4, "a/x.pdf", 4, "d1"), (5, "b/y", 1, "d1"), (6, "b/y", 1, "d2"), (7, "a/x.pdf", 3, "d2"), (8, "a/x.pdf", 0, "e"), (9, "a/x.pdf", 0, "e")]
+    got = _claims(spark, rows)
+    assert got == brute_claims(rows)
+    assert got[3] == ("a/x.pdf", True) and got[6] == ("b/y-2", False) and got[9] == ("a/x-5.pdf", False)
 
 
-@pytest.mark.parametrize("fn", [claim.claimed, claim.claimed_in_order, claim.claim])
-def test_claims(spark, fn):
-    assert _claims(spark, CLAIMS, fn) == CLAIMED
+def test_claims_of_names_that_look_suffixed(spark):
+    rows = [(1, "a/x.pdf", 3, "d1"), (2, "a/x-2.pdf", 3, "d9"), (3, "a/x.pdf", 3, "d2"), (4, "c/z.pdf", 3, "d1"), (5, "c/z.pdf", 3, "d2"), (6, "a/x-2.pdf", 3, "d2"), (7, "a/x-2-2.pdf", 3, "d7"), (8, "a/x.pdf", 3, "d9"), (9, "a/x-02.pdf", 3, "d1"), (10, "a/x-1.pdf", 3, "d1"), (11, "b-2/x.pdf", 3, "d1"), (12, "b/x.pdf", 3, "d2")]
+    assert _claims(spark, rows) == brute_claims(rows)
 
 
-def test_claims_where_a_natural_name_is_suffixed(spark):
-    rows = [(1, "a/x.pdf", 3, "d1"), (2, "a/x-2.pdf", 3, "d9"), (3, "a/x.pdf", 3, "d2"), (4, "c/z.pdf", 3, "d1"), (5, "c/z.pdf", 3, "d2")]
-    want = [("a/x.pdf", False), ("a/x-2.pdf", False), ("a/x-3.pdf", False), ("c/z.pdf", False), ("c/z-2.pdf", False)]
-    assert _claims(spark, rows, claim.claimed_in_order) == want
-    assert _claims(spark, rows, claim.claim) == want
+@pytest.mark.parametrize("seed", range(4))
+def test_claims_equal_probing(spark, seed):
+    rng = random.Random(seed)
+    names = ["a/x.pdf", "a/x-2.pdf", "a/x-3.pdf", "a/y", "b/x.pdf", "b/x-2-2.pdf", "b/x-2.pdf", "c/.hid", "c/v1.2", "c/v1-2.2"]
+    if seed % 2:
+        names = ["a/x.pdf", "a/y", "b/x.pdf", "c/.hid", "c/v1.2"]
+    content = lambda: (lambda k: (0, "e") if k == 0 else (1 + k % 2, f"d{k}"))(rng.randrange(7))
+    rows = [(k, rng.choice(names), *content()) for k in range(150)]
+    suffixes = ["x.pdf", *(f"x-{n}.pdf" for n in (2, 3, 4, 6, 9, 1001)), "y-2", "y-4", "-2.hid", "v1-3.2", "x-02.pdf"]
+    held = [(f"{folder}/{name}", *content()) for folder in "abc" for name in suffixes if rng.random() < 0.6]
+    assert _claims(spark, rows) == brute_claims(rows)
+    assert _claims(spark, rows, held) == brute_claims(rows, held)
+    assert _claims(spark, rows, []) == brute_claims(rows)
 
 
-def test_claims_against_an_archive(spark):
-    held = spark.createDataFrame([("a/x.pdf", 3, "old"), ("a/x-2.pdf", 3, "d2")], "path string, size long, digest string")
-    assert _claims(spark, CLAIMS[:2], claim.claimed_in_order, archive=held) == [("a/x-3.pdf", False), ("a/x-2.pdf", True)]
+def test_contents_behind_a_gap(spark):
+    held = [("a/x", 1, "d1"), ("a/x-4", 1, "d4"), ("a/x-6", 1, "d6")]
+    rows = [(1, "a/x", 1, "d4"), (2, "a/x", 1, "d8"), (3, "a/x", 1, "d4"), (4, "a/x", 1, "d6"), (5, "a/x", 1, "d9"), (6, "a/x", 1, "d1"), (7, "a/x", 1, "d10")]
+    got = _claims(spark, rows, held)
+    assert got == brute_claims(rows, held) and got[1] == ("a/x-2", False) and got[6] == ("a/x", True)
 
 
 def test_too_many_claims(spark):
-    rows = [(i, "a/x.pdf", 3, f"d{i}") for i in range(1003)]
+    rows = [(i, "a/x.pdf", 3, f"d{i}") for i in range(1003)] + [(2000, "a/x.pdf", 3, "d5"), (2001, "a/y", 0, "e"), (2002, "a/x.pdf", 3, "d1002")]
     got = _claims(spark, rows)
-    assert got[999] == ("a/x-1000.pdf", False) and got[1000] == (None, False)
-    assert _claims(spark, rows, claim.claimed_in_order)[999:1001] == got[999:1001]
+    assert got == brute_claims(rows) and got[1000] == (None, False) and got[2000] == ("a/x-6.pdf", True)
+    held = [("a/x.pdf", 3, "d7"), ("a/x-3.pdf", 3, "d1002"), ("a/x-2.pdf", 3, "z")]
+    assert _claims(spark, rows, held) == brute_claims(rows, held)
 
 
 def test_no_claims(spark):
-    assert _claims(spark, []) == _claims(spark, [], claim.claim) == []
+    assert _claims(spark, []) == _claims(spark, [], [("a", 1, "d")]) == {}
 
 
-GOOD = '{"title":"T","type":"facture","correspondent":%s,"tags":["voiture"],"document_date":"2025-03-14","filename":"facture"}'
+GOOD = '{"title":"T","type":"protocol","correspondent":%s,"tags":["urgent"],"document_date":"2031-11-05","filename":"Page one"}'
 
 
 def _plan(spark, rows, config=None):
@@ -118,17 +157,17 @@ def test_error_precedence(spark):
             row("empty", "prose"),
             row(None, "prose"),
             row(None, None),
-            row(None, GOOD.replace("facture", "zzz", 1) % "null"),
-            row(None, GOOD.replace('"facture"', '"courrier"', 1) % "null"),
-            row(None, (GOOD % '"///"').replace("voiture", "x")),
-            row(None, (GOOD % '"../../etc"').replace("voiture", "x")),
-            row(None, (GOOD % '"a/b/c"').replace("voiture", "x")),
+            row(None, GOOD.replace("protocol", "zzz", 1) % "null"),
+            row(None, GOOD.replace('"protocol"', '"minutes"', 1) % "null"),
+            row(None, (GOOD % '"///"').replace("urgent", "x")),
+            row(None, (GOOD % '"../../etc"').replace("urgent", "x")),
+            row(None, (GOOD % '"a/b/c"').replace("urgent", "x")),
             row(None, GOOD % "null"),
         ],
     )
     assert [r["error_kind"] for r in got] == ["empty", "schema-unsupported", "transport", "rejected", "no-rule", "path", None, None, None]
     assert [r["exit_code"] for r in got] == [1, 2, 1, 1, 1, 1, 0, 0, 0]
-    assert [r["dest"] for r in got[-3:]] == ["factures/etc/2025/2025-03-14-facture.txt", "factures/a-b-c/2025/2025-03-14-facture.txt", "factures/voiture/2025/2025-03-14-facture.txt"]
+    assert [r["dest"] for r in got[-3:]] == ["protocols/etc/2031/2031-11-05-page-one.txt", "protocols/a-b-c/2031/2031-11-05-page-one.txt", "protocols/urgent/2031/2031-11-05-page-one.txt"]
 
 
 def test_exit_codes(spark):
@@ -183,7 +222,7 @@ def test_configuration_missing(tmp_path):
 
 def test_starter_is_valid():
     got = C.starter().validate()
-    assert len(got.rule_set) == 7 and got.rule_set[-1].is_default and not got.archive_root.startswith("~")
+    assert got.rule_set[-1].is_default and not got.archive_root.startswith("~") and got.archive.configured
 
 
 @pytest.mark.parametrize("text,value", [("120s", 120), ("1m30s", 90), ("250ms", 0.25), ("1h", 3600), ("1.5m", 90)])
