@@ -259,7 +259,7 @@ def _told(rows: DataFrame, o, out, err) -> int:
                 out.write(f"\n{r['note']}\n")
             if r["detail"]:
                 wide = max(len(d["label"]) for d in r["detail"])
-                out.write("\n" + "".join(f"{d['label']:<{wide}}  {d['value']}\n" for d in r["detail"]))
+                out.write("\n" + "".join(f"{d['label']:<{wide}}  {d['value']}\n" for d in r["detail"]) + "\n")
         worst = max(worst, _complained(r, o, err))
     return worst
 
