@@ -26,7 +26,7 @@ _WORDS_KEPT = 1 << 19
 # ---------------------------------------------------------------- scratch tables
 
 
-_stored: list[set[str]] = []
+_stored: list[set[tuple[str, str | None]]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -52,7 +52,7 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     lost executor costs only the tasks that read its part again."""
     path = scratch_path(df.sparkSession, tag)
     for kept in _stored:
-        kept.add(path)
+        kept.add((path, None))
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folioflow_path = path
@@ -67,7 +67,7 @@ def bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
     path = scratch_path(spark, tag)
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     for kept in _stored:
-        kept.add(path)
+        kept.add((path, name))
     df.write.bucketBy(shuffle_parts(spark), *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     out._folioflow_path, out._folioflow_table = path, name
@@ -82,7 +82,9 @@ def temporary(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _stored.pop():
+        for path, table in _stored.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             remove_path(spark, path)
 
 

@@ -276,6 +276,39 @@ def test_rewritten_files_are_equal(spark, tmp_path):
     assert made[0] == made[1]
 
 
+def test_temporary_tables_go(spark):
+    from pathlib import Path
+
+    from folioflow.llm.common import bucketed, scratch_root, store, temporary
+
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    before, outer = set(root.iterdir()) if root.exists() else set(), store(spark.range(3), "outer")
+    with pytest.raises(KeyError), temporary(spark):
+        assert store(spark.range(5), "inner").count() == bucketed(spark.range(5), "inner", "id").count() == 5
+        with temporary(spark):
+            store(spark.range(2), "inner")
+        raise KeyError
+    assert outer.count() == 3 and len(set(root.iterdir()) - before) == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("inner")]
+
+
+def test_scratch_of_a_cluster_must_be_named(spark, monkeypatch):
+    from folioflow.llm import common
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
+
+
 def test_no_documents(spark, tmp_path):
     manifest = token_store.write_tokens(spark.createDataFrame([], cases.DOCS), str(tmp_path / "t"))
     assert token_store.read_tokens(spark, manifest).count() == 0
