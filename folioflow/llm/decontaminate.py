@@ -2,10 +2,10 @@
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_BYTES`` bytes, so what is broadcast at a time has a fixed bound. A benchmark of one
-block is held against every row in one pass. Of a longer one, a bit filter of all shingles,
-``FILTER_BYTES`` at most, first takes out the rows that could hold an item at all; only these
-few, stored, meet block after block. So all texts are passed over once, or twice where clean
-rows are wanted, however long the benchmark is.
+block is held against every row in one pass. Of a longer one, bit filters of all shingles,
+``FILTER_BYTES`` at most for each of the five widths, first take out the rows that could hold
+an item at all; only these few, stored, meet block after block. So all texts are passed over
+once, or twice where clean rows are wanted, however long the benchmark is.
 
 In each text, windows of as many words as an item has are compared to the items of that
 length. Only windows that share enough shingles with those items to reach the threshold at
