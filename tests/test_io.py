@@ -303,15 +303,15 @@ def test_nothing_leaves_the_archive(tmp_path, name):
 def test_traces(spark, change, reason):
     from folioflow.plans.schema import METADATA
 
-    m = F.from_json(F.lit('{"title":"A & <B>","type":"t","tags":["x"],"document_date":"2025-03-14","amount":"19.90","currency":"EUR"}'), METADATA)
+    m = F.from_json(F.lit('{"title":"A & <B>","type":"t","tags":["x"],"document_date":"2031-11-05","amount":"7.25","currency":"EUR"}'), METADATA)
     body = spark.range(1).select(inventory.trace_json(F.lit("/in/a"), F.lit("aaaa"), m, F.lit("r"), F.timestamp_seconds(F.lit(1_700_000_000)), F.lit(None).cast("struct<pages_processed:int,pages_total:int>"), handoff.not_attempted())).first()[0]
     wire = json.loads(body)
-    assert wire["metadata"] == {"title": "A & <B>", "type": "t", "correspondent": None, "tags": ["x"], "document_date": "2025-03-14", "due_date": None, "reference": None, "description": None, "amount": "19.90", "currency": "EUR"}
+    assert wire["metadata"] == {"title": "A & <B>", "type": "t", "correspondent": None, "tags": ["x"], "document_date": "2031-11-05", "due_date": None, "reference": None, "description": None, "amount": "7.25", "currency": "EUR"}
     assert wire["truncation"] is None and wire["archive"]["attempted_at"] is None and "&" in body
     got = inventory.read_traces(spark.createDataFrame([("aaaa", change(body) if change else body)], "digest string, trace string")).first()
     assert got["unusable"] == reason and (got["record"] is None) == (reason is not None)
     if reason is None:
-        assert got["record"]["metadata"]["amount"] == "19.90" and got["record"]["filed_at"].year == 2023
+        assert got["record"]["metadata"]["amount"] == "7.25" and got["record"]["filed_at"].year == 2023
 
 
 # ---------------------------------------------------------------- whole runs
