@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_search, hard_negatives, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_store, warc
+from . import chat, decontaminate, exact_search, hard_negatives, line_dedup, mixing, near_dedup, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chats,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near,
     "op9_line_dedup": line_dedup.op9_lines,
     "op10_token_store": token_store.op10_tokens,
+    "op11_prefix_trie": prefix_trie.op11_trie,
     "op12_hard_negatives": hard_negatives.op12_negatives,
     "op13_exact_search": exact_search.op13_nearest,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_exact_search": exact_search.OP13_SQL,
 }
