@@ -11,11 +11,11 @@ The search. A block of queries, of at most 8,192 rows and 16 MB, is broadcast. I
 query reads segments of all dimensions by descending impact, adding each to its rows'
 accumulators. After each round it knows for every row a bound: the impacts seen, and for what
 isn't seen the largest impact left. Exact scores of the rows that lead give a score that the
-k-th best has at least, and so do the shards the task has searched before. The query stops
-when few rows have a bound that reaches it, which proves that all others are out, or when all
-segments are read. Rows that may still be among the best are then rescored exactly. Nothing
-else ends a search, so the result is exact whatever the data; where vectors are alike in no
-dimension nearly all segments are read. Best lists of shards merge to the result.
+k-th best has at least, and so do the shards the task has searched before. Rows whose
+bound doesn't reach it are proven out. The query stops when rescoring all others takes no more
+steps than the postings that are unread, or when all are read; those others are then rescored
+exactly. Nothing else ends a search, so the result is exact whatever the data; where vectors
+are alike in no dimension most segments are read. Best lists of shards merge to the result.
 
 Memory is a shard, a block of queries and k rows a query, also where a third of all vectors
 are equal. A block's result is written before the next begins.
@@ -42,8 +42,8 @@ K = 5
 SHARD_ROWS = 8192
 #: Levels that a dimension's components are quantised to in a shard, at most.
 LEVELS = 32
-#: Times that a search stops to look whether its result is proven.
-ROUNDS = 6
+#: Times that a search stops to look what is proven.
+ROUNDS = 8
 _SAFE = float(1 << 61)
 _INDEX = "n long, ids binary, components binary, rows binary, step binary"
 
@@ -86,7 +86,7 @@ class Shard:
             low = np.maximum(level[first] * step[d], self.least[d])
             high = np.minimum((level[first] + 1) * step[d] - 1, self.most[d])
             back = self.n - ends[::-1]
-            self.sides.append(((order, ends, low, high), (order[::-1], back, low[::-1], high[::-1])))
+            self.sides.append(((order, ends, low, high), (order[::-1].copy(), back, low[::-1], high[::-1])))
         most = max((len(s[0][2]) for s in self.sides), default=0)
         self.ends = np.full((2, self.width, most + 1), self.n)
         self.low, self.high = (np.zeros((2, self.width, most), np.int64) for _ in range(2))
@@ -111,7 +111,8 @@ class Shard:
         worst = np.minimum(q * self.least[:w], q * self.most[:w])
         # what a segment adds at most, above the worst that its dimension can do
         impact = np.where(q > 0, q, 0)[:, None] * self.high[side, at] + np.where(q < 0, q, 0)[:, None] * self.low[side, at] - worst[:, None]
-        there = np.arange(impact.shape[1]) < self.segments[:w, None]
+        segment = np.arange(impact.shape[1])
+        there = segment < self.segments[:w, None]
         impact[~there] = -1
         best = impact[:, 0]
         sizes = np.diff(self.ends[side, at], axis=1)
@@ -120,27 +121,34 @@ class Shard:
         stops = np.unique(ranked[np.minimum(np.searchsorted(weight, weight[-1] * np.arange(1, ROUNDS + 1) / ROUNDS), len(ranked) - 1)])[::-1]
 
         base = int(worst.sum())
-        sums, seen = np.zeros(self.n, np.int64), np.zeros(self.n, np.int32)
+        # an accumulator holds a row's impacts and, in its low bits where they fit, how often it was seen
+        unit = 1 << w.bit_length()
+        if float(best.sum()) * unit >= _SAFE:
+            unit = 0
+        sums, seen = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         done = np.zeros(w, np.int64)
         bound = None
         for stop in stops:
             upto = (impact >= stop).sum(axis=1)
-            for d in np.flatnonzero(upto > done):
-                order, ends = self.sides[d][side[d]][:2]
-                a, b = done[d], upto[d]
-                rows = order[ends[a] : ends[b]]
-                sums[rows] += np.repeat(impact[d, a:b], ends[a + 1 : b + 1] - ends[a:b])
-                seen[rows] += 1
+            new = (segment >= done[:, None]) & (segment < upto[:, None])
+            rows = np.concatenate([self.sides[d][side[d]][0][begin:end] for d, begin, end in zip(at, self.ends[side, at, done], self.ends[side, at, upto], strict=True)])
+            np.add.at(sums, rows, np.repeat(impact[new] * unit + 1 if unit else impact[new], sizes[new]))
+            if not unit:
+                np.add.at(seen, rows, 1)
             done = upto
+            total = sums
+            if unit:
+                total, seen = sums // unit, sums % unit
             active = done > 0
             open_ = active & (done < self.segments[:w])
             left = int(impact[open_, done[open_]].max(initial=0))
-            bound = sums + (int(active.sum()) - seen) * left + (base + int(best[~active].sum()))
+            bound = total + (int(active.sum()) - seen) * left + (base + int(best[~active].sum()))
             bound[~others] = np.iinfo(np.int64).min
             if alive > k:
                 lead = np.argpartition(bound, self.n - k)[self.n - k :]
                 floor = max(floor, int((self.x[lead, :w] @ q).min()))
-            if np.count_nonzero(bound >= floor) <= max(4 * k, self.n // 32):
+            unread = self.n * w - int(self.ends[side, at, done].sum())
+            if np.count_nonzero(bound >= floor) * w <= unread:
                 break
         may = np.flatnonzero((bound >= floor) & others)
         return self.ids[may], self.x[may, :w] @ q
