@@ -564,6 +564,55 @@ SELECT doc_id, b.stem || '.txt' AS dest, CASE WHEN n.n > 1000 THEN NULL ELSE b.s
 FROM b JOIN n ON b.stem = n.stem AND b.digest = n.digest AND (own IS NULL OR own = doc_id)"""
 
 
+_LINKED = ("x", "x-2", "x-7", "x-2-2", "x-1000")
+
+
+def claim_linked(spark, sf_dir):
+    """Names of which some are suffixed forms of others, claimed by contents they share: one name
+    gets two contents of every document, and its suffixed forms get the first of these, half
+    of them before and half after it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    i, k = c("doc_id"), c("k")
+    stem = F.when(k < 2, F.lit(_LINKED[0])).otherwise(F.get(F.array(*[F.lit(x) for x in _LINKED[1:]]), (i % 4).cast("int")))
+    body = F.concat("t", F.when(k == 1, F.lit("#1")).otherwise(F.lit("#0")))
+    arrival = F.when((k == 2) & (i % 2 == 0), -i).otherwise(3 * i + k)
+    rows = docs.select(arrival.alias("arrival"), F.concat(F.lit("shelf/"), stem, F.lit(".txt")).alias("dest"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
+    return claim.claim(rows).select("arrival", "dest", "final_dest", "duplicate", "claim_error")
+
+
+#: One step a content, in order of arrival, over a map of the names taken, what each stem finds its contents at, and each stem's least free suffix.
+CLAIM_LINKED = """
+WITH RECURSIVE r AS (
+  SELECT CASE WHEN k = 2 AND doc_id % 2 = 0 THEN -doc_id ELSE 3 * doc_id + k END AS arrival,
+         CASE WHEN k < 2 THEN 'x' ELSE (['x-2', 'x-7', 'x-2-2', 'x-1000'])[doc_id % 4 + 1] END AS stem,
+         sha256(coalesce(text, '') || CASE WHEN k = 1 THEN '#1' ELSE '#0' END) AS digest
+  FROM documents, (VALUES (0), (1), (2)) v(k)),
+f AS (SELECT stem, digest, min(arrival) AS first FROM r GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY first) AS i FROM f),
+s AS (
+  SELECT 0::BIGINT AS i, ''::VARCHAR AS stem, ''::VARCHAR AS digest, 0 AS n, false AS found, MAP {'': 0} AS m
+  UNION ALL
+  SELECT i, stem, digest, coalesce(same, fresh), same IS NOT NULL,
+         CASE WHEN same IS NULL AND fresh IS NOT NULL THEN map_concat(m, map_from_entries(list_filter([
+           ('n:' || name, 0), ('c:' || stem || '|' || digest, fresh), ('p:' || stem, fresh),
+           (CASE WHEN fresh = 1 AND root <> '' THEN 'c:' || root || '|' || digest ELSE '-' END,
+            CASE WHEN fresh = 1 AND root <> '' THEN least(number, coalesce(m['c:' || root || '|' || digest], number)) END)], lambda e: e[2] IS NOT NULL)))
+         ELSE m END
+  FROM (
+    SELECT *, regexp_extract(name, '^(.*)-([1-9][0-9]{0,3})$', 1) AS root, try_cast(regexp_extract(name, '^(.*)-([1-9][0-9]{0,3})$', 2) AS INTEGER) AS number
+    FROM (
+      SELECT *, CASE WHEN fresh = 1 THEN stem ELSE stem || '-' || fresh END AS name
+      FROM (
+        SELECT o.i, o.stem, o.digest, s.m, s.m['c:' || o.stem || '|' || o.digest] AS same,
+               list_filter(range(coalesce(s.m['p:' || o.stem], 0) + 1, least(coalesce(s.m['p:' || o.stem], 0) + 7, 1001)),
+                           lambda n: NOT map_contains(s.m, 'n:' || CASE WHEN n = 1 THEN o.stem ELSE o.stem || '-' || n END))[1]::INTEGER AS fresh
+        FROM s JOIN o ON o.i = s.i + 1)))),
+t AS (SELECT stem, digest, n, found FROM s WHERE i > 0)
+SELECT r.arrival, 'shelf/' || r.stem || '.txt' AS dest, CASE WHEN n IS NOT NULL THEN 'shelf/' || r.stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.txt' END AS final_dest,
+       n IS NOT NULL AND (found OR r.arrival > f.first) AS duplicate, CASE WHEN n IS NULL THEN 'too many documents claim this name' END AS claim_error
+FROM r JOIN t ON t.stem = r.stem AND t.digest = r.digest JOIN f ON f.stem = r.stem AND f.digest = r.digest"""
+
+
 def _traced(spark, sf_dir) -> DataFrame:
     """Every second document with a trace, sound or damaged in some way."""
     rows = _planned(spark, sf_dir).where("error_kind IS NULL")
@@ -749,6 +798,7 @@ _ALL = {
     "output_json": (output_json, OUTPUT_JSON),
     "claim_names": (claim_names, CLAIM_NAMES),
     "claim_archive": (claim_archive, CLAIM_ARCHIVE),
+    "claim_linked": (claim_linked, CLAIM_LINKED),
     "sidecar_state": (sidecar_state, SIDECAR_STATE),
     "replay_states": (replay_states, REPLAY_STATES),
     "new_documents": (new_documents, NEW_DOCUMENTS),

@@ -67,12 +67,12 @@ def test_templates_accept_spaces():
     assert rules.Template.parse("a/{{ .Year }}/b", rules.PATH_FIELDS, "x").pieces == ("a/", ("Year",), "/b")
 
 
-def brute_claims(rows, held=()):
+def brute_claims(rows, held=(), most=1000):
     """Names tried one after another, in order of arrival."""
     taken, out = {p: (s, d) for p, s, d in held}, {}
     for arrival, dest, size, digest in sorted(rows):
         stem, dot, ext = dest.rpartition(".") if "." in dest.rpartition("/")[2] else (dest, "", "")
-        for n in range(1, 1001):
+        for n in range(1, most + 1):
             name = dest if n == 1 else f"{stem}-{n}{dot}{ext}"
             if name not in taken:
                 taken[name] = (size, digest)
@@ -86,10 +86,10 @@ def brute_claims(rows, held=()):
     return out
 
 
-def _claims(spark, rows, held=None):
+def _claims(spark, rows, held=None, most=1000):
     df = spark.createDataFrame(rows, "arrival int, dest string, size long, digest string")
     there = None if held is None else spark.createDataFrame(held, "path string, size long, digest string")
-    got = claim.claim(df, there).collect()
+    got = claim.claim(df, there, most=most).collect()
     assert all((r["claim_error"] is None) == (r["final_dest"] is not None) for r in got)
     return {r["arrival"]: (r["final_dest"], r["duplicate"]) for r in got}
 
@@ -136,6 +136,26 @@ def test_too_many_claims(spark):
     assert _claims(spark, rows, held) == brute_claims(rows, held)
 
 
+def test_contents_of_linked_names_behind_the_last_suffix(spark):
+    rows = [(1, "a/x-2.txt", 2, "zz")] + [(10 + i, "a/x.txt", 3, f"d{i}") for i in range(1005)] + [(3000, "a/x.txt", 2, "zz"), (3001, "a/x.txt", 3, "d1"), (3002, "a/x.txt", 3, "new"), (3003, "a/x-2.txt", 3, "d999"), (3004, "a/x.txt", 0, "")]
+    got = _claims(spark, rows)
+    assert got == brute_claims(rows)
+    assert got[3000] == ("a/x-2.txt", True) and got[3001] == ("a/x-3.txt", True) and got[3002] == (None, False)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nested_linked_names_equal_probing(spark, seed):
+    """Suffixes on suffixes, few of them, so that names run out on every level."""
+    rng = random.Random(seed)
+    names = ["x.t", "x-2.t", "x-3.t", "x-2-2.t", "x-2-3.t", "x-3-2.t", "x-2-2-2.t", "x-2-2-2-5.t", "x-5-2.t", "y-2.t", "y-2-2.t", "z.t"]
+    content = lambda: (lambda k: (0, "e") if k == 0 else (1 + k % 2, f"d{k}"))(rng.randrange(6 + 6 * (seed % 3)))
+    rows = [(k, "f/" + rng.choice(names), *content()) for k in range(160)]
+    held = [(f"f/{name}", *content()) for name in [*names, "x-4.t", "y.t", "y-3.t", "x-2-4.t"] if rng.random() < 0.3]
+    most = 3 + seed
+    assert _claims(spark, rows, None, most) == brute_claims(rows, (), most)
+    assert _claims(spark, rows, held, most) == brute_claims(rows, held, most)
+
+
 def test_no_claims(spark):
     assert _claims(spark, []) == _claims(spark, [], [("a", 1, "d")]) == {}
 
