@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import errno
 import hashlib
+import io
 import os
 import secrets
 import stat
@@ -81,24 +82,25 @@ class Archive:
             with suppress(FileNotFoundError):
                 os.unlink(part, dir_fd=folder)
 
-    def place(self, source: str | Path, size: int, digest: str, name: str, remove: bool = False) -> str:
-        """File one source under ``name``; 'filed', or 'duplicate' if its bytes are there already."""
+    def place(self, source: str | Path | bytes, size: int, digest: str, name: str, remove: bool = False) -> str:
+        """File one source, a path or bytes, under ``name``; 'filed', or 'duplicate' if its bytes
+        are there already."""
         *folders, leaf = self.parts_of(name)
         with self._inside(folders, make=True) as folder:
             there = self._status(folder, leaf)
-            if there and os.path.exists(source) and os.path.samestat(there, os.stat(source)):
+            if there and not isinstance(source, bytes) and os.path.exists(source) and os.path.samestat(there, os.stat(source)):
                 return "duplicate"  # the source is the archived file itself; never remove it
             if there:
                 done = self._settle(folder, leaf, size, digest, name)
             else:
                 with self._new_file(folder) as (part, out):
-                    self._copy(Path(source), out, size, digest)
+                    self._copy(source, out, size, digest)
                     try:
                         os.link(part, leaf, src_dir_fd=folder, dst_dir_fd=folder, follow_symlinks=False)
                         done = "filed"
                     except FileExistsError:
                         done = self._settle(folder, leaf, size, digest, name)
-        if remove:
+        if remove and not isinstance(source, bytes):
             Path(source).unlink(missing_ok=True)
         return done
 
@@ -123,9 +125,9 @@ class Archive:
             return os.fstat(f.fileno()).st_size, hashlib.file_digest(f, "sha256").hexdigest()
 
     @staticmethod
-    def _copy(source: Path, out: BinaryIO, size: int, digest: str) -> None:
+    def _copy(source: str | Path | bytes, out: BinaryIO, size: int, digest: str) -> None:
         seen, hashed = 0, hashlib.sha256()
-        with source.open("rb") as f:
+        with io.BytesIO(source) if isinstance(source, bytes) else open(source, "rb") as f:
             while piece := f.read(CHUNK):
                 out.write(piece)
                 hashed.update(piece)
@@ -133,7 +135,7 @@ class Archive:
         out.flush()
         os.fsync(out.fileno())
         if seen != size or hashed.hexdigest() != digest:
-            raise FilingError(f"{source} changed while it was copied")
+            raise FilingError(f"{'the content' if isinstance(source, bytes) else source} changed while it was copied")
 
     def write_atomic(self, name: str, body: bytes) -> None:
         """Write a small file whole or not at all, in place of an earlier one."""
@@ -202,22 +204,3 @@ def names_held(claims: DataFrame, root: str) -> DataFrame:
     names = folders.mapInPandas(listed, "path string")
     tried = names_tried(names, "path").join(dests, "dest", "left_semi").select("path").distinct()
     return tried.mapInPandas(read, "path string, size long, digest string")
-
-
-def place_documents(claims: DataFrame, root: str, move: bool) -> DataFrame:
-    """(path, final_dest, filed, filing_error) after placing each row with path, size, digest,
-    final_dest, duplicate. The archive must be a folder that all executors share."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive = Archive(root)
-        for pdf in batches:
-            done = []
-            for path, size, digest, name in zip(pdf["path"], pdf["size"], pdf["digest"], pdf["final_dest"], strict=True):
-                try:
-                    done.append((path, name, archive.place(path.removeprefix("file:"), size, digest, name, move) == "filed", None))
-                except (OSError, FilingError) as e:
-                    done.append((path, name, False, str(e)))
-            yield pd.DataFrame(done, columns=["path", "final_dest", "filed", "filing_error"])
-
-    rows = claims.select("path", "size", "digest", "final_dest").where("final_dest IS NOT NULL")
-    return rows.mapInPandas(run, "path string, final_dest string, filed boolean, filing_error string")

@@ -18,10 +18,11 @@ from ..functions.naming import file_name
 from ..operators.analyse import Client, ModelError, with_replies
 from ..operators.claim import claim
 from ..operators.extract import Tools, with_text
-from ..operators.filing import Archive, names_held, place_documents
+from ..operators.filing import Archive, names_held
 from ..operators.handoff import Command, arguments, not_attempted, run_commands
 from ..sources.documents import scan_files
-from ..sources.inventory import read_traces, trace_beside, trace_json, write_traces
+from ..sources.inventory import read_traces, trace_beside, trace_json
+from ..sources.sink import last_traces, write_archive
 from ..workers import importable
 from . import report
 from .config import DISPOSITIONS, Config, ConfigError, load
@@ -112,13 +113,13 @@ class Engine:
         there = self.stored(names_held(good.select("dest"), root), "held")
         claims = claim(good.select("path", "size", "digest", "dest", F.col("path").alias("arrival")), there)
         claims = self.stored(claims, "claims")
-        placed = self.stored(place_documents(claims, root, disposition == "move"), "placed").select("path", "filing_error")
+        placed = write_archive(claims.select("path", "size", "digest", "final_dest"), root, f"{self.folder}/placed", disposition == "move").select("path", "filing_error")
         rows = good.join(claims.select("path", "final_dest", "duplicate", "claim_error"), "path").join(placed, "path", "left")
         fault = F.coalesce("claim_error", "filing_error")
         rows = rows.withColumns({"error_kind": F.when(fault.isNotNull(), F.lit("claim")), "error_msg": fault}).drop("claim_error", "filing_error")
         rows = self.handed_off(rows, archive)
         rows = self.stored(rows, "outcome")
-        write_traces(self.traces(rows.where("final_dest IS NOT NULL AND (error_kind IS NULL OR error_kind = 'archive')")), root).foreach(lambda _: None)
+        rows = self.traced(rows, self.traces(rows.where(f"final_dest IS NOT NULL AND ({_GOOD})")), "traces")
         bad = bad.withColumns(nothing)
         out = rows.unionByName(bad, allowMissingColumns=True)
         return out.withColumn("action", report.action(F.col("disposition"), F.col("duplicate"))).withColumn("exit_code", exit_code(F.col("error_kind")))
@@ -139,7 +140,18 @@ class Engine:
     def traces(self, rows: DataFrame) -> DataFrame:
         text = F.col("text")
         body = trace_json(F.col("path"), F.col("digest"), F.col("metadata"), F.col("rule"), F.current_timestamp(), text["truncation"], F.col("archive"))
-        return rows.select("final_dest", body.alias("trace"))
+        return rows.select("path", "final_dest", body.alias("trace"))
+
+    def traced(self, rows: DataFrame, traces: DataFrame, name: str) -> DataFrame:
+        """Leave ``traces`` (path, final_dest, trace) beside the documents. A trace that couldn't be
+        written is the error of each row of its name, also where the hand-off failed: the
+        next run would not know of the filing."""
+        left = write_archive(last_traces(traces), self.config.archive_root, f"{self.folder}/{name}")
+        failed = left.where("trace_error IS NOT NULL").select("final_dest", "trace_error")
+        out = rows.join(failed, "final_dest", "left")
+        fault = F.col("trace_error").isNotNull() & (F.col("error_kind").isNull() | (F.col("error_kind") == "archive"))
+        out = out.withColumns({"error_kind": F.when(fault, F.lit("trace")).otherwise(F.col("error_kind")), "error_msg": F.when(fault, F.col("trace_error")).otherwise(F.col("error_msg"))})
+        return out.select(*rows.columns)
 
     def replayed(self, docs: DataFrame) -> DataFrame:
         """docs with record and state: what is left to do for each (see ``plans.replay``). Only
@@ -253,7 +265,7 @@ def _told(rows: DataFrame, o, out, err) -> int:
     more = [F.col(k) if k in rows.columns else F.lit(None).alias(k) for k in ("note", "detail")]
     worst = 0
     for r in rows.select("path", "line", "error_kind", "error_msg", "archive", *more).toLocalIterator():
-        if r["error_kind"] in (None, "archive") and r["line"] is not None:
+        if r["error_kind"] in (None, "archive", "trace") and r["line"] is not None:
             out.write(r["line"] + "\n")
             if r["note"]:
                 out.write(f"\n{r['note']}\n")
@@ -281,7 +293,7 @@ def _replay(engine: Engine, again: DataFrame, o, out, err) -> int:
     todo = rows.where("state = 'hand-off'") if not o.no_archive else rows.where("false")
     done = engine.stored(engine.handed_off(todo), "replayed")
     body = trace_json(F.col("source"), F.col("digest"), F.col("metadata"), F.col("rule"), F.col("filed_at"), F.col("truncation"), F.col("archive"))
-    write_traces(done.select("final_dest", body.alias("trace")), engine.config.archive_root).foreach(lambda _: None)
+    done = engine.traced(done, done.select("path", "final_dest", body.alias("trace")), "replayed-traces")
     for r in rows.select("path", "final_dest", "state").toLocalIterator():
         log.info("%s is filed at %s: %s", r["path"], r["final_dest"], r["state"])
     return max((_complained(r, o, err) for r in done.select("path", "archive", "error_kind", "error_msg").toLocalIterator()), default=0)

@@ -25,4 +25,5 @@ EXIT_CODES = {
     "path": 1,
     "claim": 1,
     "archive": 1,
+    "trace": 1,
 }

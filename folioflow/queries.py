@@ -7,6 +7,8 @@ normalising, vocabularies, rules and error precedence all run. It says nothing a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from .plans import report
 from .plans.config import Archive, Config, RuleSpec, Vocabulary
 from .plans.plan import build_plan, exit_code
 from .plans.replay import not_yet_filed, replay_state
-from .sources.documents import scan_texts
-from .sources.inventory import read_traces, trace_json
+from .plans.schema import METADATA, TRUNCATION
+from .scratch import remove_path, scratch_path, stored
+from .sources.documents import scan_files, scan_texts
+from .sources.inventory import SUFFIX, read_traces, scan_traces, trace_json
+from .sources.sink import write_archive
 
 c = F.col
 
@@ -564,6 +569,40 @@ SELECT doc_id, b.stem || '.txt' AS dest, CASE WHEN n.n > 1000 THEN NULL ELSE b.s
 FROM b JOIN n ON b.stem = n.stem AND b.digest = n.digest AND (own IS NULL OR own = doc_id)"""
 
 
+def filed_tree(spark, sf_dir):
+    """All documents filed in a folder of their own, each name with the trace of its last document;
+    then names, sizes, digests and traces as the folder has them."""
+    root = scratch_path(spark, "tree")
+    home = re.sub(r"\Afile:/*", "/", root)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(fs)
+    content = F.coalesce("text", F.lit(""))
+    dest = F.concat(F.lit("shelf/"), c("source"), F.lit("/"), c("lang"), F.pmod(F.length(content), F.lit(200)).cast("string"), F.lit(".txt"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", c("doc_id").cast("string").alias("path"), content.cast("binary").alias("content"), dest.alias("dest"))
+    rows = docs.select("doc_id", "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), "dest")
+    claimed = stored(claim.claim(rows, arrival="doc_id").where("final_dest IS NOT NULL").select("doc_id", "size", "digest", "final_dest"), "filed-claims")
+    last = claimed.groupBy("final_dest").agg(F.max("doc_id").alias("doc_id")).withColumn("last", F.lit(True))
+    whole = docs.join(claimed, "doc_id").join(last, ["final_dest", "doc_id"], "left")
+    told = F.from_json(F.to_json(F.struct(F.concat(F.lit("Document "), "path").alias("title"), F.lit("minutes").alias("type"))), METADATA)
+    trace = trace_json(c("path"), c("digest"), told, F.lit("shelves"), F.timestamp_seconds(F.lit(1_700_000_000)), F.lit(None).cast(TRUNCATION), handoff.not_attempted())
+    write_archive(whole.withColumn("trace", F.when(c("last"), trace)), home, scratch_path(spark, "filed"))
+    place = F.length(F.regexp_extract(c("path"), r"\A.*folioflow-tree-[0-9a-f]+/", 0))
+    found = scan_files(spark, root, recursive=True).where(~c("path").endswith(SUFFIX)).select(F.substr("path", place + 1).alias("name"), "size", "digest")
+    read = read_traces(found.join(scan_traces(spark, home).withColumnRenamed("dest", "name"), "name", "left"))
+    out = stored(read.select("name", "size", "digest", c("record")["source"].alias("source"), c("record")["metadata"]["title"].alias("title"), "unusable"), "filed-tree")
+    remove_path(spark, root)
+    return out
+
+
+FILED_TREE = """
+WITH r AS (
+  SELECT doc_id, 'shelf/' || source || '/' || lang || (length(coalesce(text, '')) % 200) AS stem, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS size FROM documents),
+f AS (SELECT stem, digest, size, CASE WHEN size = 0 THEN doc_id END AS own, min(doc_id) AS first, max(doc_id) AS last FROM r GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first) AS n FROM f)
+SELECT stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.txt' AS name, size, digest, last::VARCHAR AS source, 'Document ' || last AS title, NULL::VARCHAR AS unusable
+FROM n WHERE n <= 1000"""
+
+
 _LINKED = ("x", "x-2", "x-7", "x-2-2", "x-1000")
 
 
@@ -687,8 +726,8 @@ def action_exit(spark, sf_dir):
 
 
 ACTION_EXIT = """
-WITH k AS (SELECT ['archive', 'bomb', 'claim', 'empty', 'extract', 'missing-tool', 'no-rule', 'not-configured', 'path', 'rejected', 'schema-unsupported', 'source', 'transport', 'unsupported', 'usage'] AS kinds),
-r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'not-filed' WHEN o_orderkey % 2 = 0 THEN 'duplicate' ELSE 'filed' END AS action, kinds[o_orderkey % 16 + 1] AS error_kind FROM orders, k)
+WITH k AS (SELECT ['archive', 'bomb', 'claim', 'empty', 'extract', 'missing-tool', 'no-rule', 'not-configured', 'path', 'rejected', 'schema-unsupported', 'source', 'trace', 'transport', 'unsupported', 'usage'] AS kinds),
+r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'not-filed' WHEN o_orderkey % 2 = 0 THEN 'duplicate' ELSE 'filed' END AS action, kinds[o_orderkey % 17 + 1] AS error_kind FROM orders, k)
 SELECT o_orderkey, action, CASE WHEN action <> 'not-filed' THEN 'a/b.pdf' END AS destination, error_kind,
        CASE WHEN error_kind IS NULL THEN 0 WHEN error_kind IN ('bomb', 'missing-tool', 'not-configured', 'schema-unsupported', 'source', 'unsupported', 'usage') THEN 2 ELSE 1 END AS exit_code
 FROM r"""
@@ -798,6 +837,7 @@ _ALL = {
     "output_json": (output_json, OUTPUT_JSON),
     "claim_names": (claim_names, CLAIM_NAMES),
     "claim_archive": (claim_archive, CLAIM_ARCHIVE),
+    "filed_tree": (filed_tree, FILED_TREE),
     "claim_linked": (claim_linked, CLAIM_LINKED),
     "sidecar_state": (sidecar_state, SIDECAR_STATE),
     "replay_states": (replay_states, REPLAY_STATES),

@@ -1,12 +1,10 @@
 """The trace of filed documents: a JSON object each, and the table of them.
 
-The table is the record at scale; ``write_traces`` also leaves a file beside each document.
+The table is the record at scale; ``sources.sink`` also leaves a file beside each document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,24 +110,6 @@ def outstanding(archive: Column) -> Column:
     return ~F.coalesce(archive["success"], F.lit(False))
 
 
-def write_traces(traces: DataFrame, root: str) -> DataFrame:
-    """Write each row's trace beside its final_dest; (final_dest, written, trace_error)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive = Archive(root)
-        for pdf in batches:
-            rows = []
-            for dest, body in zip(pdf["final_dest"], pdf["trace"], strict=True):
-                try:
-                    archive.write_atomic(dest + SUFFIX, body.encode())
-                    rows.append((dest, True, None))
-                except Exception as e:
-                    rows.append((dest, False, str(e)))
-            yield pd.DataFrame(rows, columns=["final_dest", "written", "trace_error"])
-
-    return traces.select("final_dest", "trace").mapInPandas(run, "final_dest string, written boolean, trace_error string")
-
-
 def trace_beside(dest: Column, root: str) -> Column:
     """The trace beside a document of an archive, null without one. Executors read just these
     files, so what a run costs doesn't grow with the archive."""

@@ -9,6 +9,7 @@ import stat
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from folioflow.functions import mime as M
 from folioflow.operators import analyse, extract, filing, handoff, rules
 from folioflow.plans import config as C
 from folioflow.plans import engine as E
-from folioflow.sources import documents, inventory
+from folioflow.sources import documents, inventory, sink
 from folioflow.streaming import intake
 
 c = F.col
@@ -471,6 +472,59 @@ def test_file_then_replay(spark, tmp_path):
     assert json.loads(traces[0].read_text())["archive"]["success"]
 
 
+def test_a_trace_that_cannot_be_written_is_an_error(spark, tmp_path):
+    tool(tmp_path, "upload", "exit 1\n")
+    _setup(tmp_path, f"{tmp_path}/upload")
+    taken = tmp_path / "root/shelf/11" / f"2031-11-05-manual.txt{inventory.SUFFIX}"
+    taken.mkdir(parents=True)
+    (taken / "x").touch()
+    code, out, err = _main(tmp_path)
+    lines = [line for line in err.split("\n") if ": trace: " in line]
+    assert code == 2 and len(lines) == 2 and all(("a.txt" in line) or ("b.txt" in line) for line in lines)
+    assert err.count(": archive: ") == 1 and (tmp_path / "root/shelf/11/2031-11-05-manual.txt").exists()
+    taken.rename(tmp_path / "away")
+    code, out, err = _main(tmp_path)  # nothing was known of it, so all is done again
+    assert ": trace: " not in err and taken.is_file()
+
+
+def test_sink_tells_what_became_of_each_row(spark, tmp_path):
+    root, outcome = tmp_path / "root", f"file://{tmp_path}/outcome"
+    root.mkdir()
+    (root / "t" / f"a.txt{inventory.SUFFIX}").mkdir(parents=True)
+    body = lambda k: f"body {k}".encode()
+    rows = [(f"p{k}", len(body(k)), hashlib.sha256(body(k)).hexdigest(), body(k), f"d/{k}.txt", f"{{{k}}}") for k in range(20)]
+    rows += [("bad", 3, "0" * 64, b"abc", "d/bad.txt", "{}"), ("out", 3, hashlib.sha256(b"abc").hexdigest(), b"abc", "../x", "{}"), ("t", 3, hashlib.sha256(b"abc").hexdigest(), b"abc", "t/a.txt", "{}"), ("none", 1, "x", b"x", None, "{}")]
+    df = spark.createDataFrame(rows, "path string, size long, digest string, content binary, final_dest string, trace string").repartition(3)
+    got = {r["path"]: r for r in sink.write_archive(df, str(root), outcome).collect()}
+    assert len(got) == 23 and all(got[f"p{k}"]["filed"] and got[f"p{k}"]["trace_error"] is None for k in range(20))
+    assert "changed" in got["bad"]["filing_error"] and "does not stay" in got["out"]["filing_error"] and got["t"]["filed"] and got["t"]["trace_error"]
+    assert {p.read_text() for p in root.glob(f"d/*{inventory.SUFFIX}")} == {f"{{{k}}}" for k in range(20)}
+    listed = json.loads((tmp_path / "outcome/_committed.json").read_text())
+    assert listed["rows"] == 23 and listed["failed"] == 3
+    # what an attempt leaves that wasn't committed counts for nothing
+    part = tmp_path / "outcome" / listed["parts"][0]
+    (tmp_path / "outcome/part-stray.parquet").write_bytes(part.read_bytes())
+    assert sink.committed(spark, outcome).count() == 23
+    again = sink.write_archive(df, str(root), f"{outcome}2").where("filing_error IS NULL").select("filed").distinct().collect()
+    assert [r["filed"] for r in again] == [False]
+
+
+def test_sink_aborts_without_a_result(spark, tmp_path):
+    (tmp_path / "root").mkdir()
+    batch = pa.RecordBatch.from_pylist([{"path": "p", "size": 1, "digest": hashlib.sha256(b"x").hexdigest(), "content": b"x", "final_dest": "a"}])
+    writer = sink.ArchiveWriter(str(tmp_path / "root"), f"file://{tmp_path}/outcome", False)
+    done = writer.write(iter([batch]))
+    assert (done.rows, done.failed) == (1, 0) and (tmp_path / "outcome" / done.part).exists()
+    writer.abort([done, None])
+    assert list((tmp_path / "outcome").iterdir()) == []
+    with pytest.raises(FileNotFoundError):
+        sink.committed(spark, f"file://{tmp_path}/outcome")
+    gone = spark.createDataFrame([("p", "a")], "path string, final_dest string")
+    with pytest.raises(Exception, match="not found|No such file|does not exist"):
+        sink.write_archive(gone, str(tmp_path / "nowhere"), f"file://{tmp_path}/outcome")
+    assert not (tmp_path / "outcome/_committed.json").exists()
+
+
 @pytest.mark.parametrize("args", [["--nope"], [], ["x", "--quiet", "--verbose"], ["x", "--output", "xml"], ["x", "--config", "/absent.yaml"], ["x", "--disposition", "burn"]])
 def test_usage_errors(args):
     err = io.StringIO()
