@@ -1,20 +1,26 @@
 """Metadata from an external model: request, retries, bounded analysis loop.
 
 The transport is injected: any callable (url, headers, body bytes, timeout) to (status, body
-bytes). Calls run in ``mapInArrow``, one client a partition, and each row gets a reply or an
-error beside its own columns; a task that is run again asks again.
+bytes). Calls run in ``mapInArrow``, a bounded number at a time in each task and at a pace that
+all tasks together keep to. Without a ``ReplyStore`` each row gets a reply or an error beside
+its own columns, and a task that is run again asks again. With one, each different prompt is
+asked once: its reply is stored by the digest of model, schema and prompt as soon as it comes,
+so a task, job or run that starts over asks only for what isn't there.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import logging
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,6 +30,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.decode import KEYS, OPTIONAL_TEXTS
 from ..functions.text import PROMPT_HEAD, PROMPT_TAIL
+from ..scratch import opened, remove_path, write_whole
+from ..workers import importable
 
 #: Fixed values of the protocol.
 BODY_BYTES = 1 << 20
@@ -135,6 +143,30 @@ def http_transport(url: str, headers: dict[str, str], body: bytes, timeout: floa
         return e.code, e.read(BODY_BYTES)
 
 
+class Pace:
+    """At most ``rate`` starts a second, by all threads of a process that share it."""
+
+    def __init__(self, rate: float):
+        self.gap, self.next, self.lock = 1 / rate, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            begin = max(now, self.next)
+            self.next = begin + self.gap
+        time.sleep(begin - now)
+
+
+_paces: dict[tuple[str, float], Pace] = {}
+_paces_lock = threading.Lock()
+
+
+def pace_of(endpoint: str, rate: float) -> Pace:
+    """This process's pace for an endpoint."""
+    with _paces_lock:
+        return _paces.setdefault((endpoint, rate), Pace(rate))
+
+
 @dataclass(frozen=True)
 class Client:
     base_url: str
@@ -144,6 +176,8 @@ class Client:
     retries: int = ATTEMPTS
     backoff: float = 1.0
     transport: Callable[[str, dict, bytes, float], tuple[int, bytes]] = http_transport
+    #: Requests that this client starts a second, 0 for any number.
+    rate: float = 0.0
 
     def __post_init__(self):
         if not self.base_url or not self.model:
@@ -162,6 +196,8 @@ class Client:
         for attempt in range(max(self.retries, 1)):
             if attempt:
                 time.sleep(random.random() * backoff_ceiling(attempt - 1, self.backoff))
+            if self.rate > 0:
+                pace_of(self.base_url, self.rate).wait()
             try:
                 status, raw = self.transport(url, headers, body, self.timeout)
             except (OSError, TimeoutError) as e:
@@ -232,26 +268,117 @@ def analysed(client: Client, prompt: str, types: Sequence[str], tags: Sequence[s
     raise ModelError("rejected", f"no usable metadata after {len(faults)} attempts: {faults[-1]}")
 
 
-def with_replies(docs: DataFrame, text: Column, client: Client, types: Sequence[str], fallback: str, tags: Sequence[str], attempts: int = ATTEMPTS) -> DataFrame:
+_ADDED = ("reply", "reply_error_kind", "reply_error_msg")
+#: Requests of a task that are under way at a time.
+WINDOW = 8
+
+
+@dataclass(frozen=True)
+class ReplyStore:
+    """Replies by key in a folder that the driver and all executors share: a small file each as
+    they come, and tables of those that ``compact`` has gathered. Failures are not kept, so
+    they are asked for again. The same prompt is asked twice only if two attempts of one
+    task run at once."""
+
+    folder: str
+
+    def key(self, client: Client, types: Sequence[str], prompt: Column) -> Column:
+        """What a reply depends on: model, schema and the whole prompt."""
+        fixed = json.dumps([client.base_url, client.model, SYSTEM, response_schema(types)], sort_keys=True)
+        return F.sha2(F.concat(F.lit(hashlib.sha256(fixed.encode()).hexdigest()), prompt).cast("binary"), 256)
+
+    def _file(self, key: str):
+        fs, root = opened(self.folder)
+        return fs, f"{root}/new/{key[:2]}/{key}.json"
+
+    def get(self, key: str) -> str | None:
+        fs, path = self._file(key)
+        try:
+            with fs.open_input_stream(path) as f:
+                return json.loads(f.read())["reply"]
+        except FileNotFoundError:
+            return None
+
+    def put(self, key: str, reply: str) -> None:
+        fs, path = self._file(key)
+        write_whole(fs, path, json.dumps({"key": key, "reply": reply}).encode())
+
+    def gathered(self, spark) -> DataFrame | None:
+        """(key, reply) of all compacted tables."""
+        fs, root = opened(self.folder)
+        from pyarrow.fs import FileSelector
+
+        runs = [x.base_name for x in fs.get_file_info(FileSelector(f"{root}/runs", allow_not_found=True)) if fs.get_file_info(f"{x.path}/_SUCCESS").is_file]
+        return spark.read.schema("key string, reply string").parquet(*[f"{self.folder}/runs/{x}" for x in runs]) if runs else None
+
+    def compact(self, spark) -> None:
+        """Gather the small files into one more table and remove them, while nothing is asked."""
+        fs, root = opened(self.folder)
+        if fs.get_file_info(f"{root}/new").type.name == "NotFound":
+            return
+        files = spark.read.schema("key string, reply string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{self.folder}/new")
+        files.dropDuplicates(["key"]).write.parquet(f"{self.folder}/runs/{time.time_ns()}")
+        remove_path(spark, f"{self.folder}/new")
+
+
+def with_replies(
+    docs: DataFrame,
+    text: Column,
+    client: Client,
+    types: Sequence[str],
+    fallback: str,
+    tags: Sequence[str],
+    attempts: int = ATTEMPTS,
+    store: ReplyStore | None = None,
+    window: int = WINDOW,
+) -> DataFrame:
     """Add reply, reply_error_kind and reply_error_msg. Rows whose ``text`` is null aren't asked
-    about and get nulls; all rows pass through the task that asks, so nothing is joined."""
-    asked = docs.withColumn("_prompt", F.when(text.isNotNull(), user_prompt(text, types, fallback, tags)))
-    added = ("reply", "reply_error_kind", "reply_error_msg")
+    about and get nulls.
+
+    Without a store all rows pass through the task that asks, so nothing is joined. With one,
+    ``docs`` are read twice, for their prompts and to be joined to the replies, so they
+    should be a stored table. A rate of the client is dealt over the tasks that run at once."""
+    importable(docs.sparkSession)
+    if client.rate > 0:
+        client = Client(**{**client.__dict__, "rate": client.rate / max(1, docs.sparkSession.sparkContext.defaultParallelism)})
+    prompted = docs.withColumn("_prompt", F.when(text.isNotNull(), user_prompt(text, types, fallback, tags)))
 
-    def answer(prompt: str | None) -> tuple:
+    def answer(prompt: str | None, key: str | None = None) -> tuple:
         if prompt is None:
             return None, None, None
         try:
-            return analysed(client, prompt, types, tags, attempts), None, None
+            reply = store.get(key) if key else None
+            if reply is None:
+                reply = analysed(client, prompt, types, tags, attempts)
+                if key:
+                    store.put(key, reply)
+            return reply, None, None
         except ModelError as e:
             return None, e.kind, str(e)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = [answer(prompt) for prompt in batch.column("_prompt").to_pylist()]
-            own = [batch.column(k) for k in range(batch.num_columns - 1)]
-            new = [pa.array([t[k] for t in told], pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(own + new, names=[*batch.schema.names[:-1], *added])
-
-    schema = StructType([*docs.schema.fields, *[StructField(k, StringType()) for k in added]])
-    return asked.mapInArrow(ask, schema)
+    def asked(rows: DataFrame) -> DataFrame:
+        """``rows`` with what is told of _prompt in its place, which is their last column."""
+        keyed = "_key" in rows.columns
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with ThreadPoolExecutor(max(1, window)) as pool:
+                for batch in batches:
+                    given = [batch.column("_prompt").to_pylist(), *([batch.column("_key").to_pylist()] if keyed else [])]
+                    told = list(pool.map(answer, *given))
+                    own = [batch.column(k) for k in range(batch.num_columns - 1)]
+                    new = [pa.array([t[k] for t in told], pa.string()) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays(own + new, names=[*batch.schema.names[:-1], *_ADDED])
+
+        return rows.mapInArrow(ask, StructType([*rows.schema.fields[:-1], *[StructField(k, StringType()) for k in _ADDED]]))
+
+    if store is None:
+        return asked(prompted)
+    keyed = prompted.withColumn("_key", store.key(client, types, F.col("_prompt")))
+    wanted = keyed.where("_key IS NOT NULL").select("_key", "_prompt").dropDuplicates(["_key"])
+    known = store.gathered(docs.sparkSession)
+    if known is None:
+        told = asked(wanted)
+    else:
+        known = known.select(F.col("key").alias("_key"), "reply")
+        told = asked(wanted.join(known, "_key", "left_anti")).unionByName(known.join(wanted.select("_key"), "_key", "left_semi"), allowMissingColumns=True)
+    return keyed.drop("_prompt").join(told, "_key", "left").drop("_key")

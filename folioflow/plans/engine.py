@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import file_name
-from ..operators.analyse import Client, ModelError, with_replies
+from ..operators.analyse import Client, ModelError, ReplyStore, with_replies
 from ..operators.claim import claim
 from ..operators.extract import Tools, with_text
 from ..operators.filing import Archive, names_held
@@ -41,13 +41,16 @@ class Engine:
 
     ``scratch`` is a folder that the driver and all executors share, ``spark.checkpoint.dir`` if
     it isn't named. What calls and commands gave is written there before anything reads it, so
-    that nothing is asked, run or moved twice, also when an executor is lost."""
+    that nothing is asked, run or moved twice, also when an executor is lost. With ``replies``,
+    a store of the model's replies, texts are stored before the model is asked, and no prompt
+    is asked again by a task, plan or run that starts over."""
 
     spark: SparkSession
     config: Config
     analyse: object = None
     tools: Tools = field(default_factory=Tools)
     scratch: str = ""
+    replies: ReplyStore | None = None
 
     def __post_init__(self):
         importable(self.spark)
@@ -69,7 +72,9 @@ class Engine:
             client = Client(a.base_url, a.model, a.api_key.secret(), a.timeout, a.retries)
         except ModelError as e:
             return rows.withColumns({"reply": F.lit(None).cast("string"), "reply_error_kind": F.when(good, F.lit(e.kind)), "reply_error_msg": F.when(good, F.lit(str(e)))})
-        return with_replies(rows, F.when(good, F.col("text")["content"]), client, t.values, t.fallback, g.values, a.retries)
+        if self.replies is not None:
+            rows = self.stored(rows, f"extracted-{uuid.uuid4().hex}")
+        return with_replies(rows, F.when(good, F.col("text")["content"]), client, t.values, t.fallback, g.values, a.retries, self.replies)
 
     def extracted(self, docs: DataFrame) -> DataFrame:
         return with_text(docs, self.tools)

@@ -36,3 +36,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def remove_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def opened(uri: str):
+    """(pyarrow file system, path) of a path or URI, for local folders, HDFS and object stores."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else uri).strip("/")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
+def write_whole(fs, path: str, body: bytes) -> None:
+    """A file that takes its name only once it is whole, in place of an earlier one."""
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as out:
+        out.write(body)
+    fs.move(part, path)

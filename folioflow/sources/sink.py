@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..operators.filing import Archive, FilingError
+from ..scratch import opened, write_whole
 from ..workers import importable
 from .inventory import SUFFIX
 
@@ -43,16 +44,6 @@ class Done(WriterCommitMessage):
     failed: int
 
 
-def _opened(uri: str):
-    """(file system, path) of a folder, given as a path or a URI."""
-    from pyarrow import fs
-
-    scheme, colon, rest = uri.partition(":")
-    if not colon or scheme == "file":
-        return fs.LocalFileSystem(), "/" + (rest if colon else uri).strip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, root: str, outcome: str, move: bool):
         self.root, self.outcome, self.move = root, outcome, move
@@ -61,7 +52,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         import pyarrow.parquet as pq
 
         archive = Archive(self.root)
-        fs, folder = _opened(self.outcome)
+        fs, folder = opened(self.outcome)
         fs.create_dir(folder, recursive=True)
         part = f"part-{uuid.uuid4().hex}.parquet"
         rows = failed = 0
@@ -91,16 +82,12 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         done = [m for m in messages if m is not None]
-        fs, folder = _opened(self.outcome)
-        fs.create_dir(folder, recursive=True)
+        fs, folder = opened(self.outcome)
         told = {"parts": [m.part for m in done], "rows": sum(m.rows for m in done), "failed": sum(m.failed for m in done)}
-        part = f"{folder}/{_LIST}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as out:
-            out.write(json.dumps(told).encode())
-        fs.move(part, f"{folder}/{_LIST}")
+        write_whole(fs, f"{folder}/{_LIST}", json.dumps(told).encode())
 
     def abort(self, messages) -> None:
-        fs, folder = _opened(self.outcome)
+        fs, folder = opened(self.outcome)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{folder}/{m.part}")
@@ -131,7 +118,7 @@ def write_archive(rows: DataFrame, root: str, outcome: str, move: bool = False)
 
 def committed(spark: SparkSession, outcome: str) -> DataFrame:
     """The outcomes of a run that was committed; an error if it wasn't."""
-    fs, folder = _opened(outcome)
+    fs, folder = opened(outcome)
     with fs.open_input_stream(f"{folder}/{_LIST}") as f:
         parts = json.loads(f.read())["parts"]
     paths = [f"{outcome.rstrip('/')}/{p}" for p in parts]

@@ -186,6 +186,89 @@ def test_analysis_loop():
     assert e.value.kind == "rejected" and len(asked) == 3
 
 
+def counted(folder, fails_at=""):
+    """A transport that notes each call in a file, and fails once, when it meets a word."""
+    folder = str(folder)
+
+    def transport(url, headers, body, timeout):
+        prompt = json.loads(body)["messages"][-1]["content"]
+        if fails_at and fails_at in prompt and not os.path.exists(f"{folder}/failed"):
+            Path(f"{folder}/failed").touch()
+            raise RuntimeError("the executor is lost")
+        named = hashlib.sha256(prompt.encode()).hexdigest()
+        with open(f"{folder}/calls", "a") as f:
+            f.write(named + "\n")
+        said = {"title": named, "type": "manual", "tags": [], "filename": "f"}
+        return 200, json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]}).encode()
+
+    return transport
+
+
+def test_no_prompt_is_asked_twice(spark, sf, tmp_path):
+    """All documents, a task that fails on the way, another run, and a compacted store."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "same"), (-3, "same"), (-4, "the last straw")], "doc_id long, text string")).repartition(4)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    store = analyse.ReplyStore(f"file://{tmp_path}/store")
+    client = analyse.Client("http://m", "m", transport=counted(tmp_path, "the last straw"))
+    ask = lambda: analyse.with_replies(docs, c("text"), client, ["manual"], "", [], store=store)
+    calls = lambda: (tmp_path / "calls").read_text().split()
+    with pytest.raises(Exception, match="the executor is lost"):
+        ask().collect()
+    before = len(calls())
+    got = {r["doc_id"]: r for r in ask().collect()}
+    different = {t for t in texts.values() if t is not None}
+    assert 0 < before < len(different) == len(calls()) == len(set(calls()))
+    assert len(got) == len(texts) and all((r["reply"] is None) == (texts[k] is None) and r["reply_error_kind"] is None for k, r in got.items())
+    prompts = {r["doc_id"]: r["p"] for r in docs.select("doc_id", analyse.user_prompt(c("text"), ["manual"], "", []).alias("p")).collect()}
+    assert all(json.loads(r["reply"])["title"] == hashlib.sha256(prompts[k].encode()).hexdigest() for k, r in got.items() if r["reply"])
+    store.compact(spark)
+    assert not (tmp_path / "store/new").exists()
+    docs = docs.unionByName(spark.createDataFrame([(-5, "one more"), (-6, "same")], "doc_id long, text string"))
+    assert ask().where("reply IS NOT NULL").count() == len(texts) + 1 and len(calls()) == len(different) + 1
+    other = analyse.Client("http://m", "another", transport=counted(tmp_path))
+    analyse.with_replies(docs.where("doc_id < -4"), c("text"), other, ["manual"], "", [], store=store).collect()
+    assert len(calls()) == len(different) + 3  # another model's replies are its own
+
+
+def test_requests_run_side_by_side_at_a_pace():
+    import threading
+    import time
+
+    now, most, starts, lock = [0], [0], [], threading.Lock()
+
+    def slow(url, headers, body, timeout):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            starts.append(time.monotonic())
+        time.sleep(0.05)
+        with lock:
+            now[0] -= 1
+        return 200, b'{"choices": [{"message": {"content": "x"}}]}'
+
+    from concurrent.futures import ThreadPoolExecutor
+
+    client = analyse.Client("http://paced", "m", transport=slow, rate=50)
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(lambda k: client.complete("", str(k)), range(20))) == ["x"] * 20
+    gaps = sorted(starts)
+    assert 1 < most[0] <= 8 and gaps[-1] - gaps[0] >= 19 / 50 - 0.02
+
+
+def test_engine_asks_once_with_a_store(spark, tmp_path):
+    config = C.load(_setup(tmp_path), {}).validate()
+    config.analysis.base_url, config.analysis.model = "http://m", "m"
+    engine = E.Engine(spark, config, scratch=str(tmp_path / "scratch"), replies=analyse.ReplyStore(f"file://{tmp_path}/store"))
+    store = engine.replies
+    client = analyse.Client("http://m", "m", transport=counted(tmp_path))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(E, "Client", lambda *a: client)
+        for _ in range(2):
+            plan = engine.plan(documents.scan_files(spark, f"{tmp_path}/in"))
+            kinds = [r["error_kind"] for r in plan.collect()]
+    assert len((tmp_path / "calls").read_text().split()) == 3 and len(kinds) == 5 and store.gathered(spark) is None
+
+
 def test_schema_lists_every_key_once():
     schema = analyse.response_schema(["a", "b"])["schema"]
     assert schema["required"] == sorted(schema["properties"]) and len(schema["required"]) == 11 and schema["additionalProperties"] is False
