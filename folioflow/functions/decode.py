@@ -22,25 +22,29 @@ OPTIONAL_TEXTS = ("correspondent", "document_date", "due_date", "reference", "de
 KEYS = (*REQUIRED_TEXTS, "tags", *OPTIONAL_TEXTS)
 
 
-def _parsed(df, value: Column) -> Column:
-    """The array that ``value`` says, as a variant; of equal keys the last holds."""
-    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
-    before = conf.get(name, None)
-    conf.set(name, "true")  # taken into the expression when it is resolved
-    try:
-        return df.withColumn("_all", F.try_parse_json(value))
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
+#: Of equal keys the last holds. The parser takes it from the session when it is resolved, so it
+#: is set for good: switched back, two threads of a session could see each other's value.
+_LAST_HOLDS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def _by_lower_key(values: Column, keys: Column) -> Column:
+    """``values`` by key in lower case, of keys that differ in case only the last one written; as
+    they are where no key has a capital or comes again, which is nearly always."""
+    low = F.transform(keys, F.lower)
+    last = F.filter(keys, lambda k, i: ~F.array_contains(F.slice(low, i + 2, F.size(low)), F.lower(k)))
+    renamed = F.map_from_arrays(F.transform(last, F.lower), F.transform(last, lambda k: F.element_at(values, k)))
+    return F.when(F.array_distinct(low) == keys, values).otherwise(renamed)
 
 
 def with_fields(df, reply: str = "reply"):
     """Add ``fields``, a struct of the reply's values, and ``malformed``, why there are none."""
-    df = _parsed(df, F.concat(F.lit("["), F.col(reply), F.lit("]")))
+    df.sparkSession.conf.set(_LAST_HOLDS, "true")
+    df = df.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), F.col(reply), F.lit("]"))))
     df = df.withColumn("_one", F.try_variant_get("_all", "$[0]", "variant")).withColumn("_two", F.try_variant_get("_all", "$[1]", "variant"))
-    df = df.withColumn("_keys", F.json_object_keys(reply)).withColumn("_shape", F.schema_of_variant("_one"))
-    df = df.withColumn("_values", F.try_variant_get("_one", "$", "map<string,variant>"))
-    written = lambda key: F.try_element_at(F.filter("_keys", lambda k: F.lower(k) == key), F.lit(-1))
-    df = df.withColumns({f"_{k}": F.try_element_at("_values", written(k)) for k in KEYS})
+    df = df.withColumn("_shape", F.schema_of_variant("_one")).withColumn("_values", F.try_variant_get("_one", "$", "map<string,variant>"))
+    df = df.withColumn("_keys", F.when(F.col("_values").isNotNull(), F.json_object_keys(reply)))
+    df = df.withColumn("_low", _by_lower_key(F.col("_values"), F.col("_keys")))
+    df = df.withColumns({f"_{k}": F.try_element_at("_low", F.lit(k)) for k in KEYS})
     wrong = F.lit(None).cast("string")
     for key in reversed(KEYS):
         kind = F.coalesce(F.schema_of_variant(f"_{key}"), F.lit("VOID"))
@@ -50,13 +54,13 @@ def with_fields(df, reply: str = "reply"):
         F.when(F.col("_one").isNull(), F.lit("not JSON"))
         .when(F.col("_two").isNotNull(), F.lit("more than one JSON value"))
         .when(~F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False)) | F.col("_keys").isNull(), F.lit("not an object"))
-        .when(F.exists("_keys", lambda k: ~F.lower(k).isin(*KEYS)), F.lit("unknown key"))
+        .when(F.size(F.array_except(F.map_keys("_low"), F.array(*[F.lit(k) for k in KEYS]))) > 0, F.lit("unknown key"))
         .otherwise(wrong)
     )
     texts = [F.try_variant_get(f"_{k}", "$", "string").alias(k) for k in (*REQUIRED_TEXTS, *OPTIONAL_TEXTS)]
     tags = F.try_variant_get("_tags", "$", "array<string>").alias("tags")
     df = df.withColumn("malformed", reason).withColumn("fields", F.when(F.col("malformed").isNull(), F.struct(*texts, tags)))
-    return df.drop("_all", "_one", "_two", "_keys", "_shape", "_values", *[f"_{k}" for k in KEYS])
+    return df.drop("_all", "_one", "_two", "_keys", "_shape", "_values", "_low", *[f"_{k}" for k in KEYS])
 
 
 def missing_field(fields: Column) -> Column:

@@ -99,21 +99,25 @@ def by_place(place: Column, values: Sequence[Column]) -> Column:
     return out
 
 
-def joined_rules(docs: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """(key, ord, name, path) of the first rule of a table (ord, name, type, tags,
-    correspondent, path) for each row of ``docs`` (key, type, correspondent, tags); null
-    where none matches. Every row meets every rule, so the table must be a rule list, not
-    data that grows; Spark broadcasts it only below its size threshold.
-    """
-    r = rules.select("ord", "name", F.col("type").alias("_t"), F.col("tags").alias("_g"), F.col("correspondent").alias("_c"), "path")
-    fits = (
-        ((F.col("_t") == "") | (F.col("_t") == F.col("type")))
-        & ((F.col("_c") == "") | (F.col("_c") == F.col("correspondent")))
-        & F.forall("_g", lambda t: F.array_contains("tags", t))
+def joined_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``docs`` (type, correspondent, tags, and whatever else) with ord, rule_name and path of the
+    first rule of a table (ord, name, type, tags, correspondent, path) that fits each row; null
+    where none does.
+
+    The table is folded to one value, an array in order, which every row then goes through: no
+    row is joined or shuffled, none needs a key, and equal rows stay apart. It must be a rule
+    list, not data that grows: the array has to fit a value."""
+    own = F.struct("ord", F.col("name").alias("rule_name"), "path", "type", "correspondent", "tags")
+    listed = rules.agg(F.sort_array(F.collect_list(own)).alias("_rules"))
+    r_type, r_from = (lambda r: r["type"]), (lambda r: r["correspondent"])
+    free = lambda x: F.coalesce(x, F.lit("")) == ""
+    fits = lambda r: (
+        (free(r_type(r)) | (r_type(r) == F.col("type")))
+        & (free(r_from(r)) | (r_from(r) == F.col("correspondent")))
+        & F.forall(F.coalesce(r["tags"], F.array().cast("array<string>")), lambda t: F.array_contains("tags", t))
     )
-    # only the place is aggregated, a fixed-width value that hashes; names come back by it
-    first = docs.join(r, fits, "left").groupBy(key).agg(F.min("ord").alias("ord"))
-    return first.join(rules.select("ord", "name", "path"), "ord", "left").select(key, "ord", "name", "path")
+    met = docs.select("*", listed.scalar().alias("_rules")).withColumn("_first", F.get(F.filter("_rules", fits), F.lit(0)))
+    return met.withColumns({k: F.col("_first")[k] for k in ("ord", "rule_name", "path")}).drop("_rules", "_first")
 
 
 def path_fault(path: Column) -> Column:

@@ -388,7 +388,7 @@ def rule_join(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     tags = normalise.normalised_tags(F.array(c("source"), F.when(c("doc_id") % 5 == 0, F.lit("URGENT"))))
     rows = docs.select("doc_id", _type_of(c("lang")).alias("type"), c("source").alias("correspondent"), tags.alias("tags"))
-    return rules.joined_rules(rows, table, "doc_id").select("doc_id", c("ord").cast("long").alias("ord"), c("name").alias("rule"))
+    return rules.joined_rules(rows, table).select("doc_id", c("ord").cast("long").alias("ord"), c("rule_name").alias("rule"))
 
 
 RULE_JOIN = f"""

@@ -205,7 +205,6 @@ def test_the_last_of_equal_keys_holds(spark):
     raw = '{"TITLE":"one","title":"two","Title":"three","type":"x","tags":["a"],"tags":["b"],"filename":"f","reference":"r","Reference":null}'
     got = decode.with_fields(spark.createDataFrame([(raw,)], "reply string")).first()["fields"]
     assert (got["title"], got["tags"], got["reference"]) == ("three", ["b"], None)
-    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
 
 
 def test_cuts_keep_characters_whole(spark):

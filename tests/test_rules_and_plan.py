@@ -40,9 +40,17 @@ def test_first_match(spark):
 
 def test_joined_rules_agree(spark):
     table = spark.createDataFrame([(k, r.name, r.type, list(r.tags), r.correspondent, r.path) for k, r in enumerate(R1)], "ord int, name string, type string, tags array<string>, correspondent string, path string")
-    rows = spark.createDataFrame([(i, *m[:3]) for i, m in enumerate(MATCHES)], "id int, type string, correspondent string, tags array<string>")
-    got = {r["id"]: r["name"] for r in rules.joined_rules(rows, table, "id").collect()}
-    assert [got[i] for i in range(len(MATCHES))] == [m[3] for m in MATCHES]
+    rows = spark.createDataFrame([(i, *m[:3], "own") for i, m in enumerate(MATCHES)], "id int, type string, correspondent string, tags array<string>, name string")
+    joined = rules.joined_rules(rows, table)
+    got = {r["id"]: r["rule_name"] for r in joined.collect()}
+    assert [got[i] for i in range(len(MATCHES))] == [m[3] for m in MATCHES] and {r["name"] for r in joined.collect()} == {"own"}
+    # rows without a key, equal or not, are each judged alone
+    again = rows.unionByName(rows).withColumn("id", F.lit(None).cast("int"))
+    names = [r["rule_name"] for r in rules.joined_rules(again, table).collect()]
+    assert sorted(map(str, names)) == sorted(2 * [str(m[3]) for m in MATCHES])
+    assert rules.joined_rules(rows, table.where("false")).where("ord IS NULL AND rule_name IS NULL").count() == len(MATCHES)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("Subquery")[0]
 
 
 @pytest.mark.parametrize("tags,hit", [(["mill", "lathe"], True), (["lathe", "x", "mill"], True), (["mill"], False), ([], False), (None, False)])
