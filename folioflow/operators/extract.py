@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mime as M
 from ..functions.text import SPACES, USABLE_LAYER_CHARS, is_blank
+from ..processes import guarded
 
 #: Limits on archives, and on plain texts and images.
 MOST_ENTRIES = 1024
@@ -167,13 +168,14 @@ def host_tool(*names: str, package: str = "") -> str:
 
 def run_tool(argv: list[str], timeout: float) -> bytes:
     try:
-        done = subprocess.run(argv, capture_output=True, timeout=timeout, check=False)
+        with guarded(argv, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as process:
+            told, said = process.communicate(timeout=timeout)
     except (OSError, subprocess.TimeoutExpired) as e:
         raise Failure("extract", f"{Path(argv[0]).name}: {e}") from e
-    if done.returncode:
-        said = done.stderr.decode("utf-8", "replace").strip()
-        raise Failure("extract", f"{Path(argv[0]).name}: exit {done.returncode}" + (f": {said}" if said else ""))
-    return done.stdout
+    if process.returncode:
+        said = said.decode("utf-8", "replace").strip()
+        raise Failure("extract", f"{Path(argv[0]).name}: exit {process.returncode}" + (f": {said}" if said else ""))
+    return told
 
 
 def pages_of(layer: str) -> list[str]:

@@ -13,6 +13,7 @@ import hashlib
 import io
 import os
 import secrets
+import shutil
 import stat
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -36,13 +37,21 @@ class FilingError(Exception):
 
 class Archive:
     """A folder that exists already. Every step of a name is opened from the folder before it, and
-    none through a link, so that nothing outside is read or written whatever happens meanwhile."""
+    none through a link, so that nothing outside is read or written whatever happens meanwhile.
 
-    def __init__(self, root: str | Path):
-        self.root = Path(root).resolve(strict=True)
+    Files are written in ``staging``, a hidden folder of the archive, and get their names from
+    there, so that whatever a killed task leaves unfinished is in one place."""
+
+    def __init__(self, root: str | Path, staging: str = ".folioflow-staging"):
+        self.root, self.staging = Path(root).resolve(strict=True), staging
         if not self.root.is_dir():
             raise FilingError(f"{root} is not a folder")
 
+    def cleared(self) -> None:
+        """Remove the staging folder and what is left in it."""
+        with self._inside([]) as handle, suppress(FileNotFoundError):
+            shutil.rmtree(self.staging, dir_fd=handle)
+
     @staticmethod
     def parts_of(name: str) -> list[str]:
         parts = name.split("/")
@@ -72,15 +81,17 @@ class Archive:
             os.close(handle)
 
     @contextmanager
-    def _new_file(self, folder: int) -> Iterator[tuple[str, BinaryIO]]:
-        """A file of a name that nobody else has; gone at the end unless it was renamed."""
-        part = f".part-{secrets.token_hex(8)}"
-        try:
-            with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o666, dir_fd=folder), "wb") as out:
-                yield part, out
-        finally:
-            with suppress(FileNotFoundError):
-                os.unlink(part, dir_fd=folder)
+    def _new_file(self) -> Iterator[tuple[int, str, BinaryIO]]:
+        """The staging folder's handle and in it a file of a name that nobody else has; gone at
+        the end unless it was renamed."""
+        part = secrets.token_hex(8)
+        with self._inside([self.staging], make=True) as folder:
+            try:
+                with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o666, dir_fd=folder), "wb") as out:
+                    yield folder, part, out
+            finally:
+                with suppress(FileNotFoundError):
+                    os.unlink(part, dir_fd=folder)
 
     def place(self, source: str | Path | bytes, size: int, digest: str, name: str, remove: bool = False) -> str:
         """File one source, a path or bytes, under ``name``; 'filed', or 'duplicate' if its bytes
@@ -93,10 +104,10 @@ class Archive:
             if there:
                 done = self._settle(folder, leaf, size, digest, name)
             else:
-                with self._new_file(folder) as (part, out):
+                with self._new_file() as (staging, part, out):
                     self._copy(source, out, size, digest)
                     try:
-                        os.link(part, leaf, src_dir_fd=folder, dst_dir_fd=folder, follow_symlinks=False)
+                        os.link(part, leaf, src_dir_fd=staging, dst_dir_fd=folder, follow_symlinks=False)
                         done = "filed"
                     except FileExistsError:
                         done = self._settle(folder, leaf, size, digest, name)
@@ -140,11 +151,11 @@ class Archive:
     def write_atomic(self, name: str, body: bytes) -> None:
         """Write a small file whole or not at all, in place of an earlier one."""
         *folders, leaf = self.parts_of(name)
-        with self._inside(folders, make=True) as folder, self._new_file(folder) as (part, out):
+        with self._inside(folders, make=True) as folder, self._new_file() as (staging, part, out):
             out.write(body)
             out.flush()
             os.fsync(out.fileno())
-            os.replace(part, leaf, src_dir_fd=folder, dst_dir_fd=folder)
+            os.replace(part, leaf, src_dir_fd=staging, dst_dir_fd=folder)
 
     def read(self, name: str) -> bytes | None:
         """A file's bytes, None if there is none."""

@@ -10,7 +10,6 @@ from __future__ import annotations
 import logging
 import os
 import shutil
-import signal
 import subprocess
 import threading
 import time
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalise import date_prefix
 from ..functions.text import OUTPUT_BYTES, OUTPUT_MARK
+from ..processes import guarded, kill_group
 from .rules import Template
 
 #: Seconds until a command is stopped, and until its streams are given up after.
@@ -80,18 +80,18 @@ class Command:
         if path is None:
             return out | {"error": f"{self.name} is not installed or not on PATH"}
         try:
-            process = subprocess.Popen([path, *argv], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, env=self.environment(), start_new_session=True)
+            with guarded([path, *argv], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, env=self.environment()) as process:
+                capture = _Capture(process.stdout, f"{os.path.basename(self.name)}| " if self.echo else None)
+                try:
+                    code = process.wait(self.timeout)
+                except subprocess.TimeoutExpired:
+                    kill_group(process.pid)
+                    process.wait()
+                    out["error"] = f"{self.name} did not finish within {self.timeout:g} s and its process group was killed"
+                    code = None
+                out["output"] = capture.text() or None
         except (OSError, ValueError) as e:
             return out | {"error": f"{self.name}: {e}"}
-        capture = _Capture(process.stdout, f"{os.path.basename(self.name)}| " if self.echo else None)
-        try:
-            code = process.wait(self.timeout)
-        except subprocess.TimeoutExpired:
-            os.killpg(process.pid, signal.SIGKILL)
-            process.wait()
-            out["error"] = f"{self.name} did not finish within {self.timeout:g} s and its process group was killed"
-            code = None
-        out["output"] = capture.text() or None
         if code == 0:
             out |= {"success": True, "exit_code": 0}
         elif code is not None and code > 0:

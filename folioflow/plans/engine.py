@@ -6,9 +6,13 @@ import argparse
 import logging
 import os
 import re
+import signal
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +38,10 @@ VERSION_TEXT = "folioflow 0.1.0\n"
 log = logging.getLogger("folioflow")
 
 
+class Cancelled(Exception):
+    pass
+
+
 @dataclass
 class Engine:
     """Configured stages over DataFrames. ``analyse`` takes rows with path and text and adds
@@ -54,7 +62,7 @@ class Engine:
 
     def __post_init__(self):
         importable(self.spark)
-        self._run = uuid.uuid4().hex
+        self._run, self.cancelled = uuid.uuid4().hex, False
 
     @classmethod
     def configured(cls, spark: SparkSession, config: Config) -> Engine:
@@ -97,10 +105,28 @@ class Engine:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written to the run's folder and read back."""
+        if self.cancelled:
+            raise Cancelled("the run was cancelled")
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextmanager
+    def cancellable(self) -> Iterator[None]:
+        """Jobs started inside can be cancelled by ``cancel``."""
+        context = self.spark.sparkContext
+        context.addJobTag(self._run)
+        try:
+            yield
+        finally:
+            context.removeJobTag(self._run)
+
+    def cancel(self) -> None:
+        """Stop this run from any thread: its jobs end, and with their workers the commands and
+        tools that they run. What is filed stays filed, and nothing stays half written."""
+        self.cancelled = True
+        self.spark.sparkContext.cancelJobsWithTag(self._run)
+
     def cleared(self) -> None:
         """Remove what this run has stored."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -219,9 +245,31 @@ def main(args: list[str] | None = None, engine_of=Engine.configured, out=None, e
     return run(engine, scan_files(spark, *o.documents), o, out, err)
 
 
+@contextmanager
+def _signals(engine: Engine) -> Iterator[None]:
+    """SIGINT and SIGTERM cancel the run. Handlers belong to the main thread; a run in another
+    one is cancelled by ``Engine.cancel``."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    stop = lambda *_: threading.Thread(target=engine.cancel, daemon=True).start()
+    before = {s: signal.signal(s, stop) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        yield
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
 def run(engine: Engine, docs: DataFrame, o, out, err) -> int:
     try:
-        return _run(engine, docs, o, out, err)
+        with _signals(engine), engine.cancellable():
+            return _run(engine, docs, o, out, err)
+    except Exception:
+        if not engine.cancelled:
+            raise
+        err.write("folioflow: interrupted; what was filed so far stays, and the next run goes on from there\n")
+        return 1
     finally:
         engine.cleared()
 

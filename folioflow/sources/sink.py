@@ -10,8 +10,9 @@ run again, or twice at once, therefore does no harm to the tree. It does leave a
 outcomes, so these are committed: each task writes its outcomes to a file of its own under the
 option ``outcome`` and returns that file's name with its counts; when all tasks are done the
 driver writes the list of names, which makes them the result of the run, all at once. If the
-job fails the driver removes the files, and there is no result. What passes the driver is one
-line a task, however many documents there are.
+job fails or is cancelled the driver removes the files, and there is no result. What passes the
+driver is one line a task, however many documents there are. Whatever a killed task had begun
+to write is in the run's own staging folder of the archive, which goes in either case.
 """
 
 from __future__ import annotations
@@ -47,11 +48,12 @@ class Done(WriterCommitMessage):
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, root: str, outcome: str, move: bool):
         self.root, self.outcome, self.move = root, outcome, move
+        self.staging = f".folioflow-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Done:
         import pyarrow.parquet as pq
 
-        archive = Archive(self.root)
+        archive = Archive(self.root, self.staging)
         fs, folder = opened(self.outcome)
         fs.create_dir(folder, recursive=True)
         part = f"part-{uuid.uuid4().hex}.parquet"
@@ -85,12 +87,14 @@ class ArchiveWriter(DataSourceArrowWriter):
         fs, folder = opened(self.outcome)
         told = {"parts": [m.part for m in done], "rows": sum(m.rows for m in done), "failed": sum(m.failed for m in done)}
         write_whole(fs, f"{folder}/{_LIST}", json.dumps(told).encode())
+        Archive(self.root, self.staging).cleared()
 
     def abort(self, messages) -> None:
         fs, folder = opened(self.outcome)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{folder}/{m.part}")
+        Archive(self.root, self.staging).cleared()
 
 
 class ArchiveSink(DataSource):

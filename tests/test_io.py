@@ -6,6 +6,10 @@ import json
 import os
 import re
 import stat
+import subprocess
+import sys
+import threading
+import time
 import zipfile
 from pathlib import Path
 
@@ -71,10 +75,11 @@ def test_archive_bombs():
         assert e.value.kind == "bomb"
 
 
-def tool(folder: Path, name: str, body: str) -> None:
+def tool(folder: Path, name: str, body: str) -> Path:
     path = folder / name
     path.write_text("#!/bin/sh\n" + body)
     path.chmod(path.stat().st_mode | stat.S_IXUSR)
+    return path
 
 
 def test_pdf_pages(tmp_path, monkeypatch):
@@ -608,6 +613,75 @@ def test_sink_aborts_without_a_result(spark, tmp_path):
     assert not (tmp_path / "outcome/_committed.json").exists()
 
 
+def _alive(mark: str) -> list[int]:
+    """Processes whose command line has ``mark``."""
+    found = []
+    for pid in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            line = Path(f"/proc/{pid}/cmdline").read_bytes()
+        except OSError:
+            continue
+        if mark.encode() in line and int(pid) != os.getpid():
+            found.append(int(pid))
+    return found
+
+
+def _until(condition, seconds=60):
+    end = time.monotonic() + seconds
+    while not condition():
+        assert time.monotonic() < end
+        time.sleep(0.1)
+
+
+def test_a_cancelled_run_leaves_no_child_and_no_half_file(spark, tmp_path):
+    mark = f"31{os.getpid()}"  # seconds that nothing else sleeps
+    tool(tmp_path, "upload", f"touch {tmp_path}/begun\nsleep {mark} &\nsleep {mark}\n")
+    _setup(tmp_path, f"{tmp_path}/upload")
+    engines, ended = [], []
+
+    def engine(session, config):
+        engines.append(E.Engine(session, config, fixed_replies, scratch=str(tmp_path / "scratch")))
+        return engines[0]
+
+    out, err = io.StringIO(), io.StringIO()
+    thread = threading.Thread(target=lambda: ended.append(E.main([f"{tmp_path}/in", "--config", f"{tmp_path}/c.yaml"], engine, out, err)))
+    thread.start()
+    _until((tmp_path / "begun").exists, 120)
+    assert _alive(mark)
+    engines[0].cancel()
+    thread.join(60)
+    assert ended == [1] and "interrupted" in err.getvalue()
+    _until(lambda: not _alive(mark))
+    left = [p.relative_to(tmp_path / "root").as_posix() for p in (tmp_path / "root").rglob("*")]
+    assert not [x for x in left if "/." in f"/{x}"] and sum(x.endswith(".txt") for x in left) == 2
+    assert not any((tmp_path / "scratch").rglob("folioflow-run-*"))
+
+
+def test_a_command_ends_with_its_worker(tmp_path):
+    """Also where the worker is killed and can do nothing about it."""
+    mark = f"32{os.getpid()}"
+    code = f"from folioflow.operators.handoff import Command\nCommand({str(tool(tmp_path, 'slow', f'sleep {mark} & sleep {mark}'))!r}).run([])"
+    worker = subprocess.Popen([sys.executable, "-c", code], cwd=Path(__file__).parent.parent)
+    _until(lambda: len(_alive(mark)) >= 2)
+    worker.kill()
+    worker.wait()
+    _until(lambda: not _alive(mark), 10)
+    late = handoff.Command(str(tool(tmp_path, "late", f"sleep {mark} & sleep {mark}")), timeout=0.5).run([])
+    assert "killed" in late["error"] and not _alive(mark)
+
+
+def test_nothing_half_written_is_left_behind(tmp_path):
+    path, size, digest = _source(tmp_path, "in.txt", b"body")
+    root = tmp_path / "root"
+    root.mkdir()
+    a = filing.Archive(root, ".mine")
+    a.place(path, size, digest, "x/y.txt")
+    (root / ".mine" / "half").write_text("bo")  # as a killed task leaves it
+    a.cleared()
+    a.cleared()
+    assert [p.relative_to(root).as_posix() for p in sorted(root.rglob("*"))] == ["x", "x/y.txt"]
+
+
 @pytest.mark.parametrize("args", [["--nope"], [], ["x", "--quiet", "--verbose"], ["x", "--output", "xml"], ["x", "--config", "/absent.yaml"], ["x", "--disposition", "burn"]])
 def test_usage_errors(args):
     err = io.StringIO()
