@@ -33,6 +33,8 @@ MOST_PLAIN = MOST_IMAGE = 32 << 20
 BLOCK_TAGS = frozenset({"p", "br", "tab", "tr", "row", "table-row", "line-break"})
 MAX_PAGES, DPI = 20, 200
 TEXT_SCHEMA = "struct<content:string,origin:string,truncation:struct<pages_processed:int,pages_total:int>,error_kind:string,error_msg:string>"
+#: The error kind of documents whose pages are to be looked at by ``operators.pages``.
+LATER = "later"
 _SPACES = SPACES
 
 
@@ -45,12 +47,14 @@ class Failure(Exception):
 @dataclass(frozen=True)
 class Tools:
     """What extraction may call. ``vision`` takes (media type, bytes) and returns text; it is
-    pickled to the workers and may be left out."""
+    pickled to the workers and may be left out. ``deferred``: pages aren't looked at, only
+    counted, in errors of kind ``LATER``."""
 
     max_pages: int = MAX_PAGES
     dpi: int = DPI
     timeout: float = 120.0
     vision: Callable[[str, bytes], str] | None = None
+    deferred: bool = False
 
 
 # ---------------------------------------------------------------- containers
@@ -209,6 +213,30 @@ def _see(tools: Tools, media: str, data: bytes) -> str:
         raise Failure(getattr(e, "kind", "transport"), str(e)) from e
 
 
+def transcribed(tools: Tools, media: str, data: bytes) -> str:
+    """An image's text."""
+    return _see(tools, media, data).strip(_SPACES)
+
+
+def rendered_page(path: Path, page: int, tools: Tools) -> bytes:
+    """One page of a PDF as an image."""
+    render = host_tool("pdftoppm", package="poppler-utils")
+    with tempfile.TemporaryDirectory() as folder:
+        run_tool([render, "-png", "-r", str(tools.dpi if tools.dpi > 0 else DPI), "-f", str(page), "-l", str(page), str(path), str(Path(folder, "page"))], tools.timeout)
+        images = sorted(Path(folder).glob("*.png"))
+        if not images:
+            raise Failure("extract", f"rasterising page {page} produced no image")
+        return images[0].read_bytes()
+
+
+class Later(Failure):
+    """Pages that ``operators.pages`` is to look at: how many, of how many."""
+
+    def __init__(self, pages: tuple[int, int]):
+        super().__init__(LATER, "")
+        self.pages = pages
+
+
 def pdf_text(content: bytes, tools: Tools) -> tuple[str, str, tuple[int, int] | None]:
     """The text layer if it is usable; else each page as an image, transcribed."""
     with tempfile.TemporaryDirectory() as folder:
@@ -219,15 +247,9 @@ def pdf_text(content: bytes, tools: Tools) -> tuple[str, str, tuple[int, int] |
         n, cut = capped(len(pages), tools.max_pages)
         if usable(pages[:n]):
             return "\n".join(pages[:n]), "text-layer", cut
-        render, said = host_tool("pdftoppm", package="poppler-utils"), []
-        for page in range(1, n + 1):
-            out = Path(folder, f"p{page}")
-            out.mkdir()
-            run_tool([render, "-png", "-r", str(tools.dpi if tools.dpi > 0 else DPI), "-f", str(page), "-l", str(page), str(path), str(out / "page")], tools.timeout)
-            images = sorted(out.glob("*.png"))
-            if not images:
-                raise Failure("extract", f"rasterising page {page} produced no image")
-            said.append(_see(tools, "image/png", images[0].read_bytes()).strip(_SPACES))
+        if tools.deferred:
+            raise Later((n, len(pages)))
+        said = [transcribed(tools, "image/png", rendered_page(path, page, tools)) for page in range(1, n + 1)]
         return "\n\n".join(said), "vision", cut
 
 
@@ -253,7 +275,9 @@ def extracted(mime: str, content: bytes, tools: Tools) -> tuple[str, str, tuple[
     if mime in M.IMAGES:
         if len(content) > MOST_IMAGE:
             raise Failure("extract", f"an image of more than {MOST_IMAGE >> 20} MiB")
-        return _see(tools, mime, content).strip(_SPACES), "vision", None
+        if tools.deferred:
+            raise Later((1, 1))
+        return transcribed(tools, mime, content), "vision", None
     if mime == M.OLE2:
         return legacy_text(content, tools), "office", None
     if mime in M.OFFICE:
@@ -277,6 +301,8 @@ def extract_udf(tools: Tools):
                 out["truncation"] = dict(zip(("pages_processed", "pages_total"), cut, strict=True))
         except Failure as e:
             out["error_kind"], out["error_msg"] = e.kind, str(e)
+            if isinstance(e, Later):
+                out["truncation"] = dict(zip(("pages_processed", "pages_total"), e.pages, strict=True))
         return out
 
     @F.pandas_udf(TEXT_SCHEMA)

@@ -24,6 +24,7 @@ from ..operators.claim import claim
 from ..operators.extract import Tools, with_text
 from ..operators.filing import Archive, names_held
 from ..operators.handoff import Command, arguments, not_attempted, run_commands
+from ..operators.pages import with_paged_text
 from ..sources.documents import scan_files
 from ..sources.inventory import read_traces, trace_beside, trace_json
 from ..sources.sink import last_traces, write_archive
@@ -85,7 +86,11 @@ class Engine:
         return with_replies(rows, F.when(good, F.col("text")["content"]), client, t.values, t.fallback, g.values, a.retries, self.replies)
 
     def extracted(self, docs: DataFrame) -> DataFrame:
-        return with_text(docs, self.tools)
+        """With something to look at pages with, documents are stored on the way, see ``operators.pages``."""
+        if self.tools.vision is None:
+            return with_text(docs, self.tools)
+        run = uuid.uuid4().hex
+        return with_paged_text(docs, self.tools, lambda df, name: self.stored(df, f"{name}-{run}"), self.replies)
 
     def plan(self, docs: DataFrame) -> DataFrame:
         """The side-effect-free plan of scanned documents. One line of steps, without branches or

@@ -514,6 +514,53 @@ def test_one_call_for_a_document(spark, tmp_path, monkeypatch, body, args):
     assert not list((tmp_path / "scratch").rglob("*.parquet"))
 
 
+def test_pages_of_scans_fan_out(spark, tmp_path, monkeypatch):
+    """Pages are dealt over tasks, gathered in order, and after a failing page only that is asked for again."""
+    tool(tmp_path, "pdftotext", 'cat "$2" | tail -c +9\n')
+    tool(tmp_path, "pdftoppm", 'for x; do :; done; printf "%s %s" "$(tail -c +9 "$8" | head -c 2)" "$5" > "$x-1.png"\n')
+    monkeypatch.setitem(spark.sparkContext.environment, "PATH", f"{tmp_path}:{os.environ['PATH']}")
+    (tmp_path / "in").mkdir()
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    for k in range(6):
+        (tmp_path / "in" / f"d{k}.pdf").write_bytes(b"%PDF-1.7" + b"\f".join(f"d{k}".encode() if p == 0 else b"" for p in range(12 if k == 0 else 2)) + b"\fend")
+    (tmp_path / "in" / "p.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    (tmp_path / "in" / "t.txt").write_text("plain")
+    folder = str(calls)
+
+    def see(media, data):
+        from pyspark import TaskContext
+
+        with open(f"{folder}/{hashlib.sha256(data).hexdigest()[:8]}-{os.urandom(4).hex()}-{TaskContext.get().partitionId()}", "w") as f:
+            f.write(data.decode("latin-1"))
+        if data == b"d3 2" and not os.path.exists(f"{folder}/../healed"):
+            raise OSError("no answer")
+        return " " + data.decode("latin-1") + " "
+
+    store = analyse.ReplyStore(f"file://{tmp_path}/store")
+    names = iter(range(100))
+
+    def keep(df, name):
+        path = f"{tmp_path}/kept/{name}-{next(names)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    from folioflow.operators.pages import with_paged_text
+
+    ask = lambda: {Path(r["path"]).name: r["text"] for r in with_paged_text(documents.scan_files(spark, f"{tmp_path}/in"), extract.Tools(max_pages=10, vision=see), keep, store).collect()}
+    got = ask()
+    assert got["d0.pdf"]["content"] == "\n\n".join(f"d0 {p}" for p in range(1, 11)) and tuple(got["d0.pdf"]["truncation"]) == (10, 13)
+    assert got["d1.pdf"]["content"] == "d1 1\n\nd1 2\n\nd1 3" and got["d1.pdf"]["truncation"] is None and got["d1.pdf"]["origin"] == "vision"
+    assert (got["d3.pdf"]["error_kind"], got["d3.pdf"]["error_msg"], got["d3.pdf"]["content"]) == ("transport", "no answer", None)
+    assert got["t.txt"]["content"] == "plain" and got["p.png"]["content"].endswith("xx")
+    made = list(calls.iterdir())
+    of_first = {p.name.rsplit("-", 1)[1] for p in made if p.read_text().startswith("d0 ")}
+    assert len(made) == 10 + 5 * 3 + 1 and len(of_first) >= min(3, spark.sparkContext.defaultParallelism)
+    (tmp_path / "healed").touch()
+    assert ask()["d3.pdf"]["content"] == "d3 1\n\nd3 2\n\nd3 3"
+    assert len(list(calls.iterdir())) == len(made) + 1
+
+
 def test_one_conversion_for_an_old_document(spark, tmp_path, monkeypatch):
     tool(tmp_path, "libreoffice", f'echo x >> {tmp_path}/runs; for last; do :; done; echo "manual text" > "$(dirname "$last")/in.txt"\n')
     monkeypatch.setitem(spark.sparkContext.environment, "PATH", f"{tmp_path}:{os.environ['PATH']}")
