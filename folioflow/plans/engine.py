@@ -27,6 +27,7 @@ from ..operators.handoff import Command, arguments, not_attempted, run_commands
 from ..operators.pages import with_paged_text
 from ..sources.documents import scan_files
 from ..sources.inventory import read_traces, trace_beside, trace_json
+from ..sources.inventory_log import InventoryLog
 from ..sources.sink import last_traces, write_archive
 from ..workers import importable
 from . import report
@@ -52,7 +53,9 @@ class Engine:
     it isn't named. What calls and commands gave is written there before anything reads it, so
     that nothing is asked, run or moved twice, also when an executor is lost. With ``replies``,
     a store of the model's replies, texts are stored before the model is asked, and no prompt
-    is asked again by a task, plan or run that starts over."""
+    is asked again by a task, plan or run that starts over. With ``inventory``, a log of traces,
+    what is known of documents comes from there, by one join, and not from the files beside
+    them, which are written all the same."""
 
     spark: SparkSession
     config: Config
@@ -60,6 +63,7 @@ class Engine:
     tools: Tools = field(default_factory=Tools)
     scratch: str = ""
     replies: ReplyStore | None = None
+    inventory: InventoryLog | None = None
 
     def __post_init__(self):
         importable(self.spark)
@@ -184,6 +188,9 @@ class Engine:
         next run would not know of the filing."""
         left = write_archive(last_traces(traces), self.config.archive_root, f"{self.folder}/{name}")
         failed = left.where("trace_error IS NOT NULL").select("final_dest", "trace_error")
+        if self.inventory is not None:
+            good = traces.join(failed, "final_dest", "left_anti").withColumnRenamed("final_dest", "dest")
+            self.inventory.append(good, "path", f"{self._run}-{name}")
         out = rows.join(failed, "final_dest", "left")
         fault = F.col("trace_error").isNotNull() & (F.col("error_kind").isNull() | (F.col("error_kind") == "archive"))
         out = out.withColumns({"error_kind": F.when(fault, F.lit("trace")).otherwise(F.col("error_kind")), "error_msg": F.when(fault, F.col("trace_error")).otherwise(F.col("error_msg"))})
@@ -194,7 +201,11 @@ class Engine:
         documents inside the archive have a trace, and only theirs are read."""
         where = F.regexp_replace("path", r"\Afile:/*", "/")
         rows = docs.withColumn("inside", destination_inside(where, self.config.archive_root))
-        rows = read_traces(rows.withColumn("trace", trace_beside(F.col("inside"), self.config.archive_root)))
+        if self.inventory is not None:
+            rows = self.inventory.traced(rows, "inside")
+        else:
+            rows = rows.withColumn("trace", trace_beside(F.col("inside"), self.config.archive_root))
+        rows = read_traces(rows)
         state = replay_state(F.col("inside").isNotNull(), F.col("record"), self.config.archive.configured)
         return rows.withColumn("state", state)
 

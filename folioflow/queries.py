@@ -22,6 +22,7 @@ from .plans.schema import METADATA, TRUNCATION
 from .scratch import remove_path, scratch_path, stored
 from .sources.documents import scan_files, scan_texts
 from .sources.inventory import SUFFIX, read_traces, scan_traces, trace_json
+from .sources.inventory_log import InventoryLog
 from .sources.sink import write_archive
 
 c = F.col
@@ -690,6 +691,42 @@ SELECT doc_id, usable, unusable, CASE WHEN usable THEN 'Document ' || doc_id END
 FROM g"""
 
 
+def inventory_merge(spark, sf_dir):
+    """Traces of all documents in a log of several runs: a first run of all, hand-offs made later
+    for some, some filed anew and some removed, before and after the log is compacted; then
+    what is left to do for each document, read by one join."""
+    log = InventoryLog(spark, scratch_path(spark, "inventory"))
+    docs = stored(_table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.concat(F.lit("d/"), c("doc_id").cast("string")).alias("dest")), "inventory-docs")
+    i, told = c("doc_id"), F.from_json(F.to_json(F.struct(F.concat(F.lit("Document "), c("doc_id").cast("string")).alias("title"), F.lit("minutes").alias("type"))), METADATA)
+
+    def run(rows: DataFrame, number: int, success) -> None:
+        archive = F.struct(F.lit(True).alias("attempted"), success.alias("success"), F.when(success, 0).otherwise(7).alias("exit_code"), *[F.lit(None).cast(t).alias(k) for k, t in (("output", "string"), ("error", "string"), ("attempted_at", "timestamp"))])
+        trace = trace_json(F.concat(F.lit(f"run {number} of "), c("dest")), c("digest"), told, F.lit("r"), F.timestamp_seconds(F.lit(1_700_000_000 + number)), F.lit(None).cast(TRUNCATION), archive)
+        log.append(rows.select("dest", F.when(i % 11 != number, trace).alias("trace"), i.alias("at")), "at", f"run {number}")
+
+    run(docs, 0, i % 3 == 1)
+    run(docs.where(i % 4 == 0), 1, F.lit(True))
+    run(docs.where(i % 4 == 0), 1, F.lit(False))  # the same run again: nothing changes
+    log.compact()
+    run(docs.where(i % 5 == 0), 2, i % 2 == 0)
+    run(docs.where(i % 7 == 0), 3, F.lit(True))
+    rows = read_traces(log.traced(docs, "dest"))
+    r = c("record")
+    out = stored(rows.select("doc_id", r["source"].alias("source"), F.unix_timestamp(r["filed_at"]).alias("filed_at"), replay_state(F.lit(True), r, True).alias("state")), "inventory-merge")
+    remove_path(spark, log.folder)
+    return out
+
+
+INVENTORY_MERGE = """
+WITH e AS (
+  SELECT doc_id, 0 AS run, doc_id % 3 = 1 AS success FROM documents UNION ALL SELECT doc_id, 1, true FROM documents WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 2, doc_id % 2 = 0 FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 3, true FROM documents WHERE doc_id % 7 = 0),
+l AS (SELECT doc_id, max(run) AS run, arg_max(success, run) AS success FROM e GROUP BY doc_id),
+k AS (SELECT doc_id, CASE WHEN doc_id % 11 <> run THEN run END AS run, success FROM l)
+SELECT doc_id, 'run ' || run || ' of d/' || doc_id AS source, 1700000000 + run::BIGINT AS filed_at, CASE WHEN run IS NULL THEN 'process' WHEN success THEN 'done' ELSE 'hand-off' END AS state
+FROM k"""
+
+
 def replay_states(spark, sf_dir):
     """What is left to do for documents inside and outside the archive."""
     rows = read_traces(_traced(spark, sf_dir))
@@ -840,6 +877,7 @@ _ALL = {
     "filed_tree": (filed_tree, FILED_TREE),
     "claim_linked": (claim_linked, CLAIM_LINKED),
     "sidecar_state": (sidecar_state, SIDECAR_STATE),
+    "inventory_merge": (inventory_merge, INVENTORY_MERGE),
     "replay_states": (replay_states, REPLAY_STATES),
     "new_documents": (new_documents, NEW_DOCUMENTS),
     "action_exit": (action_exit, ACTION_EXIT),

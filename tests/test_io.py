@@ -22,6 +22,7 @@ from folioflow.operators import analyse, extract, filing, handoff, rules
 from folioflow.plans import config as C
 from folioflow.plans import engine as E
 from folioflow.sources import documents, inventory, sink
+from folioflow.sources.inventory_log import InventoryLog
 from folioflow.streaming import intake
 
 c = F.col
@@ -729,6 +730,43 @@ def test_nothing_half_written_is_left_behind(tmp_path):
     assert [p.relative_to(root).as_posix() for p in sorted(root.rglob("*"))] == ["x", "x/y.txt"]
 
 
+def test_inventory_log(spark, tmp_path):
+    log = InventoryLog(spark, f"file://{tmp_path}/log")
+    rows = lambda *r: spark.createDataFrame(r, "dest string, trace string, at int")
+    assert log.current().count() == 0 and log.traced(rows(("a", "x", 1)).drop("trace"), "dest").first()["trace"] is None
+    log.append(rows(("a", "1", 1), ("a", "2", 2), ("b", "3", 1), (None, "9", 1), ("c", "4", 1)), "at", "one")
+    log.append(rows(("b", "5", 0), ("c", None, 0), ("d", "6", 0)), "at", "two")
+    log.append(rows(("b", "7", 0)), "at", "two")
+    want = {"a": "2", "b": "5", "d": "6"}
+    for _ in range(2):
+        assert dict(map(tuple, log.current().collect())) == want
+        asked = spark.createDataFrame([("a",), ("c",), ("e",), (None,), ("b",), ("b",)], "inside string")
+        assert sorted((r["inside"] or "", r["trace"]) for r in log.traced(asked, "inside").collect()) == [("", None), ("a", "2"), ("b", "5"), ("b", "5"), ("c", None), ("e", None)]
+        log.compact()
+        assert len(log.deltas()) == 1 and len(list((tmp_path / "log").glob("*/_SUCCESS"))) == 1
+    log.append(rows(("a", "8", 0)), "at", "one")  # known, also after compaction
+    assert dict(map(tuple, log.current().collect())) == want
+
+
+def test_replay_from_the_log(spark, tmp_path):
+    """Filed, then known by the log alone: nothing is asked or moved again."""
+    tool(tmp_path, "upload", f'test -f {tmp_path}/up && echo "$1" >> {tmp_path}/sent\n')
+    _setup(tmp_path, f"{tmp_path}/upload")
+    log, root = InventoryLog(spark, f"file://{tmp_path}/log"), tmp_path / "root"
+
+    def engine(session, config):
+        return E.Engine(session, config, fixed_replies, scratch=str(tmp_path / "scratch"), inventory=log)
+
+    assert E.main([f"{tmp_path}/in", "--config", f"{tmp_path}/c.yaml"], engine, io.StringIO(), io.StringIO()) == 2
+    assert log.current().count() == 2
+    for p in root.rglob(f"*{inventory.SUFFIX}"):
+        p.unlink()
+    (tmp_path / "up").touch()
+    for _ in range(2):
+        assert E.main([f"{root}/shelf/11/*.txt", "--config", f"{tmp_path}/c.yaml"], engine, io.StringIO(), io.StringIO()) == 0
+    assert len((tmp_path / "sent").read_text().split()) == 2 and len(log.deltas()) >= 2
+
+
 @pytest.mark.parametrize("args", [["--nope"], [], ["x", "--quiet", "--verbose"], ["x", "--output", "xml"], ["x", "--config", "/absent.yaml"], ["x", "--disposition", "burn"]])
 def test_usage_errors(args):
     err = io.StringIO()
@@ -741,15 +779,41 @@ def test_version():
 
 
 def test_streaming_intake(spark, tmp_path):
+    """Three batches equal one, and a batch reads what is new and no more."""
     config = C.load(_setup(tmp_path), {}).validate()
     engine = E.Engine(spark, config, fixed_replies)
-    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
-    for wave in range(2):
-        if wave:
-            (tmp_path / "in" / "f.txt").write_text("manual three")
-            (tmp_path / "in" / "g.txt").write_text("manual two")
-        intake.plan_stream(intake.watched_files(spark, str(tmp_path / "in"), "*.txt"), engine.plan, out, marks).awaitTermination(120)
-    got = {Path(r["path"]).name: (r["final_dest"], r["duplicate"], r["error_kind"], r["batch"]) for r in spark.read.parquet(out).collect()}
-    base = "shelf/11/2031-11-05-manual"
-    assert got["a.txt"] == (f"{base}.txt", False, None, 0) and got["b.txt"][1] is True and got["d.txt"][2] == "rejected"
-    assert {got["c.txt"][0], got["f.txt"][0]} == {f"{base}-2.txt", f"{base}-3.txt"} and got["g.txt"] == (f"{base}-2.txt", True, None, 1)
+    folder, base = tmp_path / "in", "shelf/11/2031-11-05-manual"
+    waves = [{}, {"f.txt": "manual three", "g.txt": "manual two"}, {"h.txt": "manual one", "i.txt": "manual four", "j.txt": "zzz", "k.txt": "manual three"}]
+    read = []
+    for wave in waves:
+        for name, body in wave.items():
+            (folder / name).write_text(body)
+        queries = intake.intake(intake.watched_files(spark, str(folder), "*.txt"), engine.plan, str(tmp_path / "out"), str(tmp_path / "marks"))
+        assert all(q.exception() is None for q in queries)
+        read.append(sum(p["numInputRows"] for p in queries[1].recentProgress))
+    got = {Path(r["path"]).name: (r["final_dest"], r["duplicate"], r["error_kind"], r["batch"]) for r in intake.outcome(spark, str(tmp_path / "out")).collect()}
+    assert read == [3, 2, 3] and len(got) == 10  # rows with a name to claim
+    assert [got[f"{x}.txt"][:2] for x in "abcfghik"] == [(f"{base}{n}.txt", same) for n, same in [("", False), ("", True), ("-2", False), ("-3", False), ("-2", True), ("", True), ("-4", False), ("-3", True)]]
+    assert got["d.txt"] == (None, False, "rejected", 0) and got["j.txt"] == (None, False, "rejected", 2)
+    whole = intake.intake(intake.watched_files(spark, str(folder), "*.txt"), engine.plan, str(tmp_path / "out1"), str(tmp_path / "marks1"))
+    assert all(q.exception() is None for q in whole)
+    once = {Path(r["path"]).name: (r["final_dest"], r["duplicate"], r["error_kind"]) for r in intake.outcome(spark, str(tmp_path / "out1")).collect()}
+    assert once == {k: v[:3] for k, v in got.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_claims_of_a_stream_equal_probing(seed):
+    """Any cut of the rows into batches gives what probing one after another gives."""
+    import random
+
+    from test_rules_and_plan import brute_claims
+
+    rng = random.Random(seed)
+    names = ["f/x.t", "f/x-2.t", "f/x-3.t", "f/x-2-2.t", "f/x-2-3.t", "f/x-02.t", "f/x-1.t"]
+    rows = [(k, rng.choice(names), *(lambda d: (0, "e") if d == 0 else (1 + d % 2, f"d{d}"))(rng.randrange(12))) for k in range(200)]
+    taken, got = {}, {}
+    for at in range(0, 200, 37):
+        state = intake.Names(taken, 4)
+        got |= {arrival: state.claim(dest, size, digest) for arrival, dest, size, digest in rows[at : at + 37]}
+        assert set(state.new) <= set(taken)
+    assert got == brute_claims(rows, (), 4)
