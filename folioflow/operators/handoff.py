@@ -7,7 +7,6 @@ in the inventory before the next run asks what is outstanding.
 
 from __future__ import annotations
 
-import logging
 import os
 import shutil
 import subprocess
@@ -20,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..channel import MOST, Address, tell
 from ..functions.normalise import date_prefix
 from ..functions.text import OUTPUT_BYTES, OUTPUT_MARK
 from ..processes import guarded, kill_group
@@ -28,7 +28,6 @@ from .rules import Template
 #: Seconds until a command is stopped, and until its streams are given up after.
 TIMEOUT, WAIT_DELAY = 60.0, 5.0
 RESULT = ("attempted", "success", "exit_code", "output", "error", "attempted_at")
-log = logging.getLogger(__name__)
 
 
 def argument_values(path: Column, metadata: Column) -> dict[str, Column]:
@@ -64,7 +63,8 @@ class Command:
     name: str
     timeout: float = TIMEOUT
     env: tuple[str, ...] = ()
-    echo: bool = False
+    #: Where lines go while the command runs.
+    echo: Address | None = None
     environ: Mapping[str, str] | None = field(default=None, repr=False)
 
     def environment(self) -> dict[str, str]:
@@ -81,7 +81,7 @@ class Command:
             return out | {"error": f"{self.name} is not installed or not on PATH"}
         try:
             with guarded([path, *argv], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, env=self.environment()) as process:
-                capture = _Capture(process.stdout, f"{os.path.basename(self.name)}| " if self.echo else None)
+                capture = _Capture(process.stdout, f"{os.path.basename(self.name)}| ".encode(), self.echo)
                 try:
                     code = process.wait(self.timeout)
                 except subprocess.TimeoutExpired:
@@ -104,8 +104,8 @@ class Command:
 class _Capture:
     """Reads a stream to its end in the background, keeps a bounded head, echoes lines."""
 
-    def __init__(self, stream, prefix: str | None):
-        self.head, self.more, self.prefix, self.rest = b"", False, prefix, b""
+    def __init__(self, stream, prefix: bytes, echo: Address | None):
+        self.head, self.more, self.prefix, self.echo, self.rest = b"", False, prefix, echo, b""
         self.thread = threading.Thread(target=self._read, args=(stream,), daemon=True)
         self.thread.start()
 
@@ -114,15 +114,14 @@ class _Capture:
             left = OUTPUT_BYTES - len(self.head)
             self.head += piece[:left]
             self.more |= len(piece) > left
-            if self.prefix is not None:
+            if self.echo is not None:
                 *lines, self.rest = (self.rest + piece).split(b"\n")
+                if len(self.rest) > MOST:
+                    lines, self.rest = [*lines, self.rest], b""
                 for line in lines:
-                    self._echo(line)
-        if self.prefix is not None and self.rest:
-            self._echo(self.rest)
-
-    def _echo(self, line: bytes) -> None:
-        log.info("%s%s", self.prefix, line.removesuffix(b"\r").decode("utf-8", "replace"))
+                    tell(self.echo, self.prefix + line.removesuffix(b"\r"))
+        if self.echo is not None and self.rest:
+            tell(self.echo, self.prefix + self.rest.removesuffix(b"\r"))
 
     def text(self) -> str:
         self.thread.join(WAIT_DELAY)

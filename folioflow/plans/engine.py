@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..channel import Address, Channel
 from ..functions.naming import file_name
 from ..operators.analyse import Client, ModelError, ReplyStore, with_replies
 from ..operators.claim import claim
@@ -64,6 +65,8 @@ class Engine:
     scratch: str = ""
     replies: ReplyStore | None = None
     inventory: InventoryLog | None = None
+    #: Where the lines go that commands say while they run.
+    echo: Address | None = None
 
     def __post_init__(self):
         importable(self.spark)
@@ -172,7 +175,7 @@ class Engine:
         own, each = a.templates()
         where = F.concat(F.lit(self.config.archive_root.rstrip("/") + "/"), F.col("final_dest"))
         ready = rows.where("error_kind IS NULL").withColumn("argv", arguments(own, each, where, F.col("metadata")))
-        done = run_commands(ready, Command(a.command, a.timeout, tuple(a.env))).drop("argv")
+        done = run_commands(ready, Command(a.command, a.timeout, tuple(a.env), self.echo)).drop("argv")
         failed = ~F.col("archive")["success"]
         done = done.withColumns({"error_kind": F.when(failed, F.lit("archive")), "error_msg": F.when(failed, F.col("archive")["error"])})
         return done.unionByName(rows.where("error_kind IS NOT NULL").withColumn("archive", not_attempted()))
@@ -277,9 +280,23 @@ def _signals(engine: Engine) -> Iterator[None]:
             signal.signal(s, handler)
 
 
+@contextmanager
+def _echoed(engine: Engine, o, err) -> Iterator[None]:
+    """What commands say is printed while they run, unless nobody wants to hear it."""
+    if o.quiet or o.no_archive or not engine.config.archive.configured:
+        yield
+        return
+    channel = Channel(engine.spark.conf.get("spark.driver.host", "localhost"), lambda line: err.write(f"{line}\n"))
+    engine.echo = channel.address
+    try:
+        yield
+    finally:
+        channel.close()
+
+
 def run(engine: Engine, docs: DataFrame, o, out, err) -> int:
     try:
-        with _signals(engine), engine.cancellable():
+        with _signals(engine), engine.cancellable(), _echoed(engine, o, err):
             return _run(engine, docs, o, out, err)
     except Exception:
         if not engine.cancelled:
@@ -329,8 +346,7 @@ _GOOD = "error_kind IS NULL OR error_kind = 'archive'"
 
 
 def _told(rows: DataFrame, o, out, err) -> int:
-    """Print each row's line, note and detail; what its command said, unless that was well and
-    nobody wants to hear it; and its error. Returns the exit code."""
+    """Print each row's line, note, detail and error. Returns the exit code."""
     more = [F.col(k) if k in rows.columns else F.lit(None).alias(k) for k in ("note", "detail")]
     worst = 0
     for r in rows.select("path", "line", "error_kind", "error_msg", "archive", *more).toLocalIterator():
@@ -346,8 +362,9 @@ def _told(rows: DataFrame, o, out, err) -> int:
 
 
 def _complained(r, o, err) -> int:
-    """A row's captured output and error on ``err``; its exit code."""
-    if r["archive"]["output"] and not (o.quiet and r["archive"]["success"]):
+    """A row's error on ``err``, and under ``--quiet`` what its failed command has said, which
+    otherwise was heard while it ran; its exit code."""
+    if o.quiet and r["archive"]["output"] and not r["archive"]["success"]:
         for line in r["archive"]["output"].rstrip("\n").split("\n"):
             err.write(f"{o.command}| {line.removesuffix(chr(13))}\n")
     if r["error_kind"] is None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow import channel
 from folioflow.functions import mime as M
 from folioflow.operators import analyse, extract, filing, handoff, rules
 from folioflow.plans import config as C
@@ -469,6 +470,36 @@ def test_what_commands_say(spark, tmp_path):
     assert err.count("speak| taken as 4711\n") == 2 and err.count("speak| no room\n") == 1 and "4711" not in out
 
 
+def test_a_line_is_heard_before_its_command_ends(spark, tmp_path):
+    tool(tmp_path, "speak", f'echo "begun $1"; printf "and\\rno end of line"; for k in 1 2 3 4 5 6 7 8 9; do test -f {tmp_path}/heard && exit 0; sleep 1; done; exit 9\n')
+    _setup(tmp_path, f"{tmp_path}/speak")
+
+    class Ear(io.StringIO):
+        def write(self, said):
+            if "begun" in said:
+                (tmp_path / "heard").touch()
+            return super().write(said)
+
+    def engine(session, config):
+        return E.Engine(session, config, fixed_replies, scratch=str(tmp_path / "scratch"))
+
+    ear = Ear()
+    assert E.main([f"{tmp_path}/in/a.txt", "--config", f"{tmp_path}/c.yaml"], engine, io.StringIO(), ear) == 0
+    assert ear.getvalue().count("speak| begun ") == 1 and "speak| and\rno end of line\n" in ear.getvalue()
+
+
+def test_lines_of_strangers_are_not_heard():
+    heard = []
+    here = channel.Channel("localhost", heard.append)
+    channel.tell(here.address._replace(token="wrong"), b"spoof")
+    channel.tell(here.address, b"one")
+    channel.tell(here.address, b"x" * (channel.MOST + 10))
+    _until(lambda: sum(map(len, heard)) == channel.MOST + 13, 10)
+    assert heard[0] == "one" and len(heard) == 3
+    here.close()
+    channel.tell(here.address._replace(port=1), b"nobody listens")
+
+
 def test_missing_and_empty_documents_have_their_outcome(spark, tmp_path):
     _setup(tmp_path)
     (tmp_path / "in" / "z é.txt").touch()
