@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -134,6 +135,41 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- rows that need not move
+
+#: Bits of the largest filter (16 MB), and bits for each name below that.
+FILTER_BITS, BITS_A_NAME = 1 << 27, 16
+
+
+def maybe_among(names: list, wanted: DataFrame):
+    """A condition that holds for every row whose ``names`` (columns) are those of a row of
+    ``wanted``, which has as many columns, of the same types, and for few others: a bit filter of
+    their hashes, so that rows that surely aren't wanted stay where they are.
+
+    The filter's words are summed up in tasks and by a shuffle; the driver gets at most two
+    million of them, whatever ``wanted`` holds. Of more names than ``FILTER_BITS`` it would let
+    nearly all through: the condition is then always true.
+    """
+    spark = wanted.sparkSession
+    n = wanted.count()
+    if n > FILTER_BITS:
+        return F.lit(True)
+    bits = min(FILTER_BITS, 1 << max(10, (n * BITS_A_NAME).bit_length()))
+    place = F.pmod(F.xxhash64(*wanted.columns), F.lit(bits))
+    words = wanted.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
+    words = words.select("word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    sent = spark.sparkContext.broadcast(held)
+
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    bound_batches(spark)
+    return F.pandas_udf(test, "boolean")(F.pmod(F.xxhash64(*names), F.lit(bits)))
+
+
 # ---------------------------------------------------------------- worker-side mapping
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import SPACE, discard, map_rows, signed, store
+from .common import SPACE, discard, map_rows, maybe_among, signed, store
 from .runs import Runs
 
 MIN_CHARS = 10
@@ -136,7 +136,9 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BAT
             yield {"doc_id": b["doc_id"], "n_lines": n_lines, "n_dropped": n_dropped, "kept_text": kept}
 
     same = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("own") == F.col("row"))
-    joined = rows.join(lost, same, "left").select("doc_id", "text", "keys")
+    loses = maybe_among([F.col("doc_id"), F.col("own")], lost.select("owner", "row"))
+    whole = rows.where(~loses).select("doc_id", "text", F.lit(None).cast(lost.schema["keys"].dataType).alias("keys"))
+    joined = whole.unionByName(rows.where(loses).join(lost, same, "left").select("doc_id", "text", "keys"))
     return map_rows(joined, rebuilt, f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
 
 
