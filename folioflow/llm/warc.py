@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch_path, store, write_json
+from .common import map_rows, maybe_among, scratch_path, store, write_json
 from .files import opened, qualified, read_manifest, replaced
 from .zip_reader import ZipRanges
 
@@ -125,15 +125,16 @@ def read_package(f, size: int) -> Iterator[tuple[dict, dict, dict, bytes]]:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, html, refers_to): the page each row's payload repeats, null where none."""
+    """(page_id, url, html, refers_to): the page each row's payload repeats, null where none. Only
+    payloads that a bit filter of the repeated ones lets through are shuffled."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.when(F.octet_length(payload) >= min_bytes, F.unhex(F.sha2(payload, 256))).alias("digest"))
     groups = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     groups = store(groups, "payloads")
-    long = keyed.where("digest IS NOT NULL").join(groups, "digest", "left")
+    again = F.col("digest").isNotNull() & maybe_among([F.col("digest")], groups.select("digest"))
     refers = F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first"))
-    short = keyed.where("digest IS NULL").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    return long.select("page_id", "url", "html", refers.cast("long").alias("refers_to")).unionByName(short)
+    several = keyed.where(again).join(groups, "digest", "left").select("page_id", "url", "html", refers.cast("long").alias("refers_to"))
+    return several.unionByName(keyed.where(~again).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_packages(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> str:
