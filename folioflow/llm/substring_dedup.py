@@ -17,15 +17,17 @@ words. Names are the fingerprints that the index holds.
    cancels out. They are counted over all classes, within the tasks first; those met twice
    are confirmed, stored, and joined to the windows, a join that Spark splits where one
    passage has a great part of all rows.
-5. The words that confirmed windows cover are removed. A text moves once, to its suspects; it
-   is kept there by row until its confirmed windows come. Rows without suspects never move
-   their text: their digest is taken in the first pass.
+5. The words that confirmed windows cover are removed. A text that has suspects moves once, to
+   them, and is kept there by row until its confirmed windows come. Before the shuffle a bit
+   filter of the rows with suspects passes over the others, but for the few that it can't tell
+   apart; their digest is taken in the first pass.
 
 With an ``index`` to go on from, history counts: the index holds (name, one, two) of every
-different window of earlier calls, the two hashes being those of step 4. A call's names are
+different window of each earlier call, the two hashes being those of step 4. A call's names are
 merge-joined to it; what it holds under them makes these names suspects and confirms the
-windows that it has. Then the windows that are new become a run. Rows of earlier calls are
-not judged again, and a batch given twice counts twice.
+windows that it has. The call's own windows then become a run under the name of its ``batch``.
+Rows of earlier calls are not judged again. A call of the same batch, as after a failure of
+whatever used its result, doesn't count what the former one has added and takes its place.
 
 Defined cases: a null or blank text has no words, and its kept text is empty; texts shorter
 than a window lose nothing; very long texts are taken whole, one at a time in a worker; equal
@@ -42,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, bucketed, discard, map_rows, signed, store, tree_hashes, word_hashes
+from .common import Powers, bucketed, discard, map_rows, maybe_among, signed, store, tree_hashes, word_hashes
 from .runs import Runs
 
 WIDTH = 35
@@ -189,13 +191,16 @@ def cut_rows(texts: DataFrame, width: int) -> DataFrame:
     return map_rows(texts, cut, "hi long, lo long, n_removed long, cut_sha binary, cut_text string")
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, index: Runs | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, index: Runs | None = None, batch: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of each row of ``docs``; kept_text
     (kept words joined by a space) is null where it is known by its digest alone: no word
     or every word of the row is removed.
 
     ``index`` is Runs(spark, ["name"]), empty or left by earlier calls of the same width and
-    gram; it takes this call's windows. Without it only the rows of this call count."""
+    gram; it takes this call's windows under the name ``batch``, which tells the rows of this
+    call from those of others. Without it only the rows of this call count."""
+    if index is not None and not batch:
+        raise ValueError("with an index the rows of a call need a name: batch")
     spark = docs.sparkSession
     scan = store(scanned(docs, width, gram), "windows")
     first = F.min_by(F.struct(*_ROW, "once", "often"), F.struct(*_ROW)).alias("first")
@@ -206,7 +211,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
         named = suspects(classes, own, batches)
         if index is not None and index.tables:
             met = classes.select(F.explode(F.concat("once", "often")).alias("name")).distinct()
-            held = store(index.present(met).select("name", "one", "two"), "history")
+            held = store(index.present(met, batch).select("name", "one", "two").distinct(), "history")
             named = named.unionByName(held.select("name")).distinct()
         named = store(named, "suspects")
     finally:
@@ -214,7 +219,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
 
     each = classes.select(*_ROW, *_CLASS, "copies", F.explode(F.concat("once", "often")).alias("name"))
     wanted = each.join(named, "name").groupBy(*_ROW, *_CLASS, "copies").agg(F.collect_list("name").alias("names"))
-    texts = named_rows(docs).drop("doc_id").join(store(wanted, "wanted").hint("merge"), list(_ROW))
+    wanted = store(wanted, "wanted")
+    rows = named_rows(docs).drop("doc_id")
+    texts = rows.where(maybe_among([F.col(k) for k in _ROW], wanted.select(*_ROW))).join(wanted.hint("merge"), list(_ROW))
     doubtful = hashed_windows(texts, width, gram)
     # rows that repeat an id and a text come several times; only classes of many copies have any
     repeated = scan.join(classes.where("copies > 1").select(*_ROW), list(_ROW)).groupBy(*_ROW).count().where("count > 1")
@@ -230,8 +237,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     changed = cut_rows(doubtful.where("copies = 1").select(*_ROW, *_CLASS, "text").join(spans, list(_ROW)).select(*_CLASS, "text", "starts"), width)
 
     if index is not None:
-        new = all_windows(docs, classes, width, gram)
-        index.add(new if held is None else new.join(held, ["name", "one", "two"], "left_anti"))
+        index.add(all_windows(docs, classes, width, gram), batch)
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
     gone = classes.where("copies > 1").select(*_CLASS, F.lit(None).cast("long").alias("n_removed"), nothing.alias("cut_sha"), F.lit(None).cast("string").alias("cut_text"))
     verdicts = changed.unionByName(gone).withColumn("judged", F.lit(True))
