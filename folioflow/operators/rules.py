@@ -7,52 +7,20 @@ of rules, for rules that live in data.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .templates import Template, TemplateError
+
 #: What a path template may name, and what an argument template may.
 PATH_FIELDS = ("Type", "Correspondent", "Reference", "Title", "Year", "Month", "Day", "Tags")
 ARGUMENT_FIELDS = ("Path", "Title", "Type", "Correspondent", "Reference", "Description", "Amount", "Currency", "Tags", "DocumentDate", "DueDate")
 
-_ACTION = re.compile(r"\{\{-?\s*(.*?)\s*-?\}\}", re.S)
-_FIELD = re.compile(r"\.([A-Za-z_][A-Za-z0-9_]*)?\Z")
-
-
-class TemplateError(ValueError):
-    pass
-
-
-@dataclass(frozen=True)
-class Template:
-    """Literal pieces (str) and fields (a one-element tuple); '' names the whole value."""
-
-    text: str
-    pieces: tuple[str | tuple[str], ...]
-
-    @classmethod
-    def parse(cls, text: str, fields: Sequence[str], where: str) -> Template:
-        """Fields and literals only: other actions, and unknown fields, are refused here."""
-        pieces, at = [], 0
-        for m in _ACTION.finditer(text):
-            pieces.append(text[at : m.start()])
-            named = _FIELD.match(m[1])
-            if not named or (named[1] or "") not in fields:
-                raise TemplateError(f"{where} {text!r}: {m[0]} is not a field; known are {', '.join('.' + f for f in fields)}")
-            pieces.append((named[1] or "",))
-            at = m.end()
-        rest = text[at:]
-        if "{{" in "".join(p for p in [*pieces, rest] if isinstance(p, str)):
-            raise TemplateError(f"{where} {text!r}: unclosed action")
-        return cls(text, tuple(p for p in [*pieces, rest] if p != ""))
-
-    def rendered(self, values: Mapping[str, Column]) -> Column:
-        """Null values render as nothing, never as a missing piece."""
-        parts = [F.lit(p) if isinstance(p, str) else F.coalesce(values[p[0]], F.lit("")) for p in self.pieces]
-        return F.concat(*parts) if parts else F.lit("")
+#: Of these the lists.
+PATH_LISTS = ("Tags",)
 
 
 @dataclass(frozen=True)
@@ -67,7 +35,7 @@ class Rule:
     template: Template = field(init=False, repr=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "template", Template.parse(self.path, PATH_FIELDS, f"the path of rule {self.name!r}"))
+        object.__setattr__(self, "template", Template.parse(self.path, PATH_FIELDS, f"the path of rule {self.name!r}", PATH_LISTS))
 
     @property
     def is_default(self) -> bool:
@@ -134,3 +102,6 @@ def path_fault(path: Column) -> Column:
 
 def joined_path(folder: Column, name: Column) -> Column:
     return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
+
+
+__all__ = ["ARGUMENT_FIELDS", "PATH_FIELDS", "PATH_LISTS", "Rule", "Template", "TemplateError", "by_place", "first_match", "joined_path", "joined_rules", "path_fault"]

@@ -26,7 +26,7 @@ def path_context(metadata: Column) -> dict[str, Column]:
     return {
         **{k: sanitised(metadata[k.lower()]) for k in ("Type", "Correspondent", "Reference", "Title")},
         **{k: date_part(day, k.lower()) for k in ("Year", "Month", "Day")},
-        "Tags": F.concat(F.lit("["), F.array_join(F.transform(metadata["tags"], sanitised), " "), F.lit("]")),
+        "Tags": F.transform(metadata["tags"], sanitised),
     }
 
 
@@ -66,7 +66,7 @@ def with_destination(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = rows.withColumn("_place", F.when(here, first_match(rules, m["type"], m["correspondent"], m["tags"])))
     rows = rows.withColumn("rule", by_place(F.col("_place"), [F.lit(r.name) for r in rules]))
     rows = rows.withColumn("rule_path", by_place(F.col("_place"), [F.lit(r.path) for r in rules]))
-    used = sorted({p[0] for r in rules for p in r.template.pieces if not isinstance(p, str)})
+    used = sorted({name for r in rules for name in r.template.names})
     known = path_context(m)
     # sanitised values are columns of their own, so that a rule list of any length names them
     # without repeating their expressions

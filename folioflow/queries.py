@@ -418,6 +418,48 @@ SELECT s_suppkey, path, CASE WHEN contains(path, '\\') THEN 'backslash' WHEN sta
        WHEN contains(path, '//') THEN 'empty path segment' END AS fault FROM p"""
 
 
+TEMPLATES = {
+    "dated": '{{if .Year}}{{.Year}}{{if eq .Month "01" "11"}}/ends{{else if lt .Month "06"}}/early{{else}}/late{{end}}{{else}}undated{{end}}',
+    "named": '{{with .Correspondent}}from-{{.}}{{- /* no blank */ -}} {{else}}nobody{{end}}/{{or .Reference .Title "none" | printf "%s-%q%%" .Type}}',
+    "tagged": '{{range .Tags}}{{.}}{{$.Year}}+{{else}}untagged{{end}}{{if gt (len .Tags) 1}}{{print "many" (len .Tags) 7}}{{end}}{{if and .Year (not (eq .Type "minutes"))}}!{{end}}',
+}
+
+
+def template_actions(spark, sf_dir):
+    """Templates with branches, scopes, ranges, comparisons and pipelines over all documents."""
+    i = c("doc_id")
+    day = F.when(i % 4 != 2, F.lpad((i % 12 + 1).cast("string"), 2, "0"))
+    tags = F.split(F.regexp_extract("text", r"\A(\w*(?: \w+){0,2})", 1), " ")
+    values = {
+        "Type": _type_of(c("lang")),
+        "Correspondent": F.when(i % 3 > 0, c("source")),
+        "Reference": F.when(i % 5 == 0, F.lit("")).when(i % 5 > 1, F.lit('r"\\')),
+        "Title": F.when(i % 2 == 0, F.substring("lang", 1, 2)),
+        "Year": F.when(day.isNotNull(), F.lit("2031")),
+        "Month": day,
+        "Day": day,
+        "Tags": F.when(i % 7 > 0, F.filter(tags, lambda t: t != "")),
+    }
+    made = [rules.Template.parse(t, rules.PATH_FIELDS, k, rules.PATH_LISTS).rendered(values).alias(k) for k, t in TEMPLATES.items()]
+    return _table(spark, sf_dir, "documents").select("doc_id", *made)
+
+
+TEMPLATE_ACTIONS = r"""
+WITH v AS (
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'protocol' WHEN 'fr' THEN 'calibration' WHEN 'de' THEN 'part-order' ELSE 'minutes' END AS type,
+         CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS sender, CASE WHEN doc_id % 5 > 1 THEN 'r"\' ELSE '' END AS reference,
+         CASE WHEN doc_id % 2 = 0 THEN left(lang, 2) ELSE '' END AS title, CASE WHEN doc_id % 4 <> 2 THEN lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') END AS day,
+         CASE WHEN doc_id % 7 > 0 THEN list_filter(string_split(regexp_extract(text, '^(\w*(?: \w+){0,2})', 1), ' '), lambda t: t <> '') ELSE [] END AS tags
+  FROM documents),
+w AS (SELECT *, coalesce(nullif(reference, ''), nullif(title, ''), 'none') AS known, CASE WHEN day IS NOT NULL THEN '2031' ELSE '' END AS year FROM v)
+SELECT doc_id,
+       CASE WHEN day IS NULL THEN 'undated' ELSE '2031' || CASE WHEN day IN ('01', '11') THEN '/ends' WHEN day < '06' THEN '/early' ELSE '/late' END END AS dated,
+       CASE WHEN coalesce(sender, '') <> '' THEN 'from-' || sender ELSE 'nobody' END || '/' || type || '-"' || regexp_replace(known, '(["\\])', '\\\1', 'g') || '"%' AS named,
+       CASE WHEN len(tags) = 0 THEN 'untagged' ELSE array_to_string(list_transform(tags, lambda t: t || year || '+'), '') END
+         || CASE WHEN len(tags) > 1 THEN 'many' || len(tags) || ' 7' ELSE '' END || CASE WHEN day IS NOT NULL AND type <> 'minutes' THEN '!' ELSE '' END AS tagged
+FROM w"""
+
+
 def plan_documents(spark, sf_dir):
     """The whole plan: rule, name, destination, or the first failure and its exit code."""
     rows = _planned(spark, sf_dir)
@@ -750,24 +792,28 @@ NEW_DOCUMENTS = "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM docume
 
 
 def action_exit(spark, sf_dir):
-    """Actions by disposition and duplicate, and the exit code of every failure."""
-    i = c("o_orderkey")
-    disposition = F.when(i % 3 == 0, F.lit("move")).when(i % 3 == 1, F.lit("copy")).otherwise(F.lit("keep"))
+    """Actions by disposition and repeated content, and the exit code of each planned document's
+    failure, or of one that filing may meet, dealt by the length of its text."""
     from .plans.schema import EXIT_CODES
 
     kinds = sorted(EXIT_CODES)
-    kind = F.get(F.array(*[F.lit(k) for k in kinds], F.lit(None).cast("string")), (i % (len(kinds) + 1)).cast("int"))
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", disposition.alias("disposition"), (i % 2 == 0).alias("duplicate"), kind.alias("error_kind"))
-    act = report.action(c("disposition"), c("duplicate"))
-    return rows.select("o_orderkey", act.alias("action"), report.destination(act, F.lit("a/b.pdf")).alias("destination"), "error_kind", exit_code(c("error_kind")).alias("exit_code"))
+    n = F.length(text.or_empty(c("text")["content"]))
+    disposition = F.when(n % 3 == 0, F.lit("move")).when(n % 3 == 1, F.lit("copy")).otherwise(F.lit("keep"))
+    kind = F.coalesce("error_kind", F.get(F.array(*[F.lit(k) for k in kinds], F.lit(None).cast("string")), (n % (len(kinds) + 1)).cast("int")))
+    rows = _planned(spark, sf_dir).select("doc_id", "digest", "dest", disposition.alias("disposition"), kind.alias("error_kind"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    act = report.action(c("disposition"), c("doc_id") > c("first"))
+    return rows.join(first, "digest").select("doc_id", act.alias("action"), report.destination(act, c("dest")).alias("destination"), "error_kind", exit_code(c("error_kind")).alias("exit_code"))
 
 
-ACTION_EXIT = """
-WITH k AS (SELECT ['archive', 'bomb', 'claim', 'empty', 'extract', 'missing-tool', 'no-rule', 'not-configured', 'path', 'rejected', 'schema-unsupported', 'source', 'trace', 'transport', 'unsupported', 'usage'] AS kinds),
-r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'not-filed' WHEN o_orderkey % 2 = 0 THEN 'duplicate' ELSE 'filed' END AS action, kinds[o_orderkey % 17 + 1] AS error_kind FROM orders, k)
-SELECT o_orderkey, action, CASE WHEN action <> 'not-filed' THEN 'a/b.pdf' END AS destination, error_kind,
+ACTION_EXIT = f"""
+WITH {_PLANNED_SQL},
+k AS (SELECT ['archive', 'bomb', 'claim', 'empty', 'extract', 'missing-tool', 'no-rule', 'not-configured', 'path', 'rejected', 'schema-unsupported', 'source', 'trace', 'transport', 'unsupported', 'usage'] AS kinds),
+r AS (SELECT doc_id, length(text) AS n, text, min(doc_id) OVER (PARTITION BY text) AS first, CASE WHEN error_kind IS NULL THEN folder || '/' || base END AS dest, coalesce(error_kind, kinds[length(text) % 17 + 1]) AS error_kind FROM planned, k),
+a AS (SELECT *, CASE WHEN n % 3 = 2 THEN 'not-filed' WHEN doc_id > first THEN 'duplicate' ELSE 'filed' END AS action FROM r)
+SELECT doc_id, action, CASE WHEN action <> 'not-filed' THEN dest END AS destination, error_kind,
        CASE WHEN error_kind IS NULL THEN 0 WHEN error_kind IN ('bomb', 'missing-tool', 'not-configured', 'schema-unsupported', 'source', 'unsupported', 'usage') THEN 2 ELSE 1 END AS exit_code
-FROM r"""
+FROM a"""
 
 
 def archiver_argv(spark, sf_dir):
@@ -837,17 +883,22 @@ SELECT doc_id, sha256(head || 'Values of type: a, b. When none fits, take b.' ||
        sha256(head || 'Values of type: a.' || chr(10) || 'Tags are any words in lower case. There may be none.' || tail) AS free FROM p"""
 
 
+_STATUSES = (0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504)
+
+
 def retry_class(spark, sf_dir):
-    """Which answers are asked for again, which refuse schemas, and how long the wait may be."""
-    statuses = [0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504]
-    rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status"))
-    body = F.when(c("n_nationkey") % 2 == 0, F.lit("unknown field Response_Format")).otherwise(F.lit("bad request"))
-    return rows.select("n_nationkey", "status", analyse.retryable_column(c("status")).alias("retry"), analyse.refuses_schema_column(c("status"), body).alias("refuses"), analyse.backoff_column(c("n_nationkey") % 3).alias("ceiling"))
+    """Answers with documents as their bodies, of which some name the parameter that was refused:
+    which are asked for again, which refuse schemas, and how long the wait may be."""
+    t = F.coalesce("text", F.lit(""))
+    status = F.get(F.array(*[F.lit(s) for s in _STATUSES]), (F.length(t) % len(_STATUSES)).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), F.regexp_replace(t, "and", "Response_Format").alias("body"), (F.octet_length(t) % 3).alias("attempt"))
+    return rows.select("doc_id", "status", analyse.retryable_column(c("status")).alias("retry"), analyse.refuses_schema_column(c("status"), c("body")).alias("refuses"), analyse.backoff_column(c("attempt")).alias("ceiling"))
 
 
 RETRY_CLASS = """
-SELECT n_nationkey, status::INT AS status, status IN (0, 429, 500, 502, 503, 504) AS retry, status IN (404, 501) OR (status = 400 AND n_nationkey % 2 = 0) AS refuses, (2 ** (n_nationkey % 3))::DOUBLE AS ceiling
-FROM nation, (SELECT unnest([0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504]) AS status)"""
+WITH r AS (SELECT doc_id, coalesce(text, '') AS t, ([0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504])[length(coalesce(text, '')) % 12 + 1]::INTEGER AS status FROM documents)
+SELECT doc_id, status, status IN (0, 429, 500, 502, 503, 504) AS retry, status IN (404, 501) OR (status = 400 AND contains(t, 'and')) AS refuses, (2 ** (strlen(t) % 3))::DOUBLE AS ceiling
+FROM r"""
 
 
 _ALL = {
@@ -866,6 +917,7 @@ _ALL = {
     "rule_match": (rule_match, RULE_MATCH),
     "rule_join": (rule_join, RULE_JOIN),
     "render_path": (render_path, RENDER_PATH),
+    "template_actions": (template_actions, TEMPLATE_ACTIONS),
     "plan_documents": (plan_documents, PLAN_DOCUMENTS),
     "plan_metadata": (plan_metadata, PLAN_METADATA),
     "plan_detail": (plan_detail, PLAN_DETAIL),

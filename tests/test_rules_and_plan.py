@@ -65,14 +65,55 @@ def test_path_faults(spark, path, fault):
     assert spark.createDataFrame([(path,)], "p string").select(rules.path_fault(c("p"))).first()[0] == fault
 
 
-@pytest.mark.parametrize("bad", ["{{.Folder}}", "{{if .Year}}x{{end}}", "{{.Year", "{{printf .Year}}", "{{.}}"])
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "{{.Folder}}", "{{.Year", "{{printf .Year}}", "{{.}}", "{{if .Year}}x", "{{end}}", "{{else}}", "{{if}}x{{end}}", "{{if .Year}}x{{else}}y{{else}}z{{end}}", "{{range .Year}}x{{end}}",
+        "{{eq .Year 7}}", "{{lt .Tags .Tags}}", "{{$x := .Year}}", '{{printf "%d" .Year}}', '{{printf "%s"}}', "{{shout .Year}}", "{{(.Year}}", "{{.Year .Month}}", "{{.Year | .Month}}", "{{with .Year}}{{.Month}}{{end}}", "{{if .Year}}x{{end .}}x", '{{"x}}', "{{or .Year 7}}",
+    ],
+)
 def test_templates_refused(bad):
     with pytest.raises(rules.TemplateError):
         rules.Rule("r", bad)
 
 
-def test_templates_accept_spaces():
-    assert rules.Template.parse("a/{{ .Year }}/b", rules.PATH_FIELDS, "x").pieces == ("a/", ("Year",), "/b")
+#: Template, values, text; a list is Tags.
+RENDERED = [
+    ("a/{{ .Year }}/b", {"Year": "2031"}, "a/2031/b"),
+    ("{{if .Year}}y{{end}}", {"Year": None}, ""),
+    ("{{if .Year}}y{{else if .Month}}m{{else}}n{{end}}", {"Month": "05"}, "m"),
+    ("{{if .Year}}{{if .Month}}both{{else}}year{{end}}{{else}}none{{end}}", {"Year": "1"}, "year"),
+    ("{{with .Title}}{{.}}-{{$.Year}}{{else}}no{{end}}", {"Title": "t", "Year": "1"}, "t-1"),
+    ("{{with .Title}}{{.}}{{else with .Year}}{{.}}!{{end}}", {"Year": "1"}, "1!"),
+    ("{{range .Tags}}<{{.}}>{{end}}", {"Tags": ["a", "b"]}, "<a><b>"),
+    ("{{range .Tags}}{{if eq . $.Year}}={{else}}{{.}}{{end}}{{else}}none{{end}}", {"Tags": ["a", "1"], "Year": "1"}, "a="),
+    ("{{.Tags}}", {"Tags": ["a", "b"]}, "[a b]"),
+    ("x {{- .Year -}} y", {"Year": "1"}, "x1y"),
+    ("x{{/* said */}}y{{- /* and */ -}} z", {}, "xyz"),
+    ('{{or .Year .Month "z"}}{{and .Title "t"}}', {"Month": "2"}, "2"),
+    ('{{and .Month "t"}}|{{not .Year}}|{{len .Tags}}', {"Month": "2", "Tags": ["a"]}, "t|true|1"),
+    ('{{eq .Year "1" "2"}}{{ne .Year "1"}}{{le .Year "2"}}{{gt (len .Title) 2}}', {"Year": "2", "Title": "é"}, "truetruetruefalse"),
+    ('{{printf "%s/%v-%d%%%q" .Year true 7 "a\\"b"}}', {"Year": "2"}, '2/true-7%"a\\"b"'),
+    ("{{print 1 2 .Year 3}}{{`raw }}`}}", {"Year": "x"}, "1 2x3raw }}"),
+    ('{{.Year | printf "%s-%s" .Month | printf "<%s>"}}', {"Year": "1", "Month": "2"}, "<2-1>"),
+    ("{{if and .Year (or .Month (not .Day))}}in{{end}}", {"Year": "1"}, "in"),
+]
+
+
+def test_templates_rendered(spark):
+    columns = []
+    for template, values, _ in RENDERED:
+        made = rules.Template.parse(template, rules.PATH_FIELDS, "x", rules.PATH_LISTS)
+        given = {k: F.array(*map(F.lit, values[k])) if k in values and k == "Tags" else F.lit(values.get(k)).cast("array<string>" if k == "Tags" else "string") for k in rules.PATH_FIELDS}
+        columns.append(made.rendered(given).alias(f"c{len(columns)}"))
+    got = spark.range(1).select(*columns).first()
+    for (template, _, want), text in zip(RENDERED, got, strict=True):
+        assert text == want, template
+
+
+def test_templates_name_their_fields():
+    t = rules.Template.parse('{{if eq .Type "x"}}{{range .Tags}}{{$.Year}}{{end}}{{end}}', rules.PATH_FIELDS, "x", rules.PATH_LISTS)
+    assert t.names == {"Type", "Tags", "Year"} and rules.Template.parse("{{.}}", ("",), "x").names == {""}
 
 
 def brute_claims(rows, held=(), most=1000):
