@@ -7,8 +7,11 @@ normalising, vocabularies, rules and error precedence all run. It says nothing a
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from .plans.plan import build_plan, exit_code
 from .plans.replay import not_yet_filed, replay_state
 from .plans.schema import METADATA, TRUNCATION
 from .scratch import remove_path, scratch_path, stored
-from .sources.documents import scan_files, scan_texts
+from .sources.documents import identified, scan_files, scan_texts
 from .sources.inventory import SUFFIX, read_traces, scan_traces, trace_json
 from .sources.inventory_log import InventoryLog
 from .sources.sink import write_archive
@@ -556,6 +559,65 @@ SELECT CASE WHEN error_kind IS NULL THEN folder ELSE '' END AS folder, CASE WHEN
 FROM planned GROUP BY ALL"""
 
 
+# ---------------------------------------------------------------- containers
+
+
+def _container(page: int, url: str | None, html: str | None) -> bytes:
+    """An office document of a page, sound or harmful, by its number."""
+    from html import escape
+
+    text = escape((html or "") + ".", quote=False)
+    where, k = escape(url or "", quote=False), page % 8
+    wide = lambda *said: "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in said)
+    listed, document = ("[Content_Types].xml", "<Types/>"), lambda x: ("word/document.xml", f'<w:d xmlns:w="w">{x}</w:d>')
+    if k == 0:
+        members = [listed, ("word/other.xml", "<x>not read</x>"), document(wide(where, text))]
+    elif k == 1:
+        members = [("mimetype", f"{mime.ODF[0]}\n"), ("content.xml", f'<o:d xmlns:o="o" xmlns:t="t"><t:p>{where}</t:p><t:h>heading</t:h><t:p>{text}</t:p></o:d>')]
+    elif k == 2:
+        members = [listed, ("xl/sharedStrings.xml", f"<sst><si><t>{where}</t></si></sst>"), ("xl/worksheets/s1.xml", f"<w><row><c><v>0</v></c><c><v>12</v></c></row><row><c><v>{text}</v></c></row></w>")]
+    elif k == 3:
+        members = [listed, ("ppt/slides/slide2.xml", f'<p:s xmlns:p="p"><p:p>{text}<p:br/>end</p:p></p:s>'), ("ppt/slides/slide1.xml", f'<p:s xmlns:p="p"><p:p>{where}</p:p></p:s>')]
+    elif k == 4:
+        members = [listed, document(wide(text)), *[(f"word/{n}", "") for n in range(1023)]] if page % 40 == 4 else [("a.txt", text)]
+    elif k == 5:
+        members = [listed, document(" " * (64 << 20))] if page % 200 == 5 else [listed, ("word/document.xml", f"<w>{text}")]
+    else:
+        members = [listed, document(wide(" \n", "\t"))]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members:
+            z.writestr(name, body, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
+    return out.getvalue()[: 40 if k == 7 else None]
+
+
+def office_text(spark, sf_dir):
+    """Office documents that tasks make of all pages, taken apart again: what they are, what they say,
+    and those that are broken, empty, of no known kind, or bombs."""
+
+    def made(pages: pd.Series, urls: pd.Series, htmls: pd.Series) -> pd.Series:
+        return pd.Series([_container(*x) for x in zip(pages, urls, htmls, strict=True)], dtype=object)
+
+    made.__annotations__ = {"pages": pd.Series, "urls": pd.Series, "htmls": pd.Series, "return": pd.Series}
+    content = F.pandas_udf(made, "binary").asNondeterministic()("page_id", "url", "html")
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p/"), c("page_id").cast("string")).alias("path"), content.alias("content"))
+    rows = extract.with_text(identified(rows.withColumn("size", F.octet_length("content").cast("long"))), extract.Tools())
+    t = c("text")
+    return rows.select("page_id", "mime", t["origin"].alias("origin"), F.sha2(t["content"], 256).alias("said"), t["error_kind"].alias("error_kind"))
+
+
+OFFICE_TEXT = f"""
+WITH p AS (SELECT page_id, page_id % 8 AS k, coalesce(url, '') AS u, coalesce(html, '') || '.' AS t FROM pages),
+s AS (
+  SELECT page_id, k, CASE k WHEN 0 THEN '{mime.OOXML["word/"]}' WHEN 1 THEN '{mime.ODF[0]}' WHEN 2 THEN '{mime.OOXML["xl/"]}' WHEN 3 THEN '{mime.OOXML["ppt/"]}'
+           WHEN 4 THEN CASE WHEN page_id % 40 = 4 THEN '{mime.OOXML["word/"]}' ELSE '{mime.ZIP}' END WHEN 7 THEN '{mime.ZIP}' ELSE '{mime.OOXML["word/"]}' END AS mime,
+         CASE k WHEN 0 THEN CASE WHEN u = '' THEN t ELSE u || chr(10) || t END WHEN 1 THEN u || 'heading' || chr(10) || t
+           WHEN 2 THEN CASE WHEN u = '' THEN '' ELSE u || chr(10) END || '012' || chr(10) || t WHEN 3 THEN t || chr(10) || 'end' || CASE WHEN u = '' THEN '' ELSE chr(10) || u END END AS said,
+         CASE k WHEN 4 THEN CASE WHEN page_id % 40 = 4 THEN 'bomb' ELSE 'unsupported' END WHEN 5 THEN CASE WHEN page_id % 200 = 5 THEN 'bomb' ELSE 'extract' END WHEN 6 THEN 'empty' WHEN 7 THEN 'unsupported' END AS error_kind
+  FROM p)
+SELECT page_id, mime, CASE WHEN k < 4 OR k = 6 THEN 'office' END AS origin, CASE WHEN k = 6 THEN sha256(' ' || chr(10) || chr(10) || chr(9)) ELSE sha256(said) END AS said, error_kind FROM s"""
+
+
 # ---------------------------------------------------------------- names claimed, traces, replay
 
 
@@ -924,6 +986,7 @@ _ALL = {
     "plan_summary": (plan_summary, PLAN_SUMMARY),
     "text_table": (text_table, TEXT_TABLE),
     "output_json": (output_json, OUTPUT_JSON),
+    "office_text": (office_text, OFFICE_TEXT),
     "claim_names": (claim_names, CLAIM_NAMES),
     "claim_archive": (claim_archive, CLAIM_ARCHIVE),
     "filed_tree": (filed_tree, FILED_TREE),
