@@ -945,6 +945,72 @@ SELECT doc_id, sha256(head || 'Values of type: a, b. When none fits, take b.' ||
        sha256(head || 'Values of type: a.' || chr(10) || 'Tags are any words in lower case. There may be none.' || tail) AS free FROM p"""
 
 
+def _endpoint(url: str, headers: dict, body: bytes, timeout: float, asked: dict = {}) -> tuple[int, bytes]:  # noqa: B006
+    """A model's endpoint that answers by the length of the prompt, well or not; some prompts only
+    when they are asked again."""
+    import json
+
+    said = json.loads(body)
+    form = said["response_format"]["json_schema"]
+    prompt = said["messages"][-1]["content"]
+    if not url.endswith("/v1/chat/completions") or headers.get("Authorization") != "Bearer k" or said["model"] != "m" or sorted(form["schema"]["properties"]) != form["schema"]["required"]:
+        return 404, b"another request was expected"
+    n = len(prompt)
+    k, asked[prompt] = n % 8, asked.get(prompt, 0) + 1
+    if k in (0, 5) and (k == 0 or asked[prompt] == 1):
+        return 503 if k == 0 else 429, b"busy"
+    if k in (1, 2):
+        return (400, b"unknown field response_format") if k == 1 else (401, b"who are you?")
+    reply = {"title": f"{n} characters", "type": "letter" if k == 4 else form["schema"]["properties"]["type"]["enum"][n % 2], "tags": ["a"], "filename": "f"}
+    return 200, json.dumps({"choices": [{"message": {"content": "Certainly!" if k == 3 else json.dumps(reply)}}]}).encode()
+
+
+def model_replies(spark, sf_dir):
+    """All documents asked about, at an endpoint that fails in every way by their length, each
+    different prompt once: replies, and what became of the others."""
+    docs = stored(_table(spark, sf_dir, "documents").select("doc_id", "text"), "asked-about")
+    client = analyse.Client("http://stub/v1/", "m", "k", backoff=0.0, transport=_endpoint)
+    replies = analyse.ReplyStore(scratch_path(spark, "replies"))
+    rows = analyse.with_replies(docs, c("text"), client, ["manual", "note"], "note", [], store=replies)
+    get = lambda k: F.get_json_object("reply", f"$.{k}").alias(k)
+    out = stored(rows.select("doc_id", "reply_error_kind", get("title"), get("type")), "replies-told")
+    remove_path(spark, replies.folder)
+    return out
+
+
+MODEL_REPLIES = """
+WITH p AS (
+  SELECT doc_id, text, length('Document:' || chr(10) || chr(10) || text || chr(10) || chr(10) || '----' || chr(10) || 'Values of type: manual, note. When none fits, take note.' || chr(10) ||
+         'Tags are any words in lower case. There may be none.' || chr(10) || 'The filename is a few words joined by hyphens, without date or extension.' || chr(10)) AS n FROM documents)
+SELECT doc_id, CASE n % 8 WHEN 0 THEN 'transport' WHEN 1 THEN 'schema-unsupported' WHEN 2 THEN 'transport' WHEN 3 THEN 'schema-unsupported' WHEN 4 THEN 'rejected' END AS reply_error_kind,
+       CASE WHEN n % 8 > 4 THEN n || ' characters' END AS title, CASE WHEN n % 8 > 4 THEN CASE WHEN n % 2 = 1 THEN 'note' ELSE 'manual' END END AS type
+FROM p"""
+
+
+_SCRIPT = """
+case "$1" in *[05]) echo "no room for $1" >&2; exit 3;; *7) kill -9 $$;; *8) head -c 9000 /dev/zero | tr '\\0' x;; *9) exit 0;; *) printf '%s by %s' "$1" "$FOLIO_USER";; esac
+"""
+
+
+def handed_over(spark, sf_dir):
+    """A command run for every supplier, by number: it succeeds, fails, is killed, says much or
+    nothing; secrets reach it by the environment alone."""
+    command = handoff.Command("/bin/sh", 30.0, ("FOLIO_USER",), environ={"FOLIO_USER": "us", "OTHER": "not passed"})
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = rows.withColumn("argv", F.array(F.lit("-c"), F.lit(_SCRIPT), F.lit("sh"), F.concat("s_name", F.lit(" "), c("s_suppkey").cast("string"))))
+    a = c("archive")
+    told = handoff.run_commands(rows, command)
+    return told.select("s_suppkey", a["attempted"].alias("attempted"), a["success"].alias("success"), a["exit_code"].alias("exit_code"), F.sha2(a["output"], 256).alias("output"), a["error"].alias("error"))
+
+
+HANDED_OVER = """
+WITH s AS (SELECT s_suppkey, s_name || ' ' || s_suppkey AS name, s_suppkey % 10 AS k FROM supplier)
+SELECT s_suppkey, true AS attempted, k NOT IN (0, 5, 7) AS success, CASE WHEN k IN (0, 5) THEN 3 WHEN k <> 7 THEN 0 END AS exit_code,
+       CASE WHEN k IN (0, 5) THEN sha256('no room for ' || name || chr(10)) WHEN k = 8 THEN sha256(repeat('x', 8192) || chr(10) || '… (truncated at 8 KiB)') WHEN k NOT IN (7, 9) THEN sha256(name || ' by us') END AS output,
+       CASE WHEN k IN (0, 5) THEN '/bin/sh exited 3' WHEN k = 7 THEN '/bin/sh: signal 9' END AS error
+FROM s"""
+
+
 _STATUSES = (0, 200, 400, 401, 404, 422, 429, 500, 501, 502, 503, 504)
 
 
@@ -1000,6 +1066,8 @@ _ALL = {
     "prompt_elide": (prompt_elide, PROMPT_ELIDE),
     "output_truncate": (output_truncate, OUTPUT_TRUNCATE),
     "user_prompt": (user_prompt, USER_PROMPT),
+    "model_replies": (model_replies, MODEL_REPLIES),
+    "handed_over": (handed_over, HANDED_OVER),
     "retry_class": (retry_class, RETRY_CLASS),
 }
 
