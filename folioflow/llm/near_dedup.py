@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import Powers, bucketed, discard, lowered, map_rows, mixed, shingles_of, signed, store, word_hashes
+from .common import Powers, bucketed, discard, lowered, map_rows, maybe_among, mixed, shingles_of, signed, store, word_hashes
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -196,7 +196,8 @@ def families(classes: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, signs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(node, bytes, sketch, shingles) of some classes, dealt by node, which is nid for most."""
     wanted = store(classes.select("nid", F.col("text_hash").alias("own"), "node"), "wanted")
-    texts = named_rows(docs).drop("doc_id").join(wanted.hint("merge"), "nid")
+    rows = named_rows(docs).drop("doc_id")
+    texts = rows.where(maybe_among([F.col("nid"), F.col("text_hash")], wanted.select("nid", "own"))).join(wanted.hint("merge"), "nid")
 
     def with_sets(batches):
         sets = shingle_sets(width)
@@ -397,7 +398,7 @@ def first_of_each_group(docs: DataFrame, similarity: tuple[int, int] = (80, 100)
     """One row of ``docs`` for each group: of its least doc_id, null only if no member has one,
     and the least text hash; of rows equal in both, one. Rows without words are groups of
     their own."""
-    known = grouped(docs, similarity, width)
+    known = store(grouped(docs, similarity, width), "known")
     equal = known.groupBy("group", "nid", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     alone = F.when(F.col("group").isNull(), F.struct("nid", "text_hash"))
     first = equal.groupBy("group", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "nid", "n")).alias("k"))
@@ -406,7 +407,11 @@ def first_of_each_group(docs: DataFrame, similarity: tuple[int, int] = (80, 100)
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     nid, text_hash = row_names(docs)
     own = docs.select(nid.alias("_nid"), text_hash.alias("_hash"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    out = own.join(kept.where("NOT _several"), ["_nid", "_hash"], "left_semi").select(*names.values())
+    # rows that surely stay, and stay alone, needn't be shuffled to be told so
+    single = kept.where("NOT _several").select("_nid", "_hash")
+    touched = store(known.select(F.col("nid").alias("_nid"), F.col("text_hash").alias("_hash")).distinct().join(single, ["_nid", "_hash"], "left_anti"), "touched")
+    doubtful = maybe_among([F.col("_nid"), F.col("_hash")], touched)
+    out = own.where(~doubtful).select(*names.values()).unionByName(own.where(doubtful).join(single, ["_nid", "_hash"], "left_semi").select(*names.values()))
     if kept.where("_several").limit(1).count():
         row = F.struct(*names.values())
         one = own.join(kept.where("_several"), ["_nid", "_hash"], "left_semi").groupBy("_nid", "_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
