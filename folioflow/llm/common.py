@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -162,10 +161,13 @@ def maybe_among(names: list, wanted: DataFrame):
     held[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     sent = spark.sparkContext.broadcast(held)
 
-    def test(places: pd.Series) -> pd.Series:
+    import pandas as pd  # not for workers that have no filter to ask
+
+    def test(places):
         at = places.to_numpy()
         return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
 
+    test.__annotations__ = {"places": pd.Series, "return": pd.Series}
     bound_batches(spark)
     return F.pandas_udf(test, "boolean")(F.pmod(F.xxhash64(*names), F.lit(bits)))
 
