@@ -44,6 +44,7 @@ class Archive:
 
     def __init__(self, root: str | Path, staging: str = ".folioflow-staging"):
         self.root, self.staging = Path(root).resolve(strict=True), staging
+        self._own = secrets.token_hex(4)  # tasks don't wait for each other's changes of one folder
         if not self.root.is_dir():
             raise FilingError(f"{root} is not a folder")
 
@@ -85,7 +86,7 @@ class Archive:
         """The staging folder's handle and in it a file of a name that nobody else has; gone at
         the end unless it was renamed."""
         part = secrets.token_hex(8)
-        with self._inside([self.staging], make=True) as folder:
+        with self._inside([self.staging, self._own], make=True) as folder:
             try:
                 with os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o666, dir_fd=folder), "wb") as out:
                     yield folder, part, out

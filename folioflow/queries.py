@@ -24,7 +24,7 @@ from .plans.replay import not_yet_filed, replay_state
 from .plans.schema import METADATA, TRUNCATION
 from .scratch import remove_path, scratch_path, stored
 from .sources.documents import identified, scan_files, scan_texts
-from .sources.inventory import SUFFIX, read_traces, scan_traces, trace_json
+from .sources.inventory import read_traces, scan_traces, trace_json
 from .sources.inventory_log import InventoryLog
 from .sources.sink import write_archive
 
@@ -692,7 +692,7 @@ def filed_tree(spark, sf_dir):
     trace = trace_json(c("path"), c("digest"), told, F.lit("shelves"), F.timestamp_seconds(F.lit(1_700_000_000)), F.lit(None).cast(TRUNCATION), handoff.not_attempted())
     write_archive(whole.withColumn("trace", F.when(c("last"), trace)), home, scratch_path(spark, "filed"))
     place = F.length(F.regexp_extract(c("path"), r"\A.*folioflow-tree-[0-9a-f]+/", 0))
-    found = scan_files(spark, root, recursive=True).where(~c("path").endswith(SUFFIX)).select(F.substr("path", place + 1).alias("name"), "size", "digest")
+    found = scan_files(spark, root, pattern="*.txt", recursive=True).select(F.substr("path", place + 1).alias("name"), "size", "digest")
     read = read_traces(found.join(scan_traces(spark, home).withColumnRenamed("dest", "name"), "name", "left"))
     out = stored(read.select("name", "size", "digest", c("record")["source"].alias("source"), c("record")["metadata"]["title"].alias("title"), "unusable"), "filed-tree")
     remove_path(spark, root)
