@@ -359,9 +359,9 @@ def test_a_folder_that_becomes_a_link_is_not_followed(tmp_path):
     with a._inside(["x"]) as folder:  # the folder that was opened is the one written to
         (root / "x").rename(tmp_path / "moved")
         (root / "x").symlink_to(outside)
-        with a._new_file(folder) as (part, out):
+        with a._new_file() as (staging, part, out):
             out.write(b"body")
-            os.link(part, "y.txt", src_dir_fd=folder, dst_dir_fd=folder)
+            os.link(part, "y.txt", src_dir_fd=staging, dst_dir_fd=folder)
     with pytest.raises(filing.FilingError):
         a.place(path, size, digest, "x/y.txt")
     assert list(outside.iterdir()) == [] and (tmp_path / "moved/y.txt").read_bytes() == b"body"
