@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-import fnmatch
-import os
 import re
-from collections.abc import Iterator
-from itertools import islice
 from urllib.parse import unquote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import extension
 from ..operators.extract import with_kind
+from .listing import contents, listed
 
 
 def scan_files(spark: SparkSession, *paths: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, size, ext, content, digest, mime) of files, read as they are.
 
     A digest is computed once here and carried along; it identifies content everywhere else.
-    The reader passes over empty and unreadable files; they come back here from a listing that
-    executors make, empty ones with size 0 and unreadable ones without, and so do paths that
-    lead nowhere, so that whatever was given has its outcome and ends nobody else's.
+    Files in folders that all machines share are listed and read by executors. Elsewhere Spark's
+    reader lists them; it passes over empty files, which come back here from its listing. Empty
+    files have size 0, unreadable ones and paths that lead nowhere have none, so that whatever
+    was given has its outcome and ends nobody else's.
     """
     found, rows = {p: _matches(spark, p) for p in paths}, None
     there = sorted({x for given in found.values() for x in given})
-    if there:
+    if there and all(x.startswith("file:") for x in there):
+        rows = contents(listed(spark, there, pattern, recursive))
+    elif there:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
         if pattern:
             reader = reader.option("pathGlobFilter", pattern)
         files = reader.load(there)
         rows = files.select("path", F.col("length").alias("size"), "content")
-        listed = _listed(spark, there, pattern, recursive) if all(x.startswith("file:") for x in there) else _listed_by_driver(files)
         bare = F.regexp_replace(F.col("path"), r"\A(\w+):/+(?=/)", "$1:")
-        left = listed.join(rows.select(bare.alias("path")), "path", "left_anti")
-        nothing = F.when(F.col("size") == 0, F.lit("").cast("binary"))
-        rows = rows.unionByName(left.select("path", F.when(F.col("size") == 0, F.col("size")).alias("size"), nothing.alias("content")))
+        left = _listed_by_driver(files).join(rows.select(bare.alias("path")), "path", "left_anti")
+        rows = rows.unionByName(left.select("path", "size", F.lit("").cast("binary").alias("content")))
     missing = [p for p, given in found.items() if not given]
     if missing or rows is None:
         absent = spark.createDataFrame([(p, None, None) for p in missing], "path string, size long, content binary")
@@ -53,33 +50,8 @@ def _matches(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().toString() for x in found or []]
 
 
-def _listed(spark: SparkSession, roots: list[str], pattern: str | None, recursive: bool) -> DataFrame:
-    """(path, size) of the files that the reader would take from folders all machines share."""
-
-    def wanted(name: str) -> bool:
-        return not name.startswith(("_", ".")) and (pattern is None or fnmatch.fnmatchcase(name, pattern))
-
-    def files_of(root: str) -> Iterator[tuple[str, int]]:
-        if not os.path.isdir(root):
-            yield from [(root, os.path.getsize(root))] if wanted(os.path.basename(root)) else []
-            return
-        for folder, inner, names in os.walk(root):
-            inner[:] = [x for x in inner if recursive and not x.startswith(("_", "."))]
-            yield from ((x, os.path.getsize(x)) for x in (os.path.join(folder, n) for n in names if wanted(n)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for root in pdf["root"]:
-                found = files_of(re.sub(r"\Afile:/*", "/", root))
-                while some := list(islice(found, 10_000)):
-                    yield pd.DataFrame([(f"file:{p}", n) for p, n in some], columns=["path", "size"])
-
-    given = spark.createDataFrame(pa.table({"root": pa.array(roots, pa.string())})).repartition(min(len(roots), 256))
-    return given.mapInPandas(run, "path string, size long")
-
-
 def _listed_by_driver(files: DataFrame) -> DataFrame:
-    """The same in stores that only Spark's readers open, from the listing that they have made; of
+    """(path, size) in stores that only Spark's readers open, from the listing that they have made; of
     what they leave out there, empty files are all that is known."""
     paths = [re.sub(r"\A(\w+):/+(?=/)", r"\1:", unquote(f)) for f in files.inputFiles()]
     return files.sparkSession.createDataFrame(pa.table({"path": pa.array(paths, pa.string()), "size": pa.array([0] * len(paths), pa.int64())}))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filing import Archive
 from ..plans.schema import ARCHIVE, TRUNCATION
+from .listing import contents, listed
 
 #: Fixed values of the format.
 VERSION = 1
@@ -128,8 +129,9 @@ def trace_beside(dest: Column, root: str) -> Column:
 
 
 def scan_traces(spark, root: str) -> DataFrame:
-    """(dest, trace) of all traces in an archive: the whole inventory as a table."""
-    base = F.lit(root.rstrip("/") + "/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SUFFIX}").text(root)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"\Afile:/*", "/")
-    return files.select(F.regexp_replace(F.substr(path, F.length(base) + 1), rf"\Q{SUFFIX}\E\z", "").alias("dest"), F.col("value").alias("trace"))
+    """(dest, trace) of all traces in an archive: the whole inventory as a table, listed and read by
+    executors. Empty files are no traces; one that can't be read is an error."""
+    base = F.lit(f"file:{root.rstrip('/')}/")
+    files = contents(listed(spark, [root], f"*{SUFFIX}", recursive=True)).where("size IS NULL OR size > 0")
+    trace = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("a trace can't be read: "), F.col("path")))).otherwise(F.col("content").cast("string"))
+    return files.select(F.regexp_replace(F.substr("path", F.length(base) + 1), rf"\Q{SUFFIX}\E\z", "").alias("dest"), trace.alias("trace"))

@@ -848,3 +848,36 @@ def test_claims_of_a_stream_equal_probing(seed):
         got |= {arrival: state.claim(dest, size, digest) for arrival, dest, size, digest in rows[at : at + 37]}
         assert set(state.new) <= set(taken)
     assert got == brute_claims(rows, (), 4)
+
+
+# ---------------------------------------------------------------- listings
+
+
+def test_files_are_listed_and_read_by_executors(spark, tmp_path):
+    """No listing stays with the driver, and the rows are those that Spark's reader would give."""
+    from folioflow.sources import listing
+
+    root = tmp_path / "in"
+    for name in ("a.txt", "b.md", "c.csv", "_no.txt", ".no.txt", "_k=v.txt", "x/d.txt", "x/y/e.txt", "x/_no/f.txt", "x/empty.txt", f"a.txt{inventory.SUFFIX}", f"x/d.txt{inventory.SUFFIX}", f"x/none{inventory.SUFFIX}"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if "empty" in name or "none" in name else name)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/g.txt").write_text("linked")
+    (root / "linked").symlink_to(tmp_path / "more")
+    (root / "x/round").symlink_to(root)
+    (root / "x/lost.txt").symlink_to(root / "nowhere")
+    Path(os.fsdecode(os.fsencode(root) + b"/\xff.txt")).write_text("odd name")
+    told = lambda rows: {r["path"].removeprefix(f"file:{root}/"): (r["size"], None if r["content"] is None else r["content"].decode()) for r in rows.collect()}
+    rows = documents.scan_files(spark, str(root), str(root / "x"), str(root / "x/d.txt"), pattern="*.{txt,md}", recursive=True)
+    own = {k: (len(k), k) for k in ("a.txt", "b.md", "_k=v.txt", "x/d.txt", "x/y/e.txt")}
+    assert rows.inputFiles() == [] and rows.count() == 9
+    assert told(rows) == own | {"x/empty.txt": (0, ""), "x/lost.txt": (None, None), "linked/g.txt": (6, "linked"), "�.txt": (8, "odd name")}
+    assert {*told(documents.scan_files(spark, str(root), pattern="*.txt"))} == {"a.txt", "_k=v.txt", "�.txt"}
+    traces = inventory.scan_traces(spark, str(root))
+    assert traces.inputFiles() == [] and {tuple(r) for r in traces.collect()} == {("a.txt", f"a.txt{inventory.SUFFIX}"), ("x/d.txt", f"x/d.txt{inventory.SUFFIX}")}
+    with pytest.MonkeyPatch.context() as m:  # in pieces
+        m.setattr(listing, "PIECE", 7)
+        assert told(listing.contents(listing.listed(spark, [str(root / "x")], None, True)))["x/y/e.txt"] == (9, "x/y/e.txt")
+    listing.emptied(spark, f"file://{root}")
+    left = [p for p in root.rglob("*") if not p.is_dir() or p.is_symlink()]
+    assert left == [] and (root / "x/_no").is_dir() and (tmp_path / "more/g.txt").read_text() == "linked"
