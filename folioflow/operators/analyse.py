@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.decode import KEYS, OPTIONAL_TEXTS
 from ..functions.text import PROMPT_HEAD, PROMPT_TAIL
 from ..scratch import opened, remove_path, write_whole
-from ..workers import importable
+from ..workers import importable, pieces
 
 #: Fixed values of the protocol.
 BODY_BYTES = 1 << 20
@@ -362,7 +362,7 @@ def with_replies(
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with ThreadPoolExecutor(max(1, window)) as pool:
-                for batch in batches:
+                for batch in pieces(batches, "_prompt"):
                     given = [batch.column("_prompt").to_pylist(), *([batch.column("_key").to_pylist()] if keyed else [])]
                     told = list(pool.map(answer, *given))
                     own = [batch.column(k) for k in range(batch.num_columns - 1)]

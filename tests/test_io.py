@@ -881,3 +881,19 @@ def test_files_are_listed_and_read_by_executors(spark, tmp_path):
     listing.emptied(spark, f"file://{root}")
     left = [p for p in root.rglob("*") if not p.is_dir() or p.is_symlink()]
     assert left == [] and (root / "x/_no").is_dir() and (tmp_path / "more/g.txt").read_text() == "linked"
+
+
+def test_prompts_are_asked_in_pieces_and_forgotten(spark):
+    """A task takes few prompts of a batch at a time, and the endpoint keeps none that it has answered."""
+    from folioflow import queries
+    from folioflow.workers import pieces
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(9)), "t": ["x" * n for n in (1, 2, 3, 50, 0, 4, 4, 4, 4)]})
+    cut = list(pieces([batch, batch.slice(0, 0)], "t", rows=4, most=10))
+    assert [x.num_rows for x in cut] == [3, 1, 3, 2, 0] and pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
+    client, kept = analyse.Client("http://stub/v1/", "m", "k", backoff=0.0), {}
+    for n in range(40):
+        body = json.dumps(analyse.request_body("m", "", "x" * n, schema=analyse.response_schema(["manual", "note"]))).encode()
+        told = [queries._endpoint(f"{client.base_url}chat/completions", {"Authorization": "Bearer k"}, body, 1.0, kept)[0] for _ in range(2)]
+        assert told == {0: [503, 503], 1: [400, 400], 2: [401, 401], 5: [429, 200]}.get(n % 8, [200, 200])
+    assert kept == {}
